@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.plans import q_prep, q_score  # noqa: F401
+from riskloom.plans import q_graph, q_prep, q_score  # noqa: F401
 from riskloom.plans.registry import ORACLES, QUERIES
 
 
