@@ -32,6 +32,13 @@ WEIGHT_MODEL, WEIGHT_RULES, WEIGHT_ANOMALY, WEIGHT_GRAPH = 0.5, 0.2, 0.15, 0.15
 LEVEL_LOW_BELOW, LEVEL_MEDIUM_BELOW = 30, 70
 
 
+def py_round(x: Column, digits: int) -> Column:
+    """Python's ``round(x, n)`` on doubles: scale, round half-even, unscale. Spark's ``round`` works on
+    the shortest decimal text (``round(2.675, 2)`` = 2.68) where Python gives 2.67 (N17)."""
+    scale = float(10 ** digits)
+    return F.bround(x * F.lit(scale), 0) / F.lit(scale)
+
+
 def device_key(device: Column) -> Column:
     """A missing device reads as ``unknown``."""
     return F.coalesce(device, F.lit("unknown"))
@@ -88,7 +95,7 @@ def blended_score(probability: Column, rule_score: Column, anomaly: Column, grap
     """L2: weighted blend, +10 inside a suspicious cluster, rounded to 2 places."""
     base = (F.lit(WEIGHT_MODEL) * (probability * 100) + F.lit(WEIGHT_RULES) * rule_score
             + F.lit(WEIGHT_ANOMALY) * (anomaly * 100) + F.lit(WEIGHT_GRAPH) * graph_score)
-    return F.round(base + F.when(in_cluster, F.lit(CLUSTER_POINTS)).otherwise(0), 2)
+    return py_round(base + F.when(in_cluster, F.lit(CLUSTER_POINTS)).otherwise(0), 2)
 
 
 def risk_level(score: Column) -> Column:
