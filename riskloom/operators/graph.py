@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.session import checkpoint_dir
 
@@ -64,7 +65,7 @@ def number_rows(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
     """Dense 1-based numbering in a global order: a distributed sort, then ``zipWithIndex``
     (one pass for per-partition counts) - no single-partition window."""
     sorted_df = df.orderBy(*order)
-    schema = sorted_df.schema.add(out, "long")
+    schema = StructType(list(sorted_df.schema.fields) + [StructField(out, LongType())])
     rdd = sorted_df.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1] + 1,))
     return df.sparkSession.createDataFrame(rdd, schema)
 

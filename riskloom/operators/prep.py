@@ -185,12 +185,12 @@ SCORING_FEATURES = ["TransactionAmt", "card1", "transaction_hour", "transaction_
 
 
 def align_features(df: DataFrame, model_columns: Sequence[str], keep: Sequence[str] = (),
-                   prefixes: Sequence[str] = ("g_", "f_", "")) -> DataFrame:
+                   prefixes: Sequence[str] = ("g_", "f_", ""), out_prefix: str = "") -> DataFrame:
     """Exactly the model's columns in its order; absent -> 0; extras dropped. A name is looked
     up with precedence graph (``g_``) > engineered (``f_``) > raw, as the reference's dict merge."""
     cols = set(df.columns)
     out = [F.col(k) for k in keep]
     for name in model_columns:
         src = next((p + name for p in prefixes if p + name in cols), None)
-        out.append((F.col(src).cast("double") if src else F.lit(0.0)).alias(name))
+        out.append((F.col(src).cast("double") if src else F.lit(0.0)).alias(out_prefix + name))
     return df.select(*out)
