@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.plans import q_graph, q_models, q_prep, q_report, q_score  # noqa: F401
+from riskloom.plans import q_graph, q_models, q_prep, q_report, q_score, q_stream  # noqa: F401
 from riskloom.plans.registry import ORACLES, QUERIES
 
 
