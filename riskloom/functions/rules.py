@@ -32,11 +32,40 @@ WEIGHT_MODEL, WEIGHT_RULES, WEIGHT_ANOMALY, WEIGHT_GRAPH = 0.5, 0.2, 0.15, 0.15
 LEVEL_LOW_BELOW, LEVEL_MEDIUM_BELOW = 30, 70
 
 
+SPLITTER = 134217729.0   # 2**27 + 1, Veltkamp split of a double into two 26-bit halves
+
+
 def py_round(x: Column, digits: int) -> Column:
-    """Python's ``round(x, n)`` on doubles: scale, round half-even, unscale. Spark's ``round`` works on
-    the shortest decimal text (``round(2.675, 2)`` = 2.68) where Python gives 2.67 (N17)."""
-    scale = float(10 ** digits)
-    return F.bround(x * F.lit(scale), 0) / F.lit(scale)
+    """Python's ``round(x, n)`` on doubles (n <= 4): the decimal value of the binary double is
+    rounded half-even. ``x * 10**n`` can round onto a tie (2.675 * 100 = 267.5 exactly, while the
+    double 2.675 lies below 2.675), so the product's rounding error is recovered exactly with a
+    Veltkamp split and decides ties; exact ties go to even. Spark's ``round`` works on the shortest
+    decimal text instead (``round(2.675, 2)`` = 2.68, Python 2.67), see N17."""
+    s = float(10 ** digits)
+    p = x * F.lit(s)
+    t = x * F.lit(SPLITTER)
+    hi = t - (t - x)
+    lo = x - hi
+    err = (hi * F.lit(s) - p) + lo * F.lit(s)
+    fl = F.floor(p).cast("double")
+    frac = p - fl
+    n = (F.when(frac > 0.5, fl + 1).when(frac < 0.5, fl)
+         .when(err > 0, fl + 1).when(err < 0, fl).otherwise(F.bround(p, 0)))
+    return n / F.lit(s)
+
+
+def py_round_sql(expr: str, digits: int) -> str:
+    """The same rounding as DuckDB SQL text (for oracles)."""
+    s = f"{float(10 ** digits)!r}"
+    x = f"CAST(({expr}) AS DOUBLE)"
+    p = f"({x} * {s})"
+    t = f"({x} * {SPLITTER!r})"
+    hi = f"({t} - ({t} - {x}))"
+    err = f"(({hi} * {s} - {p}) + ({x} - {hi}) * {s})"
+    fl = f"CAST(floor({p}) AS DOUBLE)"
+    frac = f"({p} - {fl})"
+    return (f"((CASE WHEN {frac} > 0.5 THEN {fl} + 1 WHEN {frac} < 0.5 THEN {fl} WHEN {err} > 0 THEN {fl} + 1 "
+            f"WHEN {err} < 0 THEN {fl} ELSE round_even({p}, 0) END) / {s})")
 
 
 def device_key(device: Column) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
+from riskloom.functions.rules import py_round_sql as PR
 from riskloom.operators import reports
 from riskloom.plans import score
 from riskloom.plans.q_graph import EDGES_CTE_SQL, FIRSTS_CTE, HIST_CTE, _recursive
@@ -35,13 +36,15 @@ CLUS_REACH = """reach(rid, rts, node) AS (
   WHERE f.ts < r.rts OR (f.ts = r.rts AND f.id <= r.rid)),
 clus AS (SELECT rid AS id, count(*) > 4 AS in_cluster FROM reach GROUP BY rid)"""
 
+BLEND_SQL = ("0.5 * (p * 100) + 0.2 * rule_score + 0.15 * (a * 100) + 0.15 * graph_score"
+             " + CASE WHEN in_cluster THEN 10 ELSE 0 END")
+
 SCORED_CTE = f"""scored AS (SELECT t.*, {RULE_POINTS_SQL} AS rule_score,
     (CASE WHEN h.user_degree + 1 > 5 THEN 20 ELSE 0 END) + (CASE WHEN h.device_users_incl > 3 THEN 25 ELSE 0 END) AS graph_score,
     h.user_degree, h.device_users_incl, c.in_cluster,
     CAST((t.TransactionID * 37) % 1000 AS DOUBLE) / 1000 AS p, 0.4 + CAST(t.TransactionID % 13 AS DOUBLE) * 0.0625 AS a
   FROM fx_txn t JOIN hist h ON h.id = t.TransactionID JOIN clus c ON c.id = t.TransactionID),
-blend AS (SELECT *, round_even((0.5 * (p * 100) + 0.2 * rule_score + 0.15 * (a * 100) + 0.15 * graph_score
-    + CASE WHEN in_cluster THEN 10 ELSE 0 END) * 100, 0) / 100 AS risk_score FROM scored),
+blend AS (SELECT *, {PR(BLEND_SQL, 2)} AS risk_score FROM scored),
 final AS (SELECT *, CASE WHEN risk_score < 30 THEN 'Low' WHEN risk_score < 70 THEN 'Medium' ELSE 'High' END AS risk_level,
     '[' || concat_ws(', ', {RULE_REASON_ITEMS_SQL},
         CASE WHEN user_degree + 1 > 5 THEN '"User has high transaction frequency"' END,
@@ -66,11 +69,11 @@ def q_risk_reasons(spark, sf_dir):
     return s.select(F.col("TransactionID").alias("transaction_id"), R.reasons_json(F.col("reasons")).alias("reasons_json"))
 
 
-@query("prediction_rows", _scored_sql("""
+@query("prediction_rows", _scored_sql(f"""
 SELECT 'TXN-' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || upper(substr(md5(CAST(TransactionID AS VARCHAR)), 1, 4)) AS transaction_id,
        CAST(NULL AS BIGINT) AS user_id, CAST(coalesce(TransactionAmt, 0) AS DOUBLE) AS amount,
        CAST(coalesce(card1, 0) AS BIGINT) AS card1, coalesce(device, 'unknown') AS device,
-       CAST(coalesce(addr1, 0) AS BIGINT) AS addr1, round_even(p * 10000, 0) / 10000 AS fraud_probability, risk_score,
+       CAST(coalesce(addr1, 0) AS BIGINT) AS addr1, {PR("p", 4)} AS fraud_probability, risk_score,
        risk_level, CASE lower(risk_level) WHEN 'high' THEN 'flagged' WHEN 'medium' THEN 'review' ELSE 'safe' END AS status,
        reasons_json, ts AS created_at
 FROM final"""))
@@ -98,7 +101,7 @@ def q_count_between(spark, sf_dir):
     return reports.count_between(_pred(spark, sf_dir), "2024-01-10 00:00:00", "2024-01-20 00:00:00")
 
 
-@query("average_risk", _p("SELECT round_even(coalesce(avg(risk_score), 0) * 100, 0) / 100 AS avg_risk_score FROM fx_pred"))
+@query("average_risk", _p(f"SELECT {PR('coalesce(avg(risk_score), 0)', 2)} AS avg_risk_score FROM fx_pred"))
 def q_average_risk(spark, sf_dir):
     return reports.average_risk(_pred(spark, sf_dir))
 
@@ -114,8 +117,7 @@ def q_daily_risk_counts(spark, sf_dir):
     return reports.daily_risk_counts(_pred(spark, sf_dir))
 
 
-RATE_SQL = (f"CASE WHEN count(*) = 0 THEN 0.0 ELSE round_even(count(*) FILTER (WHERE {LV} = 'high') / count(*) * 100 * 10, 0)"
-            f" / 10 END")
+RATE_SQL = (f"CASE WHEN count(*) = 0 THEN 0.0 ELSE {PR(f'count(*) FILTER (WHERE {LV} = ' + chr(39) + 'high' + chr(39) + ') / count(*) * 100', 1)} END")
 
 
 @query("dashboard_kpis", _p(f"""
@@ -190,9 +192,9 @@ def q_alerts(spark, sf_dir):
 
 
 @query("analytics_snapshot", _p(f"""
-SELECT round_even(coalesce(avg_score, 0) * 100, 0) / 100 AS avg_risk_score,
-       greatest(1.0, round_even((high + med) / 2 * 10, 0) / 10) AS avg_cluster_size,
-       round_even(greatest(0.5, 100.0 - rate) / 20 * 10, 0) / 10 AS false_positive_proxy, rate AS detection_rate
+SELECT {PR('coalesce(avg_score, 0)', 2)} AS avg_risk_score,
+       greatest(1.0, {PR('(high + med) / 2', 1)}) AS avg_cluster_size,
+       {PR('greatest(0.5, 100.0 - rate) / 20', 1)} AS false_positive_proxy, rate AS detection_rate
 FROM (SELECT avg(risk_score) AS avg_score, count(*) FILTER (WHERE {LV} = 'high') AS high,
              count(*) FILTER (WHERE {LV} = 'medium') AS med, {RATE_SQL} AS rate FROM fx_pred) s"""))
 def q_analytics_snapshot(spark, sf_dir):
