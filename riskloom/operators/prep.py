@@ -46,9 +46,8 @@ def card_amount_features(df: DataFrame, key: str = "card1", amount: str = "Trans
     j = group_amount_stats(df, key, amount)
     amt = F.col(amount).cast("double")
     mean, std = F.col(f"_{key}_mean"), F.col(f"_{key}_std")
-    return (j.withColumn(names["mean_diff"], X.float32(amt - mean))
-             .withColumn(names["zscore"], X.float32((amt - mean) / F.nullif(std, F.lit(0.0))))
-             .drop(f"_{key}_mean", f"_{key}_std"))
+    return j.select(*df.columns, X.float32(amt - mean).alias(names["mean_diff"]),
+                    X.float32((amt - mean) / F.nullif(std, F.lit(0.0))).alias(names["zscore"]))
 
 
 def product_amount_ratio(df: DataFrame, key: str = "ProductCD", amount: str = "TransactionAmt",
@@ -57,9 +56,8 @@ def product_amount_ratio(df: DataFrame, key: str = "ProductCD", amount: str = "T
     names = names or FINAL_NAMES
     stats = df.groupBy(key).agg(F.avg(F.col(amount).cast("double")).alias("_prod_mean"))
     j = df.join(stats, on=key, how="left")
-    return j.withColumn(names["ratio"], X.float32(F.col(amount).cast("double")
-                                                  / F.nullif(F.col("_prod_mean"), F.lit(0.0)))) \
-            .drop("_prod_mean")
+    return j.select(*df.columns, X.float32(F.col(amount).cast("double")
+                                           / F.nullif(F.col("_prod_mean"), F.lit(0.0))).alias(names["ratio"]))
 
 
 def match_flags(df: DataFrame) -> DataFrame:

@@ -383,3 +383,47 @@ SELECT column_name, count(*) AS rare_value_count FROM rare GROUP BY 1 ORDER BY 2
 def q_top_rare_columns(spark, sf_dir):
     md = prepare.prepare_model_data(_merged(spark, sf_dir))
     return profiling.top_rare_columns(md.rare_map)
+
+
+# ---------------------------------------------------------------- E8, E9 (types as narrowed at sf0.01)
+def _med(c: str, src: str = "feat") -> str:
+    return f"(SELECT median(CAST({c} AS DOUBLE)) FROM {src})"
+
+
+CLEAN_SQL = f"""
+SELECT CAST(TransactionID AS SMALLINT) AS TransactionID, CAST(TransactionDT AS INTEGER) AS TransactionDT, TransactionAmt,
+       CAST(coalesce(CAST(card1 AS DOUBLE), {_med('card1')}) AS FLOAT) AS card1, ProductCD,
+       CAST(coalesce(CAST(addr1 AS DOUBLE), {_med('addr1')}) AS FLOAT) AS addr1,
+       CAST(coalesce(CAST(addr2 AS DOUBLE), {_med('addr2')}) AS FLOAT) AS addr2,
+       coalesce(P_emaildomain, 'missing') AS P_emaildomain, coalesce(R_emaildomain, 'missing') AS R_emaildomain,
+       CAST(isFraud AS TINYINT) AS isFraud, coalesce(DeviceType, 'missing') AS DeviceType,
+       coalesce(DeviceInfo, 'missing') AS DeviceInfo, CAST(transaction_hour AS TINYINT) AS transaction_hour,
+       CAST(transaction_day AS SMALLINT) AS transaction_day, log_transaction_amt,
+       coalesce(card1_amount_mean_diff, CAST({_med('card1_amount_mean_diff')} AS FLOAT)) AS card1_amount_mean_diff,
+       coalesce(card1_amount_zscore, CAST({_med('card1_amount_zscore')} AS FLOAT)) AS card1_amount_zscore,
+       product_amount_ratio, email_domain_match, has_full_address, device_info_missing, is_mobile_device
+FROM feat"""
+
+
+@query("clean_transactions", _with(CLEAN_SQL, MERGED_CTE, FEAT_CTE))
+def q_clean_transactions(spark, sf_dir):
+    cleaned, _ = cleaning.clean_transactions(prep.add_ieee_features(_merged(spark, sf_dir)), 0.85)
+    return cleaned
+
+
+@query("prepared_transactions", _with(CLEAN_SQL, MERGED_CTE, FEAT_CTE))
+def q_prepared_transactions(spark, sf_dir):
+    return prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
+                                        prepare.IEEE_FULL).frame
+
+
+@query("cleaning_report", _with("""
+SELECT count(*) AS rows, 22 AS columns, avg(CAST(isFraud AS DOUBLE)) AS label_rate, 17 AS numeric_columns,
+       5 AS categorical_columns, 0 AS sample_size, 0.85 ::DOUBLE AS missing_threshold, 1 AS dropped_column_count,
+       'dist1' AS dropped_columns FROM merged""", MERGED_CTE))
+def q_cleaning_report(spark, sf_dir):
+    p = prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
+                                     prepare.IEEE_FULL)
+    return p.cleaned_profile.select("rows", "columns", "label_rate", "numeric_columns", "categorical_columns",
+                                    "sample_size", "missing_threshold", "dropped_column_count",
+                                    F.array_join("dropped_columns", ",").alias("dropped_columns"))
