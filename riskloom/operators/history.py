@@ -59,36 +59,34 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
 
 
 def graph_history(edges: DataFrame, width_seconds: int | None = None) -> DataFrame:
-    """K3, K4, K5 counts for every edge row ``(id, ts, user, device)``:
+    """K3, K4, K5 counts for every edge row; ``edges`` needs ``id, ts, user, device`` and may carry
+    any other columns, which pass through (no join back by id):
 
     * ``user_degree`` - edge rows of the user strictly before this one (feature, N10/N11)
     * ``device_degree`` - distinct users of the device first seen strictly before (feature)
     * ``user_edges_incl`` / ``device_users_incl`` - the same with this row stored (rules)
+
+    Two shuffles of the rows: by (device, time bucket), then by (user, time bucket).
     """
     width = width_seconds or bucket_width_seconds(edges)
-    rows = edges.select("id", "ts", "user", "device").withColumn("_bucket", time_bucket(F.col("ts"), width))
-    # K3: rows of the user before this one
-    users = running_sum(rows.select("id", "ts", "user", "_bucket"), ["user"], ["ts", "id"], F.lit(1),
-                        "user_degree", inclusive=False).select("id", "user_degree")
-    # K4: first row of each (device, user), merged with the rows as queries. At an equal order key
-    # the query (tag 0) sorts before the event (tag 1): the count at a query is strictly earlier.
-    firsts = (rows.groupBy("device", "user").agg(F.min(F.struct("ts", "id")).alias("_k"))
-              .select("device", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"),
-                      F.lit(1).alias("_tag")))
-    firsts = firsts.withColumn("_bucket", time_bucket(F.col("ts"), width))
-    queries = rows.select("device", "ts", "id", F.lit(0).alias("_tag"), "_bucket")
-    merged = queries.unionByName(firsts)
-    dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "_dev_upto")
+    cols = edges.columns
+    rows = edges.withColumn("_bucket", time_bucket(F.col("ts"), width)).withColumn("_tag", F.lit(0))
+    # K4: first row of each (device, user) joins the rows as an event. At an equal order key the
+    # row (tag 0) sorts before the event (tag 1), so the count at a row is strictly earlier.
+    firsts = (edges.groupBy("device", "user").agg(F.min(F.struct("ts", "id")).alias("_k"))
+              .select("device", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"), F.lit(1).alias("_tag"))
+              .withColumn("_bucket", time_bucket(F.col("ts"), width)))
+    merged = rows.unionByName(firsts, allowMissingColumns=True)
+    dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "device_degree")
     w = Window.partitionBy("device", "_bucket").orderBy("ts", "id", "_tag")
-    dev = (dev.withColumn("_next_id", F.lead("id").over(w)).withColumn("_next_tag", F.lead("_tag").over(w))
-              .where(F.col("_tag") == 0)
-              .select("id", F.col("_dev_upto").alias("device_degree"),
-                      (F.coalesce((F.col("_next_id") == F.col("id")) & (F.col("_next_tag") == 1), F.lit(False))
-                       ).cast("long").alias("_is_first")))
-    out = edges.join(users, "id").join(dev, "id")
-    return (out.withColumn("user_edges_incl", F.col("user_degree") + 1)
-               .withColumn("device_users_incl", F.col("device_degree") + F.col("_is_first"))
-               .drop("_is_first"))
+    dev = (dev.withColumn("_is_first", F.coalesce((F.lead("id").over(w) == F.col("id"))
+                                                  & (F.lead("_tag").over(w) == 1), F.lit(False)).cast("long"))
+              .where(F.col("_tag") == 0))
+    # K3: rows of the user before this one
+    out = running_sum(dev, ["user"], ["ts", "id"], F.lit(1), "user_degree", inclusive=False)
+    return out.select(*cols, "user_degree", "device_degree",
+                      (F.col("user_degree") + 1).alias("user_edges_incl"),
+                      (F.col("device_degree") + F.col("_is_first")).alias("device_users_incl"))
 
 
 def degree_snapshot(rows: DataFrame, edges: DataFrame, user: str = "user", device: str = "device") -> DataFrame:

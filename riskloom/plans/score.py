@@ -19,20 +19,24 @@ from riskloom.operators import graph, history, prep, scoring
 ScoreFn = Callable[[DataFrame], DataFrame]
 
 
-def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: DataFrame | None = None) -> DataFrame:
-    """Attach as-of graph counts and the as-of cluster flag to every transaction. ``history_edges``
-    (id, ts, user, device, amount) are edges stored before this batch (streaming); they count but
-    are not returned."""
-    edges = history.edge_rows(txn, id_col=id_col)
-    all_edges = edges if history_edges is None else history_edges.select(*edges.columns).unionByName(edges)
-    hist = history.graph_history(all_edges).select("id", "user_degree", "device_degree", "user_edges_incl",
-                                                    "device_users_incl")
-    clus = graph.cluster_flag_asof(all_edges).select("id", "in_cluster")
+def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: DataFrame | None = None,
+                 card: str = "card1", device: str = "device") -> DataFrame:
+    """Attach as-of graph counts and the as-of cluster flag to every transaction, carrying the
+    transaction's columns through (no join back by id). ``history_edges`` (id, ts, user, device,
+    amount) are edges stored before this batch (streaming); they count but are not returned."""
+    rows = txn.select("*", F.col(id_col).alias("id"),
+                      F.concat(F.lit("user_"), F.coalesce(F.col(card).cast("string"), F.lit("unknown"))).alias("user"),
+                      F.concat(F.lit("device_"), F.coalesce(F.col(device), F.lit("unknown"))).alias("_device_key"),
+                      F.lit(False).alias("_prior"))
+    rows = rows.withColumnRenamed(device, "_device_raw") if device == "device" else rows
+    rows = rows.withColumnRenamed("_device_key", "device")
     if history_edges is not None:
-        mine = edges.select("id")
-        hist = hist.join(mine, "id", "left_semi")
-        clus = clus.join(mine, "id", "left_semi")
-    return txn.join(hist, txn[id_col] == hist["id"]).drop("id").join(clus, txn[id_col] == clus["id"]).drop("id")
+        prior = history_edges.select("id", "ts", "user", "device").withColumn("_prior", F.lit(True))
+        rows = rows.unionByName(prior, allowMissingColumns=True)
+    hist = history.graph_history(rows)
+    flagged = graph.cluster_flag_asof(hist)
+    out = flagged.where(~F.col("_prior")).drop("_prior", "id", "user", "device")
+    return out.withColumnRenamed("_device_raw", device) if device == "device" else out
 
 
 def score(txn: DataFrame, probability: ScoreFn, anomaly: ScoreFn, id_col: str = "TransactionID",
