@@ -6,9 +6,9 @@ Two helpers back sampling, stratified splits and exact medians:
   48-bit hash prefix with 1024-bucket histograms (one grouped count per pass, at most
   1024 x classes rows come back), until the boundary bucket is small; only that bounded bucket is
   ranked with a window.
-* ``exact_order_stats`` finds k-th smallest values per column: a ``percentile_approx`` bracket,
-  verified with exact counts, then a window rank inside the (small) bracket. If verification fails
-  the bracket widens to the full range, so the answer is always exact.
+* ``exact_order_stats`` finds k-th smallest values per column: ``percentile_approx`` brackets,
+  each verified with exact counts, narrowed until at most 2M rows remain, then a window rank inside
+  the bracket. A failed verification keeps the wider bracket, so the answer is always exact.
 """
 
 from __future__ import annotations
@@ -107,58 +107,79 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
               .drop("_h", "_p", "_chosen")
 
 
-def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 100_000
-                      ) -> dict[str, dict[int, float]]:
-    """For each column, the k-th smallest non-null values (1-based k) for every k asked."""
+MAX_BRACKET_ROWS = 2_000_000
+
+
+def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 100_000,
+                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 6) -> dict[str, dict[int, float]]:
+    """For each column, the k-th smallest non-null values (1-based k) for every k asked.
+
+    Per column a value bracket [a, b] holding all asked ranks is narrowed with ``percentile_approx``
+    passes over the rows inside the current bracket and verified by exact counts after each pass
+    (a failed verification keeps the previous bracket, so the answer stays exact). When the bracket
+    holds at most ``max_bracket`` rows, ranks inside it are assigned with a window - a bounded task
+    per column. A bracket of one repeated value needs no ranking at all."""
     if not wanted:
         return {}
     counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
-    probes = []
-    for c, ks in wanted.items():
-        n = counts[c]
-        if not n:
-            continue
-        delta = 3.0 / accuracy + 1.0 / n
-        lo = max(0.0, (min(ks) - 1) / n - delta)
-        hi = min(1.0, max(ks) / n + delta)
-        probes.append(F.percentile_approx(F.col(c).cast("double"), [lo, hi], accuracy).alias(c))
-    if not probes:
-        return {c: {} for c in wanted}
-    brackets = df.agg(*probes).first().asDict()
-    checks = []
-    for c in brackets:
-        a, b = brackets[c]
-        v = F.col(c).cast("double")
-        checks += [F.count_if(v < F.lit(a)).alias(f"{c}__lt"), F.count_if(v <= F.lit(b)).alias(f"{c}__le")]
-    cnt = df.agg(*checks).first().asDict()
-    plan = {}
-    for c in brackets:
-        a, b = brackets[c]
-        ks = wanted[c]
-        if not (cnt[f"{c}__lt"] < min(ks) and cnt[f"{c}__le"] >= max(ks)):
-            a, b, below = None, None, 0          # widen to everything
-        else:
-            below = cnt[f"{c}__lt"]
-        plan[c] = (a, b, below)
+    # state: column -> [lo, hi, below, inside]; None bounds mean open
+    state = {c: [None, None, 0, counts[c]] for c in wanted if counts[c]}
+    for _ in range(max_passes):
+        active = [c for c, (lo, hi, below, inside) in state.items()
+                  if inside > max_bracket and not (lo is not None and lo == hi)]
+        if not active:
+            break
+        probes = []
+        for c in active:
+            lo, hi, below, inside = state[c]
+            v = F.col(c).cast("double")
+            cond = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
+            ks = [k - below for k in wanted[c]]
+            delta = 3.0 / accuracy + 1.0 / inside
+            plo = max(0.0, (min(ks) - 1) / inside - delta)
+            phi = min(1.0, max(ks) / inside + delta)
+            probes.append(F.percentile_approx(F.when(cond, v), [plo, phi], accuracy).alias(c))
+        brackets = df.agg(*probes).first().asDict()
+        checks = []
+        for c in active:
+            a, b = brackets[c]
+            v = F.col(c).cast("double")
+            checks += [F.count_if(v < F.lit(a)).alias(f"{c}__lt"), F.count_if(v <= F.lit(b)).alias(f"{c}__le")]
+        cnt = df.agg(*checks).first().asDict()
+        progressed = False
+        for c in active:
+            a, b = brackets[c]
+            lt, le = cnt[f"{c}__lt"], cnt[f"{c}__le"]
+            if lt < min(wanted[c]) and le >= max(wanted[c]) and le - lt < state[c][3]:
+                state[c] = [a, b, lt, le - lt]
+                progressed = True
+        if not progressed:
+            break
+    result = {c: {} for c in wanted}
     longs = []
-    for c, (a, b, below) in plan.items():
+    for c, (lo, hi, below, inside) in state.items():
+        if lo is not None and lo == hi:
+            for k in wanted[c]:
+                result[c][k] = lo
+            continue
         v = F.col(c).cast("double")
-        cond = v.isNotNull() if a is None else (v >= F.lit(a)) & (v <= F.lit(b))
+        cond = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
         longs.append(df.where(cond).select(F.lit(c).alias("_col"), v.alias("_v"), F.lit(below).alias("_below")))
+    if not longs:
+        return result
     union = longs[0]
     for x in longs[1:]:
         union = union.unionByName(x)
-    w = Window.partitionBy("_col").orderBy("_v")
     pick = None
     for c, ks in wanted.items():
-        if c not in plan:
+        if c not in state or result[c]:
             continue
         for k in set(ks):
             cond = (F.col("_col") == c) & (F.col("_rn") + F.col("_below") == k)
             pick = cond if pick is None else (pick | cond)
-    result = {c: {} for c in wanted}
     if pick is None:
         return result
+    w = Window.partitionBy("_col").orderBy("_v")
     rows = (union.withColumn("_rn", F.row_number().over(w)).where(pick)
             .select("_col", (F.col("_rn") + F.col("_below")).alias("_k"), "_v").collect())
     for r in rows:

@@ -48,6 +48,11 @@ def test_exact_medians_even_odd(spark):
     med = selection.exact_medians(df, ["a", "b"], accuracy=50)
     assert med["a"] == float(np.median(a[:1000]))
     assert med["b"] == float(np.median(b))
+    # force bracket refinement passes with a tiny bracket limit: still exact
+    ks = {"a": [1, 2, 500, 501, 1000], "b": [3, 500, 998]}
+    got = selection.exact_order_stats(df, ks, accuracy=20, max_bracket=10)
+    sa, sb = sorted(a[:1000]), sorted(float(x) for x in b)
+    assert got == {"a": {k: sa[k - 1] for k in ks["a"]}, "b": {k: sb[k - 1] for k in ks["b"]}}
 
 
 def test_drop_threshold_is_strict_and_impute(spark):
