@@ -70,6 +70,13 @@ def q_classification_report(spark, sf_dir):
     return metrics.classification_report(fixture(spark, sf_dir, "fx_pred"))
 
 
+@query("predict_class", _pred_sql("""
+WITH p AS (SELECT 1 AS one)
+SELECT transaction_id, CAST(fraud_probability > 0.5 AS INTEGER) AS prediction FROM fx_pred"""))
+def q_predict_class(spark, sf_dir):
+    return metrics.predict_class(fixture(spark, sf_dir, "fx_pred")).select("transaction_id", "prediction")
+
+
 # ---------------------------------------------------------------- fitted models (no exact oracle)
 def _model_data(spark, sf_dir):
     md = prepare.prepare_model_data(_merged(spark, sf_dir), keep_id=True)

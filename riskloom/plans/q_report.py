@@ -199,3 +199,9 @@ FROM (SELECT avg(risk_score) AS avg_score, count(*) FILTER (WHERE {LV} = 'high')
              count(*) FILTER (WHERE {LV} = 'medium') AS med, {RATE_SQL} AS rate FROM fx_pred) s"""))
 def q_analytics_snapshot(spark, sf_dir):
     return reports.analytics_snapshot(_pred(spark, sf_dir))
+
+
+@query("count_by_level", _p(f"""SELECT count(*) FILTER (WHERE {LV} = 'medium' AND created_at >= TIMESTAMP '2024-01-05 00:00:00'
+    AND created_at < TIMESTAMP '2024-01-25 00:00:00') AS count FROM fx_pred"""))
+def q_count_by_level(spark, sf_dir):
+    return reports.count_by_level(_pred(spark, sf_dir), "MEDIUM", "2024-01-05 00:00:00", "2024-01-25 00:00:00")

@@ -3,7 +3,9 @@ tests)."""
 
 from __future__ import annotations
 
+from riskloom.plans import q_report
 from riskloom.plans.registry import query
+from riskloom.session import scratch_path
 from riskloom.sources.fixtures import FIXTURE_SQL, with_views
 from riskloom.streaming import stream as ST
 
@@ -22,3 +24,23 @@ SELECT strftime(created_at, '%Y-%m-%d') AS day, lower(risk_level) AS level, coun
                                        "fx_pred"))
 def q_stream_daily_risk(spark, sf_dir):
     return ST.run_daily_risk(spark, pred_stream(spark, sf_dir))
+
+
+def txn_stream(spark, sf_dir):
+    """fx_txn over the events table read as a file stream (parquet timestamps cast to UTC)."""
+    events = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    txn = spark.sql(FIXTURE_SQL["fx_txn"], events=events)
+    return txn.withColumn("ts", txn["ts"].cast("timestamp"))
+
+
+@query("stream_score", q_report._scored_sql(
+    "SELECT TransactionID AS transaction_id, risk_score, risk_level, reasons_json FROM final"))
+def q_stream_score(spark, sf_dir):
+    """T1 end to end: arriving transactions scored in micro-batches against the stored edge history
+    (stand-in model columns), predictions read back from the sink."""
+    out = scratch_path(spark, "stream-score")
+    q = ST.start_scoring(txn_stream(spark, sf_dir), out, q_report.standin_probability, q_report.standin_anomaly)
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/predictions").select("transaction_id", "risk_score", "risk_level",
+                                                           "reasons_json")
