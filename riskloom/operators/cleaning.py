@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from riskloom.operators import prep
+from riskloom.operators.joins import checked_broadcast
 from riskloom.operators.profiling import categorical_columns, null_ratios_row, numeric_columns
 from riskloom.operators.selection import exact_medians
+from riskloom.session import checkpoint_dir
 
 MISSING = "missing"
 RARE = "rare"
@@ -107,23 +109,29 @@ def apply_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], rare:
 
 def fit_code_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """E6 fit: (column_name, value, code) with codes 0..k-1 in sorted value order per column.
-    After rare reduction a column has at most 1/threshold + 2 values, so the table is bounded."""
+    Numbered by one distributed sort over (column_name, value) and a per-column offset, so a column
+    with many distinct values is never one task."""
+    from riskloom.operators.graph import number_rows
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
                     for c in columns])
     distinct = train.select(F.inline(arr)).where(F.col("value").isNotNull()).distinct()
-    from pyspark.sql import Window
-    w = Window.partitionBy("column_name").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    numbered = number_rows(distinct, [F.col("column_name"), F.col("value")], "_ix")
+    first = numbered.groupBy("column_name").agg(F.min("_ix").alias("_first"))
+    checkpoint_dir(train.sparkSession)
+    # a fitted table: materialised once (reliable checkpoint) and reused by every apply
+    return (numbered.join(F.broadcast(first), "column_name")
+            .select("column_name", "value", (F.col("_ix") - F.col("_first")).cast("int").alias("code"))
+            .checkpoint())
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:
-    """E6 apply: code per column; unseen values and nulls -> -1 (N8). The code table is bounded
-    (see ``fit_code_table``) and broadcast."""
+    """E6 apply: code per column; unseen values and nulls -> -1 (N8). After rare reduction a column
+    has at most 1/threshold + 2 values; the code table is broadcast only behind a size check."""
     out = df
     for c in columns:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_cv_{c}"),
                                                           F.col("code").alias(f"_cc_{c}"))
-        out = out.join(F.broadcast(m), out[c] == m[f"_cv_{c}"], "left") \
+        out = out.join(checked_broadcast(m), out[c] == m[f"_cv_{c}"], "left") \
                  .withColumn(c, F.coalesce(F.col(f"_cc_{c}"), F.lit(unknown)).cast("double")) \
                  .drop(f"_cv_{c}", f"_cc_{c}")
     return out

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.joins import checked_broadcast
+
 HASH_BITS = 48
 BUCKETS = 1024
 FINAL_ROWS = 200_000
@@ -102,7 +104,8 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
     chosen = (work.where(boundary).select(*(part + [key, "_h"]))
               .withColumn("_rn", F.row_number().over(w))
               .where(F.col("_rn") <= need_expr).select(key).withColumn("_chosen", F.lit(True)))
-    out = work.join(F.broadcast(chosen), on=key, how="left")
+    bound = sum(int(s_["need"]) for s_ in done.values() if s_["need"] > 0)
+    out = work.join(checked_broadcast(chosen, known_rows=bound), on=key, how="left")
     return out.withColumn("_selected", below | F.coalesce(F.col("_chosen"), F.lit(False))) \
               .drop("_h", "_p", "_chosen")
 
