@@ -93,35 +93,49 @@ def _order_key(ts: str, id_col: str):
     return F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("i"))
 
 
-def cluster_flag_asof(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
-    """K6: ``in_cluster`` for every edge row ``(id, ts, user, device)``: with all edges up to and
-    including this row, the user's component has at least ``k`` (= more than 4) nodes.
+def cluster_times(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
+    """K6 core: ``(user, _tstar)`` = the order key ``(t, i)`` at which the user's component first
+    has at least ``k`` nodes (absent when it never does).
 
     A component has >= k nodes iff k nodes lie within k-1 hops of the user. Each node keeps the k
-    nodes with the smallest bottleneck time (the earliest time a path of <= h hops exists); each
-    round lifts a neighbour's entries by the edge time, keeps the minimum per node and the k
-    smallest per node (``row_number() <= k`` is limited on the map side before the shuffle). The
-    user's k-th entry is the first time its component reaches k nodes."""
+    nodes with the smallest bottleneck time (the earliest time a path of <= h hops exists). A round
+    joins the lists to the adjacency (plus a self-loop per node at time -inf, which carries a node's
+    own entries), lifts entries by the edge time, keeps the minimum per (node, entry) and the k
+    smallest per node (``row_number() <= k`` is limited on the map side before the shuffle, so a
+    hub node ships at most k rows per partition)."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     pairs = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
-    adj = (pairs.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
-           .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t"))).checkpoint()
     sentinel = F.struct(F.lit(LONG_MIN).alias("t"), F.lit(LONG_MIN).alias("i"))
-    lists = adj.select("v").distinct().select("v", F.array(F.struct(sentinel.alias("b"), F.col("v").alias("x"))).alias("lst"))
-    for _ in range(hops):
-        nb = lists.withColumnRenamed("v", "w")
-        lifted = (adj.join(nb, "w").select("v", "t", F.explode("lst").alias("e"))
+    adj = (pairs.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
+           .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t")))
+    nodes = adj.select("v").distinct()
+    adj = adj.unionByName(nodes.select("v", F.col("v").alias("w"), sentinel.alias("t"))).checkpoint()
+    lists = nodes.select("v", F.array(F.struct(sentinel.alias("b"), F.col("v").alias("x"))).alias("lst"))
+    w = Window.partitionBy("v").orderBy("b", "x")
+    for r in range(hops):
+        lifted = (adj.join(lists.withColumnRenamed("v", "w"), "w").select("v", "t", F.explode("lst").alias("e"))
                   .select("v", F.col("e.x").alias("x"), F.greatest(F.col("t"), F.col("e.b")).alias("b")))
-        own = lists.select("v", F.explode("lst").alias("e")).select("v", F.col("e.x").alias("x"), F.col("e.b").alias("b"))
-        best = lifted.unionByName(own).groupBy("v", "x").agg(F.min("b").alias("b"))
-        w = Window.partitionBy("v").orderBy("b", "x")
+        best = lifted.groupBy("v", "x").agg(F.min("b").alias("b"))
         top = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        lists = (top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))).checkpoint()
-    tstar = lists.where(F.size("lst") >= k).select(F.col("v").alias("_u"), F.element_at("lst", k)["b"].alias("_tstar"))
-    j = edges.join(tstar, edges["user"] == tstar["_u"], "left")
-    flag = F.coalesce(_order_key("ts", "id") >= F.col("_tstar"), F.lit(False))
-    return j.withColumn("in_cluster", flag).drop("_u", "_tstar")
+        lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))
+        if r % 2 == 1 or r == hops - 1:
+            lists = lists.checkpoint()
+    return (lists.where(F.size("lst") >= k)
+            .select(F.col("v").alias("user"), F.element_at("lst", k)["b"].alias("_tstar")))
+
+
+def flag_from_times(rows: DataFrame, times: DataFrame, out: str = "in_cluster") -> DataFrame:
+    """K6 flag: the row's order key is at or after its user's cluster time."""
+    t = times.withColumnRenamed("user", "_u")
+    j = rows.join(t, rows["user"] == t["_u"], "left")
+    return j.withColumn(out, F.coalesce(_order_key("ts", "id") >= F.col("_tstar"), F.lit(False))).drop("_u", "_tstar")
+
+
+def cluster_flag_asof(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
+    """K6: ``in_cluster`` for every edge row ``(id, ts, user, device)``: with all edges up to and
+    including this row, the user's component has more than 4 nodes."""
+    return flag_from_times(edges, cluster_times(edges.select("id", "ts", "user", "device"), hops, k))
 
 
 def graph_nodes(edges: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: D
     if history_edges is not None:
         prior = history_edges.select("id", "ts", "user", "device").withColumn("_prior", F.lit(True))
         rows = rows.unionByName(prior, allowMissingColumns=True)
+    times = graph.cluster_times(rows.select("id", "ts", "user", "device"))
     hist = history.graph_history(rows)
-    flagged = graph.cluster_flag_asof(hist)
+    flagged = graph.flag_from_times(hist, times)
     out = flagged.where(~F.col("_prior")).drop("_prior", "id", "user", "device")
     return out.withColumnRenamed("_device_raw", device) if device == "device" else out
 

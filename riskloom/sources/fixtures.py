@@ -113,6 +113,8 @@ def with_views(sql: str, *names: str) -> str:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a Spark DataFrame over the parquet tables in ``sf_dir``."""
+    # the views are defined on UTC wall-clock times (parquet timestamps carry no zone)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = FIXTURE_SQL[name]
     kwargs = {t: table(spark, sf_dir, t) for t in _tables_of(sql)}
     text = sql.replace("{day_unit}", "DAY")
