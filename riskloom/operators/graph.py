@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from riskloom.session import checkpoint_dir
 
@@ -62,12 +61,19 @@ def connected_components(edges: DataFrame, src: str = "user", dst: str = "device
 
 
 def number_rows(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
-    """Dense 1-based numbering in a global order: a distributed sort, then ``zipWithIndex``
-    (one pass for per-partition counts) - no single-partition window."""
-    sorted_df = df.orderBy(*order)
-    schema = StructType(list(sorted_df.schema.fields) + [StructField(out, LongType())])
-    rdd = sorted_df.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1] + 1,))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """Dense 1-based numbering in a global order without a single-partition window and without
+    leaving the JVM: a distributed sort, ``monotonically_increasing_id`` inside each sorted
+    partition, and a prefix over the per-partition row counts (one small row per partition). The
+    sorted, tagged rows are checkpointed so every later use sees the same numbering."""
+    checkpoint_dir(df.sparkSession)
+    tagged = (df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (tagged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, (F.col("_off") + local + 1).cast("long")).drop("_mid", "_pid", "_off"))
 
 
 def fraud_clusters(components: DataFrame, min_size: int = 5) -> DataFrame:
