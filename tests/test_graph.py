@@ -113,3 +113,13 @@ def test_merge_of_two_components_by_later_edge(spark):
             (4, 4, "user_a", "device_2")]                                     # merge: 5 nodes
     got = {r["id"]: r["in_cluster"] for r in graph.cluster_flag_asof(_log(spark, rows)).collect()}
     assert got == {1: False, 2: False, 3: False, 4: True}
+
+
+def test_components_chains_and_hubs(spark):
+    # a long path and a hub whose leaves reach it through different smaller nodes
+    edges = [(f"user_{i:03d}", f"device_{i:03d}") for i in range(40)]
+    edges += [(f"user_{i + 1:03d}", f"device_{i:03d}") for i in range(39)]
+    edges += [("user_900", f"device_{i:03d}") for i in range(50, 60)] + [("user_901", "device_055")]
+    df = spark.createDataFrame(edges, "user string, device string")
+    got = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert got == _uf_components(edges)
