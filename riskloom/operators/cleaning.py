@@ -128,10 +128,11 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown
     """E6 apply: code per column; unseen values and nulls -> -1 (N8). After rare reduction a column
     has at most 1/threshold + 2 values; the code table is broadcast only behind a size check."""
     out = df
+    total = codes.count()          # one count bounds every per-column slice
     for c in columns:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_cv_{c}"),
                                                           F.col("code").alias(f"_cc_{c}"))
-        out = out.join(checked_broadcast(m), out[c] == m[f"_cv_{c}"], "left") \
+        out = out.join(checked_broadcast(m, known_rows=total), out[c] == m[f"_cv_{c}"], "left") \
                  .withColumn(c, F.coalesce(F.col(f"_cc_{c}"), F.lit(unknown)).cast("double")) \
                  .drop(f"_cv_{c}", f"_cc_{c}")
     return out
