@@ -83,9 +83,8 @@ def value_shares(df: DataFrame, columns: Sequence[str], missing: str = MISSING)
                     for c in columns])
     long = df.select(F.inline(arr))
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)) \
-                 .select("column_name", "value", "n", (F.col("n") / F.col("_total")).alias("share"))
+    total = df.count()
+    return counts.select("column_name", "value", "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def rare_value_map(train: DataFrame, columns: Sequence[str], threshold: float = 0.005) -> DataFrame:

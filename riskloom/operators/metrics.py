@@ -24,10 +24,11 @@ def predict_class(df: DataFrame, score: str = "fraud_probability", threshold: fl
 def _by_score(df: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
     g = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    r = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    b = F.least(F.floor((F.col("s") - F.col("lo")) / width * buckets), F.lit(buckets - 1)).cast("long")
-    return g.crossJoin(F.broadcast(r)).withColumn("_bucket", b).drop("lo", "hi")
+    r = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi")).first()
+    lo = r["lo"] if r["lo"] is not None else 0.0
+    width = max((r["hi"] if r["hi"] is not None else 0.0) - lo, 1e-300)
+    b = F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("long")
+    return g.withColumn("_bucket", b)
 
 
 def roc_auc(df: DataFrame, label: str = "isFraud", score: str = "fraud_probability",

@@ -83,10 +83,9 @@ def cleaning_report(profile: DataFrame, sample_size: int, threshold: float, drop
 
 
 def graph_profile(profile: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node and edge counts beside the profile (two count aggregates, cross-joined one-row frames)."""
-    n = nodes.agg(F.count(F.lit(1)).alias("node_count"))
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"))
-    return profile.crossJoin(n).crossJoin(e)
+    """Node and edge counts beside the profile (two count aggregates)."""
+    return profile.select("*", F.lit(nodes.count()).cast("long").alias("node_count"),
+                          F.lit(edges.count()).cast("long").alias("edge_count"))
 
 
 def preparation_report(spark: SparkSession, prepared: DataFrame, numeric: list[str], categorical: list[str],
@@ -97,8 +96,8 @@ def preparation_report(spark: SparkSession, prepared: DataFrame, numeric: list[s
         F.count_if(F.col("split") == "validation").alias("validation_rows"),
         F.avg(F.when(F.col("split") == "train", F.col(target).cast("double"))).alias("train_fraud_rate"),
         F.avg(F.when(F.col("split") == "validation", F.col(target).cast("double"))).alias("validation_fraud_rate"))
-    rare_cols = rare_map.agg(F.count_distinct("column_name").alias("rare_category_columns"))
-    return by_split.crossJoin(rare_cols).select(
+    rare_cols = rare_map.agg(F.count_distinct("column_name")).first()[0]
+    return by_split.select("*", F.lit(rare_cols).cast("long").alias("rare_category_columns")).select(
         F.lit(source_path).alias("source_path"), "train_rows", "validation_rows",
         F.lit(len(numeric) + len(categorical)).alias("feature_count"),
         F.lit(len(numeric)).alias("numeric_feature_count"),

@@ -90,10 +90,10 @@ def q_fraud_model(spark, sf_dir):
     train, valid = md.frame.where("split = 'train'"), md.frame.where("split = 'validation'")
     model = models.fit_fraud_model(train, feats)
     pred = models.predict_probability(model, valid).checkpoint()
-    auc = metrics.roc_auc(pred)
-    ap = metrics.average_precision(pred)
-    acc = metrics.classification_report(pred).where("class = 'accuracy'").select(F.col("f1_score").alias("accuracy"))
-    return auc.crossJoin(ap).crossJoin(acc)
+    ap = metrics.average_precision(pred).first()[0]
+    acc = metrics.classification_report(pred).where("class = 'accuracy'").first()["f1_score"]
+    return metrics.roc_auc(pred).select("roc_auc", F.lit(ap).cast("double").alias("average_precision"),
+                                        F.lit(acc).cast("double").alias("accuracy"))
 
 
 @query("isolation_forest")
