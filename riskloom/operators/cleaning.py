@@ -93,17 +93,30 @@ def rare_value_map(train: DataFrame, columns: Sequence[str], threshold: float =
     return value_shares(train, columns).where(F.col("share") < threshold).select("column_name", "value", "share")
 
 
-def apply_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], rare: str = RARE) -> DataFrame:
+def apply_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], rare: str = RARE,
+               key: str | None = None) -> DataFrame:
     """E4 apply: listed values become ``rare``; a null cell stays null even if ``missing`` is rare.
-    Every kept value has share >= threshold, so the map has at most (#values below threshold) rows;
-    its rare part can be large, so it joins per column through a shuffle-or-broadcast chosen by AQE."""
-    out = df
-    for c in columns:
-        m = rare_map.where(F.col("column_name") == c).select(F.col("value").alias(f"_rv_{c}"))
-        out = out.join(m, out[c] == m[f"_rv_{c}"], "left") \
-                 .withColumn(c, F.when(F.col(f"_rv_{c}").isNotNull(), F.lit(rare)).otherwise(F.col(c))) \
-                 .drop(f"_rv_{c}")
-    return out
+
+    With a unique row ``key`` the frame moves through one shuffle whatever the number of columns:
+    its non-null categorical cells go long form, one semi-join against the rare map marks the rare
+    cells, the marks are gathered per row (at most one entry per column) and joined back by key.
+    Without a key, one join per column."""
+    if key is None:
+        out = df
+        for c in columns:
+            m = rare_map.where(F.col("column_name") == c).select(F.col("value").alias(f"_rv_{c}"))
+            out = out.join(m, out[c] == m[f"_rv_{c}"], "left") \
+                     .withColumn(c, F.when(F.col(f"_rv_{c}").isNotNull(), F.lit(rare)).otherwise(F.col(c))) \
+                     .drop(f"_rv_{c}")
+        return out
+    cells = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                                       F.col(c).cast("string").alias("value")) for c in columns])))
+    hits = (cells.where(F.col("value").isNotNull())
+            .join(rare_map.select("column_name", "value"), ["column_name", "value"], "left_semi"))
+    marks = hits.groupBy(key).agg(F.collect_set("column_name").alias("_rare_cols"))
+    j = df.join(marks, key, "left")
+    return j.select(*[F.when(F.coalesce(F.array_contains("_rare_cols", c), F.lit(False)), F.lit(rare))
+                       .otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def fit_code_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -123,11 +136,29 @@ def fit_code_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
             .checkpoint())
 
 
+INLINE_CODES_MAX = 20_000
+
+
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:
     """E6 apply: code per column; unseen values and nulls -> -1 (N8). After rare reduction a column
-    has at most 1/threshold + 2 values; the code table is broadcast only behind a size check."""
+    has at most 1/threshold + 2 values, so the fitted table is a small model parameter: it is read
+    once and inlined as one literal map per column (no join, stays in codegen). A table beyond
+    ``INLINE_CODES_MAX`` entries joins per column, broadcast only behind a size check."""
+    total = codes.count()
+    if total <= INLINE_CODES_MAX:
+        table: dict[str, list] = {}
+        for r in codes.collect():
+            table.setdefault(r["column_name"], []).extend([F.lit(r["value"]), F.lit(r["code"])])
+        out = []
+        for c in df.columns:
+            if c in columns:
+                pairs = table.get(c)
+                code = F.element_at(F.create_map(*pairs), F.col(c).cast("string")) if pairs else F.lit(None)
+                out.append(F.coalesce(code, F.lit(unknown)).cast("double").alias(c))
+            else:
+                out.append(F.col(c))
+        return df.select(*out)
     out = df
-    total = codes.count()          # one count bounds every per-column slice
     for c in columns:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_cv_{c}"),
                                                           F.col("code").alias(f"_cc_{c}"))

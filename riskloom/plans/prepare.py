@@ -101,7 +101,7 @@ def prepare_model_data(cleaned: DataFrame, target: str = "isFraud", id_column: s
     train = split.where(F.col("split") == "train")
     if categorical:
         rare_map = cleaning.rare_value_map(train, categorical, rare_threshold)
-        split = cleaning.apply_rare(split, rare_map, categorical)
+        split = cleaning.apply_rare(split, rare_map, categorical, key=id_column)
         train = split.where(F.col("split") == "train")
     else:
         rare_map = train.sparkSession.createDataFrame([], "column_name string, value string, share double")

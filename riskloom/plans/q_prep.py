@@ -350,7 +350,7 @@ def q_ordinal_encode(spark, sf_dir):
     split = sampling.stratified_split(_merged(spark, sf_dir), "isFraud", 0.2, 42)
     train = split.where("split = 'train'")
     rare = cleaning.rare_value_map(train, CATEGORICAL, 0.005)
-    red = cleaning.impute_constant(cleaning.apply_rare(split, rare, CATEGORICAL), CATEGORICAL)
+    red = cleaning.impute_constant(cleaning.apply_rare(split, rare, CATEGORICAL, key="TransactionID"), CATEGORICAL)
     codes = cleaning.fit_code_table(red.where("split = 'train'"), CATEGORICAL)
     return cleaning.apply_codes(red, codes, CATEGORICAL).select("TransactionID", "split", *CATEGORICAL)
 

@@ -84,3 +84,13 @@ def test_narrow_types(spark):
     df = spark.createDataFrame([(1, 300, 1.5, 1234567.891)], "a long, b long, c double, d double")
     plan = prep.narrow_type_plan(df)
     assert plan == {"a": "int8", "b": "int16", "c": "float32", "d": "float64"}
+
+
+def test_apply_rare_keyed_equals_per_column(spark):
+    rows = [(i, ["A", "B", "C", None][i % 4] if i % 50 else "Z", ["x", "y", None][i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "TransactionID long, c1 string, c2 string")
+    rare = cleaning.rare_value_map(df, ["c1", "c2"], 0.05)
+    a = cleaning.apply_rare(df, rare, ["c1", "c2"])
+    b = cleaning.apply_rare(df, rare, ["c1", "c2"], key="TransactionID")
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+    assert b.where("c1 = 'rare'").count() == 8
