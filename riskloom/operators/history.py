@@ -30,18 +30,25 @@ def edge_rows(df: DataFrame, id_col: str = "TransactionID", ts: str = "ts", card
         F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("amount"))
 
 
-def bucket_width_seconds(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
-    """Width of time buckets so that a bucket holds about ``target_rows`` rows overall (one small
-    aggregate). A key then has at most that many rows in one window partition."""
-    r = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not r["n"] or r["lo"] is None:
-        return 86400
-    span = max(1.0, (r["hi"] - r["lo"]).total_seconds())
-    return max(1, int(span * target_rows / r["n"]) + 1)
-
-
-def time_bucket(ts: Column, width_seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long")
+def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_PER_BUCKET,
+                 out: str = "_bucket") -> DataFrame:
+    """Equi-depth time buckets: split points from ``approxQuantile`` of the row times (one pass,
+    bounded sketch), applied with MLlib's ``Bucketizer`` (a JVM-side binary search). Each bucket
+    holds about ``target_rows`` rows whatever the time distribution, so a key's rows in one
+    ``(key, bucket)`` window stay bounded even when a hot key meets a burst. Buckets are monotone in
+    time, as the running sums require; rows sharing one timestamp share a bucket."""
+    from pyspark.ml.feature import Bucketizer
+    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    n = df.count()
+    k = max(1, -(-n // target_rows))
+    with_t = df.withColumn("_tmicros", t)
+    if k == 1:
+        return with_t.withColumn(out, F.lit(0).cast("long")).drop("_tmicros")
+    probs = [i / k for i in range(1, k)]
+    cuts = with_t.approxQuantile("_tmicros", probs, 0.1 / k)
+    splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_tmicros", outputCol="_bk", handleInvalid="keep")
+    return b.transform(with_t).withColumn(out, F.col("_bk").cast("long")).drop("_tmicros", "_bk")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str,
@@ -58,7 +65,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     return j.withColumn(out, val.cast("long")).drop("_rs_w", "_rs_loc", "_rs_pre")
 
 
-def graph_history(edges: DataFrame, width_seconds: int | None = None) -> DataFrame:
+def graph_history(edges: DataFrame, width_seconds: int | None = None,
+                  target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
     """K3, K4, K5 counts for every edge row; ``edges`` needs ``id, ts, user, device`` and may carry
     any other columns, which pass through (no join back by id):
 
@@ -68,14 +76,19 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None) -> DataFra
 
     Two shuffles of the rows: by (device, time bucket), then by (user, time bucket).
     """
-    width = width_seconds or bucket_width_seconds(edges)
     cols = edges.columns
-    rows = edges.withColumn("_bucket", time_bucket(F.col("ts"), width)).withColumn("_tag", F.lit(0))
-    # K4: first row of each (device, user) joins the rows as an event. At an equal order key the
-    # row (tag 0) sorts before the event (tag 1), so the count at a row is strictly earlier.
-    firsts = (edges.groupBy("device", "user").agg(F.min(F.struct("ts", "id")).alias("_k"))
-              .select("device", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"), F.lit(1).alias("_tag"))
-              .withColumn("_bucket", time_bucket(F.col("ts"), width)))
+    if width_seconds:   # fixed-width buckets (tests, or a known uniform arrival rate)
+        rows = edges.withColumn("_bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp"))
+                                                   / F.lit(width_seconds * 1_000_000)).cast("long"))
+    else:
+        rows = time_buckets(edges, target_rows=target_rows)
+    rows = rows.withColumn("_tag", F.lit(0))
+    # K4: first row of each (device, user) joins the rows as an event (carrying that row's bucket).
+    # At an equal order key the row (tag 0) sorts before the event (tag 1), so the count at a row
+    # is strictly earlier.
+    firsts = (rows.groupBy("device", "user").agg(F.min(F.struct("ts", "id", "_bucket")).alias("_k"))
+              .select("device", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"),
+                      F.col("_k._bucket").alias("_bucket"), F.lit(1).alias("_tag")))
     merged = rows.unionByName(firsts, allowMissingColumns=True)
     dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "device_degree")
     w = Window.partitionBy("device", "_bucket").orderBy("ts", "id", "_tag")

@@ -113,8 +113,8 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
 MAX_BRACKET_ROWS = 2_000_000
 
 
-def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 100_000,
-                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 6) -> dict[str, dict[int, float]]:
+def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 10_000,
+                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 8) -> dict[str, dict[int, float]]:
     """For each column, the k-th smallest non-null values (1-based k) for every k asked.
 
     Per column a value bracket [a, b] holding all asked ranks is narrowed with ``percentile_approx``
@@ -190,7 +190,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
     return result
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 100_000) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> dict[str, float | None]:
     """Exact medians; even counts average the two middle values."""
     if not columns:
         return {}

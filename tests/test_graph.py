@@ -44,6 +44,10 @@ def test_history_random_vs_brute(spark):
     got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
            for r in history.graph_history(_log(spark, rows), width_seconds=3600).collect()}
     assert got == _brute_history(rows)
+    # equi-depth buckets of ~37 rows (many buckets, hot users spread over them)
+    got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
+           for r in history.graph_history(_log(spark, rows), target_rows=37).collect()}
+    assert got == _brute_history(rows)
 
 
 def _uf_components(edges):
