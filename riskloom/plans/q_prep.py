@@ -18,6 +18,16 @@ FEATURE_COLS = ["transaction_hour", "transaction_day", "log_transaction_amt", "c
                 "device_info_missing", "is_mobile_device"]
 
 
+NULLABLE_INTS = ["card1", "addr1", "addr2"]
+INTS_AS_DOUBLE_SQL = "* REPLACE (CAST(card1 AS DOUBLE) AS card1, CAST(addr1 AS DOUBLE) AS addr1, CAST(addr2 AS DOUBLE) AS addr2)"
+
+
+def _ints_as_double(df):
+    """Output projection of a few keys: nullable integer columns as double, so a null compares the
+    same way on both engines' result frames."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in NULLABLE_INTS else F.col(c) for c in df.columns])
+
+
 def _merged(spark, sf_dir):
     return prep.left_enrich(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"))
 
@@ -71,10 +81,10 @@ def q_src_scan(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- B1, B2
-@query("sample_n", with_views("""
-SELECT * FROM fx_ieee ORDER BY md5(concat(CAST(TransactionID AS VARCHAR), ':42')), TransactionID LIMIT 1000""", "fx_ieee"))
+@query("sample_n", with_views(f"""
+SELECT {INTS_AS_DOUBLE_SQL} FROM fx_ieee ORDER BY md5(concat(CAST(TransactionID AS VARCHAR), ':42')), TransactionID LIMIT 1000""", "fx_ieee"))
 def q_sample_n(spark, sf_dir):
-    return sampling.sample_n(fixture(spark, sf_dir, "fx_ieee"), 1000, seed=42, key="TransactionID")
+    return _ints_as_double(sampling.sample_n(fixture(spark, sf_dir, "fx_ieee"), 1000, seed=42, key="TransactionID"))
 
 
 @query("stratified_split", _with("SELECT TransactionID, isFraud, split FROM split",
@@ -115,9 +125,9 @@ def q_value_shares(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- D1-D10, F1
-@query("left_enrich", _with("SELECT * FROM merged", MERGED_CTE))
+@query("left_enrich", _with(f"SELECT {INTS_AS_DOUBLE_SQL} FROM merged", MERGED_CTE))
 def q_left_enrich(spark, sf_dir):
-    return _merged(spark, sf_dir)
+    return _ints_as_double(_merged(spark, sf_dir))
 
 
 @query("time_features", _with("SELECT TransactionID, transaction_hour, transaction_day, log_transaction_amt FROM feat",
@@ -152,9 +162,9 @@ def q_device_flags(spark, sf_dir):
     return prep.device_flags(_merged(spark, sf_dir)).select("TransactionID", "device_info_missing", "is_mobile_device")
 
 
-@query("ieee_features", _with("SELECT * FROM feat", MERGED_CTE, FEAT_CTE))
+@query("ieee_features", _with(f"SELECT {INTS_AS_DOUBLE_SQL} FROM feat", MERGED_CTE, FEAT_CTE))
 def q_ieee_features(spark, sf_dir):
-    return prep.add_ieee_features(_merged(spark, sf_dir))
+    return _ints_as_double(prep.add_ieee_features(_merged(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- D11-D17 payments
