@@ -12,6 +12,7 @@ adds everything earlier.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,21 +53,26 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str,
-                bucket: str = "_bucket", inclusive: bool = True) -> DataFrame:
-    """Per-key running sum of ``weight`` in ``order``; ``bucket`` must be monotone in ``order``."""
+                bucket: str = "_bucket", inclusive: bool = True, offset: DataFrame | None = None) -> DataFrame:
+    """Per-key running sum of ``weight`` in ``order``; ``bucket`` must be monotone in ``order``.
+    ``offset`` (keys + ``_off``) adds a per-key amount known from before (stream state); it joins the
+    small per-(key, bucket) prefix table, not the rows."""
     part = list(keys) + [bucket]
     w_loc = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loc = df.withColumn("_rs_w", weight.cast("long")).withColumn("_rs_loc", F.sum("_rs_w").over(w_loc))
     tot = loc.groupBy(*part).agg(F.sum("_rs_w").alias("_rs_tot"))
     w_pre = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.withColumn("_rs_pre", F.coalesce(F.sum("_rs_tot").over(w_pre), F.lit(0))).drop("_rs_tot")
+    if offset is not None:
+        pre = (pre.join(offset, on=list(keys), how="left")
+               .withColumn("_rs_pre", F.col("_rs_pre") + F.coalesce(F.col("_off"), F.lit(0))).drop("_off"))
     j = loc.join(pre, on=part, how="inner")
     val = F.col("_rs_loc") + F.col("_rs_pre") - (F.lit(0) if inclusive else F.col("_rs_w"))
     return j.withColumn(out, val.cast("long")).drop("_rs_w", "_rs_loc", "_rs_pre")
 
 
 def graph_history(edges: DataFrame, width_seconds: int | None = None,
-                  target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+                  target_rows: int = TARGET_ROWS_PER_BUCKET, prior: "GraphState | None" = None) -> DataFrame:
     """K3, K4, K5 counts for every edge row; ``edges`` needs ``id, ts, user, device`` and may carry
     any other columns, which pass through (no join back by id):
 
@@ -74,7 +80,9 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     * ``device_degree`` - distinct users of the device first seen strictly before (feature)
     * ``user_edges_incl`` / ``device_users_incl`` - the same with this row stored (rules)
 
-    Two shuffles of the rows: by (device, time bucket), then by (user, time bucket).
+    Two shuffles of the rows: by (device, time bucket), then by (user, time bucket). ``prior`` is
+    compacted history from earlier stream batches (all of it before these rows): its per-user edge
+    counts and per-device distinct users enter as offsets, its pairs are never first again.
     """
     cols = edges.columns
     if width_seconds:   # fixed-width buckets (tests, or a known uniform arrival rate)
@@ -87,21 +95,47 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     # At an equal order key the row (tag 0) sorts before the event (tag 1), so the count at a row
     # is strictly earlier.
     firsts = (rows.groupBy("device", "user").agg(F.min(F.struct("ts", "id", "_bucket")).alias("_k"))
-              .select("device", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"),
+              .select("device", "user", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"),
                       F.col("_k._bucket").alias("_bucket"), F.lit(1).alias("_tag")))
+    dev_off = user_off = None
+    if prior is not None:
+        firsts = firsts.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
+        dev_off = prior.pairs.groupBy("device").agg(F.count(F.lit(1)).alias("_off"))
+        user_off = prior.user_counts.select("user", F.col("n").alias("_off"))
     merged = rows.unionByName(firsts, allowMissingColumns=True)
-    dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "device_degree")
+    dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "device_degree", offset=dev_off)
     w = Window.partitionBy("device", "_bucket").orderBy("ts", "id", "_tag")
     dev = (dev.withColumn("_is_first", F.coalesce((F.lead("id").over(w) == F.col("id"))
                                                   & (F.lead("_tag").over(w) == 1), F.lit(False)).cast("long"))
               .where(F.col("_tag") == 0))
     # K3: rows of the user before this one
-    out = running_sum(dev, ["user"], ["ts", "id"], F.lit(1), "user_degree", inclusive=False)
+    out = running_sum(dev, ["user"], ["ts", "id"], F.lit(1), "user_degree", inclusive=False, offset=user_off)
     return out.select(*cols, "user_degree", "device_degree",
                       (F.col("user_degree") + 1).alias("user_edges_incl"),
                       (F.col("device_degree") + F.col("_is_first")).alias("device_users_incl"))
 
 
+@dataclass
+class GraphState:
+    """Compacted edge history for streams: ``user_counts`` (user, n) edge rows per user and
+    ``pairs`` (device, user, ts, id) the first order key of every distinct pair. Its size grows
+    with users and pairs, not with edge rows."""
+    user_counts: DataFrame
+    pairs: DataFrame
+
+
+def fold_state(prior: GraphState | None, edges: DataFrame) -> GraphState:
+    """The state after ``edges`` (id, ts, user, device), all later than ``prior``."""
+    counts = edges.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+    firsts = (edges.groupBy("device", "user").agg(F.min(F.struct("ts", "id")).alias("_k"))
+              .select("device", "user", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id")))
+    if prior is None:
+        return GraphState(counts, firsts)
+    counts = prior.user_counts.unionByName(counts).groupBy("user").agg(F.sum("n").alias("n"))
+    new_pairs = firsts.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
+    return GraphState(counts, prior.pairs.unionByName(new_pairs))
+
+
 def degree_snapshot(rows: DataFrame, edges: DataFrame, user: str = "user", device: str = "device") -> DataFrame:
     """Degrees from a whole edge table attached to rows. ``user_degree`` counts edge
     rows (repeats included), ``device_degree`` distinct users (N11). Both pre-aggregated, then

@@ -4,10 +4,11 @@ T2 ``daily_risk``: live per-day level counts over arriving predictions; event-ti
 one-day windows, state dropped once a day is closed.
 
 T1 ``start_scoring``: arriving transactions are scored in ``foreachBatch`` with the batch operators
-of ``riskloom.plans.score``. Edges of earlier batches are the history: they are kept as a parquet
-table partitioned by batch id (a retried batch overwrites its own partition, so a retry is
-harmless). Rows of a batch come after all stored history and keep their (ts, id) order inside the
-batch; a late row therefore sees the history known when its batch arrived, as the reference would.
+of ``riskloom.plans.score``. Earlier batches are summarised in a compacted, versioned state (edge
+rows per user; first order key of every distinct device-user pair), so a batch costs O(state), not
+O(all edges). Every output is keyed by batch id, so a retried batch replaces its own output. Rows of
+a batch come after all stored history and keep their (ts, id) order inside the batch; a late row
+therefore sees the history known when its batch arrived, as the reference would.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators import history as H
 from riskloom.plans import score as S
-from riskloom.session import scratch_path
+from riskloom.session import checkpoint_dir, scratch_path
 
 
 def daily_risk(predictions: DataFrame, ts: str = "created_at", level: str = "risk_level",
@@ -49,11 +51,42 @@ def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at
     return (out.groupBy("day", "level").agg(F.max_by("n", "batch").alias("n")))
 
 
-def _shift_after(history_edges: DataFrame | None, batch: DataFrame, ts: str) -> DataFrame:
-    """Order a batch after every stored edge, keeping its inner (ts, id) order."""
-    if history_edges is None:
+def _state_versions(spark: SparkSession, base: str) -> list[int]:
+    """Complete state versions under ``base`` (``v=<batch id>`` folders with both tables committed)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("v=") and all(
+                fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/{t}/_SUCCESS")) for t in ("users", "pairs")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_state(spark: SparkSession, base: str, before: int) -> H.GraphState | None:
+    """The newest complete state written by a batch before ``before`` (a retried batch ignores its
+    own half-written version)."""
+    versions = [v for v in _state_versions(spark, base) if v < before]
+    if not versions:
+        return None
+    v = versions[-1]
+    return H.GraphState(spark.read.parquet(f"{base}/v={v}/users"), spark.read.parquet(f"{base}/v={v}/pairs"))
+
+
+def write_state(state: H.GraphState, base: str, version: int) -> None:
+    state.user_counts.write.mode("overwrite").parquet(f"{base}/v={version}/users")
+    state.pairs.write.mode("overwrite").parquet(f"{base}/v={version}/pairs")
+
+
+def _shift_after(state: H.GraphState | None, batch: DataFrame, ts: str) -> DataFrame:
+    """Order a batch after all stored history, keeping its inner (ts, id) order."""
+    if state is None:
         return batch
-    last = history_edges.agg(F.max("ts").alias("m")).first()["m"]
+    last = state.pairs.agg(F.max("ts").alias("m")).first()["m"]
     first = batch.agg(F.min(ts).alias("m")).first()["m"]
     if last is None or first is None or first > last:
         return batch
@@ -63,24 +96,24 @@ def _shift_after(history_edges: DataFrame | None, batch: DataFrame, ts: str) ->
 
 def score_batch(batch: DataFrame, batch_id: int, out_dir: str, probability: Callable, anomaly: Callable,
                 id_col: str = "TransactionID", ts: str = "ts") -> None:
-    """One micro-batch of T1: read earlier edges, score, write predictions and edges of this batch."""
+    """One micro-batch of T1: read the compacted state of earlier batches, score, write this batch's
+    predictions and edges, and the next state version. Every write is keyed by the batch id, so a
+    retried batch replaces its own output."""
     spark = batch.sparkSession
-    edges_path, preds_path = f"{out_dir}/edges", f"{out_dir}/predictions"
-    try:
-        prior = spark.read.parquet(edges_path).where(F.col("batch") < batch_id).drop("batch")
-        prior.schema  # noqa: B018 - resolve now: an empty folder raises here
-    except Exception:  # noqa: BLE001 - first batch: no history yet
-        prior = None
+    state_base = f"{out_dir}/state"
+    state = read_state(spark, state_base, batch_id)
+    checkpoint_dir(spark)
+    ordered = _shift_after(state, batch, ts).checkpoint()      # the batch is read once
     original = batch.select(F.col(id_col).alias("_oid"), F.col(ts).alias("_ots"))
-    ordered = _shift_after(prior, batch, ts)
-    scored = S.score(ordered, probability, anomaly, id_col=id_col, history_edges=prior)
+    scored = S.score(ordered, probability, anomaly, id_col=id_col, state=state)
     scored = scored.join(original, scored[id_col] == original["_oid"]).drop("_oid").withColumn(ts, F.col("_ots")) \
                    .drop("_ots")
-    from riskloom.operators import history as H
     view = S.scored_view(scored, id_col).drop("reasons").join(
         scored.select(F.col(id_col).alias("transaction_id"), F.col(ts).alias("created_at")), "transaction_id")
-    view.write.mode("overwrite").parquet(f"{preds_path}/batch={batch_id}")
-    H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{edges_path}/batch={batch_id}")
+    view.write.mode("overwrite").parquet(f"{out_dir}/predictions/batch={batch_id}")
+    H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
+    folded = H.fold_state(state, H.edge_rows(ordered, id_col=id_col, ts=ts).select("id", "ts", "user", "device"))
+    write_state(folded, state_base, batch_id)
 
 
 def start_scoring(stream: DataFrame, out_dir: str, probability: Callable, anomaly: Callable,

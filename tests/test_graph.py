@@ -127,3 +127,15 @@ def test_components_chains_and_hubs(spark):
     df = spark.createDataFrame(edges, "user string, device string")
     got = {r["node"]: r["component"] for r in graph.connected_components(df).collect()}
     assert got == _uf_components(edges)
+
+
+def test_history_with_compacted_state(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.randint(0, 400), f"u{rnd.randint(0, 9)}", f"d{rnd.randint(0, 4)}") for i in range(200)]
+    full = _brute_history(rows)
+    early = [r for r in rows if r[1] < 250]
+    late = [r for r in rows if r[1] >= 250]
+    state = history.fold_state(None, _log(spark, early))
+    got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
+           for r in history.graph_history(_log(spark, late), prior=state).collect()}
+    assert got == {r[0]: full[r[0]] for r in late}
