@@ -114,7 +114,8 @@ MAX_BRACKET_ROWS = 2_000_000
 
 
 def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 10_000,
-                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 8) -> dict[str, dict[int, float]]:
+                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 8,
+                      counts: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
     """For each column, the k-th smallest non-null values (1-based k) for every k asked.
 
     Per column a value bracket [a, b] holding all asked ranks is narrowed with ``percentile_approx``
@@ -124,7 +125,8 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
     per column. A bracket of one repeated value needs no ranking at all."""
     if not wanted:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
+    if counts is None:
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
     # state: column -> [lo, hi, below, inside]; None bounds mean open
     state = {c: [None, None, 0, counts[c]] for c in wanted if counts[c]}
     for _ in range(max_passes):
@@ -159,20 +161,20 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
         if not progressed:
             break
     result = {c: {} for c in wanted}
-    longs = []
+    structs = []
     for c, (lo, hi, below, inside) in state.items():
         if lo is not None and lo == hi:
             for k in wanted[c]:
                 result[c][k] = lo
             continue
         v = F.col(c).cast("double")
-        cond = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
-        longs.append(df.where(cond).select(F.lit(c).alias("_col"), v.alias("_v"), F.lit(below).alias("_below")))
-    if not longs:
+        keep = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
+        structs.append(F.struct(F.lit(c).alias("_col"), F.when(keep, v).alias("_v"),
+                                F.lit(below).cast("long").alias("_below")))
+    if not structs:
         return result
-    union = longs[0]
-    for x in longs[1:]:
-        union = union.unionByName(x)
+    # one scan for all columns: each row offers its in-bracket values, one struct per column
+    union = df.select(F.inline(F.array(*structs))).where(F.col("_v").isNotNull())
     pick = None
     for c, ks in wanted.items():
         if c not in state or result[c]:
@@ -200,7 +202,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000)
         n = counts[c]
         if n:
             wanted[c] = [(n + 1) // 2] if n % 2 else [n // 2, n // 2 + 1]
-    stats = exact_order_stats(df, wanted, accuracy)
+    stats = exact_order_stats(df, wanted, accuracy, counts=counts)
     out = {}
     for c in columns:
         if c not in wanted:
