@@ -34,18 +34,27 @@ def daily_risk(predictions: DataFrame, ts: str = "created_at", level: str = "ris
 
 
 def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at", level: str = "risk_level",
-                   watermark: str = "1 day", sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
+                   watermark: str = "1 day", sink: str | None = None, checkpoint: str | None = None,
+                   state_partitions: int = 8) -> DataFrame:
     """Run T2 to the end of the available input (``availableNow``) in update mode. Each micro-batch
     writes its updated counts under ``batch=<id>``; the current count of a (day, level) is the one
-    of its newest batch. Returns that table as a batch DataFrame."""
+    of its newest batch. Returns that table as a batch DataFrame.
+
+    The state is one row per open (day, level) and the input is combined per partition before the
+    shuffle, so a few state partitions suffice; the number is fixed when a checkpoint is created."""
     sink = sink or scratch_path(spark, "daily-risk-sink")
     checkpoint = checkpoint or scratch_path(spark, "daily-risk-ckpt")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    q = (daily_risk(stream, ts, level, watermark).writeStream.outputMode("update")
-         .foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (daily_risk(stream, ts, level, watermark).writeStream.outputMode("update")
+             .foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     out = spark.read.parquet(sink)
     return (out.groupBy("day", "level").agg(F.max_by("n", "batch").alias("n")))
