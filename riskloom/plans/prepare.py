@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import cleaning, payments, prep, profiling, sampling
 from riskloom.session import checkpoint_dir
+from riskloom.sources import tables
 
 # Workflow presets (sample sizes, threshold, seed) of the reference.
 IEEE_FULL = {"name": "ieee_cis_full_train", "sample_size": 0,
@@ -116,3 +117,23 @@ def prepare_model_data(cleaned: DataFrame, target: str = "isFraud", id_column: s
     ready = cleaning.model_ready(split, numeric, categorical, target, keep=keep)
     report = profiling.preparation_report(cleaned.sparkSession, ready, numeric, categorical, target, rare_map)
     return ModelData(ready, numeric, categorical, rare_map, codes, medians, report)
+
+
+def write_transaction_outputs(prepared: Prepared, root: str, name: str = IEEE_FULL["name"],
+                              dataset: str = "ieee_cis") -> dict[str, str]:
+    """A2-A4 for E9: processed table and raw / cleaned profiles in the dataset's folders."""
+    lay = tables.dataset_layout(root, dataset)
+    tables.write_table(prepared.frame, f"{lay['processed']}/{name}_processed")
+    tables.write_profile(prepared.raw_profile, f"{lay['profiles']}/{name}_raw_profile")
+    tables.write_profile(prepared.cleaned_profile, f"{lay['profiles']}/{name}_cleaned_profile")
+    return lay
+
+
+def write_payment_outputs(g: PaymentGraph, root: str, dataset: str = "paysim") -> dict[str, str]:
+    """A2-A4 for G12: processed transactions, edge and node tables, profile."""
+    lay = tables.dataset_layout(root, dataset)
+    tables.write_table(g.prepared, f"{lay['processed']}/{PAYSIM['name']}_transactions_processed")
+    tables.write_table(g.edges, f"{lay['graph']}/{PAYSIM['name']}_edges")
+    tables.write_table(g.nodes, f"{lay['graph']}/{PAYSIM['name']}_nodes")
+    tables.write_profile(g.profile, f"{lay['profiles']}/{PAYSIM['name']}_profile")
+    return lay

@@ -57,3 +57,18 @@ def test_model_save_load_and_forest(spark):
     # about 2% of training rows lie below the offset (decision < 0 -> anomaly_score > 1)
     frac = forest.anomaly_score(df).agg(F.avg((F.col("anomaly_score") > 1).cast("double"))).first()[0]
     assert 0.0 < frac < 0.06
+
+
+def test_workflow_outputs(spark):
+    from riskloom.plans import prepare
+    root = tempfile.mkdtemp(prefix="rl-out-", dir="/tmp")
+    p = prepare.prepare_transactions(fixture(spark, SF001, "fx_ieee"), fixture(spark, SF001, "fx_identity"),
+                                     prepare.IEEE_SAMPLE, sample_size=100)
+    lay = prepare.write_transaction_outputs(p, root, prepare.IEEE_SAMPLE["name"])
+    prof = spark.read.json(f"{lay['profiles']}/ieee_cis_dev_sample_cleaned_profile").first()
+    assert prof["rows"] == 100 and prof["sample_size"] == 100 and prof["dropped_columns"] == ["dist1"]
+    assert spark.read.parquet(f"{lay['processed']}/ieee_cis_dev_sample_processed").count() == 100
+    g = prepare.prepare_payments(fixture(spark, SF001, "fx_pay"), sample_size=0)
+    lay = prepare.write_payment_outputs(g, root)
+    gp = spark.read.json(f"{lay['profiles']}/paysim_graph_profile").first()
+    assert gp["edge_count"] == spark.read.parquet(f"{lay['graph']}/paysim_graph_edges").count()
