@@ -36,8 +36,9 @@ def prepare_transactions(transactions: DataFrame, identity: DataFrame, preset: d
                          sample_size: int | None = None, threshold: float = MISSING_THRESHOLD,
                          seed: int = SEED, prototype: bool = False, narrow: bool = True) -> Prepared:
     """Sample (B1) -> left join (F1) -> narrow (D17) -> raw profile (C2) -> features
-    -> clean (E8) -> cleaned profile (C2 + C4)."""
-    n = sample_size if sample_size is not None else preset["sample_size"]
+    -> clean (E8) -> cleaned profile (C2 + C4). The full preset keeps every row; the sample preset
+    reads 0 or None as its default size."""
+    n = 0 if preset["sample_size"] == 0 else (sample_size or preset["sample_size"])
     sampled = sampling.sample_n(transactions, n or None, seed, key="TransactionID")
     merged = prep.left_enrich(sampled, identity)
     if narrow:
@@ -62,11 +63,14 @@ class PaymentGraph:
 def prepare_payments(payments_df: DataFrame, sample_size: int | None = None, seed: int = SEED,
                      key: str = "_row_key", narrow: bool = True) -> PaymentGraph:
     """Sample (B1, sorted by step at the sink) -> D11-D16 -> D17 -> G1, G2 -> C6.
-    Sampling needs a unique key; pass one, or a ``_row_key`` column must exist."""
-    n = sample_size if sample_size is not None else PAYSIM["sample_size"]
+    0 or None means the preset size. Seeded sampling needs a unique key column (``key``); a table
+    without one is processed whole."""
+    n = sample_size or PAYSIM["sample_size"]
     base = payments_df
-    if n and key in base.columns:
+    if key in base.columns:
         base = sampling.sample_n(base, n, seed, key=key)
+    else:
+        n = 0
     prepared = prep.payment_features(base)
     if narrow:
         prepared = prep.narrow_types(prepared)
