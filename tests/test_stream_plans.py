@@ -42,8 +42,12 @@ def test_flagship_entry(spark):
 def test_blend_plan_has_no_cartesian_or_python_udf(spark):
     df = q_report.scored_txn(spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    # every window is partitioned (an unpartitioned one prints an empty partition list)
+    windows = [line for line in plan.splitlines() if line.strip().startswith(("Window ", "+- Window ", ":- Window "))
+               or " Window [" in line]
+    assert windows and not any("], [], [" in w for w in windows)
 
 
 def test_every_query_key_has_callable(spark):
