@@ -28,11 +28,17 @@ def _labels(e: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "user", dst: str = "device",
                          max_rounds: int = 64) -> DataFrame:
     """K1: ``(node, component)`` for every node of the undirected graph; ``component`` is the
-    smallest node id of the component. Large-star / small-star rounds until the edges form stars."""
+    smallest node id of the component. Nodes are first numbered densely in sorted order (so the
+    smallest number is the smallest name) and the rounds run on long ids; large-star / small-star
+    rounds repeat until the edges form stars."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
-    base = _oriented(edges, src, dst).checkpoint()
-    nodes = base.select(F.col("hi").alias("node")).union(base.select(F.col("lo").alias("node"))).distinct()
+    named = _oriented(edges, src, dst)
+    nodes = named.select(F.col("hi").alias("node")).union(named.select(F.col("lo").alias("node"))).distinct()
+    ids = number_rows(nodes, [F.col("node")], "nid")                 # checkpointed inside
+    hi_ids = ids.select(F.col("node").alias("hi"), F.col("nid").alias("h"))
+    lo_ids = ids.select(F.col("node").alias("lo"), F.col("nid").alias("l"))
+    base = named.join(hi_ids, "hi").join(lo_ids, "lo").select(F.col("h").alias("hi"), F.col("l").alias("lo")).checkpoint()
     e = base
     for _ in range(max_rounds):
         # large-star: every larger neighbour of u links to m(u) = min(u, smaller neighbours of u)
@@ -40,8 +46,8 @@ def connected_components(edges: DataFrame, src: str = "user", dst: str = "device
         e = (e.join(m, e["lo"] == m["node"], "left")
               .select(F.col("hi"), F.coalesce(F.col("m"), F.col("lo")).alias("lo")).distinct())
         # small-star: u and its smaller neighbours link to the smallest of them
-        s = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        e = (e.join(s, "hi")
+        s_ = e.groupBy("hi").agg(F.min("lo").alias("m"))
+        e = (e.join(s_, "hi")
               .select(F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")),
                                         F.struct(F.col("lo").alias("a"), F.col("m").alias("b")))).alias("p"))
               .select(F.col("p.a").alias("hi"), F.col("p.b").alias("lo"))
@@ -52,9 +58,10 @@ def connected_components(edges: DataFrame, src: str = "user", dst: str = "device
         lo_is_hi = e.select("lo").join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count()
         if lo_is_hi == 0 and e.groupBy("hi").count().where(F.col("count") > 1).limit(1).count() == 0:
             break
-    lab = _labels(e)
-    return (nodes.join(lab, nodes["node"] == lab["hi"], "left")
-            .select("node", F.coalesce(F.col("label"), F.col("node")).alias("component")))
+    lab = _labels(e).withColumnRenamed("hi", "nid")
+    labelled = ids.join(lab, "nid", "left").select("node", F.coalesce(F.col("label"), F.col("nid")).alias("cid"))
+    names = ids.select(F.col("nid").alias("cid"), F.col("node").alias("component"))
+    return labelled.join(names, "cid").select("node", "component")
 
 
 def number_rows(df: DataFrame, order: list, out: str = "rank") -> DataFrame:
