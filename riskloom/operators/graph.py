@@ -115,7 +115,13 @@ def cluster_times(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
     hub node ships at most k rows per partition)."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
-    pairs = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
+    named = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
+    # node names -> dense long ids once; the rounds shuffle longs (any consistent order of ids works)
+    nodes = named.select(F.col("user").alias("node")).union(named.select(F.col("device").alias("node"))).distinct()
+    ids = number_rows(nodes, [F.col("node")], "nid")
+    pairs = (named.join(ids.select(F.col("node").alias("user"), F.col("nid").alias("u")), "user")
+             .join(ids.select(F.col("node").alias("device"), F.col("nid").alias("d")), "device")
+             .select(F.col("u").alias("user"), F.col("d").alias("device"), "t"))
     sentinel = F.struct(F.lit(LONG_MIN).alias("t"), F.lit(LONG_MIN).alias("i"))
     adj = (pairs.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
            .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t")))
@@ -131,8 +137,8 @@ def cluster_times(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
         lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))
         if r % 2 == 1 or r == hops - 1:
             lists = lists.checkpoint()
-    return (lists.where(F.size("lst") >= k)
-            .select(F.col("v").alias("user"), F.element_at("lst", k)["b"].alias("_tstar")))
+    times = lists.where(F.size("lst") >= k).select(F.col("v").alias("nid"), F.element_at("lst", k)["b"].alias("_tstar"))
+    return times.join(ids, "nid").select(F.col("node").alias("user"), "_tstar")
 
 
 def flag_from_times(rows: DataFrame, times: DataFrame, out: str = "in_cluster") -> DataFrame:
