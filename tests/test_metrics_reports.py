@@ -58,3 +58,30 @@ def test_reports_empty_and_mixed_case(spark):
     assert [r["id"] for r in reports.list_transactions(p, 50, risk="high", device="MOBILE").collect()] == [1]
     a = reports.alerts(p, reason_count=p["card1"]).collect()
     assert [x["urgent"] for x in a] == [True, False] and a[0]["sub"] == "1 scored 80 on Mobile"
+
+
+def test_breakdown_ranges_and_snapshot(spark):
+    import datetime as dt
+    schema = ("transaction_id long, created_at timestamp, amount double, card1 long, device string, "
+              "fraud_probability double, risk_score double, risk_level string")
+    empty = spark.createDataFrame([], schema)
+    b = reports.risk_breakdown(empty).first()
+    assert (b["high"], b["med"], b["low"], b["high_share"]) == (0, 0, 0, 0.0)      # total floored at 1
+    s = reports.analytics_snapshot(empty).first()
+    assert (s["avg_risk_score"], s["avg_cluster_size"], s["false_positive_proxy"], s["detection_rate"]) == \
+        (0.0, 1.0, 5.0, 0.0)
+    rows = [(i, dt.datetime(2024, 1, 10) + dt.timedelta(hours=6 * i), 1.0, 1, "desktop", 0.5, 10.0 * i,
+             ["High", "medium", "LOW"][i % 3]) for i in range(12)]
+    p = spark.createDataFrame(rows, schema)
+    assert reports.count_between(p).first()[0] == 12
+    assert reports.count_between(p, start="2024-01-11 00:00:00").first()[0] == 8      # half-open, open end
+    assert reports.count_between(p, end="2024-01-11 00:00:00").first()[0] == 4
+    assert reports.count_by_level(p, "high", "2024-01-10 00:00:00", "2024-01-11 00:00:00").first()[0] == 2
+    b = reports.risk_breakdown(p).first()
+    assert (b["high"], b["med"], b["low"]) == (4, 4, 4) and abs(b["high_share"] - 1 / 3) < 1e-12
+    s = reports.analytics_snapshot(p).first()
+    assert s["avg_risk_score"] == round(sum(10.0 * i for i in range(12)) / 12, 2)
+    assert s["avg_cluster_size"] == 4.0 and s["detection_rate"] == 33.3
+    assert s["false_positive_proxy"] == round(max(0.5, 100 - 33.3) / 20, 1)
+    days = {r["day"]: (r["high"], r["medium"], r["low"]) for r in reports.daily_risk_counts(p).collect()}
+    assert days["2024-01-10"] == (2, 1, 1) and sum(sum(v) for v in days.values()) == 12
