@@ -86,9 +86,17 @@ def read_state(spark: SparkSession, base: str, before: int) -> H.GraphState | No
     return H.GraphState(spark.read.parquet(f"{base}/v={v}/users"), spark.read.parquet(f"{base}/v={v}/pairs"))
 
 
-def write_state(state: H.GraphState, base: str, version: int) -> None:
+def write_state(state: H.GraphState, base: str, version: int, retain: int = 2) -> None:
+    """Write version ``version``, then expire all but the newest ``retain`` complete versions (a
+    retried batch reads the version before its own, which is kept)."""
     state.user_counts.write.mode("overwrite").parquet(f"{base}/v={version}/users")
     state.pairs.write.mode("overwrite").parquet(f"{base}/v={version}/pairs")
+    spark = state.pairs.sparkSession
+    versions = _state_versions(spark, base)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for v in versions[:-retain] if retain > 0 else []:
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/v={v}")
+        path.getFileSystem(conf).delete(path, True)
 
 
 def _shift_after(state: H.GraphState | None, batch: DataFrame, ts: str) -> DataFrame:

@@ -83,6 +83,8 @@ def test_stream_restart_continues_from_checkpoint(spark):
     got = {r["transaction_id"]: (r["risk_score"], r["reasons_json"])
            for r in spark.read.parquet(f"{out}/predictions").collect()}
     assert got == want
+    # only the newest two state versions are kept
+    assert ST._state_versions(spark, f"{out}/state") == [1, 2]
 
 
 def test_daily_risk_stream_equals_batch(spark):
