@@ -39,7 +39,8 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
     ``(key, bucket)`` window stay bounded even when a hot key meets a burst. Buckets are monotone in
     time, as the running sums require; rows sharing one timestamp share a bucket."""
     from pyspark.ml.feature import Bucketizer
-    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    # a missing time sorts first (as the windows order nulls first) and takes the lowest bucket
+    t = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")).cast("double"), F.lit(-1.0e300))
     n = df.count()
     k = max(1, -(-n // target_rows))
     with_t = df.withColumn("_tmicros", t)
@@ -86,8 +87,9 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     """
     cols = edges.columns
     if width_seconds:   # fixed-width buckets (tests, or a known uniform arrival rate)
-        rows = edges.withColumn("_bucket", F.floor(F.unix_micros(F.col("ts").cast("timestamp"))
-                                                   / F.lit(width_seconds * 1_000_000)).cast("long"))
+        rows = edges.withColumn("_bucket", F.coalesce(
+            F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long"),
+            F.lit(-(1 << 62))))
     else:
         rows = time_buckets(edges, target_rows=target_rows)
     rows = rows.withColumn("_tag", F.lit(0))

@@ -139,3 +139,12 @@ def test_history_with_compacted_state(spark):
     got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
            for r in history.graph_history(_log(spark, late), prior=state).collect()}
     assert got == {r[0]: full[r[0]] for r in late}
+
+
+def test_history_keeps_rows_without_time(spark):
+    rows = [(1, None, "u1", "d1"), (2, 5, "u1", "d1"), (3, 6, "u2", "d1")]
+    df = spark.createDataFrame([(i, None if m is None else T0 + dt.timedelta(minutes=m), u, d) for i, m, u, d in rows],
+                               "id long, ts timestamp, user string, device string")
+    for kw in ({}, {"width_seconds": 60}, {"target_rows": 1}):
+        got = {r["id"]: (r["user_degree"], r["device_degree"]) for r in history.graph_history(df, **kw).collect()}
+        assert got == {1: (0, 0), 2: (1, 1), 3: (0, 1)}
