@@ -55,7 +55,8 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str,
                 bucket: str = "_bucket", inclusive: bool = True, offset: DataFrame | None = None) -> DataFrame:
-    """Per-key running sum of ``weight`` in ``order``; ``bucket`` must be monotone in ``order``.
+    """Per-key running sum of ``weight`` in ``order``; ``bucket`` must be monotone in ``order``, and
+    keys and bucket must be non-null.
     ``offset`` (keys + ``_off``) adds a per-key amount known from before (stream state); it joins the
     small per-(key, bucket) prefix table, not the rows."""
     part = list(keys) + [bucket]
@@ -67,6 +68,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
     if offset is not None:
         pre = (pre.join(offset, on=list(keys), how="left")
                .withColumn("_rs_pre", F.col("_rs_pre") + F.coalesce(F.col("_off"), F.lit(0))).drop("_off"))
+    # plain equality keeps the window's partitioning for the join (a null-safe one would re-shuffle
+    # the rows), so callers pass non-null keys and buckets
     j = loc.join(pre, on=part, how="inner")
     val = F.col("_rs_loc") + F.col("_rs_pre") - (F.lit(0) if inclusive else F.col("_rs_w"))
     return j.withColumn(out, val.cast("long")).drop("_rs_w", "_rs_loc", "_rs_pre")

@@ -27,7 +27,8 @@ def _by_score(df: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
     r = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi")).first()
     lo = r["lo"] if r["lo"] is not None else 0.0
     width = max((r["hi"] if r["hi"] is not None else 0.0) - lo, 1e-300)
-    b = F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("long")
+    b = F.coalesce(F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("long"),
+                   F.lit(-1).cast("long"))    # a null score keeps a bucket, first in order
     return g.withColumn("_bucket", b)
 
 
