@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from riskloom.llm.registry import query
 from riskloom.session import checkpoint_dir, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "spark.sql.streaming.stateStore"
+STATE = {f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         f"{STATE_STORE}.rocksdb.allowFAllocate": "false",      # else every state partition reserves megabytes
+         f"{STATE_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+         f"{STATE_STORE}.rocksdb.boundedMemoryUsage": "true",
+         f"{STATE_STORE}.rocksdb.maxMemoryUsageMB": "300"}
 
 
 def normalised(text: str) -> Column:
@@ -59,8 +63,9 @@ def fold_into_state(spark: SparkSession, path: str, state: str, doc_id: str = "d
               .option("maxFilesPerTrigger", files_per_batch).parquet(pattern))
     kept = (_rows(source, doc_id, text, digest).groupBy("digest")
             .agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         run = (kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state)
                .trigger(availableNow=True).start())
@@ -71,37 +76,60 @@ def fold_into_state(spark: SparkSession, path: str, state: str, doc_id: str = "d
                  F.col("value.count").alias("n"))
          .write.parquet(table))
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(table)
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def exact_dedup(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text",
                 digest: Callable[[Column], Column] = sha256, state: str | None = None,
-                files_per_batch: int = 4096) -> DataFrame:
+                files_per_batch: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of the Parquet files at ``path``: ``doc_id, keep_id, group_size, kept,
-    text_sha256``."""
+    text_sha256``. The members of hits are fetched by locator: by a broadcast of 8-byte keys while
+    there are at most ``broadcast_rows`` of them (counted first), else by a shuffled join."""
     checkpoint_dir(spark)
     seen = fold_into_state(spark, path, state or scratch_path(spark, "dedup-stream"), doc_id, text, digest,
                            files_per_batch)
-    rows = _rows(spark.read.parquet(path), doc_id, text, digest)
-    hits = seen.where("n > 1").select("digest", F.col("first.path").alias("path"), F.col("first.row").alias("row"))
-
-    # full bytes: the keeper's content by locator, then every member against it
-    keepers = rows.drop("digest").join(hits, ["path", "row"]).select("digest", F.col("norm").alias("keep_norm"))
-    odd = rows.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).drop("keep_norm")
-    regrouped = odd.groupBy("digest", "norm").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n"))
-    odd_rows = (odd.join(regrouped, ["digest", "norm"])
-                .select("path", "row", F.col("first").alias("odd_first"), F.col("n").alias("odd_n")))
-    odd_count = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("n_odd"))
+    scan = spark.read.parquet(path)
+    rows = _saved(_rows(scan, doc_id, text, digest).withColumn("text_sha256", sha256(F.col("norm"))).drop("norm"),
+                  "dedup-rows")
+    hits = seen.where("n > 1").select("digest", "first")
+    members = _saved(rows.join(hits, "digest").select("digest", "doc_id", "path", "row", "first"), "dedup-members")
 
+    # full bytes: fetch every member's content, then compare it with the keeper's
+    meta = F.col("_metadata")
+    located = scan.select(F.col(text).alias("text"), meta["file_path"].alias("path"), meta["row_index"].alias("row"))
+    if members.count() <= broadcast_rows:
+        keys = members.select(F.xxhash64("path", "row").alias("key"))
+        located = (located.withColumn("key", F.xxhash64("path", "row"))
+                   .join(F.broadcast(keys), "key", "left_semi").drop("key"))
+    contents = _saved(located.join(members, ["path", "row"])
+                      .select("digest", "doc_id", "path", "row", "first", normalised("text").alias("norm")), "dedup-hits")
+    is_first = (F.col("path") == F.col("first.path")) & (F.col("row") == F.col("first.row"))
+    keepers = contents.where(is_first).select("digest", F.col("norm").alias("keep_norm"))
+    odd = _saved(contents.drop("first").join(keepers, "digest").where(F.col("norm") != F.col("keep_norm"))
+                 .drop("keep_norm"), "dedup-odd")
+
+    out = rows.join(seen, "digest")
+    if odd.isEmpty():
+        out = out.withColumns({"odd_first": F.lit(None).cast(seen.schema["first"].dataType),
+                               "odd_n": F.lit(None).cast("long"), "n_odd": F.lit(0)})
+    else:
+        regrouped = odd.groupBy("digest", "norm").agg(F.min(_order()).alias("odd_first"), F.count(F.lit(1)).alias("odd_n"))
+        odd_rows = odd.join(regrouped, ["digest", "norm"]).select("path", "row", "odd_first", "odd_n")
+        odd_count = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("n_odd"))
+        out = out.join(odd_count, "digest", "left").join(odd_rows, ["path", "row"], "left")
     first = F.coalesce("odd_first", "first")
-    return (rows.withColumn("text_sha256", sha256(F.col("norm"))).drop("norm")
-            .join(seen.join(odd_count, "digest", "left"), "digest")
-            .join(odd_rows, ["path", "row"], "left")
-            .select("doc_id", first["doc_id"].alias("keep_id"),
-                    F.coalesce("odd_n", F.col("n") - F.coalesce("n_odd", F.lit(0))).alias("group_size"),
-                    ((F.col("path") == first["path"]) & (F.col("row") == first["row"])).alias("kept"),
-                    "text_sha256"))
+    return out.select("doc_id", first["doc_id"].alias("keep_id"),
+                      F.coalesce("odd_n", F.col("n") - F.coalesce("n_odd", F.lit(0))).alias("group_size"),
+                      ((F.col("path") == first["path"]) & (F.col("row") == first["row"])).alias("kept"),
+                      "text_sha256")
 
 
 @query("op10_exact_dedup", r"""
