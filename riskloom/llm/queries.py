@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, substring_dedup  # noqa: F401
+from riskloom.llm import exact_dedup, substring_dedup, toxicity  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES
 
 
