@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.registry import query, table
-from riskloom.llm.tokens import Hasher, starts_inside, utf8
+from riskloom.llm.tokens import Hasher, bucket_cuts, deltas, from_deltas, starts_inside, utf8
 
 WINDOW = 50
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
@@ -52,8 +52,7 @@ class Chunk:
         self.new = np.ones(len(hashes), bool)
         self.new[1:] = hashes[1:] != hashes[:-1]
         self.distinct = hashes[self.new]
-        bucket = ((self.distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        self.cuts = bucket_cuts(self.distinct, buckets)
 
     def filled(self):
         return np.flatnonzero(self.cuts[1:] > self.cuts[:-1])
@@ -68,17 +67,6 @@ class Chunk:
         return self.starts[gone]
 
 
-def _deltas(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences, low bytes first: the zero high bytes compress away."""
-    d = np.diff(hashes, prepend=np.uint64(0))
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_deltas(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
                     chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
                     with_text: bool = False) -> DataFrame:
@@ -97,12 +85,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
         c = Chunk(rows, window, buckets)
         filled = c.filled()
         return pa.table({"bucket": pa.array(filled, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(filled), pa.int64()),
-                         "hashes": pa.array([_deltas(c.distinct[c.cuts[b]:c.cuts[b + 1]]) for b in filled], pa.binary())})
+                         "hashes": pa.array([deltas(c.distinct[c.cuts[b]:c.cuts[b + 1]]) for b in filled], pa.binary())})
 
     def answer(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
         chunk = rows["chunk"].to_numpy()
-        parts = [_from_deltas(x.as_buffer()) for x in rows["hashes"]]
+        parts = [from_deltas(x.as_buffer()) for x in rows["hashes"]]
         sizes = np.array([len(p) for p in parts])
         owner = np.repeat(np.arange(len(parts)), sizes)
         hashes = np.concatenate(parts)

@@ -130,3 +130,20 @@ def starts_inside(offsets: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, bool)
     end = np.repeat(offsets[1:], np.diff(offsets))
     return np.arange(n - k + 1) + k <= end[:n - k + 1]
+
+
+def bucket_cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of equally wide buckets of the hash range begins among sorted hashes."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def deltas(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, low bytes first: the zero high bytes compress away."""
+    d = np.diff(hashes, prepend=np.uint64(0))
+    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_deltas(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
