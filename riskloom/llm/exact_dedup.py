@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.registry import query
+from riskloom.llm.registry import query, saved
 from riskloom.session import checkpoint_dir, scratch_path
 
 STATE_STORE = "spark.sql.streaming.stateStore"
@@ -81,12 +81,6 @@ def fold_into_state(spark: SparkSession, path: str, state: str, doc_id: str = "d
     return spark.read.parquet(table)
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def exact_dedup(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text",
                 digest: Callable[[Column], Column] = sha256, state: str | None = None,
                 files_per_batch: int = 4096, broadcast_rows: int = 500_000) -> DataFrame:
@@ -97,10 +91,10 @@ def exact_dedup(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
     seen = fold_into_state(spark, path, state or scratch_path(spark, "dedup-stream"), doc_id, text, digest,
                            files_per_batch)
     scan = spark.read.parquet(path)
-    rows = _saved(_rows(scan, doc_id, text, digest).withColumn("text_sha256", sha256(F.col("norm"))).drop("norm"),
+    rows = saved(_rows(scan, doc_id, text, digest).withColumn("text_sha256", sha256(F.col("norm"))).drop("norm"),
                   "dedup-rows")
     hits = seen.where("n > 1").select("digest", "first")
-    members = _saved(rows.join(hits, "digest").select("digest", "doc_id", "path", "row", "first"), "dedup-members")
+    members = saved(rows.join(hits, "digest").select("digest", "doc_id", "path", "row", "first"), "dedup-members")
 
     # full bytes: fetch every member's content, then compare it with the keeper's
     meta = F.col("_metadata")
@@ -109,11 +103,11 @@ def exact_dedup(spark: SparkSession, path: str, doc_id: str = "doc_id", text: st
         keys = members.select(F.xxhash64("path", "row").alias("key"))
         located = (located.withColumn("key", F.xxhash64("path", "row"))
                    .join(F.broadcast(keys), "key", "left_semi").drop("key"))
-    contents = _saved(located.join(members, ["path", "row"])
+    contents = saved(located.join(members, ["path", "row"])
                       .select("digest", "doc_id", "path", "row", "first", normalised("text").alias("norm")), "dedup-hits")
     is_first = (F.col("path") == F.col("first.path")) & (F.col("row") == F.col("first.row"))
     keepers = contents.where(is_first).select("digest", F.col("norm").alias("keep_norm"))
-    odd = _saved(contents.drop("first").join(keepers, "digest").where(F.col("norm") != F.col("keep_norm"))
+    odd = saved(contents.drop("first").join(keepers, "digest").where(F.col("norm") != F.col("keep_norm"))
                  .drop("keep_norm"), "dedup-odd")
 
     out = rows.join(seen, "digest")

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.registry import query, table
+from riskloom.llm.registry import query, saved, table
 from riskloom.llm.tokens import Hasher, blocks, bucket_cuts, deltas, from_deltas, utf8
 from riskloom.operators.graph import connected_components
-from riskloom.session import checkpoint_dir, scratch_path
+from riskloom.session import checkpoint_dir
 
 WORDS, PERCENT, FRAGMENTS = 5, 80, 4
 FREQUENT, OFTEN = 1 << 17, 4
@@ -71,12 +71,6 @@ def prefix(grams: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: i
     return grams[:size]
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def frequent_shingles(docs: DataFrame, words: int, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of the most counts within blocks of documents and their ranks (rarest first). Counts
     cover all documents; only the order of the shingles, never a result, depends on them."""
@@ -164,8 +158,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragme
     of bounded size; the whole texts of both sides are fetched, cut into shingle fragments, and the
     overlaps of each fragment of each star are counted on their own and summed per pair."""
     # aggregates are saved before they meet their rows again, so that joins on hot keys can be split
-    stars = _saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("stars")), "join-stars")
-    placed = _saved(pairs.join(stars, "a").withColumn("star", F.pmod(F.xxhash64("b"), F.col("stars"))), "join-pairs")
+    stars = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("stars")), "join-stars")
+    placed = saved(pairs.join(stars, "a").withColumn("star", F.pmod(F.xxhash64("b"), F.col("stars"))), "join-pairs")
     centres = (placed.select("a", "stars").distinct()
                .select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("stars") - 1)).alias("star")))
     roles = placed.select(F.col("b").alias("doc_id"), "a", "star").unionByName(centres)
@@ -214,7 +208,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragme
 def _with_several(posted: DataFrame, column: str) -> DataFrame:
     """Postings of the shingles that have more than one value of ``column``."""
     grams = (posted.groupBy("gram").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo < hi").select("gram"))
-    return _saved(posted.join(_saved(grams, "join-grams"), "gram"), "join-postings")
+    return saved(posted.join(saved(grams, "join-grams"), "gram"), "join-postings")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS,
@@ -224,9 +218,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
     spark = docs.sparkSession
     checkpoint_dir(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = _saved(prefixes(docs, words, percent, chunk_bytes, bucket_bytes), "join-prefixes")
+    base = saved(prefixes(docs, words, percent, chunk_bytes, bucket_bytes), "join-prefixes")
     some = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = _saved(some.groupBy("n", "digest").agg(F.min("doc_id").alias("first")), "join-classes")
+    classes = saved(some.groupBy("n", "digest").agg(F.min("doc_id").alias("first")), "join-classes")
     of_class = some.select("doc_id", "n", "digest").join(classes, ["n", "digest"])
 
     posted = (some.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
@@ -247,7 +241,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
         else:
             heads = one
         if step < star_rounds:
-            heads = _saved(heads, "join-heads")
+            heads = saved(heads, "join-heads")
         met = heads.join(two, "gram").where((F.col("a") != F.col("b")) & _possible(percent))
         met = met.where("la < lb") if step == star_rounds else met.where("la != lb")
         pairs = (met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
@@ -255,15 +249,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
                  .distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _saved(pairs, "join-candidates")
-        found = _saved(verified(docs, pairs, words, percent, fragments), "join-links")
+        pairs = saved(pairs, "join-candidates")
+        found = saved(verified(docs, pairs, words, percent, fragments), "join-links")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if step < star_rounds:
             # groups so far, at least as fine as the components: two steps to the smallest linked neighbour
             both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             hop = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-            hop = _saved(hop, "join-hop")
+            hop = saved(hop, "join-hop")
             hop = (hop.join(hop.select(F.col("doc_id").alias("label"), F.col("label").alias("next")), "label", "left")
                    .select("doc_id", F.coalesce("next", "label").alias("label")))
             labelled = _with_several(posted.join(hop, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "label")
@@ -271,7 +265,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
     # different texts of one identifier belong together
     own = of_class.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").drop("b")
     links = links.unionByName(of_class.join(own, "doc_id").where("a < first").select("a", F.col("first").alias("b")))
-    components = _saved(connected_components(links, "a", "b"), "join-components")
+    components = saved(connected_components(links, "a", "b"), "join-components")
     grouped = (of_class.join(components, of_class["first"] == components["node"], "left")
                .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id")))
     alone = base.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, exact_dedup, ngram_join, substring_dedup, toxicity  # noqa: F401
+from riskloom.llm import decontamination, exact_dedup, ngram_join, secrets, substring_dedup, toxicity  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES
 
 
