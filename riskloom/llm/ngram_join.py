@@ -155,8 +155,8 @@ def _possible(percent: int):
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragments: int,
              broadcast_rows: int = 500_000) -> DataFrame:
     """The ``a, b`` of ``pairs`` (``a, na, b, nb``) that link. Partners of one ``a`` are cut into stars
-    of bounded size; the whole texts of both sides are fetched, cut into shingle fragments, and the
-    overlaps of each fragment of each star are counted on their own and summed per pair."""
+    of bounded size; the whole texts of both sides are fetched and their shingles cut into fragments; the
+    overlaps of each fragment are counted on their own and summed per pair."""
     # aggregates are saved before they meet their rows again, so that joins on hot keys can be split
     stars = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("stars")), "join-stars")
     placed = saved(pairs.join(stars, "a").withColumn("star", F.pmod(F.xxhash64("b"), F.col("stars"))), "join-pairs")
@@ -170,36 +170,20 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragme
     roles = roles.withColumn("grp", F.pmod(F.xxhash64("a", "star"), F.lit(groups)))
     texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(roles) if size <= broadcast_rows else roles, "doc_id")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            for lo, hi, data, at in blocks(b.column("text")):
-                part, tags, pieces = b.slice(lo, hi - lo), [], []
-                for s in shingler.sets(data, at):
-                    cuts = bucket_cuts(s, fragments)
-                    tags.append(np.bitwise_xor.reduce(s))
-                    pieces += [s[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-                row = np.repeat(np.arange(hi - lo), fragments)
-                yield pa.record_batch({"grp": part.column("grp").take(row), "fragment": np.tile(np.arange(fragments, dtype=np.int32), hi - lo),
-                                       "a": part.column("a").take(row), "star": part.column("star").take(row),
-                                       "doc_id": part.column("doc_id").take(row), "tag": np.array(tags, np.uint64).view(np.int64)[row],
-                                       "grams": pa.array(pieces, pa.binary())})
-
     def overlaps(rows: pa.Table) -> pa.Table:
-        centre, members = {}, []
-        for a, star, d, t, g in zip(*(rows[c].to_pylist() for c in ("a", "star", "doc_id", "tag", "grams"))):
-            g = np.frombuffer(g, np.uint64)
-            if a == d:
-                centre.setdefault((a, star), []).append((t, g))
-            else:
-                members.append((a, star, d, t, g))
-        found = [(a, u, d, t, len(np.intersect1d(c, g, assume_unique=True)), len(c) + len(g))
-                 for a, star, d, t, g in members for u, c in centre[a, star]]
+        shingler, centre, members = Shingler(words), {}, []
+        keys = list(zip(*(rows[c].to_pylist() for c in ("a", "star", "doc_id"))))
+        for first, end, data, at in blocks(rows["text"]):
+            for (a, star, d), s in zip(keys[first:end], shingler.sets(data, at)):
+                cuts = bucket_cuts(s, fragments)
+                whole = (int(np.bitwise_xor.reduce(s).view(np.int64)), [s[x:y] for x, y in zip(cuts[:-1], cuts[1:])])
+                centre.setdefault((a, star), []).append(whole) if a == d else members.append((a, star, d, whole))
+        found = [(a, u, d, t, len(np.intersect1d(p, q, assume_unique=True)), len(p) + len(q))
+                 for a, star, d, (t, parts) in members for u, own in centre[a, star] for p, q in zip(own, parts)]
         return pa.Table.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(6)], ["a", "u", "b", "t", "same", "both"])
 
     partial = (texts.select("grp", "a", "star", "doc_id", "text")
-               .mapInArrow(cut, "grp long, fragment int, a long, star long, doc_id long, tag long, grams binary")
-               .groupBy("grp", "fragment").applyInArrow(overlaps, "a long, u long, b long, t long, same long, both long"))
+               .groupBy("grp").applyInArrow(overlaps, "a long, u long, b long, t long, same long, both long"))
     # the tags tell apart different texts under one identifier
     summed = partial.groupBy("a", "u", "b", "t").agg(F.sum("same").alias("same"), F.sum("both").alias("both"))
     return summed.where((100 + percent) * F.col("same") >= percent * F.col("both")).select("a", "b").distinct()
@@ -254,13 +238,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if step < star_rounds:
-            # groups so far, at least as fine as the components: two steps to the smallest linked neighbour
-            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            hop = both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-            hop = saved(hop, "join-hop")
-            hop = (hop.join(hop.select(F.col("doc_id").alias("label"), F.col("label").alias("next")), "label", "left")
-                   .select("doc_id", F.coalesce("next", "label").alias("label")))
-            labelled = _with_several(posted.join(hop, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "label")
+            groups = saved(connected_components(links, "a", "b"), "join-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+            labelled = _with_several(posted.join(groups, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "label")
 
     # different texts of one identifier belong together
     own = of_class.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").drop("b")

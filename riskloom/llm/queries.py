@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, exact_dedup, line_dedup, ngram_join, secrets, substring_dedup, toxicity, warc  # noqa: F401
+from riskloom.llm import decontamination, exact_dedup, line_dedup, mixing, ngram_join, secrets, substring_dedup, toxicity, warc  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES
 
 
