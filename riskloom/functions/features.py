@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 SECONDS_PER_HOUR = 3600
 SECONDS_PER_DAY = 86400
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """The column with NaN, which counts as missing, turned into null."""
+    col = F.col(name)
+    return F.when(~F.isnan(col), col) if isinstance(df.schema[name].dataType, (DoubleType, FloatType)) else col
+
+
 def transaction_hour(dt: Column) -> Column:
     """Floor division then modulo (N6), int16."""
     return F.pmod(F.floor(dt / SECONDS_PER_HOUR), F.lit(24)).cast("short")

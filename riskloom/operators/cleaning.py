@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from riskloom.functions.features import known
 from riskloom.operators import prep
-from riskloom.operators.joins import checked_broadcast
+from riskloom.operators.joins import fits_broadcast
 from riskloom.operators.profiling import categorical_columns, null_ratios_row, numeric_columns
 from riskloom.operators.selection import exact_medians
 from riskloom.session import checkpoint_dir
@@ -35,13 +36,13 @@ def median_values(df: DataFrame, columns: Sequence[str] | None = None, accuracy:
     """Exact medians (N5) by default; ``accuracy`` switches to one ``percentile_approx`` pass."""
     cols = list(columns) if columns is not None else numeric_columns(df.schema)
     if accuracy:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols]).first()
+        row = df.agg(*[F.percentile_approx(known(df, c).cast("double"), 0.5, accuracy).alias(c) for c in cols]).first()
         return {c: row[c] for c in cols}
     return exact_medians(df, cols)
 
 
 def apply_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
-    """Fill numeric nulls. Integral columns are widened to double first, as a filled integer column
+    """Fill numeric nulls and NaN. Integral columns are widened to double first, as a filled integer column
     with a fractional median must hold it (pandas keeps such columns as float)."""
     out = []
     for f in df.schema.fields:
@@ -49,7 +50,7 @@ def apply_medians(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
         m = medians.get(c)
         if c in medians and m is not None:
             if isinstance(f.dataType, (DoubleType, FloatType)):
-                out.append(F.coalesce(F.col(c), F.lit(m).cast(f.dataType)).alias(c))
+                out.append(F.coalesce(known(df, c), F.lit(m).cast(f.dataType)).alias(c))
             else:
                 out.append(F.coalesce(F.col(c).cast("double"), F.lit(float(m))).alias(c))
         else:
@@ -136,33 +137,16 @@ def fit_code_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
             .checkpoint())
 
 
-INLINE_CODES_MAX = 20_000
-
-
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:
-    """E6 apply: code per column; unseen values and nulls -> -1 (N8). After rare reduction a column
-    has at most 1/threshold + 2 values, so the fitted table is a small model parameter: it is read
-    once and inlined as one literal map per column (no join, stays in codegen). A table beyond
-    ``INLINE_CODES_MAX`` entries joins per column, broadcast only behind a size check."""
-    total = codes.count()
-    if total <= INLINE_CODES_MAX:
-        table: dict[str, list] = {}
-        for r in codes.collect():
-            table.setdefault(r["column_name"], []).extend([F.lit(r["value"]), F.lit(r["code"])])
-        out = []
-        for c in df.columns:
-            if c in columns:
-                pairs = table.get(c)
-                code = F.element_at(F.create_map(*pairs), F.col(c).cast("string")) if pairs else F.lit(None)
-                out.append(F.coalesce(code, F.lit(unknown)).cast("double").alias(c))
-            else:
-                out.append(F.col(c))
-        return df.select(*out)
+    """E6 apply: code per column; unseen values and nulls -> -1 (N8). One left join per column with
+    that column's part of the fitted table: a hash lookup per row while the table's measured bytes
+    allow a broadcast, a shuffled join beyond."""
+    small = fits_broadcast(codes)
     out = df
     for c in columns:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_cv_{c}"),
                                                           F.col("code").alias(f"_cc_{c}"))
-        out = out.join(checked_broadcast(m, known_rows=total), out[c] == m[f"_cv_{c}"], "left") \
+        out = out.join(F.broadcast(m) if small else m, out[c].cast("string") == m[f"_cv_{c}"], "left") \
                  .withColumn(c, F.coalesce(F.col(f"_cc_{c}"), F.lit(unknown)).cast("double")) \
                  .drop(f"_cv_{c}", f"_cc_{c}")
     return out

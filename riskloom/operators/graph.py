@@ -7,7 +7,7 @@ and a hot node is a skewed join key that AQE splits. Lineage is cut with a relia
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
@@ -25,12 +25,12 @@ def _labels(e: DataFrame) -> DataFrame:
     return e.groupBy("hi").agg(F.min("lo").alias("label"))
 
 
-def connected_components(edges: DataFrame, src: str = "user", dst: str = "device",
-                         max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "user", dst: str = "device") -> DataFrame:
     """K1: ``(node, component)`` for every node of the undirected graph; ``component`` is the
     smallest node id of the component. Nodes are first numbered densely in sorted order (so the
     smallest number is the smallest name) and the rounds run on long ids; large-star / small-star
-    rounds repeat until the edges form stars."""
+    rounds repeat until the edges form stars, however many that takes (about the logarithm of the
+    longest path)."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     named = _oriented(edges, src, dst)
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, src: str = "user", dst: str = "device
     lo_ids = ids.select(F.col("node").alias("lo"), F.col("nid").alias("l"))
     base = named.join(hi_ids, "hi").join(lo_ids, "lo").select(F.col("h").alias("hi"), F.col("l").alias("lo")).checkpoint()
     e = base
-    for _ in range(max_rounds):
+    while True:
         # large-star: every larger neighbour of u links to m(u) = min(u, smaller neighbours of u)
         m = e.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "node")
         e = (e.join(m, e["lo"] == m["node"], "left")
@@ -154,6 +154,12 @@ def cluster_flag_asof(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
     return flag_from_times(edges, cluster_times(edges.select("id", "ts", "user", "device"), hops, k))
 
 
+def title_case(text: Column) -> Column:
+    """Every letter that follows a non-letter in upper case, every other one in lower case."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+
+
 def graph_nodes(edges: DataFrame, predictions: DataFrame) -> DataFrame:
     """K7 + F4: distinct users and devices with label, type and fraud flag. A node is flagged when
     its user or device appears in a high-risk prediction (J3: distinct flagged keys)."""
@@ -166,7 +172,7 @@ def graph_nodes(edges: DataFrame, predictions: DataFrame) -> DataFrame:
     users = edges.select(F.col("user").alias("id")).distinct().select(
         "id", F.replace(F.col("id"), F.lit("user_"), F.lit("Card ")).alias("label"), F.lit("user").alias("type"))
     devs = edges.select(F.col("device").alias("id")).distinct().select(
-        "id", F.initcap(F.replace(F.col("id"), F.lit("device_"), F.lit("Device "))).alias("label"),
+        "id", title_case(F.replace(F.col("id"), F.lit("device_"), F.lit("Device "))).alias("label"),
         F.lit("device").alias("type"))
     nodes = users.unionByName(devs)
     return (nodes.join(flagged_ids, "id", "left")

@@ -1,16 +1,19 @@
-"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+"""Join helpers: broadcast only behind a check of measured bytes, with a shuffle join beyond it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+COLUMN_BYTES = 16
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """``broadcast(small)`` when its row count is at most ``max_rows``; otherwise ``small`` unchanged
-    (the join then shuffles, and AQE may still pick a broadcast from run-time sizes). ``known_rows``
-    is a proven upper bound that saves the count."""
-    n = known_rows if known_rows is not None else small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def fits_broadcast(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether the rows of ``small`` (text measured, other columns counted at ``COLUMN_BYTES``) stay
+    within ``max_bytes``; one aggregate over it."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema.fields
+            if isinstance(f.dataType, (StringType, BinaryType))]
+    row = sum(wide, F.lit(COLUMN_BYTES * len(small.columns)))
+    return (small.agg(F.sum(row.cast("long"))).first()[0] or 0) <= max_bytes

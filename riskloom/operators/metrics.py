@@ -7,12 +7,15 @@ a global window over all rows nor one task per class is involved.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.history import running_sum
+from riskloom.session import checkpoint_dir
 
 SCORE_BUCKETS = 4096
+BUCKET_SCORES = 10_000
 
 
 def predict_class(df: DataFrame, score: str = "fraud_probability", threshold: float = 0.5,
@@ -22,14 +25,19 @@ def predict_class(df: DataFrame, score: str = "fraud_probability", threshold: fl
 
 
 def _by_score(df: DataFrame, label: str, score: str, buckets: int) -> DataFrame:
+    """Counts per distinct score (written once), in buckets of about equally many distinct scores:
+    the cut points are quantiles of the scores themselves, so crowded ranges get more buckets."""
+    checkpoint_dir(df.sparkSession)
     g = df.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    r = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi")).first()
-    lo = r["lo"] if r["lo"] is not None else 0.0
-    width = max((r["hi"] if r["hi"] is not None else 0.0) - lo, 1e-300)
-    b = F.coalesce(F.least(F.floor((F.col("s") - F.lit(lo)) / F.lit(width) * buckets), F.lit(buckets - 1)).cast("long"),
-                   F.lit(-1).cast("long"))    # a null score keeps a bucket, first in order
-    return g.withColumn("_bucket", b)
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")).checkpoint()
+    distinct = g.count()
+    k = max(1, min(buckets, -(-distinct // BUCKET_SCORES)))
+    if k == 1:
+        return g.withColumn("_bucket", F.lit(0).cast("long"))
+    cuts = sorted(set(g.where(F.col("s").isNotNull()).approxQuantile("s", [i / k for i in range(1, k)], 0.1 / k)))
+    found = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="s", outputCol="_b", handleInvalid="keep").transform(g)
+    # a null score keeps a bucket of its own, first in order
+    return found.withColumn("_bucket", F.when(F.col("s").isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("long")).drop("_b")
 
 
 def roc_auc(df: DataFrame, label: str = "isFraud", score: str = "fraud_probability",

@@ -3,9 +3,10 @@
 * Boosted trees: MLlib ``GBTClassifier`` (distributed tree building). XGBoost is not available, so
   the trees differ from the reference's; parameters keep its intent (200 rounds, depth 6, rate
   0.05, row and column sampling 0.8, positive-class weight).
-* Isolation forest: MLlib has none. Trees are grown in parallel with ``groupBy(tree).applyInPandas``
-  on a bounded sample pool (trees x 256 rows), the tree table (at most trees x 511 nodes) is
-  broadcast, and rows are scored with an Arrow-batched ``mapInPandas``.
+* Isolation forest: MLlib has none. Every tree draws its own rows by seeded hashes (a row may serve
+  several trees), trees are grown in parallel with ``groupBy(tree).applyInPandas`` on ``psi`` rows
+  each, the tree table (at most trees x 511 nodes) goes out with the scoring function, and an Arrow
+  ``pandas_udf`` over the features alone returns the one score column.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
+from riskloom.functions.features import known
 from riskloom.operators.selection import exact_order_stats
+from riskloom.session import checkpoint_dir
 
 # Model settings of the reference.
 GBT_ROUNDS, GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_COLSAMPLE = 200, 6, 0.05, 0.8, "0.8"
 GRAPH_GBT_RATE, GRAPH_POS_WEIGHT = 0.1, 30.0
 IF_TREES, IF_MAX_SAMPLES, IF_CONTAMINATION = 100, 256, 0.02
 SEED = 42
+POOL = 200      # the rows that the trees draw from: at most this many trees' worth (a fitting bound)
 
 
 def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:
@@ -118,6 +121,11 @@ def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
 
+def _vector(df: DataFrame, features: Sequence[str]):
+    """The features as one array; null and NaN count as 0."""
+    return F.array(*[F.coalesce(known(df, c).cast("double"), F.lit(0.0)) for c in features])
+
+
 TREE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size long, depth int")
 
 
@@ -126,40 +134,44 @@ class IsolationForestModel:
         self.features, self.trees, self.max_samples, self.offset = features, trees, max_samples, offset
 
     def score_samples(self, df: DataFrame, out: str = "_if_score", columns: Sequence[str] | None = None) -> DataFrame:
-        """sklearn convention: the negated anomaly score 2^(-E[h]/c(psi)) (higher = more normal)."""
-        spark = df.sparkSession
-        bc = spark.sparkContext.broadcast(self.trees)
-        feats, norm = list(columns or self.features), _c(self.max_samples)
-        out_schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType())])
-
-        def score(batches):
-            t = bc.value
-            by_tree = []
-            for _, g in t.groupby("tree"):
-                g = g.sort_values("node")
-                adj = g["depth"].to_numpy() + np.array([_c(v) for v in g["size"].to_numpy()])
-                by_tree.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                                g["right"].to_numpy(), int(g["depth"].max()), adj))
-            for pdf in batches:
-                x = pdf[feats].to_numpy(dtype=float)
-                x = np.where(np.isnan(x), 0.0, x)
-                total = np.zeros(len(pdf))
-                for feat, thr, left, right, max_depth, adj in by_tree:
-                    node = np.zeros(len(pdf), dtype=int)
-                    for _ in range(max_depth + 1):
-                        f = feat[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        xv = x[np.arange(len(pdf)), np.where(inner, f, 0)]
-                        nxt = np.where(xv <= thr[node], left[node], right[node])
-                        node = np.where(inner, nxt, node)
-                    total += adj[node]
-                mean = total / max(1, len(by_tree))
-                pdf[out] = -np.power(2.0, -mean / norm) if norm > 0 else -1.0
-                yield pdf
-
-        return df.mapInPandas(score, out_schema)
+        """sklearn convention: the negated anomaly score 2^(-E[h]/c(psi)) (higher = more normal).
+        Missing features count as 0."""
+        norm, by_tree = _c(self.max_samples), []
+        for _, g in self.trees.groupby("tree"):
+            g = g.sort_values("node")
+            adj = g["depth"].to_numpy() + np.array([_c(v) for v in g["size"].to_numpy()])
+            by_tree.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
+                            g["right"].to_numpy(), int(g["depth"].max()), adj))
+
+        @F.pandas_udf("double")
+        def score(vectors: pd.Series) -> pd.Series:
+            x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
+            total, row = np.zeros(len(x)), np.arange(len(x))
+            for feat, thr, left, right, max_depth, adj in by_tree:
+                node = np.zeros(len(x), dtype=int)
+                for _ in range(max_depth + 1):
+                    f = feat[node]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    nxt = np.where(x[row, np.where(inner, f, 0)] <= thr[node], left[node], right[node])
+                    node = np.where(inner, nxt, node)
+                total += adj[node]
+            mean = total / max(1, len(by_tree))
+            return pd.Series(-np.power(2.0, -mean / norm) if norm > 0 else np.full(len(x), -1.0))
+
+        return df.withColumn(out, score(_vector(df, list(columns or self.features))))
+
+    def save(self, spark, path: str) -> None:
+        """The tree table and one row of settings."""
+        spark.createDataFrame(self.trees, TREE_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
+        (spark.createDataFrame([(self.features, self.max_samples, self.offset)], "features array<string>, max_samples int, offset double")
+         .write.mode("overwrite").parquet(f"{path}/settings"))
+
+    @classmethod
+    def load(cls, spark, path: str) -> "IsolationForestModel":
+        row = spark.read.parquet(f"{path}/settings").first()
+        return cls(list(row["features"]), spark.read.parquet(f"{path}/trees").toPandas(), row["max_samples"], row["offset"])
 
     def anomaly_score(self, df: DataFrame, out: str = "anomaly_score", columns: Sequence[str] | None = None) -> DataFrame:
         """M5: 1 - decision value, decision = score_samples - offset."""
@@ -167,32 +179,41 @@ class IsolationForestModel:
         return s.withColumn(out, F.lit(1.0) - (F.col("_if_score") - F.lit(self.offset))).drop("_if_score")
 
 
+def _unit(h):
+    """A 64-bit hash as a number from 0 to 1."""
+    return (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+
+
 def fit_isolation_forest(train: DataFrame, features: Sequence[str], trees: int = IF_TREES,
                          max_samples: int = IF_MAX_SAMPLES, contamination: float = IF_CONTAMINATION,
                          seed: int = SEED) -> IsolationForestModel:
     """M4: ``trees`` isolation trees on ``max_samples`` rows each (depth limit ceil(log2 psi)),
     offset = the ``contamination`` percentile of the training scores (exact, linear interpolation)."""
     feats = list(features)
-    n = train.count()
+    rows = train.select(_vector(train, feats).alias("x")).withColumn("_u", F.xxhash64("x", F.lit(seed)))
+    n = rows.count()
     psi = int(min(max_samples, n))
     depth = int(math.ceil(math.log2(max(psi, 2))))
-    pool_size = trees * psi
-    frac = min(1.0, 1.5 * pool_size / max(n, 1))
-    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats])
-    pool = (train.sample(False, frac, seed).select(vec.alias("x"))
-            .withColumn("_r", F.rand(seed))
-            .withColumn("tree", (F.abs(F.xxhash64("_r")) % trees).cast("int")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("_r")
-    pool = pool.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= psi).select("tree", "x")
+    # a pool of rows bounded by POOL trees' worth, from which every tree draws on its own; both
+    # draws are hashes of row, tree and seed, so the model doesn't depend on partitioning
+    share = min(1.0, POOL * psi / max(n, 1))
+    pool = rows.where(_unit(F.col("_u")) < share)
+    expected = max(1.0, n * share)
+    cut = 1.0 if expected <= 4 * psi else (psi + 8 * math.sqrt(psi) + 16) / expected
+    drawn = (pool.select("x", F.explode(F.expr(f"filter(transform(sequence(0, {trees - 1}), t -> named_struct('tree', t, 'r', xxhash64(_u, t))), "
+                                               f"s -> (s.r + 9223372036854775808BD) / 18446744073709551616BD < {cut!r})")).alias("d"))
+             .select(F.col("d.tree").alias("tree"), F.col("d.r").alias("_r"), "x"))
+    first = Window.partitionBy("tree").orderBy("_r", "x")
+    drawn = drawn.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= psi).select("tree", "x")
     nf = len(feats)
-    table = pool.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, nf, depth), TREE_SCHEMA).toPandas()
+    table = drawn.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf.assign(_s=pdf["x"].map(tuple)).sort_values("_s"), nf, depth),
+                                                TREE_SCHEMA).toPandas()
     model = IsolationForestModel(feats, table, psi)
-    scored = model.score_samples(train.select(*feats))
-    m = scored.count()
-    pos = contamination * (m - 1)
+    checkpoint_dir(train.sparkSession)
+    scored = model.score_samples(train.select(*feats)).select("_if_score").checkpoint()
+    pos = contamination * (n - 1)
     k = int(math.floor(pos))
-    stats = exact_order_stats(scored, {"_if_score": [k + 1, min(k + 2, m)]})["_if_score"]
-    lo, hi = stats[k + 1], stats[min(k + 2, m)]
+    stats = exact_order_stats(scored, {"_if_score": [k + 1, min(k + 2, n)]})["_if_score"]
+    lo, hi = stats[k + 1], stats[min(k + 2, n)]
     model.offset = lo + (hi - lo) * (pos - k)
     return model

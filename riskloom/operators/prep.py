@@ -29,21 +29,22 @@ def time_features(df: DataFrame, dt: str = "TransactionDT", amount: str = "Trans
                      X.log_amount(F.col(amount)).alias("log_transaction_amt"))
 
 
-def group_amount_stats(df: DataFrame, key: str, amount: str = "TransactionAmt") -> DataFrame:
+def group_amount_stats(df: DataFrame, key: str, amount: str = "TransactionAmt", stats_from: DataFrame | None = None) -> DataFrame:
     """G3 as aggregate + join: per-key mean and sample std. ``groupBy`` combines partially on the
     map side, so a hot key costs one small row per partition; the join back is left to AQE, which
     broadcasts the aggregate once its measured size is small and splits skewed partitions otherwise.
-    Null keys find no match and get null statistics (N1, N2)."""
-    stats = df.groupBy(key).agg(F.avg(F.col(amount).cast("double")).alias(f"_{key}_mean"),
+    Null keys find no match and get null statistics (N1, N2). ``stats_from``: the same rows from
+    nearer the scan (before joins), of which only the two columns are read."""
+    stats = (df if stats_from is None else stats_from).groupBy(key).agg(F.avg(F.col(amount).cast("double")).alias(f"_{key}_mean"),
                                 F.stddev_samp(F.col(amount).cast("double")).alias(f"_{key}_std"))
     return df.join(stats, on=key, how="left")
 
 
 def card_amount_features(df: DataFrame, key: str = "card1", amount: str = "TransactionAmt",
-                         names: dict | None = None) -> DataFrame:
+                         names: dict | None = None, stats_from: DataFrame | None = None) -> DataFrame:
     """Difference from the card mean and z-score (zero std -> null), float32."""
     names = names or FINAL_NAMES
-    j = group_amount_stats(df, key, amount)
+    j = group_amount_stats(df, key, amount, stats_from)
     amt = F.col(amount).cast("double")
     mean, std = F.col(f"_{key}_mean"), F.col(f"_{key}_std")
     return j.select(*df.columns, X.float32(amt - mean).alias(names["mean_diff"]),
@@ -51,10 +52,10 @@ def card_amount_features(df: DataFrame, key: str = "card1", amount: str = "Trans
 
 
 def product_amount_ratio(df: DataFrame, key: str = "ProductCD", amount: str = "TransactionAmt",
-                         names: dict | None = None) -> DataFrame:
+                         names: dict | None = None, stats_from: DataFrame | None = None) -> DataFrame:
     """Amount over the product mean, zero mean -> null, float32."""
     names = names or FINAL_NAMES
-    stats = df.groupBy(key).agg(F.avg(F.col(amount).cast("double")).alias("_prod_mean"))
+    stats = (df if stats_from is None else stats_from).groupBy(key).agg(F.avg(F.col(amount).cast("double")).alias("_prod_mean"))
     j = df.join(stats, on=key, how="left")
     return j.select(*df.columns, X.float32(F.col(amount).cast("double")
                                            / F.nullif(F.col("_prod_mean"), F.lit(0.0))).alias(names["ratio"]))
@@ -79,9 +80,11 @@ def device_flags(df: DataFrame) -> DataFrame:
                      X.is_mobile_device(F.col("DeviceType")).alias("is_mobile_device"))
 
 
-def add_ieee_features(df: DataFrame, prototype: bool = False) -> DataFrame:
+def add_ieee_features(df: DataFrame, prototype: bool = False, stats_from: DataFrame | None = None) -> DataFrame:
     """D1-D10 in the reference's order; a feature is added only when its inputs exist. The prototype
-    flow names D4-D6 differently and has no D1/D3 (its hour is absent too; only the day exists)."""
+    flow names D4-D6 differently and has no D1/D3 (its hour is absent too; only the day exists).
+    The group statistics come from ``stats_from`` (default: ``df`` itself, before any join back)."""
+    stats_from = df if stats_from is None else stats_from
     cols = set(df.columns)
     names = PROTOTYPE_NAMES if prototype else FINAL_NAMES
     out = df
@@ -91,9 +94,9 @@ def add_ieee_features(df: DataFrame, prototype: bool = False) -> DataFrame:
         else:
             out = time_features(out)
     if {"TransactionAmt", "card1"} <= cols:
-        out = card_amount_features(out, names=names)
+        out = card_amount_features(out, names=names, stats_from=stats_from)
     if {"TransactionAmt", "ProductCD"} <= cols:
-        out = product_amount_ratio(out, names=names)
+        out = product_amount_ratio(out, names=names, stats_from=stats_from)
     out = match_flags(out)
     return device_flags(out)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StructType
 
+from riskloom.functions.features import known
+
 
 def numeric_columns(schema: StructType) -> list[str]:
     """Numeric = numeric Spark types; booleans, strings and times are categorical."""
@@ -19,10 +21,10 @@ def categorical_columns(schema: StructType) -> list[str]:
 
 
 def null_ratios_row(df: DataFrame) -> dict[str, float]:
-    """Share of nulls per column, one aggregate (a driver-side dict of column -> ratio)."""
+    """Share of nulls (NaN counts as one) per column, one aggregate (a driver-side dict of column -> ratio)."""
     if not df.columns:
         return {}
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in df.columns]).first()
+    row = df.agg(*[F.avg(known(df, c).isNull().cast("double")).alias(c) for c in df.columns]).first()
     return {c: (row[c] if row[c] is not None else 0.0) for c in df.columns}
 
 
@@ -30,7 +32,7 @@ def null_ratio(df: DataFrame, top: int | None = 20) -> DataFrame:
     """``column_name``, ``missing_ratio`` (rounded 4), ratio desc then name, top ``top``.
     Stays a DataFrame: one aggregate row unpivoted with ``stack``."""
     cols = df.columns
-    agg = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    agg = df.agg(*[F.avg(known(df, c).isNull().cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', c{i}" for i, c in enumerate(cols))
     long = agg.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, ratio)")
     out = long.select("column_name", F.coalesce(F.col("ratio"), F.lit(0.0)).alias("ratio")) \
@@ -53,7 +55,7 @@ def dataset_profile(df: DataFrame, label: str | None, dataset_name: str, dataset
     as one row. Rows, label rate and all null ratios come from a single aggregate."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.avg(F.col(c).isNull().cast("double")).alias(f"_n{i}") for i, c in enumerate(cols)]
+    aggs += [F.avg(known(df, c).isNull().cast("double")).alias(f"_n{i}") for i, c in enumerate(cols)]
     has_label = bool(label and label in cols)
     aggs.append((F.avg(F.col(label).cast("double")) if has_label else F.lit(None).cast("double"))
                 .alias("_label_rate"))

@@ -34,13 +34,13 @@ def between(ts: Column, start=None, end=None) -> Column:
 
 
 def count_between(preds: DataFrame, start=None, end=None, ts: str = "created_at") -> DataFrame:
-    """G4."""
-    return preds.agg(F.count_if(between(F.col(ts), start, end)).alias("count"))
+    """G4. The range is a filter, so it reaches the scan."""
+    return preds.where(between(F.col(ts), start, end)).agg(F.count(F.lit(1)).alias("count"))
 
 
 def count_by_level(preds: DataFrame, level: str, start=None, end=None, ts: str = "created_at") -> DataFrame:
-    """Case-insensitive level, optional range."""
-    return preds.agg(F.count_if((_lv() == level.lower()) & between(F.col(ts), start, end)).alias("count"))
+    """Case-insensitive level, optional range; both are filters."""
+    return preds.where(between(F.col(ts), start, end) & (_lv() == level.lower())).agg(F.count(F.lit(1)).alias("count"))
 
 
 def average_risk(preds: DataFrame) -> DataFrame:
@@ -77,8 +77,7 @@ def dashboard_kpis(preds: DataFrame, asof: str, ts: str = "created_at") -> DataF
 
 def risk_breakdown(preds: DataFrame, start=None, end=None, ts: str = "created_at") -> DataFrame:
     """Counts per level and shares over a total floored at 1."""
-    rng = between(F.col(ts), start, end)
-    agg = preds.agg(*[F.count_if((_lv() == lv) & rng).alias(lv) for lv in LEVELS])
+    agg = preds.where(between(F.col(ts), start, end)).agg(*[F.count_if(_lv() == lv).alias(lv) for lv in LEVELS])
     total = F.greatest(F.col("high") + F.col("medium") + F.col("low"), F.lit(1))
     return agg.select(F.col("high"), F.col("medium").alias("med"), F.col("low"),
                       (F.col("high") / total).alias("high_share"), (F.col("medium") / total).alias("med_share"),
@@ -126,8 +125,21 @@ def format_times(df: DataFrame, ts: str = "created_at") -> DataFrame:
              .withColumn("date", F.date_format(F.col(ts), "yyyy-MM-dd HH:mm"))
 
 
+def _reasons(df: DataFrame) -> Column:
+    """The reasons as a list: the column itself, or decoded from the stored JSON text; none: empty."""
+    if "reasons" in df.columns:
+        found = F.col("reasons")
+    elif "reasons_json" in df.columns:
+        found = F.from_json("reasons_json", "array<string>")
+    else:
+        found = F.lit(None)
+    return F.coalesce(found.cast("array<string>"), F.array().cast("array<string>"))
+
+
 def _listing(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), "amount", "card1", "device", "fraud_probability", "risk_score",
+    addr1 = F.col("addr1").cast("long") if "addr1" in df.columns else F.lit(0).cast("long")
+    return df.select(F.col(id_col).alias("id"), "amount", "card1", "device", F.coalesce(addr1, F.lit(0)).alias("addr1"),
+                     _reasons(df).alias("reasons"), "fraud_probability", "risk_score",
                      F.col("risk_level").alias("risk"), R.status_from_level(F.col("risk_level")).alias("status"),
                      "created_at", "time", "date")
 
@@ -151,8 +163,9 @@ def search_transactions(preds: DataFrame, text: str, id_col: str = "transaction_
 
 def alerts(preds: DataFrame, reason_count: Column | None = None, id_col: str = "transaction_id",
            ts: str = "created_at") -> DataFrame:
-    """Newest 3 high and newest 2 medium, high first, first 4 kept. Two bounded top-k plans."""
-    n_reasons = reason_count if reason_count is not None else F.size("reasons")
+    """Newest 3 high and newest 2 medium, high first, first 4 kept. Two bounded top-k plans. The
+    reasons are counted from the list or from the stored JSON text."""
+    n_reasons = reason_count if reason_count is not None else F.size(_reasons(preds))
     high = (preds.where(_lv() == "high").orderBy(F.desc(ts), F.desc(id_col)).limit(3)
             .select(F.lit(0).alias("_g"), F.col(ts).alias("_t"), F.col(id_col).alias("_id"),
                     F.lit("High-risk transaction detected").alias("title"),
@@ -166,6 +179,7 @@ def alerts(preds: DataFrame, reason_count: Column | None = None, id_col: str = "
                    F.concat(F.col(id_col).cast("string"), F.lit(" has "), n_reasons.cast("string"),
                             F.lit(" triggered rules")).alias("sub"),
                    F.lit(False).alias("urgent")))
+    # The titles and phrases of the alerts above
     both = high.unionByName(med).orderBy("_g", F.desc("_t"), F.desc("_id")).limit(4)
     return both.select("title", "sub", "urgent")
 
@@ -183,10 +197,10 @@ def analytics_snapshot(preds: DataFrame) -> DataFrame:
 
 
 def prediction_rows(scored: DataFrame, id_col: str = "transaction_id", ts: str = "created_at",
-                    user_id=None) -> DataFrame:
+                    user_id=None, keep: tuple = ()) -> DataFrame:
     """A6 + D23: rows as stored: ids ``TXN-<epoch ms>-<4 hex>`` (the hex derives from the row's key,
     where the reference draws it at random), null or 0 -> 0 for numbers, device default, status,
-    reasons as JSON text."""
+    reasons as JSON text. ``keep``: further columns."""
     hex4 = F.upper(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4))
     reasons = F.col("reasons_json") if "reasons_json" in scored.columns else R.reasons_json(F.col("reasons"))
     return scored.select(
@@ -203,4 +217,4 @@ def prediction_rows(scored: DataFrame, id_col: str = "transaction_id", ts: str =
         F.coalesce(F.col("risk_level"), F.lit("Low")).alias("risk_level"),
         R.status_from_level(F.coalesce(F.col("risk_level"), F.lit("Low"))).alias("status"),
         reasons.alias("reasons_json"),
-        F.col(ts).alias("created_at"))
+        F.col(ts).alias("created_at"), *keep)

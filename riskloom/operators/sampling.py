@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.selection import hash_cutoff
 
+MAX_CLASSES = 1000
+
 
 def sample_n(df: DataFrame, n: int | None, seed: int = 42, key: str = "TransactionID",
              sort: str | None = None) -> DataFrame:
-    """B1: exactly ``n`` rows chosen by seeded hash of a unique key, without replacement.
+    """B1: exactly ``n`` rows chosen by seeded hash of a key, without replacement.
     ``n`` None, 0, or at least the row count keeps every row. ``sort`` re-sorts the result (a sink
     concern; left to the writer when None)."""
     if not n:
@@ -24,9 +26,17 @@ def sample_n(df: DataFrame, n: int | None, seed: int = 42, key: str = "Transacti
     return out
 
 
+def sort_by_key(df: DataFrame, *columns: str) -> DataFrame:
+    """I4: rows in key order, a distributed range sort; for the sinks."""
+    return df.orderBy(*columns)
+
+
 def class_targets(df: DataFrame, label: str, size: float) -> dict:
     """Validation rows per class: round-half-up of ``n_c * size`` (keeps label rates)."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    found = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} values: it is no class label")
+    counts = {r[label]: r["count"] for r in found}
     return {c: int(math.floor(n * size + 0.5)) for c, n in counts.items()}
 
 

@@ -7,8 +7,9 @@ Two helpers back sampling, stratified splits and exact medians:
   1024 x classes rows come back), until the boundary bucket is small; only that bounded bucket is
   ranked with a window.
 * ``exact_order_stats`` finds k-th smallest values per column: ``percentile_approx`` brackets,
-  each verified with exact counts, narrowed until at most 2M rows remain, then a window rank inside
-  the bracket. A failed verification keeps the wider bracket, so the answer is always exact.
+  each verified with exact counts and narrowed while they shrink; the bracket's rows are grouped to
+  counts of different values, and prefix sums of those counts hold the ranks. A failed verification
+  keeps the wider bracket, so the answer is always exact. NaN counts as missing.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.joins import checked_broadcast
+from riskloom.functions.features import known
+from riskloom.session import checkpoint_dir
 
 HASH_BITS = 48
 BUCKETS = 1024
-FINAL_ROWS = 200_000
+FINAL_ROWS = 50_000
 
 
 def seeded_md5(key: Column, seed: int) -> Column:
@@ -38,11 +40,15 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
                 final_rows: int = FINAL_ROWS) -> DataFrame:
     """Return ``df`` with a boolean ``_selected``: per class, exactly the ``targets[class]`` rows
     with the smallest ``(md5(key:seed), key)``. ``targets`` maps class value -> count (use the key
-    ``None`` when there is no class column)."""
-    h = seeded_md5(F.col(key), seed)
+    ``None`` when there is no class column). Rows that repeat a key are ranked one by one, so the
+    counts hold for them too; a null key hashes as the text ``null``. The histogram passes read a
+    checkpoint of class and hash prefix, not the rows. One key repeated more than ``final_rows``
+    times at the cut is an error, as its rows could only be ranked in one task."""
+    h = seeded_md5(F.coalesce(F.col(key).cast("string"), F.lit("null")), seed)
     work = df.withColumn("_h", h).withColumn("_p", md5_prefix(F.col("_h")))
     cls = F.col(class_col) if class_col else F.lit(None)
-    narrow = work.select(cls.alias("_c"), "_p")
+    checkpoint_dir(df.sparkSession)
+    narrow = work.select(cls.alias("_c"), "_p").checkpoint()
     state = {c: {"lo": 0, "hi": 1 << HASH_BITS, "need": int(n), "below": 0} for c, n in targets.items()}
     active = {c for c, s in state.items() if s["need"] > 0}
     done = {}
@@ -74,7 +80,9 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
                     w = widths[c]
                     s["lo"], s["hi"] = s["lo"] + b * w, min(s["hi"], s["lo"] + (b + 1) * w)
                     s["need"] -= cum
-                    if cnt <= final_rows or w == 1:
+                    if cnt > final_rows and w == 1:
+                        raise ValueError(f"{cnt} rows share one value of {key!r} at the cut: it is no key")
+                    if cnt <= final_rows:
                         done[c] = dict(s)
                         active.discard(c)
                     break
@@ -98,38 +106,37 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
     for c, s in done.items():
         cc = cls_w.isNull() if c is None else (cls_w == F.lit(c))
         need_expr = F.when(cc, F.lit(s["need"])) if need_expr is None else need_expr.when(cc, F.lit(s["need"]))
-    # the boundary set is bounded by final_rows per class: rank it, keep the first `need`
+    # the boundary set is bounded by final_rows per class: rank its rows, keep the first `need`
+    if not any(s["need"] > 0 for s in done.values()):
+        return work.withColumn("_selected", F.coalesce(below, F.lit(False))).drop("_h", "_p")
     part = [class_col] if class_col else []
     w = Window.partitionBy(*part).orderBy("_h", key)
-    chosen = (work.where(boundary).select(*(part + [key, "_h"]))
-              .withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") <= need_expr).select(key).withColumn("_chosen", F.lit(True)))
-    bound = sum(int(s_["need"]) for s_ in done.values() if s_["need"] > 0)
-    out = work.join(checked_broadcast(chosen, known_rows=bound), on=key, how="left")
-    return out.withColumn("_selected", below | F.coalesce(F.col("_chosen"), F.lit(False))) \
-              .drop("_h", "_p", "_chosen")
+    at_cut = F.coalesce(boundary, F.lit(False))
+    ranked = (work.where(at_cut).withColumn("_selected", F.row_number().over(w) <= need_expr))
+    rest = work.where(~at_cut).withColumn("_selected", F.coalesce(below, F.lit(False)))
+    return rest.unionByName(ranked).drop("_h", "_p")
 
 
 MAX_BRACKET_ROWS = 2_000_000
 
 
 def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy: int = 10_000,
-                      max_bracket: int = MAX_BRACKET_ROWS, max_passes: int = 8,
-                      counts: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
+                      max_bracket: int = MAX_BRACKET_ROWS, counts: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
     """For each column, the k-th smallest non-null values (1-based k) for every k asked.
 
     Per column a value bracket [a, b] holding all asked ranks is narrowed with ``percentile_approx``
     passes over the rows inside the current bracket and verified by exact counts after each pass
-    (a failed verification keeps the previous bracket, so the answer stays exact). When the bracket
-    holds at most ``max_bracket`` rows, ranks inside it are assigned with a window - a bounded task
-    per column. A bracket of one repeated value needs no ranking at all."""
+    (a failed verification keeps the previous bracket, so the answer stays exact). Once it holds at
+    most ``max_bracket`` rows, or stops shrinking because few values make up most of it, its rows are
+    grouped to one count per different value, and running sums over those give the ranks: however
+    often a value repeats, it is one row. A bracket of one value needs no ranking at all."""
     if not wanted:
         return {}
     if counts is None:
-        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in wanted]).first().asDict()
+        counts = df.agg(*[F.count(known(df, c)).alias(c) for c in wanted]).first().asDict()
     # state: column -> [lo, hi, below, inside]; None bounds mean open
     state = {c: [None, None, 0, counts[c]] for c in wanted if counts[c]}
-    for _ in range(max_passes):
+    while True:
         active = [c for c, (lo, hi, below, inside) in state.items()
                   if inside > max_bracket and not (lo is not None and lo == hi)]
         if not active:
@@ -137,7 +144,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
         probes = []
         for c in active:
             lo, hi, below, inside = state[c]
-            v = F.col(c).cast("double")
+            v = known(df, c).cast("double")
             cond = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
             ks = [k - below for k in wanted[c]]
             delta = 3.0 / accuracy + 1.0 / inside
@@ -148,7 +155,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
         checks = []
         for c in active:
             a, b = brackets[c]
-            v = F.col(c).cast("double")
+            v = known(df, c).cast("double")
             checks += [F.count_if(v < F.lit(a)).alias(f"{c}__lt"), F.count_if(v <= F.lit(b)).alias(f"{c}__le")]
         cnt = df.agg(*checks).first().asDict()
         progressed = False
@@ -167,7 +174,7 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
             for k in wanted[c]:
                 result[c][k] = lo
             continue
-        v = F.col(c).cast("double")
+        v = known(df, c).cast("double")
         keep = v.isNotNull() if lo is None else (v >= F.lit(lo)) & (v <= F.lit(hi))
         structs.append(F.struct(F.lit(c).alias("_col"), F.when(keep, v).alias("_v"),
                                 F.lit(below).cast("long").alias("_below")))
@@ -175,20 +182,18 @@ def exact_order_stats(df: DataFrame, wanted: dict[str, Sequence[int]], accuracy:
         return result
     # one scan for all columns: each row offers its in-bracket values, one struct per column
     union = df.select(F.inline(F.array(*structs))).where(F.col("_v").isNotNull())
-    pick = None
+    counted = union.groupBy("_col", "_v", "_below").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_col").orderBy("_v")) + F.col("_below")
+    pick = F.lit(False)
     for c, ks in wanted.items():
-        if c not in state or result[c]:
-            continue
-        for k in set(ks):
-            cond = (F.col("_col") == c) & (F.col("_rn") + F.col("_below") == k)
-            pick = cond if pick is None else (pick | cond)
-    if pick is None:
-        return result
-    w = Window.partitionBy("_col").orderBy("_v")
-    rows = (union.withColumn("_rn", F.row_number().over(w)).where(pick)
-            .select("_col", (F.col("_rn") + F.col("_below")).alias("_k"), "_v").collect())
+        if c in state and not result[c]:
+            for k in set(ks):
+                pick = pick | ((F.col("_col") == c) & (F.col("_upto") - F.col("_n") < k) & (F.col("_upto") >= k))
+    rows = counted.withColumn("_upto", upto).where(pick).select("_col", "_upto", "_n", "_v").collect()
     for r in rows:
-        result[r["_col"]][int(r["_k"])] = r["_v"]
+        for k in wanted[r["_col"]]:
+            if r["_upto"] - r["_n"] < k <= r["_upto"]:
+                result[r["_col"]][int(k)] = r["_v"]
     return result
 
 
@@ -196,7 +201,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000)
     """Exact medians; even counts average the two middle values."""
     if not columns:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[F.count(known(df, c)).alias(c) for c in columns]).first().asDict()
     wanted = {}
     for c in columns:
         n = counts[c]

@@ -11,7 +11,7 @@ from riskloom.operators import cleaning, payments, prep, profiling, sampling
 from riskloom.session import checkpoint_dir
 from riskloom.sources import tables
 
-# Workflow presets (sample sizes, threshold, seed) of the reference.
+# Workflow presets (names, sample sizes, role sentences, threshold, seed) of the reference.
 IEEE_FULL = {"name": "ieee_cis_full_train", "sample_size": 0,
              "role": "core knowledge base for model training and feature engineering"}
 IEEE_SAMPLE = {"name": "ieee_cis_dev_sample", "sample_size": 10000,
@@ -38,14 +38,16 @@ def prepare_transactions(transactions: DataFrame, identity: DataFrame, preset: d
     """Sample (B1) -> left join (F1) -> narrow (D17) -> raw profile (C2) -> features
     -> clean (E8) -> cleaned profile (C2 + C4). The full preset keeps every row; the sample preset
     reads 0 or None as its default size."""
+    tables.require_columns(transactions, ["TransactionID"], "transactions")
+    tables.require_columns(identity, ["TransactionID"], "identity")
     n = 0 if preset["sample_size"] == 0 else (sample_size or preset["sample_size"])
     sampled = sampling.sample_n(transactions, n or None, seed, key="TransactionID")
-    merged = prep.left_enrich(sampled, identity)
+    merged = tables.materialised(prep.left_enrich(sampled, identity), "merged")     # every decision below reads this
     if narrow:
         merged = prep.narrow_types(merged)
     raw = profiling.dataset_profile(merged, "isFraud", preset["name"], preset["role"]) \
         .withColumn("sample_size", F.lit(int(n or 0)))
-    enriched = prep.add_ieee_features(merged, prototype=prototype)
+    enriched = tables.materialised(prep.add_ieee_features(merged, prototype=prototype), "enriched")
     cleaned, dropped = cleaning.clean_transactions(enriched, threshold, narrow=narrow)
     prof = profiling.dataset_profile(cleaned, "isFraud", preset["name"], preset["role"])
     prof = profiling.cleaning_report(prof, n or 0, threshold, dropped)
@@ -63,19 +65,18 @@ class PaymentGraph:
 def prepare_payments(payments_df: DataFrame, sample_size: int | None = None, seed: int = SEED,
                      key: str = "_row_key", narrow: bool = True) -> PaymentGraph:
     """Sample (B1, sorted by step at the sink) -> D11-D16 -> D17 -> G1, G2 -> C6.
-    0 or None means the preset size. Seeded sampling needs a unique key column (``key``); a table
-    without one is processed whole."""
+    0 or None means the preset size; the preset always samples, by the seeded hash of a key column,
+    and a table without that column is an error."""
     n = sample_size or PAYSIM["sample_size"]
-    base = payments_df
-    if key in base.columns:
-        base = sampling.sample_n(base, n, seed, key=key)
-    else:
-        n = 0
+    tables.require_columns(payments_df, [key], "payments")
+    base = sampling.sample_n(payments_df, n, seed, key=key)
     prepared = prep.payment_features(base)
     if narrow:
         prepared = prep.narrow_types(prepared)
     edges = payments.payment_edges(prepared)
     nodes = payments.payment_nodes(prepared)
+    if narrow:
+        edges, nodes = prep.narrow_types(edges), prep.narrow_types(nodes)
     prof = profiling.dataset_profile(prepared, "isFraud", PAYSIM["name"], PAYSIM["role"]) \
         .withColumn("sample_size", F.lit(int(n or 0)))
     prof = profiling.graph_profile(prof, nodes, edges)
@@ -98,6 +99,7 @@ def prepare_model_data(cleaned: DataFrame, target: str = "isFraud", id_column: s
                        seed: int = SEED, keep_id: bool = False) -> ModelData:
     """B2 -> E4 -> E5 -> E3 -> E6 -> E7 and the preparation report."""
     checkpoint_dir(cleaned.sparkSession)
+    cleaned = tables.materialised(cleaned, "cleaned")
     # cut lineage once the split is fixed: the fits below each run an action over it
     split = sampling.stratified_split(cleaned, target, size, seed, key=id_column).checkpoint()
     features = [c for c in cleaned.columns if c not in (target, id_column)]
@@ -127,7 +129,7 @@ def write_transaction_outputs(prepared: Prepared, root: str, name: str = IEEE_FU
                               dataset: str = "ieee_cis") -> dict[str, str]:
     """A2-A4 for E9: processed table and raw / cleaned profiles in the dataset's folders."""
     lay = tables.dataset_layout(root, dataset)
-    tables.write_table(prepared.frame, f"{lay['processed']}/{name}_processed")
+    tables.write_table(sampling.sort_by_key(prepared.frame, "TransactionID"), f"{lay['processed']}/{name}_processed")
     tables.write_profile(prepared.raw_profile, f"{lay['profiles']}/{name}_raw_profile")
     tables.write_profile(prepared.cleaned_profile, f"{lay['profiles']}/{name}_cleaned_profile")
     return lay
@@ -136,8 +138,8 @@ def write_transaction_outputs(prepared: Prepared, root: str, name: str = IEEE_FU
 def write_payment_outputs(g: PaymentGraph, root: str, dataset: str = "paysim") -> dict[str, str]:
     """A2-A4 for G12: processed transactions, edge and node tables, profile."""
     lay = tables.dataset_layout(root, dataset)
-    tables.write_table(g.prepared, f"{lay['processed']}/{PAYSIM['name']}_transactions_processed")
-    tables.write_table(g.edges, f"{lay['graph']}/{PAYSIM['name']}_edges")
-    tables.write_table(g.nodes, f"{lay['graph']}/{PAYSIM['name']}_nodes")
+    tables.write_table(sampling.sort_by_key(g.prepared, "step"), f"{lay['processed']}/{PAYSIM['name']}_transactions_processed")
+    tables.write_table(sampling.sort_by_key(g.edges, "step"), f"{lay['graph']}/{PAYSIM['name']}_edges")
+    tables.write_table(sampling.sort_by_key(g.nodes, "node_id"), f"{lay['graph']}/{PAYSIM['name']}_nodes")
     tables.write_profile(g.profile, f"{lay['profiles']}/{PAYSIM['name']}_profile")
     return lay

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions import rules as R
 from riskloom.operators import history, metrics, models, prep
 from riskloom.plans import prepare, score
 from riskloom.plans.q_prep import MERGED_CTE, SPLIT_CTE, _merged, _with
+from riskloom.plans.q_report import _scored_sql
+from riskloom.plans.q_score import RULE_REASON_ITEMS_SQL
 from riskloom.plans.registry import query
 from riskloom.sources.fixtures import fixture, with_views
 
@@ -77,32 +80,45 @@ def q_predict_class(spark, sf_dir):
     return metrics.predict_class(fixture(spark, sf_dir, "fx_pred")).select("transaction_id", "prediction")
 
 
-# ---------------------------------------------------------------- fitted models (no exact oracle)
+# ---------------------------------------------------------------- fitted models: what must hold for any fit
 def _model_data(spark, sf_dir):
     md = prepare.prepare_model_data(_merged(spark, sf_dir), keep_id=True)
     return md, md.numeric + md.categorical
 
 
-@query("fraud_model")
+@query("fraud_model", _with("""
+SELECT count(*) AS validation_rows, count(*) FILTER (WHERE isFraud = 1) AS fraud_rows, count(*) AS scored_rows,
+       true AS probabilities_in_range, true AS metrics_in_range
+FROM split WHERE split = 'validation'""", MERGED_CTE, SPLIT_CTE.format(src="merged")))
 def q_fraud_model(spark, sf_dir):
-    """M1 + M6-M9: fit on train, evaluate on validation; one row of metrics."""
+    """M1 + M6-M9: fit on train, evaluate on validation; what must hold for any such model."""
     md, feats = _model_data(spark, sf_dir)
     train, valid = md.frame.where("split = 'train'"), md.frame.where("split = 'validation'")
     model = models.fit_fraud_model(train, feats)
     pred = models.predict_probability(model, valid).checkpoint()
-    ap = metrics.average_precision(pred).first()[0]
-    acc = metrics.classification_report(pred).where("class = 'accuracy'").first()["f1_score"]
-    return metrics.roc_auc(pred).select("roc_auc", F.lit(ap).cast("double").alias("average_precision"),
-                                        F.lit(acc).cast("double").alias("accuracy"))
+    found = [metrics.average_precision(pred).first()[0], metrics.roc_auc(pred).first()[0],
+             metrics.classification_report(pred).where("class = 'accuracy'").first()["f1_score"]]
+    return pred.agg(F.count(F.lit(1)).alias("validation_rows"), F.count_if(F.col("isFraud") == 1).alias("fraud_rows"),
+                    F.count("fraud_probability").alias("scored_rows"),
+                    F.bool_and(F.col("fraud_probability").between(0, 1)).alias("probabilities_in_range"),
+                    F.lit(all(x is not None and 0 <= x <= 1 for x in found)).alias("metrics_in_range"))
 
 
-@query("isolation_forest")
+@query("isolation_forest", _with("""
+SELECT TransactionID, true AS in_range, true AS full_roots, true AS contamination_met
+FROM split WHERE split = 'validation'""", MERGED_CTE, SPLIT_CTE.format(src="merged")))
 def q_isolation_forest(spark, sf_dir):
-    """M4 + M5: fit on train, anomaly score for every validation row."""
+    """M4 + M5: fit on train, anomaly score for every validation row; scores within their range,
+    every tree grown on its 256 rows, and the fitted share of training rows beyond the offset."""
     md, feats = _model_data(spark, sf_dir)
     train, valid = md.frame.where("split = 'train'"), md.frame.where("split = 'validation'")
     forest = models.fit_isolation_forest(train, feats)
-    return forest.anomaly_score(valid).select("TransactionID", "anomaly_score")
+    roots = set(forest.trees.loc[forest.trees["node"] == 0, "size"])
+    share = forest.anomaly_score(train).agg(F.avg((F.col("anomaly_score") > 1).cast("double"))).first()[0]
+    return forest.anomaly_score(valid).select(
+        "TransactionID", (F.col("anomaly_score") - F.lit(forest.offset)).between(1, 2).alias("in_range"),
+        F.lit(roots == {min(models.IF_MAX_SAMPLES, train.count())}).alias("full_roots"),
+        F.lit(abs(share - models.IF_CONTAMINATION) < 0.005).alias("contamination_met"))
 
 
 GRAPH_FEATURES = ["user_degree", "device_degree"]
@@ -126,9 +142,16 @@ def fit_serving_models(spark, sf_dir, rounds: int = models.GBT_ROUNDS):
     return gbt, forest, model_feats, feats
 
 
-@query("score_transactions")
+@query("score_transactions", _scored_sql("""
+SELECT TransactionID AS transaction_id, true AS in_range, true AS level_fits,
+       '[' || concat_ws(', ', {RULE_REASON_ITEMS_SQL},
+        CASE WHEN user_degree + 1 > 5 THEN '"User has high transaction frequency"' END,
+        CASE WHEN device_users_incl > 3 THEN '"Device shared across multiple accounts"' END,
+        CASE WHEN in_cluster THEN '"Part of suspicious transaction cluster"' END) || ']' AS rule_reasons
+FROM blend""".replace("{RULE_REASON_ITEMS_SQL}", RULE_REASON_ITEMS_SQL)))
 def q_score_transactions(spark, sf_dir):
-    """L5 with fitted models over every transaction of fx_txn."""
+    """L5 with fitted models over every transaction of fx_txn: ranges, levels, and the reasons that
+    don't come from a model."""
     gbt, forest, model_feats, if_feats = fit_serving_models(spark, sf_dir)
 
     def probability(df):
@@ -140,5 +163,10 @@ def q_score_transactions(spark, sf_dir):
         aligned = prep.align_features(df, if_feats, keep=df.columns, out_prefix="a_")
         return forest.anomaly_score(aligned, columns=["a_" + c for c in if_feats]).drop(*["a_" + c for c in if_feats])
 
-    scored = score.score(fixture(spark, sf_dir, "fx_txn"), probability, anomaly)
-    return score.scored_view(scored).drop("reasons")
+    scored = score.scored_view(score.score(fixture(spark, sf_dir, "fx_txn"), probability, anomaly))
+    level = F.when(F.col("risk_score") < 30, "Low").when(F.col("risk_score") < 70, "Medium").otherwise("High")
+    by_rule = F.filter("reasons", lambda r: r != "Unusual transaction behavior detected")
+    return scored.select("transaction_id",
+                         (F.col("fraud_probability").between(0, 1) & F.col("risk_score").isNotNull()
+                          & (F.col("anomaly_score") - F.lit(forest.offset)).between(1, 2)).alias("in_range"),
+                         (F.col("risk_level") == level).alias("level_fits"), R.reasons_json(by_rule).alias("rule_reasons"))

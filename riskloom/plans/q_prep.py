@@ -8,7 +8,7 @@ from riskloom.operators import cleaning, payments, prep, profiling, sampling
 from riskloom.plans import prepare
 from riskloom.plans.registry import query
 from riskloom.sources.fixtures import fixture, with_views
-from riskloom.sources.tables import read_table
+from riskloom.sources.tables import materialised, read_table
 
 MERGED_COLS = ["TransactionID", "TransactionDT", "TransactionAmt", "card1", "ProductCD", "addr1", "addr2",
                "P_emaildomain", "R_emaildomain", "dist1", "isFraud", "DeviceType", "DeviceInfo"]
@@ -102,14 +102,17 @@ def q_null_ratio(spark, sf_dir):
     return profiling.null_ratio(_merged(spark, sf_dir), top=20)
 
 
-@query("dataset_profile", _with("""
+@query("dataset_profile", _with(f"""
 SELECT 'ieee_merged' AS dataset_name, count(*) AS rows, 13 AS columns, 'isFraud' AS label_column,
-       avg(CAST(isFraud AS DOUBLE)) AS label_rate, 8 AS numeric_columns, 5 AS categorical_columns
+       avg(CAST(isFraud AS DOUBLE)) AS label_rate, 8 AS numeric_columns, 5 AS categorical_columns,
+       (SELECT string_agg(column_name || '=' || CAST(CAST(round(ratio * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY ratio DESC, column_name)
+        FROM ({_null_ratio_union('merged', MERGED_COLS)}) u) AS top_missing_columns
 FROM merged""", MERGED_CTE))
 def q_dataset_profile(spark, sf_dir):
     p = profiling.dataset_profile(_merged(spark, sf_dir), "isFraud", "ieee_merged", "test")
+    top = F.transform("top_missing_columns", lambda c: F.concat(c["column"], F.lit("="), F.round(c["missing_ratio"] * 10000).cast("long").cast("string")))
     return p.select("dataset_name", "rows", "columns", "label_column", "label_rate", "numeric_columns",
-                    "categorical_columns")
+                    "categorical_columns", F.array_join(top, ",").alias("top_missing_columns"))
 
 
 @query("label_rate", with_views("SELECT avg(CAST(isFraud AS DOUBLE)) AS label_rate FROM fx_ieee", "fx_ieee"))
@@ -164,7 +167,7 @@ def q_device_flags(spark, sf_dir):
 
 @query("ieee_features", _with(f"SELECT {INTS_AS_DOUBLE_SQL} FROM feat", MERGED_CTE, FEAT_CTE))
 def q_ieee_features(spark, sf_dir):
-    return _ints_as_double(prep.add_ieee_features(_merged(spark, sf_dir)))
+    return _ints_as_double(prep.add_ieee_features(_merged(spark, sf_dir), stats_from=fixture(spark, sf_dir, "fx_ieee")))
 
 
 # ---------------------------------------------------------------- D11-D17 payments
@@ -238,13 +241,22 @@ def q_payment_nodes(spark, sf_dir):
     return payments.payment_nodes(prep.payment_features(fixture(spark, sf_dir, "fx_pay")))
 
 
-@query("graph_profile", _with(f"""
+SAMPLED_PAY_CTE = """fx_pay AS (SELECT * EXCLUDE (_row_key) FROM fx_pay_keyed
+    ORDER BY md5(concat(_row_key, ':42')), _row_key LIMIT 50000)"""
+
+
+def _with_sampled_pay(sql: str) -> str:
+    base = with_views("SELECT 1", "fx_pay_keyed")
+    return ",\n".join([base[: base.rfind("\nSELECT 1")], SAMPLED_PAY_CTE, PAY_FEAT_CTE]) + "\n" + sql
+
+
+@query("graph_profile", _with_sampled_pay(f"""
 SELECT (SELECT count(*) FROM payf) AS rows, (SELECT avg(CAST(isFraud AS DOUBLE)) FROM payf) AS label_rate,
        (SELECT count(*) FROM ({NODES_SQL}) n) AS node_count,
        (SELECT count(*) FROM (SELECT DISTINCT nameOrig, nameDest FROM payf
-                              WHERE nameOrig IS NOT NULL AND nameDest IS NOT NULL) e) AS edge_count""", PAY_FEAT_CTE))
+                              WHERE nameOrig IS NOT NULL AND nameDest IS NOT NULL) e) AS edge_count"""))
 def q_graph_profile(spark, sf_dir):
-    g = prepare.prepare_payments(fixture(spark, sf_dir, "fx_pay"), sample_size=0)
+    g = prepare.prepare_payments(fixture(spark, sf_dir, "fx_pay_keyed"), sample_size=0)
     return g.profile.select("rows", "label_rate", "node_count", "edge_count")
 
 
@@ -285,7 +297,7 @@ ALL_FEAT_COLS = MERGED_COLS + FEATURE_COLS
 SELECT column_name, ratio AS missing_ratio FROM ({_null_ratio_union('feat', ALL_FEAT_COLS)}) u WHERE ratio > 0.85""",
                             MERGED_CTE, FEAT_CTE))
 def q_drop_sparse(spark, sf_dir):
-    feat = prep.add_ieee_features(_merged(spark, sf_dir))
+    feat = prep.add_ieee_features(_merged(spark, sf_dir), stats_from=fixture(spark, sf_dir, "fx_ieee"))
     ratios = profiling.null_ratios_row(feat)
     _, dropped = cleaning.drop_sparse_columns(feat, 0.85, ratios)
     return spark.createDataFrame([(c, float(ratios[c])) for c in dropped], "column_name string, missing_ratio double")
@@ -400,37 +412,55 @@ def _med(c: str, src: str = "feat") -> str:
     return f"(SELECT median(CAST({c} AS DOUBLE)) FROM {src})"
 
 
+# numbers are compared as doubles (of float32 values where the flow stores them so): the narrowed types differ by scale
+# and have their own keys
 CLEAN_SQL = f"""
-SELECT CAST(TransactionID AS SMALLINT) AS TransactionID, CAST(TransactionDT AS INTEGER) AS TransactionDT, TransactionAmt,
-       CAST(coalesce(CAST(card1 AS DOUBLE), {_med('card1')}) AS FLOAT) AS card1, ProductCD,
-       CAST(coalesce(CAST(addr1 AS DOUBLE), {_med('addr1')}) AS FLOAT) AS addr1,
-       CAST(coalesce(CAST(addr2 AS DOUBLE), {_med('addr2')}) AS FLOAT) AS addr2,
+SELECT CAST(TransactionID AS DOUBLE) AS TransactionID, CAST(TransactionDT AS DOUBLE) AS TransactionDT, TransactionAmt,
+       CAST(coalesce(CAST(card1 AS DOUBLE), {_med('card1')}) AS DOUBLE) AS card1, ProductCD,
+       CAST(coalesce(CAST(addr1 AS DOUBLE), {_med('addr1')}) AS DOUBLE) AS addr1,
+       CAST(coalesce(CAST(addr2 AS DOUBLE), {_med('addr2')}) AS DOUBLE) AS addr2,
        coalesce(P_emaildomain, 'missing') AS P_emaildomain, coalesce(R_emaildomain, 'missing') AS R_emaildomain,
-       CAST(isFraud AS TINYINT) AS isFraud, coalesce(DeviceType, 'missing') AS DeviceType,
-       coalesce(DeviceInfo, 'missing') AS DeviceInfo, CAST(transaction_hour AS TINYINT) AS transaction_hour,
-       CAST(transaction_day AS SMALLINT) AS transaction_day, log_transaction_amt,
-       coalesce(card1_amount_mean_diff, CAST({_med('card1_amount_mean_diff')} AS FLOAT)) AS card1_amount_mean_diff,
-       coalesce(card1_amount_zscore, CAST({_med('card1_amount_zscore')} AS FLOAT)) AS card1_amount_zscore,
-       product_amount_ratio, email_domain_match, has_full_address, device_info_missing, is_mobile_device
+       CAST(isFraud AS DOUBLE) AS isFraud, coalesce(DeviceType, 'missing') AS DeviceType,
+       coalesce(DeviceInfo, 'missing') AS DeviceInfo, CAST(transaction_hour AS DOUBLE) AS transaction_hour,
+       CAST(transaction_day AS DOUBLE) AS transaction_day, CAST(log_transaction_amt AS DOUBLE) AS log_transaction_amt,
+       CAST(coalesce(card1_amount_mean_diff, CAST({_med('card1_amount_mean_diff')} AS FLOAT)) AS DOUBLE) AS card1_amount_mean_diff,
+       CAST(coalesce(card1_amount_zscore, CAST({_med('card1_amount_zscore')} AS FLOAT)) AS DOUBLE) AS card1_amount_zscore,
+       CAST(product_amount_ratio AS DOUBLE) AS product_amount_ratio, CAST(email_domain_match AS DOUBLE) AS email_domain_match,
+       CAST(has_full_address AS DOUBLE) AS has_full_address, CAST(device_info_missing AS DOUBLE) AS device_info_missing,
+       CAST(is_mobile_device AS DOUBLE) AS is_mobile_device
 FROM feat"""
 
 
+def _numbers_as_double(df):
+    numeric = set(profiling.numeric_columns(df.schema))
+    return df.select(*[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in df.columns])
+
+
 @query("clean_transactions", _with(CLEAN_SQL, MERGED_CTE, FEAT_CTE))
 def q_clean_transactions(spark, sf_dir):
-    cleaned, _ = cleaning.clean_transactions(prep.add_ieee_features(_merged(spark, sf_dir)), 0.85)
-    return cleaned
+    transactions = fixture(spark, sf_dir, "fx_ieee")
+    features = prep.add_ieee_features(_merged(spark, sf_dir), stats_from=transactions)
+    cleaned, _ = cleaning.clean_transactions(materialised(features), 0.85)
+    return _numbers_as_double(cleaned)
 
 
 @query("prepared_transactions", _with(CLEAN_SQL, MERGED_CTE, FEAT_CTE))
 def q_prepared_transactions(spark, sf_dir):
-    return prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
-                                        prepare.IEEE_FULL).frame
+    return _numbers_as_double(prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
+                                                           prepare.IEEE_FULL).frame)
+
+
+ALL_CATEGORICAL_SQL = ", ".join(f"'{c}'" for c in CATEGORICAL)
 
 
-@query("cleaning_report", _with("""
-SELECT count(*) AS rows, 22 AS columns, avg(CAST(isFraud AS DOUBLE)) AS label_rate, 17 AS numeric_columns,
-       5 AS categorical_columns, 0 AS sample_size, 0.85 ::DOUBLE AS missing_threshold, 1 AS dropped_column_count,
-       'dist1' AS dropped_columns FROM merged""", MERGED_CTE))
+@query("cleaning_report", _with(f"""
+SELECT (SELECT count(*) FROM feat) AS rows, count(*) FILTER (WHERE ratio <= 0.85) AS columns,
+       (SELECT avg(CAST(isFraud AS DOUBLE)) FROM feat) AS label_rate,
+       count(*) FILTER (WHERE ratio <= 0.85 AND column_name NOT IN ({ALL_CATEGORICAL_SQL})) AS numeric_columns,
+       count(*) FILTER (WHERE ratio <= 0.85 AND column_name IN ({ALL_CATEGORICAL_SQL})) AS categorical_columns,
+       0 AS sample_size, 0.85 ::DOUBLE AS missing_threshold, count(*) FILTER (WHERE ratio > 0.85) AS dropped_column_count,
+       coalesce(string_agg(column_name, ',') FILTER (WHERE ratio > 0.85), '') AS dropped_columns
+FROM ({_null_ratio_union('feat', ALL_FEAT_COLS)}) u""", MERGED_CTE, FEAT_CTE))
 def q_cleaning_report(spark, sf_dir):
     p = prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
                                      prepare.IEEE_FULL)

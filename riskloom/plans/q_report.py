@@ -54,8 +54,8 @@ final AS (SELECT *, CASE WHEN risk_score < 30 THEN 'Low' WHEN risk_score < 70 TH
   FROM blend)"""
 
 
-def _scored_sql(sql: str) -> str:
-    return _recursive(sql, ("fx_txn",), f"edges AS ({EDGES_CTE_SQL})", FIRSTS_CTE, HIST_CTE, CLUS_REACH, SCORED_CTE)
+def _scored_sql(sql: str, *more: str) -> str:
+    return _recursive(sql, ("fx_txn",), f"edges AS ({EDGES_CTE_SQL})", FIRSTS_CTE, HIST_CTE, CLUS_REACH, SCORED_CTE, *more)
 
 
 @query("blend_score", _scored_sql("SELECT TransactionID AS transaction_id, risk_score, risk_level FROM final"))
@@ -154,20 +154,25 @@ def q_risk_over_time(spark, sf_dir):
     return reports.risk_over_time(_pred(spark, sf_dir), ASOF)
 
 
-LIST_COLS = """transaction_id AS id, amount, card1, device, fraud_probability, risk_score, risk_level AS risk,
+LIST_COLS = """transaction_id AS id, amount, card1, device, coalesce(addr1, 0) AS addr1, replace(reasons_json, ', ', ',') AS reasons, fraud_probability, risk_score, risk_level AS risk,
        CASE lower(risk_level) WHEN 'high' THEN 'flagged' WHEN 'medium' THEN 'review' ELSE 'safe' END AS status,
        created_at, strftime(created_at, '%H:%M') AS time, strftime(created_at, '%Y-%m-%d %H:%M') AS date"""
 
 
+def _reasons_text(listed):
+    """The list of reasons as text, which both engines' frames show alike."""
+    return listed.withColumn("reasons", F.to_json("reasons"))
+
+
 @query("list_transactions", _p(f"""SELECT {LIST_COLS} FROM fx_pred WHERE {LV} = 'high' AND lower(device) = 'mobile'
 ORDER BY created_at DESC, transaction_id DESC LIMIT 50"""))
 def q_list_transactions(spark, sf_dir):
-    return reports.list_transactions(_pred(spark, sf_dir), 50, risk="High", device="Mobile")
+    return _reasons_text(reports.list_transactions(_pred(spark, sf_dir), 50, risk="High", device="Mobile"))
 
 
 @query("recent_transactions", _p(f"SELECT {LIST_COLS} FROM fx_pred ORDER BY created_at DESC, transaction_id DESC LIMIT 5"))
 def q_recent_transactions(spark, sf_dir):
-    return reports.list_transactions(_pred(spark, sf_dir), 5)
+    return _reasons_text(reports.list_transactions(_pred(spark, sf_dir), 5))
 
 
 @query("search_transactions", _p("""SELECT * FROM fx_pred WHERE lower(CAST(transaction_id AS VARCHAR)) LIKE '%42%'
@@ -184,11 +189,11 @@ SELECT title, sub, urgent FROM (
     FROM fx_pred WHERE {LV} = 'high' ORDER BY created_at DESC, transaction_id DESC LIMIT 3) h
   UNION ALL
   SELECT * FROM (SELECT 1, created_at, transaction_id, 'Manual review suggested',
-      CAST(transaction_id AS VARCHAR) || ' has ' || CAST(reason_count AS VARCHAR) || ' triggered rules', false
+      CAST(transaction_id AS VARCHAR) || ' has ' || CAST(json_array_length(reasons_json) AS VARCHAR) || ' triggered rules', false
     FROM fx_pred WHERE {LV} = 'medium' ORDER BY created_at DESC, transaction_id DESC LIMIT 2) m
 ) u ORDER BY g, created_at DESC, transaction_id DESC LIMIT 4"""))
 def q_alerts(spark, sf_dir):
-    return reports.alerts(_pred(spark, sf_dir), reason_count=F.col("reason_count"))
+    return reports.alerts(_pred(spark, sf_dir))
 
 
 @query("analytics_snapshot", _p(f"""

@@ -3,19 +3,43 @@ tests)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from riskloom.operators import reports
 from riskloom.plans import q_report
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
 from riskloom.sources.fixtures import FIXTURE_SQL, with_views
+from riskloom.sources.tables import table
 from riskloom.streaming import stream as ST
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+ARRIVALS = 3
+
+
+def event_stream(spark, sf_dir):
+    """The whole events table as a file stream of ``ARRIVALS`` micro-batches in time order: its rows
+    are dealt by time into files that are written one after the other."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(seconds.cast("double").alias("t")).approxQuantile("t", [i / ARRIVALS for i in range(1, ARRIVALS)], 0.01)
+    folder = scratch_path(spark, "arrivals")
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = events
+        if lo is not None:
+            part = part.where(seconds >= lo)
+        if hi is not None:
+            part = part.where((seconds < hi) | F.col("ts").isNull() if lo is None else seconds < hi)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def pred_stream(spark, sf_dir):
-    """fx_pred over the events table read as a file stream."""
-    events = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """fx_pred over the arriving events."""
+    events = event_stream(spark, sf_dir)
     return spark.sql(FIXTURE_SQL["fx_pred"], events=events)
 
 
@@ -27,9 +51,8 @@ def q_stream_daily_risk(spark, sf_dir):
 
 
 def txn_stream(spark, sf_dir):
-    """fx_txn over the events table read as a file stream (parquet timestamps cast to UTC)."""
-    events = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    """fx_txn over the arriving events (parquet timestamps cast to UTC)."""
+    events = event_stream(spark, sf_dir)
     txn = spark.sql(FIXTURE_SQL["fx_txn"], events=events)
     return txn.withColumn("ts", txn["ts"].cast("timestamp"))
 
@@ -42,5 +65,22 @@ def q_stream_score(spark, sf_dir):
     out = scratch_path(spark, "stream-score")
     q = ST.start_scoring(txn_stream(spark, sf_dir), out, q_report.standin_probability, q_report.standin_anomaly)
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/predictions").select("transaction_id", "risk_score", "risk_level",
-                                                           "reasons_json")
+    return ST.read_predictions(spark, out).select(F.col("source_id").alias("transaction_id"), "risk_score", "risk_level",
+                                                  "reasons_json")
+
+
+STORED_CTE = """stored AS (SELECT TransactionID, 'TXN-' || CAST(epoch_us(ts) // 1000 AS VARCHAR) || '-' || upper(substr(md5(CAST(TransactionID AS VARCHAR)), 1, 4)) AS id,
+    CAST(coalesce(TransactionAmt, 0) AS DOUBLE) AS amount, coalesce(card1, 0) AS card1, coalesce(device, 'unknown') AS device,
+    coalesce(addr1, 0) AS addr1, p, risk_score, risk_level, reasons_json, ts FROM final)"""
+
+
+@query("stream_listing", q_report._scored_sql("""
+SELECT id, amount, card1, device, addr1, replace(reasons_json, '", "', '","') AS reasons, risk_score, risk_level AS risk,
+       strftime(ts, '%Y-%m-%d %H:%M') AS date
+FROM (SELECT * FROM stored ORDER BY ts DESC, id DESC LIMIT 20)""", STORED_CTE))
+def q_stream_listing(spark, sf_dir):
+    """T1 -> A6 -> I1: what the stream stored is listed, newest first."""
+    out = scratch_path(spark, "stream-listing")
+    ST.start_scoring(txn_stream(spark, sf_dir), out, q_report.standin_probability, q_report.standin_anomaly).awaitTermination()
+    listed = reports.list_transactions(ST.read_predictions(spark, out), 20)
+    return listed.select("id", "amount", "card1", "device", "addr1", F.to_json("reasons").alias("reasons"), "risk_score", "risk", "date")

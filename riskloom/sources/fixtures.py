@@ -59,17 +59,15 @@ JOIN {customer} ON o_custkey = c_custkey
 JOIN {supplier} ON l_suppkey = s_suppkey
 """,
     "fx_edges": """
-SELECT DISTINCT concat('user_', CAST(o_custkey AS VARCHAR(20))) AS user,
-       concat('device_', CAST(l_partkey AS VARCHAR(20))) AS device
+SELECT DISTINCT concat('user_', CAST(o_orderkey AS VARCHAR(20))) AS user,
+       concat('device_', CAST(floor(o_orderkey / 5) AS BIGINT), '_', CAST(l_suppkey % 4 AS VARCHAR(8))) AS device
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_quantity = 50 AND l_discount >= 0.05
 """,
     "fx_edge_log": """
 SELECT o_orderdate AS ts, o_orderkey AS id,
-       concat('user_', CAST(min(o_custkey) AS VARCHAR(20))) AS user,
-       concat('device_', CAST(min(l_partkey) AS VARCHAR(20))) AS device
+       concat('user_', CAST(floor(o_orderkey / 12) AS BIGINT), '_', CAST(min(o_custkey) % 4 AS VARCHAR(8))) AS user,
+       concat('device_', CAST(floor(o_orderkey / 12) AS BIGINT), '_', CAST(min(l_partkey) % 5 AS VARCHAR(8))) AS device
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-WHERE l_quantity >= 49 AND l_discount >= 0.05
 GROUP BY o_orderdate, o_orderkey
 """,
     "fx_pred": """
@@ -81,12 +79,19 @@ SELECT event_id AS transaction_id, ts AS created_at, value * 20 AS amount, user_
        CAST((event_id * 37) % 1000 AS DOUBLE) / 10 AS risk_score,
        CASE WHEN (event_id * 37) % 1000 < 300 THEN 'Low' WHEN (event_id * 37) % 1000 < 700 THEN 'Medium'
             ELSE 'High' END AS risk_level,
-       CAST(event_id % 6 AS INT) AS reason_count,
+       CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 700 END AS addr1,
+       CASE event_id % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["High amount"]' WHEN 2 THEN '["High amount", "New device"]'
+                         ELSE '["High amount", "New device", "Odd hour"]' END AS reasons_json,
        CASE WHEN (event_id * 37) % 1000 + (event_id * 53) % 500 > 1200 THEN 1 ELSE 0 END AS isFraud
 FROM {events}
 """,
 }
 
+# fx_pay with a key column for the preset that samples.
+FIXTURE_SQL["fx_pay_keyed"] = FIXTURE_SQL["fx_pay"].replace("SELECT ", """SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-',
+       CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS _row_key,
+       """, 1)
+
 # Fixed value: the report clock used with fx_pred.
 ASOF = "2024-01-30 12:00:00"
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from riskloom.session import scratch_path
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -53,6 +55,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
     writer.format(fmt).save(path)
 
 
+def materialised(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to a new Parquet table in the shared folder and read from there, for frames
+    that several passes read: column pruning goes on to work, and the lineage ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_profile(profile: DataFrame, path: str) -> None:
     """A3: a profile or report is a one-row DataFrame written as JSON (one small file)."""
     profile.coalesce(1).write.mode("overwrite").json(path)

@@ -14,11 +14,13 @@ therefore sees the history known when its batch arrived, as the reference would.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import history as H
+from riskloom.operators import reports
 from riskloom.plans import score as S
 from riskloom.session import checkpoint_dir, scratch_path
 
@@ -35,13 +37,14 @@ def daily_risk(predictions: DataFrame, ts: str = "created_at", level: str = "ris
 
 def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at", level: str = "risk_level",
                    watermark: str = "1 day", sink: str | None = None, checkpoint: str | None = None,
-                   state_partitions: int = 8) -> DataFrame:
+                   state_partitions: int | None = None) -> DataFrame:
     """Run T2 to the end of the available input (``availableNow``) in update mode. Each micro-batch
     writes its updated counts under ``batch=<id>``; the current count of a (day, level) is the one
     of its newest batch. Returns that table as a batch DataFrame.
 
     The state is one row per open (day, level) and the input is combined per partition before the
-    shuffle, so a few state partitions suffice; the number is fixed when a checkpoint is created."""
+    shuffle; ``state_partitions`` (default: the session's shuffle partitions) is fixed when a
+    checkpoint is created."""
     sink = sink or scratch_path(spark, "daily-risk-sink")
     checkpoint = checkpoint or scratch_path(spark, "daily-risk-ckpt")
 
@@ -49,7 +52,8 @@ def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
         q = (daily_risk(stream, ts, level, watermark).writeStream.outputMode("update")
              .foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -107,7 +111,7 @@ def _shift_after(state: H.GraphState | None, batch: DataFrame, ts: str) -> DataF
     first = batch.agg(F.min(ts).alias("m")).first()["m"]
     if last is None or first is None or first > last:
         return batch
-    shift_us = int((last - first).total_seconds() * 1_000_000) + 1
+    shift_us = (last - first) // timedelta(microseconds=1) + 1
     return batch.withColumn(ts, F.timestamp_micros(F.unix_micros(F.col(ts)) + F.lit(shift_us)))
 
 
@@ -120,19 +124,30 @@ def score_batch(batch: DataFrame, batch_id: int, out_dir: str, probability: Call
     state_base = f"{out_dir}/state"
     state = read_state(spark, state_base, batch_id)
     checkpoint_dir(spark)
-    ordered = _shift_after(state, batch, ts).checkpoint()      # the batch is read once
-    original = batch.select(F.col(id_col).alias("_oid"), F.col(ts).alias("_ots"))
+    # the batch is read once; its own times are carried through the scoring
+    ordered = _shift_after(state, batch.withColumn("_arrived", F.col(ts)), ts).checkpoint()
     scored = S.score(ordered, probability, anomaly, id_col=id_col, state=state)
-    scored = scored.join(original, scored[id_col] == original["_oid"]).drop("_oid").withColumn(ts, F.col("_ots")) \
-                   .drop("_ots")
-    view = S.scored_view(scored, id_col).drop("reasons").join(
-        scored.select(F.col(id_col).alias("transaction_id"), F.col(ts).alias("created_at")), "transaction_id")
-    view.write.mode("overwrite").parquet(f"{out_dir}/predictions/batch={batch_id}")
+    rows = scored.withColumn(ts, F.col("_arrived"))
+    stored = (reports.prediction_rows(rows.withColumn("amount", F.col("TransactionAmt")), id_col=id_col, ts=ts,
+                                      keep=(F.col(id_col).alias("source_id"), F.col("anomaly_score")))
+              .withColumn("day", F.to_date("created_at")))
+    stored.write.mode("overwrite").partitionBy("day").parquet(f"{out_dir}/predictions/batch={batch_id}")
     H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
     folded = H.fold_state(state, H.edge_rows(ordered, id_col=id_col, ts=ts).select("id", "ts", "user", "device"))
     write_state(folded, state_base, batch_id)
 
 
+def read_predictions(spark: SparkSession, out_dir: str, start=None, end=None) -> DataFrame:
+    """The stored predictions of all batches (A6 rows, their ``source_id`` and ``anomaly_score``);
+    a half-open time range reads only the days that it touches."""
+    rows = spark.read.parquet(f"{out_dir}/predictions")
+    if start is not None:
+        rows = rows.where(F.col("day") >= F.to_date(F.lit(start)))
+    if end is not None:
+        rows = rows.where(F.col("day") <= F.to_date(F.lit(end)))
+    return rows.where(reports.between(F.col("created_at"), start, end)).drop("day", "batch")
+
+
 def start_scoring(stream: DataFrame, out_dir: str, probability: Callable, anomaly: Callable,
                   checkpoint: str | None = None, id_col: str = "TransactionID", ts: str = "ts",
                   available_now: bool = True):

@@ -68,7 +68,7 @@ def test_workflow_outputs(spark):
     prof = spark.read.json(f"{lay['profiles']}/ieee_cis_dev_sample_cleaned_profile").first()
     assert prof["rows"] == 100 and prof["sample_size"] == 100 and prof["dropped_columns"] == ["dist1"]
     assert spark.read.parquet(f"{lay['processed']}/ieee_cis_dev_sample_processed").count() == 100
-    g = prepare.prepare_payments(fixture(spark, SF001, "fx_pay"), sample_size=0)
+    g = prepare.prepare_payments(fixture(spark, SF001, "fx_pay_keyed"), sample_size=0)
     lay = prepare.write_payment_outputs(g, root)
     gp = spark.read.json(f"{lay['profiles']}/paysim_graph_profile").first()
     assert gp["edge_count"] == spark.read.parquet(f"{lay['graph']}/paysim_graph_edges").count()

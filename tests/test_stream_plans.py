@@ -27,7 +27,7 @@ def test_stream_scoring_equals_batch(spark):
     out = tempfile.mkdtemp(prefix="rl-out-", dir="/tmp")
     q = ST.start_scoring(stream, out, q_report.standin_probability, q_report.standin_anomaly)
     q.awaitTermination()
-    got = {r["transaction_id"]: (r["risk_score"], r["risk_level"], r["reasons_json"])
+    got = {r["source_id"]: (r["risk_score"], r["risk_level"], r["reasons_json"])
            for r in spark.read.parquet(f"{out}/predictions").collect()}
     assert got == want
 
@@ -80,7 +80,7 @@ def test_stream_restart_continues_from_checkpoint(spark):
     run()
     parts[2].coalesce(1).write.mode("overwrite").parquet(f"{src}/part2")
     run()
-    got = {r["transaction_id"]: (r["risk_score"], r["reasons_json"])
+    got = {r["source_id"]: (r["risk_score"], r["reasons_json"])
            for r in spark.read.parquet(f"{out}/predictions").collect()}
     assert got == want
     # only the newest two state versions are kept
