@@ -212,34 +212,33 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
               .select(F.col("g.grams").alias("gram"), "doc_id", "n", F.col("g.places").alias("place")))
     posted = _with_several(posted, "doc_id")
 
-    links = None
-    tested = None
-    labelled = posted.withColumn("label", F.col("doc_id"))
+    links = tested = None
+    rest = posted.withColumn("label", F.col("doc_id"))
     for step in range(star_rounds + 1):
-        one = labelled.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-        two = labelled.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-        if step == 0:
-            heads = one.groupBy("gram").agg(F.min(F.struct("a", "na", "pa", "la")).alias("h")).select("gram", "h.*")
-        elif step < star_rounds:
-            heads = one.groupBy("gram", "la").agg(F.min(F.struct("a", "na", "pa")).alias("h")).select("gram", "h.*", "la")
-        else:
-            heads = one
-        if step < star_rounds:
-            heads = saved(heads, "join-heads")
-        met = heads.join(two, "gram").where((F.col("a") != F.col("b")) & _possible(percent))
-        met = met.where("la < lb") if step == star_rounds else met.where("la != lb")
-        pairs = (met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                            F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-                 .distinct())
+        one = rest.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
+        two = rest.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+        last = step == star_rounds
+        heads = one
+        if not last:
+            by = ["gram"] if step == 0 else ["gram", "la"]
+            heads = saved(one.groupBy(*by).agg(F.min(F.struct("a", "na", "pa", "la")).alias("h")).select("gram", "h.*"), "join-heads")
+        met = heads.join(two, "gram").where((F.col("a") != F.col("b")) & (F.col("la") < F.col("lb") if last else F.col("la") != F.col("lb"))
+                                            & _possible(percent))
+        swap = F.col("a") > F.col("b")
+        pairs = met.select(F.least("a", "b").alias("a"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
+                           F.greatest("a", "b").alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "join-candidates")
         found = saved(verified(docs, pairs, words, percent, fragments), "join-links")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if step < star_rounds:
+        if not last:
+            # a head has met all others of its shingle; what is left there goes on, under the groups found so far
             groups = saved(connected_components(links, "a", "b"), "join-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-            labelled = _with_several(posted.join(groups, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "label")
+            rest = (rest.drop("label").join(heads.select("gram", F.col("a").alias("doc_id")), ["gram", "doc_id"], "left_anti")
+                    .join(groups, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+            rest = _with_several(saved(rest, "join-rest"), "label")
 
     # different texts of one identifier belong together
     own = of_class.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").drop("b")
