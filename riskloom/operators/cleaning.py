@@ -94,14 +94,24 @@ def rare_value_map(train: DataFrame, columns: Sequence[str], threshold: float =
     return value_shares(train, columns).where(F.col("share") < threshold).select("column_name", "value", "share")
 
 
+def frequent_values(shares: DataFrame, threshold: float = 0.005) -> dict[str, list[str]]:
+    """The values of each column that are not rare: at most ``1 / threshold`` a column, so a driver
+    dict is bounded."""
+    out: dict[str, list[str]] = {}
+    for r in shares.where(F.col("share") >= threshold).select("column_name", "value").collect():
+        out.setdefault(r["column_name"], []).append(r["value"])
+    return out
+
+
 def apply_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], rare: str = RARE,
-               key: str | None = None) -> DataFrame:
+               key: str | None = None, frequent: dict[str, list[str]] | None = None) -> DataFrame:
     """E4 apply: listed values become ``rare``; a null cell stays null even if ``missing`` is rare.
 
     With a unique row ``key`` the frame moves through one shuffle whatever the number of columns:
     its non-null categorical cells go long form, one semi-join against the rare map marks the rare
     cells, the marks are gathered per row (at most one entry per column) and joined back by key.
-    Without a key, one join per column."""
+    Cells that hold one of the ``frequent`` values (few per column, see ``frequent_values``) stay out
+    of that shuffle: no hot value reaches the join. Without a key, one join per column."""
     if key is None:
         out = df
         for c in columns:
@@ -110,8 +120,12 @@ def apply_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str], rare:
                      .withColumn(c, F.when(F.col(f"_rv_{c}").isNotNull(), F.lit(rare)).otherwise(F.col(c))) \
                      .drop(f"_rv_{c}")
         return out
-    cells = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                       F.col(c).cast("string").alias("value")) for c in columns])))
+    def cell(c: str):
+        value = F.col(c).cast("string")
+        common = (frequent or {}).get(c)
+        return F.when(~value.isin(common), value) if common else value
+
+    cells = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), cell(c).alias("value")) for c in columns])))
     hits = (cells.where(F.col("value").isNotNull())
             .join(rare_map.select("column_name", "value"), ["column_name", "value"], "left_semi"))
     marks = hits.groupBy(key).agg(F.collect_set("column_name").alias("_rare_cols"))

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.sources.tables import materialised
+
 TARGET_ROWS_PER_BUCKET = 1_000_000
 
 
@@ -76,7 +78,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
 
 
 def graph_history(edges: DataFrame, width_seconds: int | None = None,
-                  target_rows: int = TARGET_ROWS_PER_BUCKET, prior: "GraphState | None" = None) -> DataFrame:
+                  target_rows: int = TARGET_ROWS_PER_BUCKET, prior: "GraphState | None" = None,
+                  materialise: bool = True) -> DataFrame:
     """K3, K4, K5 counts for every edge row; ``edges`` needs ``id, ts, user, device`` and may carry
     any other columns, which pass through (no join back by id):
 
@@ -87,8 +90,12 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     Two shuffles of the rows: by (device, time bucket), then by (user, time bucket). ``prior`` is
     compacted history from earlier stream batches (all of it before these rows): its per-user edge
     counts and per-device distinct users enter as offsets, its pairs are never first again.
+    The rows are written once (unless ``materialise`` is off, for callers that have done so), as the
+    cut points, first rows and running sums all read them.
     """
     cols = edges.columns
+    if materialise:
+        edges = materialised(edges, "edges")
     if width_seconds:   # fixed-width buckets (tests, or a known uniform arrival rate)
         rows = edges.withColumn("_bucket", F.coalesce(
             F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long"),

@@ -107,8 +107,10 @@ def prepare_model_data(cleaned: DataFrame, target: str = "isFraud", id_column: s
     categorical = [c for c in features if c not in numeric]
     train = split.where(F.col("split") == "train")
     if categorical:
-        rare_map = cleaning.rare_value_map(train, categorical, rare_threshold)
-        split = cleaning.apply_rare(split, rare_map, categorical, key=id_column)
+        shares = tables.materialised(cleaning.value_shares(train, categorical), "shares")
+        rare_map = shares.where(F.col("share") < rare_threshold).select("column_name", "value", "share")
+        split = cleaning.apply_rare(split, rare_map, categorical, key=id_column,
+                                    frequent=cleaning.frequent_values(shares, rare_threshold))
         train = split.where(F.col("split") == "train")
     else:
         rare_map = train.sparkSession.createDataFrame([], "column_name string, value string, share double")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
 from riskloom.operators import graph, history, prep, scoring
+from riskloom.sources.tables import materialised
 
 ScoreFn = Callable[[DataFrame], DataFrame]
 
@@ -34,12 +35,13 @@ def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: D
     if history_edges is not None:
         prior = history_edges.select("id", "ts", "user", "device").withColumn("_prior", F.lit(True))
         rows = rows.unionByName(prior, allowMissingColumns=True)
+    rows = materialised(rows, "scoring-rows")      # clusters, cut points, first rows and sums all read it
     graph_edges = rows.select("id", "ts", "user", "device")
     if state is not None:
         # any hop bound >= 4 gives the same cluster time, so the first edge of each prior pair is enough
         graph_edges = graph_edges.unionByName(state.pairs.select("id", "ts", "user", "device"))
     times = graph.cluster_times(graph_edges)
-    hist = history.graph_history(rows, prior=state)
+    hist = history.graph_history(rows, prior=state, materialise=False)
     flagged = graph.flag_from_times(hist, times)
     out = flagged.where(~F.col("_prior")).drop("_prior", "id", "user", "device")
     return out.withColumnRenamed("_device_raw", device) if device == "device" else out
