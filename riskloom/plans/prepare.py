@@ -141,7 +141,7 @@ def write_payment_outputs(g: PaymentGraph, root: str, dataset: str = "paysim") -
     """A2-A4 for G12: processed transactions, edge and node tables, profile."""
     lay = tables.dataset_layout(root, dataset)
     tables.write_table(sampling.sort_by_key(g.prepared, "step"), f"{lay['processed']}/{PAYSIM['name']}_transactions_processed")
-    tables.write_table(sampling.sort_by_key(g.edges, "step"), f"{lay['graph']}/{PAYSIM['name']}_edges")
+    tables.write_table(sampling.sort_by_key(g.edges, "source", "target"), f"{lay['graph']}/{PAYSIM['name']}_edges")
     tables.write_table(sampling.sort_by_key(g.nodes, "node_id"), f"{lay['graph']}/{PAYSIM['name']}_nodes")
     tables.write_profile(g.profile, f"{lay['profiles']}/{PAYSIM['name']}_profile")
     return lay
