@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.registry import query, saved, table
 
 LEVELS = ("domain", "lang", "source")
-SEED, EPOCHS, RANGE_ROWS = 17, 4, 4096
+SEED, EPOCHS, RANGE_ROWS = 17, 4, 512
 # Fixed values of the production mixture: share of the corpus' tokens to take, and weights (others: 1).
 SHARE = 0.5
 WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 2}}
