@@ -87,7 +87,8 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     * ``device_degree`` - distinct users of the device first seen strictly before (feature)
     * ``user_edges_incl`` / ``device_users_incl`` - the same with this row stored (rules)
 
-    Two shuffles of the rows: by (device, time bucket), then by (user, time bucket). ``prior`` is
+    The rows are shuffled by (device, time bucket), then by (user, time bucket); the bucket totals
+    shuffle the keys once more each. ``prior`` is
     compacted history from earlier stream batches (all of it before these rows): its per-user edge
     counts and per-device distinct users enter as offsets, its pairs are never first again.
     The rows are written once (unless ``materialise`` is off, for callers that have done so), as the
