@@ -13,8 +13,9 @@ the identifier and at most ``SAMPLE_BYTES`` of whole texts; rows held out never
 every window of every text; labels, language, source and identifier are not inputs of a score.
 
 Defined results: null and empty texts have one empty window and get its score; without labelled rows
-of both classes every score is the share of the class that there is (0 without any); repeated rows
-get equal scores; an empty table gives no rows.
+of both classes every score is the share of label 1 (0 without any); rows without an identifier are
+scored and count as not held out, but are never learnt from; repeated rows get equal scores; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskloom.llm.registry import query, table
+from riskloom.llm.tokens import Hasher, blocks
 
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 12 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 10 << 20
 WORDS = 2
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 64 << 10, 64 << 10, 8 << 10
 ROUNDS, RARE = 6, 0.999
@@ -79,16 +81,25 @@ def _bare(parts: list[bytes]) -> list[bytes]:
     return [p[len(MARK):] for p in parts]
 
 
-def _without_copies(texts: list[str]) -> list[str]:
+def _without_copies(texts: list[str], run: int = 8) -> list[str]:
     """Texts that share no run of eight words with an earlier one."""
-    seen, out = set(), []
-    for t in texts:
-        w = t.lower().split()
-        runs = {hash(tuple(w[i:i + 8])) for i in range(max(1, len(w) - 7))}
-        if not runs & seen:
-            out.append(t)
-        seen |= runs
-    return out
+    hasher, hashes, owners = Hasher(), [], []
+    for first, end, data, at in blocks(pa.array(texts, pa.string())):
+        words, offsets = hasher.words(data, at, lower=True)
+        grams = hasher.windows(words, run)
+        for d, lo, hi in zip(range(first, end), offsets[:-1], offsets[1:]):
+            own = grams[lo:hi - run + 1] if hi - lo >= run else hasher.windows(words[lo:hi], hi - lo) if hi > lo else grams[:0]
+            hashes.append(own)
+            owners.append(np.full(len(own), d, np.int32))
+    if not hashes:
+        return []
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((owners, hashes))
+    hashes, owners = hashes[order], owners[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])
+    first = owners[np.flatnonzero(new)][np.cumsum(new) - 1] if len(hashes) else owners
+    copies = set(np.unique(owners[owners > first]).tolist())
+    return [t for d, t in enumerate(texts) if d not in copies]
 
 
 def train_dictionaries(ordinary: list[str], toxic: list[str], seed: int = 0) -> tuple[bytes, bytes]:
@@ -170,7 +181,7 @@ class Model:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES,
