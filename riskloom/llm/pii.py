@@ -6,8 +6,9 @@ checks. A permutation keeps different values apart and, as it depends on key and
 values stay linked across documents, however they are spaced; with the key it can be undone.
 
 Kinds: card (13 to 19 digits, Luhn; the check digit is made anew), account (13 to 19 digits that are
-not a card), iban (mod 97; check digits made anew), ssn, phone (+country (area) number; the country
-stays), ip (four octets), date (calendar dates of 1900 to 2099 as year-month-day, day.month.year or
+not a card), iban (mod 97; check digits made anew), ssn, phone ('+', an assigned country code, which
+stays, and 7 to 14 digits in groups; or the national 3-3-4 groups, taken for numbers of country 1 and so
+linked to them; of ten digits without separators none is a phone), ip (four octets), date (calendar dates of 1900 to 2099 as year-month-day, day.month.year or
 month/day/year: equal dates stay linked across these), email (the local part's letters and digits; the
 domain stays). Separators and case stay where they are.
 
@@ -127,9 +128,28 @@ def _ssn(move, found: str) -> tuple[str, str] | None:
     return ("ssn", _filled(found, _digits(move, digits, "ssn", valid_ssn))) if valid_ssn(digits) else None
 
 
+def _ends(found: str) -> list[int]:
+    """Where the groups of digits of a find end, the last first."""
+    return [m.end() for m in re.finditer(r"[0-9]+", found)][::-1]
+
+
 def _phone(move, found: str) -> tuple[str, str] | None:
-    country = re.match(r"\+\d{1,3}", found)[0]
-    return "phone", country + _filled(found[len(country):], _digits(move, re.sub(r"\D", "", found[len(country):]), "phone" + country))
+    """The longest groups with a possible count of digits; for country 1, those of ten digits first."""
+    country = COUNTRY.match(re.sub(r"\D", "", found))[0]
+    fit = []
+    for end in _ends(found):
+        digits = re.sub(r"\D", "", found[:end])[len(country):]
+        if 7 <= len(digits) <= 14 and found.count("(", 0, end) <= found.count(")", 0, end):
+            fit.append((country == "1" and len(digits) == 10, end, digits))
+    if not fit or country[0] == "0" and "(" not in found:
+        return None
+    _, end, digits = max(fit)
+    return "phone", _filled(found[:end], country + _digits(move, digits, "phone+" + country))
+
+
+def _national(move, found: str) -> tuple[str, str] | None:
+    digits = re.sub(r"\D", "", found)
+    return "phone", _filled(found, digits[:-10] + _digits(move, digits[-10:], "phone+1"))
 
 
 def _ip(move, found: str) -> tuple[str, str] | None:
@@ -176,10 +196,16 @@ def _email(move, found: str) -> tuple[str, str] | None:
     return "email", "".join(reversed(out)) + "@" + domain
 
 
-#: Where kinds may stand; the function checks a find and gives its kind and replacement.
+#: Country codes of ITU-T E.164: none begins another, so the digits alone tell where the country ends.
+COUNTRY = re.compile(r"0*(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|)")
+#: Where kinds may stand; the function checks a find and gives its kind and replacement, which may be
+#: that of the find's first groups only.
 FINDERS = (
     (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII), _iban),
-    (re.compile(r"\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])", re.ASCII), _phone),
+    (re.compile(r"\+\(?[0-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}(?![0-9])", re.ASCII), _phone),
+    (re.compile(r"(?<![A-Za-z0-9+])(?<![0-9][.-])(?:1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}(?:[.-][0-9]{3}[ .-]| [0-9]{3}[.-]))"
+                r"[0-9]{4}(?![0-9]|[.-][0-9])", re.ASCII), _national),
+    (re.compile(r"(?<![A-Za-z0-9.+-])(?<![0-9] )(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?![A-Za-z0-9]|[ .-][0-9])", re.ASCII), _national),
     (re.compile(r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9-])", re.ASCII), _date),
     (re.compile(r"(?<![A-Za-z0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9/])", re.ASCII), _date),
     (re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])", re.ASCII), _ip),
@@ -202,7 +228,7 @@ def finds(text: str, move) -> list[tuple[int, int, str, str]]:
                 found.append((m.start() - len(before[0]), m.end(), *new))
     if DIGIT.search(text):
         for pattern, check in FINDERS:
-            found += [(m.start(), m.end(), *new) for m in pattern.finditer(text) if (new := check(move, m[0]))]
+            found += [(m.start(), m.end() if check is _ip else m.start() + len(new[1]), *new) for m in pattern.finditer(text) if (new := check(move, m[0]))]
     out, end = [], 0
     for f in sorted(found, key=lambda f: (f[0], -f[1])):
         if f[0] >= end:

@@ -70,3 +70,33 @@ def test_kinds_formats_and_links(spark):
 
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+PHONES = ["+1 555 123 4567", "+15551234567", "+1-202-555-0143", "+1.202.555.0143", "(555) 123-4567", "(555)123-4567", "555-123-4567", "555.123.4567",
+          "555 123 4567", "555 123-4567", "1-202-555-0143", "1 (202) 555-0143", "+49 30 12345678", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+(49) 30 1234567",
+          "+33 1 23 45 67 89", "+358-9-1234567", "+86 138 0013 8000"]
+
+
+def test_phones_of_all_shapes():
+    f = pii.Feistel(KEY)
+    shape = lambda s: re.sub("[0-9]", "0", s)
+    for phone in PHONES:
+        text = f"call {phone}, or ({phone})."
+        found = pii.finds(text, f.forth)
+        assert [(text[a:b], k) for a, b, k, _ in found] == [(phone, "phone")] * 2, phone
+        new = pii.replaced(text, found)
+        assert new != text and shape(new) == shape(text) and pii.replaced(new, pii.finds(new, f.back)) == text
+    one = lambda s: pii.finds(s, f.forth)[0][3]
+    digits = lambda s: re.sub(r"\D", "", s)[-10:]
+    assert len({digits(one(s)) for s in ("+1 (555) 123-4567", "+15551234567", "(555) 123-4567", "555-123-4567", "1 555 123 4567")}) == 1
+    assert one("+4915112345678").startswith("+49") and one("+358 9 1234567").startswith("+358 ")
+
+
+def test_phone_counts_digits():
+    f = pii.Feistel(KEY)
+    for text in ("+1 555 12", "+12345678901234567", "555-123-45678", "2555-123-4567", "555-123-4567-89", "5551234567", "12 555 123 4567", "555 123 4567 8", "+49 30 (12345678"):
+        assert pii.finds(text, f.forth) == [], text
+    (a, b, *_), = pii.finds("+1 555 123 4567 2021", f.forth)
+    assert (a, b) == (0, 15)
+    (a, b, *_), = pii.finds("+44 20 7946 0958 (123456)", f.forth)
+    assert (a, b) == (0, 16)
