@@ -12,8 +12,13 @@ linked to them; of ten digits without separators none is a phone), ip (four octe
 month/day/year: equal dates stay linked across these), email (the local part's letters and digits; the
 domain stays). Separators and case stay where they are.
 
+A find may be longer than its value. An IBAN ends at its country's length, where that stands the check;
+of groups of digits the fewest that make a card are one, and the groups behind it in the same find (13
+to 19 digits in all) are replaced on their own, as kind rest, where no other find begins. Which beginnings of a number stand Luhn is
+kept by the permutation, so pseudonyms are cut like their values.
+
 Defined results: null text stays null, with no replacements; overlapping finds go to the earliest, then
-the longest; repeated rows have equal results; an empty table gives no rows.
+to other kinds than card and account, then to the longest, and the text behind each is searched anew; repeated rows have equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,8 +81,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def luhn_digit(payload: str) -> str:
-    return next(d for d in "0123456789" if luhn(payload + d))
+def luhn_digit(payload: str) -> int:
+    total = 0
+    for i, c in enumerate(reversed(payload)):
+        d = int(c) * (2 - i % 2)
+        total += d - 9 * (d > 9)
+    return -total % 10
 
 
 def iban_rest(iban: str) -> int:
@@ -99,27 +108,60 @@ def _filled(shape: str, digits: str) -> str:
     return "".join(next(given) if c.isdigit() else c for c in shape)
 
 
+def _checked(move, digits: str) -> str:
+    """Permuted among the numbers of which the same beginnings of 13 digits and more stand Luhn: 12 digits
+    are free, each further one is its check digit or one of the nine others."""
+    x, size, stands = int(digits[:12]), 10 ** 12, ""
+    for k in range(12, len(digits)):
+        off = (int(digits[k]) - luhn_digit(digits[:k])) % 10
+        stands += "0" if off else "1"
+        if off:
+            x, size = x * 9 + off - 1, size * 9
+    x, offs = move(x, size, "number" + stands), []
+    for s in reversed(stands):
+        x, off = divmod(x, 9) if s == "0" else (x, -1)
+        offs.append(off + 1)
+    out = f"{x:012d}"
+    for off in reversed(offs):
+        out += str((luhn_digit(out) + off) % 10)
+    return out
+
+
 def _number(move, found: str) -> tuple[str, str] | None:
-    digits = re.sub(r"\D", "", found)
-    if not 13 <= len(digits) <= 19:
-        return None
-    if luhn(digits):
-        payload = _digits(move, digits[:-1], "card")
-        return "card", _filled(found, payload + luhn_digit(payload))
-    return "account", _filled(found, _digits(move, digits, "account", lambda d: not luhn(d)))
+    """The card of the fewest groups, or else all groups as an account."""
+    for end in reversed(_ends(found)):
+        digits = re.sub(r"\D", "", found[:end])
+        if len(digits) >= 13 and luhn(digits):
+            return "card", _filled(found[:end], _checked(move, digits))
+    return "account", _filled(found, _checked(move, digits))
+
+
+def _rest(move, found: str) -> tuple[str, str]:
+    return "rest", _filled(found, _digits(move, re.sub(r"\D", "", found), "rest"))
 
 
 def _iban(move, found: str) -> tuple[str, str] | None:
     plain = found.replace(" ", "")
+    length = IBAN_LENGTHS.get(plain[:2], 0)
+    short = lambda iban: 0 < length < len(iban) and iban_rest(iban[:length]) == 1
+    if short(plain):
+        end = [i for i, c in enumerate(found) if c != " "][length - 1] + 1
+        if found[end] == " ":
+            found, plain = found[:end], plain[:length]
     if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
         return None
     places = [i for i in range(4, len(plain)) if plain[i].isdigit()]
-    body = list(plain)
-    for i, d in zip(places, _digits(move, "".join(plain[i] for i in places), "iban" + "".join(c for c in plain[4:] if not c.isdigit()) + plain[:2])):
-        body[i] = d
-    body[2:4] = "00"
-    body[2:4] = f"{98 - iban_rest(''.join(body)):02d}"
-    given = iter(body)
+
+    def made(digits: str) -> str:
+        body = list(plain)
+        for i, d in zip(places, digits):
+            body[i] = d
+        body[2:4] = "00"
+        body[2:4] = f"{98 - iban_rest(''.join(body)):02d}"
+        return "".join(body)
+
+    given = iter(made(_digits(move, "".join(plain[i] for i in places), "iban" + "".join(c for c in plain[4:] if not c.isdigit()) + plain[:2],
+                              lambda digits: short(made(digits)) == short(plain))))
     return "iban", "".join(c if c == " " else next(given) for c in found)
 
 
@@ -198,42 +240,61 @@ def _email(move, found: str) -> tuple[str, str] | None:
 
 #: Country codes of ITU-T E.164: none begins another, so the digits alone tell where the country ends.
 COUNTRY = re.compile(r"0*(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|)")
+#: The registered length of each country's IBANs.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU"}.items() for country in countries.split()}
+#: An address or a date with dots or slashes, which is no further group of a number.
+OTHER = r"(?!(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])|[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![A-Za-z0-9/]))"
 #: Where kinds may stand; the function checks a find and gives its kind and replacement, which may be
 #: that of the find's first groups only.
 FINDERS = (
     (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII), _iban),
-    (re.compile(r"\+\(?[0-9](?:(?:[ .-]|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}(?![0-9])", re.ASCII), _phone),
-    (re.compile(r"(?<![A-Za-z0-9+])(?<![0-9][.-])(?:1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}(?:[.-][0-9]{3}[ .-]| [0-9]{3}[.-]))"
+    (re.compile(r"\+\(?[0-9](?:(?:\.|[ -]" + OTHER + r"|[ .-]?\(|\)[ .-]?)?[0-9]){7,14}(?![0-9])", re.ASCII), _phone),
+    (re.compile(r"(?<![A-Za-z0-9+])(?<![0-9][.-])(?:1(?:[ .-]|(?=\()))?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?|[0-9]{3}(?:[.-][0-9]{3}[ .-]| [0-9]{3}[.-]))"
                 r"[0-9]{4}(?![0-9]|[.-][0-9])", re.ASCII), _national),
-    (re.compile(r"(?<![A-Za-z0-9.+-])(?<![0-9] )(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?![A-Za-z0-9]|[ .-][0-9])", re.ASCII), _national),
-    (re.compile(r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9-])", re.ASCII), _date),
+    (re.compile(r"(?<![A-Za-z0-9.+-])(?<![0-9] )(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?![A-Za-z0-9]|[ .-]" + OTHER + "[0-9])", re.ASCII), _national),
+    (re.compile(r"(?<![A-Za-z0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?=[Tt][0-9]{2}|(?![A-Za-z0-9-]))", re.ASCII), _date),
     (re.compile(r"(?<![A-Za-z0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9/])", re.ASCII), _date),
     (re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])", re.ASCII), _ip),
     (re.compile(r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", re.ASCII), _ssn),
-    (re.compile(r"(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9-])", re.ASCII), _number),
+    (re.compile(r"(?<![A-Za-z0-9.+-])[0-9](?:(?:[ -]" + OTHER + r")?[0-9]){12,18}(?![A-Za-z0-9-])", re.ASCII), _number),
 )
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}$", re.ASCII), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
 DIGIT, ANY = re.compile("[0-9]"), re.compile("[0-9@]")
 
 
+def _next(finder: tuple, text: str, at: int, move) -> list[tuple[int, int, str, str]]:
+    """The first find of one finder from ``at`` on, with the rest that goes with it."""
+    pattern, check = finder
+    begin = at
+    while m := pattern.search(text, at):
+        if check is _email:
+            before = LOCAL.search(text[max(begin, m.start() - 64):m.start()])
+            if before and (new := _email(move, before[0] + m[0])):
+                return [(m.start() - len(before[0]), m.end(), *new)]
+        elif new := check(move, m[0]):
+            end = m.end() if check is _ip else m.start() + len(new[1])
+            rest = [(end + 1, m.end(), *_rest(move, text[end + 1:m.end()]))] if check is _number and end < m.end() else []
+            return [(m.start(), end, *new), *rest]
+        at = m.start() + 1
+    return []
+
+
 def finds(text: str, move) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, replacement) of all finds, none overlapping."""
     if not ANY.search(text):
         return []
-    found = []
-    if "@" in text:
-        for m in DOMAIN.finditer(text):
-            before = LOCAL.search(text[max(0, m.start() - 64):m.start()])
-            if before and (new := _email(move, before[0] + m[0])):
-                found.append((m.start() - len(before[0]), m.end(), *new))
-    if DIGIT.search(text):
-        for pattern, check in FINDERS:
-            found += [(m.start(), m.end() if check is _ip else m.start() + len(new[1]), *new) for m in pattern.finditer(text) if (new := check(move, m[0]))]
-    out, end = [], 0
-    for f in sorted(found, key=lambda f: (f[0], -f[1])):
-        if f[0] >= end:
-            out.append(f)
-            end = f[1]
+    finders = ([(DOMAIN, _email)] if "@" in text else []) + (list(FINDERS) if DIGIT.search(text) else [])
+    out, first = [], [_next(f, text, 0, move) for f in finders]
+    while any(first):
+        best = min(filter(None, first), key=lambda f: (f[0][0], f[0][2] in ("card", "account"), -f[0][1]))
+        end = best[0][1]
+        first = [n if not n or n[0][0] >= end else _next(f, text, end, move) for f, n in zip(finders, first)]
+        # groups behind a card may be the beginning of another find
+        out += [b for b in best if b is best[0] or not any(n and n[0][0] < b[1] for n in first)]
     return out
 
 

@@ -100,3 +100,51 @@ def test_phone_counts_digits():
     assert (a, b) == (0, 15)
     (a, b, *_), = pii.finds("+44 20 7946 0958 (123456)", f.forth)
     assert (a, b) == (0, 16)
+
+
+CARD, BE, ES = "4111 1111 1111 1111", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"
+BESIDE = [(f"{BE} EUR 500", [(BE, "iban")]), (f"{BE.replace(' ', '')} A", [(BE.replace(" ", ""), "iban")]), (f"{ES} 2021 x", [(ES, "iban")]),
+          (f"AB12 CDEF {BE}", [(BE, "iban")]), ("AT61 1904 3002 3457 3201 BIC", [("AT61 1904 3002 3457 3201", "iban")]),
+          (f"{CARD} 123", [(CARD, "card"), ("123", "rest")]), (f"{CARD}-123.", [(CARD, "card"), ("123", "rest")]), (f"{CARD} 2025", [(CARD, "card")]),
+          (f"3782 822463 10005 {CARD}", [("3782 822463 10005", "card"), (CARD, "card")]),
+          (f"2021-03-07 {CARD}", [("2021-03-07", "date"), (CARD, "card")]), (f"123-45-6789 {CARD}", [("123-45-6789", "ssn"), (CARD, "card")]),
+          (f"+49 3012345678 {CARD}", [("+49 3012345678", "phone"), (CARD, "card")]), (f"555-123-4567 {CARD}", [("555-123-4567", "phone"), (CARD, "card")]),
+          ("2021-03-07T12:00:00Z", [("2021-03-07", "date")]), ("2021-03-07Tea", []),
+          ("9807 9157 6280 4490 97.51.17.173", [("9807 9157 6280 4490", "account"), ("97.51.17.173", "ip")]),
+          ("+49 30 1234567 97.51.17.173", [("+49 30 1234567", "phone"), ("97.51.17.173", "ip")]),
+          ("9807915762804490 07.03.2021", [("9807915762804490", "account"), ("07.03.2021", "date")])]
+
+
+def test_values_beside_others():
+    f = pii.Feistel(KEY)
+    alone = lambda s: pii.finds(s, f.forth)[0][3]
+    for text, want in BESIDE:
+        found = pii.finds(text, f.forth)
+        assert [(text[a:b], k) for a, b, k, _ in found] == want, text
+        assert all(new == alone(text[a:b]) for a, b, k, new in found if k != "rest"), text
+        new = pii.replaced(text, found)
+        assert pii.replaced(new, pii.finds(new, f.back)) == text
+
+
+@given(st.lists(st.integers(0, 10**9), min_size=4, max_size=6), st.integers(1, 6))
+@settings(max_examples=300, deadline=None)
+def test_groups_come_back(numbers, width):
+    f = pii.Feistel(KEY)
+    text = " ".join(f"{x % 10 ** width:0{width}d}" for x in numbers)
+    new = pii.replaced(text, pii.finds(text, f.forth))
+    assert pii.replaced(new, pii.finds(new, f.back)) == text
+
+
+def test_long_numbers_of_zeros_end():
+    f = pii.Feistel(KEY)
+    (_, _, kind, new), = pii.finds("0" * 19, f.forth)
+    assert kind == "card" and pii.finds(new, f.back)[0][3] == "0" * 19
+
+
+def test_iban_of_another_length_comes_back():
+    f = pii.Feistel(KEY)
+    for i in range(300):
+        text = f"GB00WEST123456{i:08d}99"
+        text = text[:2] + f"{98 - pii.iban_rest(text):02d}" + text[4:]
+        (_, _, kind, new), = pii.finds(text, f.forth)
+        assert kind == "iban" and pii.finds(new, f.back)[0][3] == text
