@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import decontaminate
-from riskloom.llm.line_dedup import line_dedup
+from riskloom.llm.line_dedup import EXACT_WORDS, line_dedup
 from riskloom.llm.mixing import mix_sources
 from riskloom.llm.ngram_join import ngram_join
 from riskloom.llm.registry import saved, table
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats up to one word go; ``n_chars`` follows the text."""
-    return line_dedup(docs).drop("lines_removed").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Lines that an earlier line repeats up to one word go, those of fewer than five words where they are
+    equal; ``n_chars`` follows the text."""
+    return line_dedup(docs, exact_words=EXACT_WORDS).drop("lines_removed").withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Lines within one edit share their first or their last half, so only lines with a
 another line emit variants; that sieve loses no pair.
 
 A line is removed when the same or a near line begins earlier (by identifier, then line number),
-whether or not that one stays itself. Lines of fewer than ``MIN_WORDS`` words are neither removed nor
-compared.
+whether or not that one stays itself. Near lines have ``MIN_WORDS`` words or more; equal lines are found
+from ``exact_words`` words on, in the queries from one (lines without words stay).
 
 Defined results: null text stays null and has no lines; rows that share an identifier share places, so
 repeated rows keep equal lines; rows without an identifier come last; an empty table gives no rows; a
@@ -33,7 +33,7 @@ from riskloom.llm.registry import query, saved, table
 from riskloom.llm.tokens import WORD_BASE, Hasher, blocks, mix
 from riskloom.session import checkpoint_dir
 
-MIN_WORDS = 5
+MIN_WORDS, EXACT_WORDS = 5, 1
 HALF_FIRST, HALF_LAST = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
@@ -90,8 +90,9 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], least: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Lines of at least ``least`` words: hash, place, and the row's key and half keys or the text."""
+def _hashed(batches: Iterator[pa.RecordBatch], least: int, near: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Lines of at least ``least`` words: hash, place, and the text or the row's key and half keys (none
+    below ``near`` words)."""
     hasher = Hasher()
     for b in batches:
         for first, _, data, at in blocks(b.column(1)):
@@ -102,9 +103,10 @@ def _hashed(batches: Iterator[pa.RecordBatch], least: int, with_text: bool) -> I
             if with_text:
                 out.append(pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(lines.at[keep], lines.at[keep + 1])], pa.string()))
             else:
-                keys = lines.halves()[keep].view(np.int64)
+                full = lines.size[keep] >= near
+                keys = lines.halves()[keep[full]].view(np.int64)
                 out.append(b.column(2).take(pa.array(first + lines.doc[keep])))
-                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * 4), pa.array(keys.ravel())))
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(full * 4)).astype(np.int32)), pa.array(keys.ravel())))
             yield pa.RecordBatch.from_arrays(out, ["line", "doc_id", "no", *(["text"] if with_text else ["row", "halves"])])
 
 
@@ -134,10 +136,10 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 500_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows: int = 500_000, exact_words: int = MIN_WORDS) -> DataFrame:
     """``row, doc_id, no, line, first`` of the lines of ``docs`` (``doc_id, text, row``) that go: the
     key of their row, their number, their hash and the place of the earliest line like them."""
-    lines = saved(docs.mapInArrow(lambda it: _hashed(it, min_words, False), "line long, doc_id long, no int, row long, halves array<long>"), "lines")
+    lines = saved(docs.mapInArrow(lambda it: _hashed(it, min(exact_words, min_words), min_words, False), "line long, doc_id long, no int, row long, halves array<long>"), "lines")
     firsts = saved(lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), "lines-first")
 
     # the sieve: lines that share a half with another line
@@ -145,7 +147,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows:
     shared = saved(halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo < hi").select("half"), "lines-halves")
     near = saved(halves.join(_few(shared, broadcast_rows), "half", "left_semi").select("line").distinct()
                  .join(firsts, "line").select("line", "first.doc_id", "first.no"), "lines-near")
-    texts = docs.mapInArrow(lambda it: _hashed(it, min_words, True), "line long, doc_id long, no int, text string")
+    texts = docs.mapInArrow(lambda it: _hashed(it, min_words, min_words, True), "line long, doc_id long, no int, text string")
     same = near.select(F.col("line"), F.col("doc_id").alias("d"), F.col("no").alias("k"))
     texts = saved(texts.join(_few(same, broadcast_rows), "line").where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("no") == F.col("k")))
                   .select("line", "doc_id", "no", "text").dropDuplicates(["line"]), "lines-text")
@@ -174,14 +176,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, broadcast_rows:
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
-               broadcast_rows: int = 500_000, removed: str = "lines_removed") -> DataFrame:
-    """``docs`` without its repeated lines, and with their number (a column of that name is replaced)."""
+               broadcast_rows: int = 500_000, removed: str = "lines_removed", exact_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without its repeated lines, and with their number (a column of that name is replaced).
+    Lines of ``min_words`` words or more are compared up to one edit, shorter ones down to ``exact_words``
+    words for equality."""
     checkpoint_dir(docs.sparkSession)
     docs = docs.drop(removed)
     # a row is known by the hash of its identifier and text: rows equal in both lose the same lines
     row = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row.alias("row"))
-    gone = (repeated_lines(narrow, min_words, broadcast_rows).select(F.col("row").alias("_row"), "no").distinct()
+    gone = (repeated_lines(narrow, min_words, broadcast_rows, exact_words).select(F.col("row").alias("_row"), "no").distinct()
             .groupBy("_row").agg(F.collect_list("no").alias("_gone")))
     joined = docs.withColumn("_row", row).join(saved(gone, "lines-gone"), "_row", "left").drop("_row")
     position = docs.columns.index(text)
@@ -211,5 +215,5 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "lines_removed", F.octet_length(F.coalesce("text", F.lit(""))).alias("kept_bytes"),
+    return line_dedup(docs, exact_words=EXACT_WORDS).select("doc_id", "lines_removed", F.octet_length(F.coalesce("text", F.lit(""))).alias("kept_bytes"),
                                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -67,3 +67,34 @@ def test_edit_bound():
 
 def test_empty_table(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_exact(rows, least, exact):
+    """As ``brute``, and lines of ``exact`` to ``least`` words go where an earlier line is equal."""
+    lines = [((i is None, i or 0, k), tuple(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    first = {}
+    for place, w in lines:
+        first[w] = min(first.get(w, place), place)
+    long = [w for w in first if len(w) >= least]
+    near = {w: min(first[v] for v in long if abs(len(v) - len(w)) < 2 and (edit_distance(v, w) <= 1 if len(w) < 100 else within_one_edit(v, w))) for w in long}
+    goes = lambda w, place: len(w) >= exact and near.get(w, first[w]) < place
+    out = []
+    for i, t in rows:
+        parts = t.split("\n") if t is not None else []
+        keep = [x for k, x in enumerate(parts) if not goes(tuple(re.findall(r"[^\x20\x09-\x0D]+", x)), (i is None, i or 0, k))]
+        out.append((i, "\n".join(keep) if t is not None else None, len(parts) - len(keep)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_short_lines_against_brute_force(spark, limit):
+    data = rows(3) + [(200, "Les.\n\nq r\nLes."), (201, "q  r\nq s\n \nLes."), (202, "a b c d e"), (203, "a b c d")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = line_dedup(df, broadcast_rows=limit, exact_words=1).select("doc_id", "text", "lines_removed").collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_exact(data, 5, 1)
+
+
+def test_query_removes_short_lines(spark, tmp_path):
+    from riskloom.llm.line_dedup import op2
+    spark.createDataFrame([(1, "Les.\nmore words"), (2, "Les.\nother"), (3, "Les.\nmore words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.lines_removed for r in op2(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 2}
