@@ -28,10 +28,10 @@ from riskloom.llm.registry import query, saved, table
 from riskloom.llm.tokens import BLOCK, BYTE_BASE, Hasher, mix, utf8
 
 MIN_COUNT, MAX_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
-SAMPLE_BYTES = 32 << 20         # text that the sample holds, about
+SAMPLE_BYTES = 16 << 20         # text that the sample holds, about
 LOWER = 0.8                     # the sample's threshold, as a share of the one that its size calls for
 MAP_BITS = 27                   # bitmap of 16 MB per phrase length
-CHUNK = 12 << 20                # bytes of text that are counted together in a task
+CHUNK = 6 << 20                 # bytes of text that are counted together in a task
 SECOND_BASE = 0xD6E8FEB86659FD93
 SCORE_UNIT = 1_000_000
 
@@ -57,11 +57,12 @@ class Words:
         heads, tails = at[:-1][full], at[1:][full] - 1
         first[heads], last[tails] = word[heads], word[tails]
         self.data, self.lo, self.hi = lower, np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.doc = np.searchsorted(at, self.lo, "right") - 1
+        self.doc = (np.searchsorted(at, self.lo, "right") - 1).astype(np.int32)
         ends = np.zeros(len(lower) + 1, np.int32)
         np.cumsum(kind == 2, out=ends[1:])
         broken = (ends[self.lo[1:]] > ends[self.hi[:-1]]) | (self.doc[1:] != self.doc[:-1])
-        self.piece = np.concatenate([[0], np.cumsum(broken)]) if len(self.lo) else np.zeros(0, np.int64)
+        self.piece = np.concatenate([[0], np.cumsum(broken, dtype=np.int32)]).astype(np.int32) if len(self.lo) else np.zeros(0, np.int32)
+        del first, last, word, kind, ends, broken
         self.one, self.two = (self._hashes(lower, base, hasher) for base in (BYTE_BASE, SECOND_BASE))
 
     def _hashes(self, lower: np.ndarray, base: int, hasher: Hasher) -> np.ndarray:
