@@ -30,15 +30,15 @@ from riskloom.llm.tokens import BLOCK, BYTE_BASE, Hasher, mix, utf8
 MIN_COUNT, MAX_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 SAMPLE_BYTES = 16 << 20         # text that the sample holds, about
 LOWER = 0.8                     # the sample's threshold, as a share of the one that its size calls for
-MAP_BITS = 27                   # bitmap of 16 MB per phrase length
-CHUNK = 6 << 20                 # bytes of text that are counted together in a task
+MAP_BITS = 26                   # bitmap of 8 MB per phrase length
+CHUNK = 3 << 20                 # bytes of text that are counted together in a task
 SECOND_BASE = 0xD6E8FEB86659FD93
 SCORE_UNIT = 1_000_000
 
 _KIND = np.zeros(256, np.uint8)                                   # 0 word, 1 blank, 2 end of a piece
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
-COUNTS_SCHEMA = "lang string, words int, phrase string, f long"
+KEYED = "key string, f long"      # a phrase, the end of a line (no phrase holds one) and the language
 
 
 class Words:
@@ -120,12 +120,11 @@ def _admitted(words: Words, n: int, lang: str, maps: dict[int, np.ndarray], map_
 def _count(words: Words, lang: str, carried: int, max_words: int, maps, before, map_bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of the block: words in the first pass (``before`` is None), and phrases that ``maps`` admits and
     ``before`` did not. The first ``carried`` words belong to the block before; what ends in them is counted there."""
-    def rows(n, phrase, f):
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), n, np.int32)), phrase,
-                                           pa.array(f.astype(np.int64))], ["lang", "words", "phrase", "f"])
+    def rows(phrase, f):
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrase, pa.scalar(lang), pa.scalar("\n")), pa.array(f.astype(np.int64))], ["key", "f"])
 
     if before is None:
-        yield rows(0, pa.array([""]), np.array([len(words.lo) - carried]))
+        yield rows(pa.array([""]), np.array([len(words.lo) - carried]))
     for n in range(1, max_words + 1):
         if n == 1 and before is not None or len(words.lo) < n:
             continue
@@ -146,7 +145,7 @@ def _count(words: Words, lang: str, carried: int, max_words: int, maps, before,
             start = new[k:k + 100_000]
             stop = new[k + 1:k + 1 + 100_000]
             stop = stop if len(stop) == len(start) else np.append(stop, len(at))
-            yield rows(n, words.text(at[start], n), stop - start)
+            yield rows(words.text(at[start], n), stop - start)
 
 
 def _cut(data: np.ndarray, limit: int, keep: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -253,8 +252,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     texts, sample = texts.select("lang", "text"), sample.select("lang", "text")
 
     def counts(rows: DataFrame, least: int, maps, before, longest: int) -> DataFrame:
-        found = rows.mapInArrow(counter(longest, maps, before, map_bits, chunk), COUNTS_SCHEMA)
-        return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+        found = rows.mapInArrow(counter(longest, maps, before, map_bits, chunk), KEYED).groupBy("key").agg(F.sum("f").alias("f"))
+        phrase = F.substring_index("key", "\n", 1)
+        spaces = F.length(phrase) - F.length(F.replace(phrase, F.lit(" ")))
+        return (found.where((F.col("f") >= least) | F.startswith("key", F.lit("\n")))
+                .select(F.expr("substring(key, locate('\\n', key) + 1)").alias("lang"), F.when(phrase == "", 0).otherwise(spaces + 1).alias("words"), phrase.alias("phrase"), "f"))
 
     least = max(min(2, min_count), math.ceil(LOWER * rate * min_count))
     proposed = saved(counts(sample, least, None, None, max(1, max_words - 1)), "phrases-proposed")
