@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import collocations, decontamination, exact_dedup, line_dedup, mixing, ngram_join, pii, secrets, substring_dedup, toxicity, warc  # noqa: F401
+from riskloom.llm import collocations, decontamination, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, pii, secrets, substring_dedup, token_alignment, toxicity, warc  # noqa: F401
 from riskloom.llm.registry import ORACLES, QUERIES
 
 
