@@ -31,7 +31,7 @@ MIN_COUNT, MAX_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 SAMPLE_BYTES = 16 << 20         # text that the sample holds, about
 LOWER = 0.8                     # the sample's threshold, as a share of the one that its size calls for
 MAP_BITS = 26                   # bitmap of 8 MB per phrase length
-CHUNK = 3 << 20                 # bytes of text that are counted together in a task
+CHUNK = 1 << 20                 # bytes of text that are counted together in a task
 SECOND_BASE = 0xD6E8FEB86659FD93
 SCORE_UNIT = 1_000_000
 
