@@ -7,12 +7,15 @@ and a hot node is a skewed join key that AQE splits. Lineage is cut with a relia
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.session import checkpoint_dir
 
 LONG_MIN = -(1 << 63)
+CLUSTER_NODES = 5       # a suspicious cluster has at least so many nodes
 
 
 def _oriented(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -103,7 +106,22 @@ def _order_key(ts: str, id_col: str):
     return F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("i"))
 
 
-def cluster_times(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
+def _relaxed(adj: DataFrame, lists: DataFrame, hops: int, k: int) -> DataFrame:
+    """``hops`` rounds over ``adj`` (v, w, t; with a self-loop per node) on the lists ``(v, lst)`` of the ``k`` earliest
+    ``(b, x)`` per node."""
+    w = Window.partitionBy("v").orderBy("b", "x")
+    for r in range(hops):
+        lifted = (adj.join(lists.withColumnRenamed("v", "w"), "w").select("v", "t", F.explode("lst").alias("e"))
+                  .select("v", F.col("e.x").alias("x"), F.greatest(F.col("t"), F.col("e.b")).alias("b")))
+        best = lifted.groupBy("v", "x").agg(F.min("b").alias("b"))
+        top = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))
+        if r % 2 == 1 or r == hops - 1:
+            lists = lists.checkpoint()
+    return lists
+
+
+def cluster_times(edges: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
     """K6 core: ``(user, _tstar)`` = the order key ``(t, i)`` at which the user's component first
     has at least ``k`` nodes (absent when it never does).
 
@@ -127,20 +145,45 @@ def cluster_times(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
            .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t")))
     nodes = adj.select("v").distinct()
     adj = adj.unionByName(nodes.select("v", F.col("v").alias("w"), sentinel.alias("t"))).checkpoint()
-    lists = nodes.select("v", F.array(F.struct(sentinel.alias("b"), F.col("v").alias("x"))).alias("lst"))
-    w = Window.partitionBy("v").orderBy("b", "x")
-    for r in range(hops):
-        lifted = (adj.join(lists.withColumnRenamed("v", "w"), "w").select("v", "t", F.explode("lst").alias("e"))
-                  .select("v", F.col("e.x").alias("x"), F.greatest(F.col("t"), F.col("e.b")).alias("b")))
-        best = lifted.groupBy("v", "x").agg(F.min("b").alias("b"))
-        top = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))
-        if r % 2 == 1 or r == hops - 1:
-            lists = lists.checkpoint()
+    lists = _relaxed(adj, nodes.select("v", F.array(F.struct(sentinel.alias("b"), F.col("v").alias("x"))).alias("lst")), hops, k)
     times = lists.where(F.size("lst") >= k).select(F.col("v").alias("nid"), F.element_at("lst", k)["b"].alias("_tstar"))
     return times.join(ids, "nid").select(F.col("node").alias("user"), "_tstar")
 
 
+LISTS_SCHEMA = "node string, lst array<struct<b: struct<t: bigint, i: bigint>, x: string>>"
+
+
+def grown_cluster_lists(edges: DataFrame, stored: Callable[[DataFrame], DataFrame], hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
+    """K6 by increments: the earliest-``k`` lists ``(node, lst)`` of the nodes that new ``edges`` (id, ts, user, device; all
+    later than what is stored) touch, and of those whose component they extend. ``stored`` looks lists up by node.
+
+    A full list is final: whatever comes has a later time. A list that is not full holds its whole component, so
+    the component of a touched node is read off its list, and the members' lists are all that can change besides. The
+    rounds therefore run over the new edges, the members of the small components they touch, and the full lists that they
+    meet, which give their entries and take none."""
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    pairs = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
+    new = (pairs.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
+           .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t"))).checkpoint()
+    touched = new.select(F.col("v").alias("node")).distinct()
+    known = stored(touched).checkpoint()
+    small = known.where(F.size("lst") < k)
+    inner = (small.select(F.col("node").alias("v"), F.explode("lst").alias("e")).where(F.col("e.x") != F.col("v"))
+             .select("v", F.col("e.x").alias("w"), F.col("e.b").alias("t")))
+    members = inner.select(F.col("w").alias("node")).distinct().join(touched, "node", "left_anti")
+    known = known.unionByName(stored(members))
+    sentinel = F.struct(F.lit(LONG_MIN).alias("t"), F.lit(LONG_MIN).alias("i"))
+    nodes = touched.unionByName(members)
+    lists = nodes.join(known, "node", "left").select(F.col("node").alias("v"), F.coalesce(
+        "lst", F.array(F.struct(sentinel.alias("b"), F.col("node").alias("x")))).alias("lst")).checkpoint()
+    both = inner.unionByName(inner.select(F.col("w").alias("v"), F.col("v").alias("w"), "t"))
+    adj = new.unionByName(both).join(lists.where(F.size("lst") >= k).select("v"), "v", "left_anti")
+    # self-loops carry every node's own entries, full lists unchanged
+    adj = adj.unionByName(lists.select("v", F.col("v").alias("w"), sentinel.alias("t"))).checkpoint()
+    return _relaxed(adj, lists, hops, k).select(F.col("v").alias("node"), "lst")
+
+
 def flag_from_times(rows: DataFrame, times: DataFrame, out: str = "in_cluster") -> DataFrame:
     """K6 flag: the row's order key is at or after its user's cluster time."""
     t = times.withColumnRenamed("user", "_u")
@@ -148,7 +191,7 @@ def flag_from_times(rows: DataFrame, times: DataFrame, out: str = "in_cluster")
     return j.withColumn(out, F.coalesce(_order_key("ts", "id") >= F.col("_tstar"), F.lit(False))).drop("_u", "_tstar")
 
 
-def cluster_flag_asof(edges: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
+def cluster_flag_asof(edges: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
     """K6: ``in_cluster`` for every edge row ``(id, ts, user, device)``: with all edges up to and
     including this row, the user's component has more than 4 nodes."""
     return flag_from_times(edges, cluster_times(edges.select("id", "ts", "user", "device"), hops, k))

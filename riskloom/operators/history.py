@@ -89,8 +89,8 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
 
     The rows are shuffled by (device, time bucket), then by (user, time bucket); the bucket totals
     shuffle the keys once more each. ``prior`` is
-    compacted history from earlier stream batches (all of it before these rows): its per-user edge
-    counts and per-device distinct users enter as offsets, its pairs are never first again.
+    the state that earlier stream batches have left (all of it before these rows): its edge counts
+    per user and distinct users per device enter as offsets, its pairs are never first again.
     The rows are written once (unless ``materialise`` is off, for callers that have done so), as the
     cut points, first rows and running sums all read them.
     """
@@ -113,7 +113,7 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     dev_off = user_off = None
     if prior is not None:
         firsts = firsts.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
-        dev_off = prior.pairs.groupBy("device").agg(F.count(F.lit(1)).alias("_off"))
+        dev_off = prior.device_counts.select("device", F.col("n").alias("_off"))
         user_off = prior.user_counts.select("user", F.col("n").alias("_off"))
     merged = rows.unionByName(firsts, allowMissingColumns=True)
     dev = running_sum(merged, ["device"], ["ts", "id", "_tag"], F.col("_tag"), "device_degree", offset=dev_off)
@@ -130,23 +130,20 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
 
 @dataclass
 class GraphState:
-    """Compacted edge history for streams: ``user_counts`` (user, n) edge rows per user and
-    ``pairs`` (device, user, ts, id) the first order key of every distinct pair. Its size grows
-    with users and pairs, not with edge rows."""
+    """What earlier batches hold of the users and devices of a batch: ``user_counts`` (user, n) edge rows per user,
+    ``pairs`` (device, user) known links, ``device_counts`` (device, n) distinct users per device."""
     user_counts: DataFrame
     pairs: DataFrame
+    device_counts: DataFrame
 
 
-def fold_state(prior: GraphState | None, edges: DataFrame) -> GraphState:
-    """The state after ``edges`` (id, ts, user, device), all later than ``prior``."""
-    counts = edges.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
-    firsts = (edges.groupBy("device", "user").agg(F.min(F.struct("ts", "id")).alias("_k"))
-              .select("device", "user", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id")))
-    if prior is None:
-        return GraphState(counts, firsts)
-    counts = prior.user_counts.unionByName(counts).groupBy("user").agg(F.sum("n").alias("n"))
-    new_pairs = firsts.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
-    return GraphState(counts, prior.pairs.unionByName(new_pairs))
+def state_increments(prior: GraphState | None, edges: DataFrame) -> GraphState:
+    """What ``edges`` (user, device) add to the state: rows per user, links that are new, new links per device."""
+    pairs = edges.select("device", "user").distinct()
+    if prior is not None:
+        pairs = pairs.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
+    return GraphState(edges.groupBy("user").agg(F.count(F.lit(1)).alias("n")), pairs,
+                      pairs.groupBy("device").agg(F.count(F.lit(1)).alias("n")))
 
 
 def degree_snapshot(rows: DataFrame, edges: DataFrame, user: str = "user", device: str = "device") -> DataFrame:

@@ -21,11 +21,12 @@ ScoreFn = Callable[[DataFrame], DataFrame]
 
 
 def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: DataFrame | None = None,
-                 card: str = "card1", device: str = "device", state: history.GraphState | None = None) -> DataFrame:
+                 card: str = "card1", device: str = "device", state: history.GraphState | None = None,
+                 cluster_times: Callable[[DataFrame], DataFrame] = graph.cluster_times) -> DataFrame:
     """Attach as-of graph counts and the as-of cluster flag to every transaction, carrying the
     transaction's columns through (no join back by id). Earlier history (streams) comes either as
-    raw ``history_edges`` (id, ts, user, device) or as compacted ``state``; it counts but is not
-    returned."""
+    raw ``history_edges`` (id, ts, user, device) or as ``state``, then with ``cluster_times`` that know
+    the stored clusters; it counts but is not returned."""
     rows = txn.select("*", F.col(id_col).alias("id"),
                       F.concat(F.lit("user_"), F.coalesce(F.col(card).cast("string"), F.lit("unknown"))).alias("user"),
                       F.concat(F.lit("device_"), F.coalesce(F.col(device), F.lit("unknown"))).alias("_device_key"),
@@ -36,11 +37,7 @@ def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: D
         prior = history_edges.select("id", "ts", "user", "device").withColumn("_prior", F.lit(True))
         rows = rows.unionByName(prior, allowMissingColumns=True)
     rows = materialised(rows, "scoring-rows")      # clusters, cut points, first rows and sums all read it
-    graph_edges = rows.select("id", "ts", "user", "device")
-    if state is not None:
-        # any hop bound >= 4 gives the same cluster time, so the first edge of each prior pair is enough
-        graph_edges = graph_edges.unionByName(state.pairs.select("id", "ts", "user", "device"))
-    times = graph.cluster_times(graph_edges)
+    times = cluster_times(rows.select("id", "ts", "user", "device"))
     hist = history.graph_history(rows, prior=state, materialise=False)
     flagged = graph.flag_from_times(hist, times)
     out = flagged.where(~F.col("_prior")).drop("_prior", "id", "user", "device")
@@ -48,10 +45,11 @@ def with_history(txn: DataFrame, id_col: str = "TransactionID", history_edges: D
 
 
 def score(txn: DataFrame, probability: ScoreFn, anomaly: ScoreFn, id_col: str = "TransactionID",
-          history_edges: DataFrame | None = None, state: history.GraphState | None = None) -> DataFrame:
+          history_edges: DataFrame | None = None, state: history.GraphState | None = None,
+          cluster_times: Callable[[DataFrame], DataFrame] = graph.cluster_times) -> DataFrame:
     """L5. ``probability`` / ``anomaly`` add ``fraud_probability`` / ``anomaly_score`` to a frame of
     aligned features (fitted models from ``riskloom.operators.models``, or any column rule)."""
-    h = with_history(txn, id_col, history_edges, state=state)
+    h = with_history(txn, id_col, history_edges, state=state, cluster_times=cluster_times)
     feats = prep.scoring_features(h).withColumn("g_user_degree", F.col("user_degree")) \
                                     .withColumn("g_device_degree", F.col("device_degree"))
     scored = anomaly(probability(feats))

@@ -4,25 +4,28 @@ T2 ``daily_risk``: live per-day level counts over arriving predictions; event-ti
 one-day windows, state dropped once a day is closed.
 
 T1 ``start_scoring``: arriving transactions are scored in ``foreachBatch`` with the batch operators
-of ``riskloom.plans.score``. Earlier batches are summarised in a compacted, versioned state (edge
-rows per user; first order key of every distinct device-user pair), so a batch costs O(state), not
-O(all edges). Every output is keyed by batch id, so a retried batch replaces its own output. Rows of
-a batch come after all stored history and keep their (ts, id) order inside the batch; a late row
-therefore sees the history known when its batch arrived, as the reference would.
+of ``riskloom.plans.score``. Earlier batches are kept as increments (``riskloom.streaming.state``): edge
+rows per user, links, distinct users per device and the clusters' earliest-five lists. A batch reads the keys
+that it touches and writes what it adds, so its cost follows the batch. Every output is keyed by batch id, so a
+retried batch replaces its own output. Rows of a batch come after all stored history and keep their (ts, id)
+order inside the batch; a late row therefore sees the history known when its batch arrived, as the
+reference would.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators import graph, reports
 from riskloom.operators import history as H
-from riskloom.operators import reports
 from riskloom.plans import score as S
 from riskloom.session import checkpoint_dir, scratch_path
+from riskloom.sources.tables import materialised
+from riskloom.streaming.state import Increments
 
 
 def daily_risk(predictions: DataFrame, ts: str = "created_at", level: str = "risk_level",
@@ -64,51 +67,38 @@ def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at
     return (out.groupBy("day", "level").agg(F.max_by("n", "batch").alias("n")))
 
 
-def _state_versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete state versions under ``base`` (``v=<batch id>`` folders with both tables committed)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and all(
-                fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/{t}/_SUCCESS")) for t in ("users", "pairs")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_state(spark: SparkSession, base: str, before: int) -> H.GraphState | None:
-    """The newest complete state written by a batch before ``before`` (a retried batch ignores its
-    own half-written version)."""
-    versions = [v for v in _state_versions(spark, base) if v < before]
-    if not versions:
-        return None
-    v = versions[-1]
-    return H.GraphState(spark.read.parquet(f"{base}/v={v}/users"), spark.read.parquet(f"{base}/v={v}/pairs"))
-
-
-def write_state(state: H.GraphState, base: str, version: int, retain: int = 2) -> None:
-    """Write version ``version``, then expire all but the newest ``retain`` complete versions (a
-    retried batch reads the version before its own, which is kept)."""
-    state.user_counts.write.mode("overwrite").parquet(f"{base}/v={version}/users")
-    state.pairs.write.mode("overwrite").parquet(f"{base}/v={version}/pairs")
-    spark = state.pairs.sparkSession
-    versions = _state_versions(spark, base)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for v in versions[:-retain] if retain > 0 else []:
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/v={v}")
-        path.getFileSystem(conf).delete(path, True)
-
-
-def _shift_after(state: H.GraphState | None, batch: DataFrame, ts: str) -> DataFrame:
+class ScoringState:
+    """The stored state of T1 under ``base``: edge rows per user, links, distinct users per device, and the
+    earliest-five lists of the nodes (K6); beside them the newest time of each batch. A batch looks up
+    the users, devices and nodes that it touches, and writes what it adds."""
+
+    def __init__(self, base: str):
+        self.users = Increments(f"{base}/users", "user string, n long", ["user"], {"n": "sum"})
+        self.pairs = Increments(f"{base}/pairs", "device string, user string", ["device", "user"], {})
+        self.devices = Increments(f"{base}/devices", "device string, n long", ["device"], {"n": "sum"})
+        self.lists = Increments(f"{base}/lists", graph.LISTS_SCHEMA, ["node"], {"lst": "newest"})
+        self.clock = Increments(f"{base}/clock", "one int, last timestamp", ["one"], {"last": "max"}, buckets=1)
+
+    def newest_time(self, spark: SparkSession, batch: int) -> datetime | None:
+        row = self.clock.before(spark, batch).first()
+        return row["last"] if row else None
+
+    def counts(self, edges: DataFrame, batch: int) -> H.GraphState:
+        keys = {c: edges.select(*c).distinct() for c in (("user",), ("device", "user"), ("device",))}
+        return H.GraphState(self.users.of_keys(keys["user",], batch), self.pairs.of_keys(keys["device", "user"], batch),
+                            self.devices.of_keys(keys["device",], batch))
+
+    def write(self, added: H.GraphState, lists: DataFrame, last: DataFrame, batch: int) -> None:
+        self.users.write(added.user_counts, batch)
+        self.pairs.write(added.pairs, batch)
+        self.devices.write(added.device_counts, batch)
+        self.lists.write(lists, batch)
+        self.clock.write(last, batch)
+
+
+def _shift_after(last: datetime | None, batch: DataFrame, ts: str) -> DataFrame:
     """Order a batch after all stored history, keeping its inner (ts, id) order."""
-    if state is None:
-        return batch
-    last = state.pairs.agg(F.max("ts").alias("m")).first()["m"]
-    first = batch.agg(F.min(ts).alias("m")).first()["m"]
+    first = batch.agg(F.min(ts).alias("m")).first()["m"] if last is not None else None
     if last is None or first is None or first > last:
         return batch
     shift_us = (last - first) // timedelta(microseconds=1) + 1
@@ -117,24 +107,29 @@ def _shift_after(state: H.GraphState | None, batch: DataFrame, ts: str) -> DataF
 
 def score_batch(batch: DataFrame, batch_id: int, out_dir: str, probability: Callable, anomaly: Callable,
                 id_col: str = "TransactionID", ts: str = "ts") -> None:
-    """One micro-batch of T1: read the compacted state of earlier batches, score, write this batch's
-    predictions and edges, and the next state version. Every write is keyed by the batch id, so a
+    """One micro-batch of T1: look up what earlier batches hold of its users, devices and clusters, score, write this
+    batch's predictions and edges, and its increments of the state. Every write is keyed by the batch id, so a
     retried batch replaces its own output."""
     spark = batch.sparkSession
-    state_base = f"{out_dir}/state"
-    state = read_state(spark, state_base, batch_id)
     checkpoint_dir(spark)
+    state = ScoringState(f"{out_dir}/state")
     # the batch is read once; its own times are carried through the scoring
-    ordered = _shift_after(state, batch.withColumn("_arrived", F.col(ts)), ts).checkpoint()
-    scored = S.score(ordered, probability, anomaly, id_col=id_col, state=state)
+    ordered = _shift_after(state.newest_time(spark, batch_id), batch.withColumn("_arrived", F.col(ts)), ts).checkpoint()
+    edges = H.edge_rows(ordered, id_col=id_col, ts=ts).select("id", "ts", "user", "device").checkpoint()
+    known = state.counts(edges, batch_id)
+    known = H.GraphState(*(materialised(d, "known") for d in (known.user_counts, known.pairs, known.device_counts)))
+    lists = materialised(graph.grown_cluster_lists(edges, lambda nodes: state.lists.of_keys(nodes, batch_id)), "cluster-lists")
+    times = lists.where(F.size("lst") >= graph.CLUSTER_NODES).select(F.col("node").alias("user"), F.element_at("lst", graph.CLUSTER_NODES)["b"].alias("_tstar"))
+    scored = S.score(ordered, probability, anomaly, id_col=id_col, state=known, cluster_times=lambda _: times)
     rows = scored.withColumn(ts, F.col("_arrived"))
     stored = (reports.prediction_rows(rows.withColumn("amount", F.col("TransactionAmt")), id_col=id_col, ts=ts,
                                       keep=(F.col(id_col).alias("source_id"), F.col("anomaly_score")))
               .withColumn("day", F.to_date("created_at")))
     stored.write.mode("overwrite").partitionBy("day").parquet(f"{out_dir}/predictions/batch={batch_id}")
     H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
-    folded = H.fold_state(state, H.edge_rows(ordered, id_col=id_col, ts=ts).select("id", "ts", "user", "device"))
-    write_state(folded, state_base, batch_id)
+    before = state.lists.of_keys(lists.select("node"), batch_id).select("node", F.col("lst").alias("_old"))
+    changed = lists.join(before, "node", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("lst"))).drop("_old")
+    state.write(H.state_increments(known, edges), changed, edges.agg(F.lit(1).alias("one"), F.max("ts").alias("last")), batch_id)
 
 
 def read_predictions(spark: SparkSession, out_dir: str, start=None, end=None) -> DataFrame:

@@ -129,16 +129,47 @@ def test_components_chains_and_hubs(spark):
     assert got == _uf_components(edges)
 
 
-def test_history_with_compacted_state(spark):
+def test_history_with_stored_state(spark):
     rnd = random.Random(11)
     rows = [(i, rnd.randint(0, 400), f"u{rnd.randint(0, 9)}", f"d{rnd.randint(0, 4)}") for i in range(200)]
     full = _brute_history(rows)
     early = [r for r in rows if r[1] < 250]
     late = [r for r in rows if r[1] >= 250]
-    state = history.fold_state(None, _log(spark, early))
+    state = history.state_increments(None, _log(spark, early))
     got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
            for r in history.graph_history(_log(spark, late), prior=state).collect()}
     assert got == {r[0]: full[r[0]] for r in late}
+    more = history.state_increments(state, _log(spark, late))
+    pairs = lambda rs: {(d, u) for _, _, u, d in rs}
+    assert {tuple(r) for r in more.pairs.select("device", "user").collect()} == pairs(late) - pairs(early)
+
+
+def _brute_times(rows, k=5):
+    """Per node the (minute, id) of the row with which its component has k nodes."""
+    group, out = {}, {}
+    for i, m, u, d in sorted(rows, key=lambda r: (r[1], r[0])):
+        both = group.setdefault(u, {u}) | group.setdefault(d, {d})
+        for x in both:
+            group[x] = both
+            if len(both) >= k:
+                out.setdefault(x, (m, i))
+    return out
+
+
+def test_cluster_lists_by_increments(spark):
+    """Random batches of edges: after each one the lists give the times that union-find gives over all rows so far."""
+    from pyspark.sql import functions as F
+    for seed in range(3):
+        rnd = random.Random(seed)
+        rows = [(i, i // 2, f"u{rnd.randint(0, 25)}", f"d{rnd.randint(0, 18)}") for i in range(40)]
+        stored = spark.createDataFrame([], graph.LISTS_SCHEMA)
+        for lo, hi in ((0, 8), (8, 22), (22, 40)):
+            lists = graph.grown_cluster_lists(_log(spark, rows[lo:hi]), lambda nodes: stored.join(nodes, "node", "left_semi"))
+            stored = stored.join(lists.select("node"), "node", "left_anti").unionByName(lists).checkpoint()
+            got = {r["node"]: (r["t"], r["i"]) for r in stored.where(F.size("lst") >= 5)
+                   .select("node", F.expr("lst[4].b.t").alias("t"), F.expr("lst[4].b.i").alias("i")).collect()}
+            micros = lambda m: int((T0 + dt.timedelta(minutes=m)).replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+            assert got == {x: (micros(m), i) for x, (m, i) in _brute_times(rows[:hi]).items()}
 
 
 def test_history_keeps_rows_without_time(spark):

@@ -1,5 +1,6 @@
 """Streaming equals batch (T1, T2), the flagship runs, and plan properties hold."""
 
+import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.plans import q_report, score
 from riskloom.sources.fixtures import fixture
 from riskloom.streaming import stream as ST
+from riskloom.streaming.state import Increments, tables_before
 
 from conftest import SF001
 
@@ -83,8 +85,54 @@ def test_stream_restart_continues_from_checkpoint(spark):
     got = {r["source_id"]: (r["risk_score"], r["reasons_json"])
            for r in spark.read.parquet(f"{out}/predictions").collect()}
     assert got == want
-    # only the newest two state versions are kept
-    assert ST._state_versions(spark, f"{out}/state") == [1, 2]
+
+
+def _small_batch(spark, rows):
+    return spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), 10.0, card, device, None) for i, card, device in rows],
+                                 "TransactionID long, ts timestamp, TransactionAmt double, card1 long, device string, addr1 int")
+
+
+def test_a_batch_reads_and_writes_the_part_it_touches(spark, monkeypatch):
+    """Two components; a batch on one of them looks up and stores that one alone, in few files."""
+    out = tempfile.mkdtemp(prefix="rl-part-", dir="/tmp")
+    first = [(i, 1 + i % 30, f"d{i % 30}") for i in range(60)] + [(100 + i, 900 + i, "shared") for i in range(3)]
+    args = (out, q_report.standin_probability, q_report.standin_anomaly)
+    ST.score_batch(_small_batch(spark, first), 0, *args)
+    looked_up = []
+    keep = ST.Increments.of_keys
+    monkeypatch.setattr(ST.Increments, "of_keys", lambda self, wanted, batch: (looked_up.append(keep(self, wanted, batch)), looked_up[-1])[1])
+    ST.score_batch(_small_batch(spark, [(200, 900, "shared"), (201, 910, "shared")]), 1, *args)
+    own = {"user_900", "user_901", "user_902", "user_910", "device_shared"}
+    written = spark.read.parquet(f"{out}/state/lists/level=0/first=1")
+    assert {r["node"] for r in written.collect()} == own
+    assert {r["user"]: r["n"] for r in spark.read.parquet(f"{out}/state/users/level=0/first=1").collect()} == {"user_900": 1, "user_910": 1}
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/state/pairs/level=0/first=1").select("device", "user").collect()] == [("device_shared", "user_910")]
+    for found in looked_up:
+        assert {r[0] for r in found.select(found.columns[0]).collect()} <= own
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "first#" in line]
+        assert filters and all("bucket" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in filters)
+    flags = {r["source_id"]: r["reasons_json"] for r in ST.read_predictions(spark, out).where("source_id >= 200").collect()}
+    assert "cluster" not in flags[200] and "cluster" in flags[201]
+
+
+def test_increments_fold_and_retry(spark):
+    """Any number of batches: sums, minima and newest values as in a plain dict; a batch run again replaces itself."""
+    path = tempfile.mkdtemp(prefix="rl-inc-", dir="/tmp")
+    table = Increments(path, "k string, n long, low long, last long", ["k"], {"n": "sum", "low": "min", "last": "newest"}, buckets=4, fold=3)
+    want = {}
+    for batch in range(11):
+        for attempt in range(2 if batch in (2, 8) else 1):
+            rows = [(f"k{(batch * j) % 7}", batch, 100 - batch + j, 10 * batch + j) for j in range(3) if (batch * j) % 7 not in {(batch * i) % 7 for i in range(j)}]
+            assert {r["k"]: (r["n"], r["low"], r["last"]) for r in table.before(spark, batch).collect()} == want
+            table.write(spark.createDataFrame(rows if attempt or batch not in (2, 8) else rows[:1], table.schema).coalesce(2), batch)
+        for k, n, low, last in rows:
+            old = want.get(k, (0, 1 << 60, 0))
+            want[k] = (old[0] + n, min(old[1], low), last)
+    assert {r["k"]: (r["n"], r["low"], r["last"]) for r in table.before(spark, 11).collect()} == want
+    some = table.of_keys(spark.createDataFrame([("k1",), ("k9",)], "k string"), 11)
+    assert {r["k"]: (r["n"], r["low"], r["last"]) for r in some.collect()} == {k: v for k, v in want.items() if k == "k1"}
+    assert [tables_before(n, 3) for n in (0, 2, 3, 11)] == [[], [(0, 0), (0, 1)], [(1, 0)], [(2, 0), (0, 9), (0, 10)]]
 
 
 def test_daily_risk_stream_equals_batch(spark):
