@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import rules as R
 from riskloom.operators import graph, history
 from riskloom.plans.registry import query
+from riskloom.session import scratch_path
 from riskloom.sources.fixtures import fixture, with_views
+from riskloom.sources.tables import materialised
+from riskloom.streaming.components import GrowingComponents
 
 
 def txn_edges(spark, sf_dir):
@@ -97,6 +100,17 @@ def q_connected_components(spark, sf_dir):
     return graph.connected_components(fixture(spark, sf_dir, "fx_edges"))
 
 
+@query("components_by_batch", _recursive("SELECT node, component FROM cc", ("fx_edges",), _cc_sql("fx_edges")))
+def q_components_by_batch(spark, sf_dir):
+    """K1 on a growing edge table: the whole of fx_edges arrives in three batches, dealt by a hash of the edge."""
+    edges = fixture(spark, sf_dir, "fx_edges").withColumn("part", F.pmod(F.xxhash64("user", "device"), F.lit(3)))
+    edges = materialised(edges, "edges")
+    growing = GrowingComponents(scratch_path(spark, "components"))
+    for batch in range(3):
+        growing.add(edges.where(F.col("part") == batch), batch)
+    return growing.labels(spark, 3)
+
+
 CLUSTERS_SQL = """SELECT 'Cluster-' || CAST(n AS VARCHAR) AS cluster_id, size,
        CASE WHEN size >= 6 THEN 'high' ELSE 'medium' END AS risk, cc.node
 FROM cc JOIN (SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS n

@@ -179,3 +179,35 @@ def test_history_keeps_rows_without_time(spark):
     for kw in ({}, {"width_seconds": 60}, {"target_rows": 1}):
         got = {r["id"]: (r["user_degree"], r["device_degree"]) for r in history.graph_history(df, **kw).collect()}
         assert got == {1: (0, 0), 2: (1, 1), 3: (0, 1)}
+
+
+def test_growing_components_after_every_batch(spark):
+    import tempfile
+    from riskloom.streaming.components import GrowingComponents
+    rnd = random.Random(5)
+    edges = [(f"u{rnd.randint(0, 60)}", f"d{rnd.randint(0, 60)}") for _ in range(55)] + [(f"u{i}", f"d{i + 1}") for i in range(100, 110)]
+    rnd.shuffle(edges)
+    edges += [(f"u{i + 1}", f"d{i + 1}") for i in range(109, 99, -1)]           # merges a chain from its far end, root by root
+    growing = GrowingComponents(tempfile.mkdtemp(prefix="rl-grow-", dir="/tmp"), buckets=4)
+    cuts = [0, 20, 40, 41, 66, 70, 75]
+    for batch, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = spark.createDataFrame(edges[lo:hi] + [("u1", None), ("u2", "u2")], "user string, device string")
+        if batch == 2:
+            growing.add(spark.createDataFrame([("u1", "zz")], "user string, device string"), batch)     # a first attempt, replaced
+        touched = {r["node"]: r["component"] for r in growing.add(part, batch).collect()}
+        want = _uf_components(edges[:hi])
+        assert {r["node"]: r["component"] for r in growing.labels(spark, batch + 1).collect()} == want
+        assert touched == {n: want[n] for e in edges[lo:hi] for n in e}
+
+
+def test_growing_components_write_little(spark):
+    """One new edge between two large components writes a few pointers, whatever their size."""
+    import tempfile
+    from riskloom.streaming.components import GrowingComponents
+    path = tempfile.mkdtemp(prefix="rl-grow2-", dir="/tmp")
+    growing = GrowingComponents(path)
+    two = [(f"a{i:03d}", "a_hub") for i in range(200)] + [(f"b{i:03d}", "b_hub") for i in range(200)]
+    growing.add(spark.createDataFrame(two, "user string, device string"), 0)
+    growing.add(spark.createDataFrame([("b150", "a_hub")], "user string, device string"), 1)
+    assert {(r["node"], r["parent"]) for r in spark.read.parquet(f"{path}/pointers/level=0/first=1").collect()} == {("b150", "a000"), ("b000", "a000")}
+    assert {r["component"] for r in growing.labels(spark, 2).collect()} == {"a000"}
