@@ -1,8 +1,8 @@
 """Model fitting and scoring.
 
-* Boosted trees: MLlib ``GBTClassifier`` (distributed tree building). XGBoost is not available, so
-  the trees differ from the reference's; parameters keep its intent (200 rounds, depth 6, rate
-  0.05, row and column sampling 0.8, positive-class weight).
+* Boosted trees: second-order boosting on histograms (``riskloom.operators.boosting``) with the reference's
+  settings (200 rounds, depth 6, rate 0.05, row and column sampling 0.8, positive-class weight). Its library is not
+  available, so draws and bins differ and with them the trees.
 * Isolation forest: MLlib has none. Every tree draws its own rows by seeded hashes (a row may serve
   several trees), trees are grown in parallel with ``groupBy(tree).applyInPandas`` on ``psi`` rows
   each, the tree table (at most trees x 511 nodes) goes out with the scoring function, and an Arrow
@@ -16,19 +16,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.features import known
+from riskloom.operators.boosting import BoostedTrees, fit_boosted_trees
 from riskloom.operators.selection import exact_order_stats
 from riskloom.session import checkpoint_dir
 
 # Model settings of the reference.
-GBT_ROUNDS, GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_COLSAMPLE = 200, 6, 0.05, 0.8, "0.8"
+GBT_ROUNDS, GBT_DEPTH, GBT_RATE, GBT_SUBSAMPLE, GBT_COLSAMPLE = 200, 6, 0.05, 0.8, 0.8
 GRAPH_GBT_RATE, GRAPH_POS_WEIGHT = 0.1, 30.0
 IF_TREES, IF_MAX_SAMPLES, IF_CONTAMINATION = 100, 256, 0.02
 SEED = 42
@@ -44,40 +41,30 @@ def class_weight(df: DataFrame, label: str = "isFraud") -> DataFrame:
 
 def fit_fraud_model(train: DataFrame, features: Sequence[str], label: str = "isFraud",
                     rounds: int = GBT_ROUNDS, depth: int = GBT_DEPTH, rate: float = GBT_RATE,
-                    pos_weight: float | None = None, seed: int = SEED) -> PipelineModel:
+                    pos_weight: float | None = None, seed: int = SEED) -> BoostedTrees:
     """M1 (and M2 with ``rate=0.1, pos_weight=30`` and degree columns among the features)."""
     w = pos_weight if pos_weight is not None else class_weight(train, label).first()[0]
-    data = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0))) \
-                .withColumn("_label", F.col(label).cast("double"))
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
-    gbt = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=rounds,
-                        maxDepth=depth, stepSize=rate, subsamplingRate=GBT_SUBSAMPLE,
-                        featureSubsetStrategy=GBT_COLSAMPLE, seed=seed)
-    gbt.setPredictionCol("_pred").setProbabilityCol("_prob").setRawPredictionCol("_raw")
-    return Pipeline(stages=[assembler, gbt]).fit(data)
+    return fit_boosted_trees(train, features, label, rounds, depth, rate, float(w), GBT_SUBSAMPLE, GBT_COLSAMPLE, seed)
 
 
-def predict_probability(model: PipelineModel, df: DataFrame, out: str = "fraud_probability") -> DataFrame:
+def predict_probability(model: BoostedTrees, df: DataFrame, out: str = "fraud_probability") -> DataFrame:
     """Positive-class probability as a plain double column."""
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array(F.col("_prob"))[1]).drop("_features", "_prob", "_raw", "_pred")
+    return model.with_probability(df, out)
 
 
-def predict_probability_from(model: PipelineModel, df: DataFrame, columns: Sequence[str],
+def predict_probability_from(model: BoostedTrees, df: DataFrame, columns: Sequence[str],
                              out: str = "fraud_probability") -> DataFrame:
     """Score with the fitted trees, reading the features from ``columns`` (same order as training)."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep")
-    scored = model.stages[-1].transform(assembler.transform(df))
-    return scored.withColumn(out, vector_to_array(F.col("_prob"))[1]).drop("_features", "_prob", "_raw", "_pred")
+    return model.with_probability(df, out, columns)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist a fitted pipeline."""
-    model.write().overwrite().save(path)
+def save_model(model: BoostedTrees, path: str) -> None:
+    """Persist the fitted trees."""
+    model.save(SparkSession.getActiveSession(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> BoostedTrees:
+    return BoostedTrees.load(SparkSession.getActiveSession(), path)
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -190,7 +177,8 @@ def fit_isolation_forest(train: DataFrame, features: Sequence[str], trees: int =
     """M4: ``trees`` isolation trees on ``max_samples`` rows each (depth limit ceil(log2 psi)),
     offset = the ``contamination`` percentile of the training scores (exact, linear interpolation)."""
     feats = list(features)
-    rows = train.select(_vector(train, feats).alias("x")).withColumn("_u", F.xxhash64("x", F.lit(seed)))
+    # rows are drawn by all their columns (their key among them), so that equal vectors are drawn apart
+    rows = train.select(_vector(train, feats).alias("x"), F.xxhash64(F.lit(seed), *train.columns).alias("_u"))
     n = rows.count()
     psi = int(min(max_samples, n))
     depth = int(math.ceil(math.log2(max(psi, 2))))

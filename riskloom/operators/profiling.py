@@ -92,20 +92,24 @@ def graph_profile(profile: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
 
 def preparation_report(spark: SparkSession, prepared: DataFrame, numeric: list[str], categorical: list[str],
                        target: str, rare_map: DataFrame, source_path: str = "") -> DataFrame:
-    """Split sizes and label rates (one aggregate by split) and the rare-column count."""
+    """Split sizes and label rates (one aggregate by split), the rare-column count and the list of the
+    columns with the most rare values (I3, at most 20)."""
     by_split = prepared.agg(
         F.count_if(F.col("split") == "train").alias("train_rows"),
         F.count_if(F.col("split") == "validation").alias("validation_rows"),
         F.avg(F.when(F.col("split") == "train", F.col(target).cast("double"))).alias("train_fraud_rate"),
         F.avg(F.when(F.col("split") == "validation", F.col(target).cast("double"))).alias("validation_fraud_rate"))
     rare_cols = rare_map.agg(F.count_distinct("column_name")).first()[0]
-    return by_split.select("*", F.lit(rare_cols).cast("long").alias("rare_category_columns")).select(
+    top = [F.struct(F.lit(r["column_name"]).alias("column"), F.lit(r["rare_value_count"]).cast("long").alias("rare_value_count"))
+           for r in top_rare_columns(rare_map).collect()]
+    listed = F.array(*top) if top else F.array().cast("array<struct<column: string, rare_value_count: bigint>>")
+    return by_split.select("*", F.lit(rare_cols).cast("long").alias("rare_category_columns"), listed.alias("top_rare_category_columns")).select(
         F.lit(source_path).alias("source_path"), "train_rows", "validation_rows",
         F.lit(len(numeric) + len(categorical)).alias("feature_count"),
         F.lit(len(numeric)).alias("numeric_feature_count"),
         F.lit(len(categorical)).alias("categorical_feature_count"),
         F.lit(target).alias("target_column"), "train_fraud_rate", "validation_fraud_rate",
-        "rare_category_columns")
+        "rare_category_columns", "top_rare_category_columns")
 
 
 def top_rare_columns(rare_map: DataFrame, top: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
-from riskloom.operators import history, metrics, models, prep
+from riskloom.operators import boosting, history, metrics, models, prep
 from riskloom.plans import prepare, score
 from riskloom.plans.q_prep import MERGED_CTE, SPLIT_CTE, _merged, _with
 from riskloom.plans.q_report import _scored_sql
@@ -121,6 +121,56 @@ def q_isolation_forest(spark, sf_dir):
         F.lit(abs(share - models.IF_CONTAMINATION) < 0.005).alias("contamination_met"))
 
 
+LEARN_FEATURES = ["quantity", "discount", "tax", "line"]
+LEARN_WEIGHT, LEARN_RATE = 3.0, 0.25
+
+
+def _level_sql(rows: str, out: str, level: int) -> str:
+    """CTEs with the best split of each node: every value of every feature but the largest as a cut, rows without a value on either
+    side. Gradient and hessian at a margin of zero are w(1/2 - y) and w/4, all exact in binary."""
+    return f"""long{level} AS (SELECT node, f, v, g, h FROM (SELECT node, g, h, unnest([{", ".join(str(i) for i in range(len(LEARN_FEATURES)))}]) AS f,
+    unnest([{", ".join(LEARN_FEATURES)}]) AS v FROM {rows}) u),
+sums{level} AS (SELECT node, f, v, sum(g) AS g, sum(h) AS h FROM long{level} GROUP BY ALL),
+total{level} AS (SELECT node, sum(g) AS tg, sum(h) AS th FROM {rows} GROUP BY node),
+top{level} AS (SELECT f, max(v) AS top FROM long{level} GROUP BY f),
+cuts{level} AS (SELECT s.node, s.f, c.v, sum(s.g) AS g, sum(s.h) AS h FROM sums{level} s JOIN (SELECT DISTINCT f, v FROM long{level}) c ON c.f = s.f AND s.v <= c.v
+    JOIN top{level} t ON t.f = c.f AND c.v < t.top GROUP BY ALL),
+sides{level} AS (SELECT c.node, c.f, c.v, side.none_left, c.g + CASE WHEN none_left THEN coalesce(n.g, 0) ELSE 0 END AS lg,
+    c.h + CASE WHEN none_left THEN coalesce(n.h, 0) ELSE 0 END AS lh FROM cuts{level} c LEFT JOIN sums{level} n ON n.node = c.node AND n.f = c.f AND n.v IS NULL,
+    (SELECT unnest([true, false]) AS none_left) side),
+gains{level} AS (SELECT s.*, t.tg, t.th, lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1) AS gain
+    FROM sides{level} s JOIN total{level} t USING (node) WHERE lh >= 1 AND th - lh >= 1),
+{out} AS (SELECT * FROM gains{level} WHERE gain > 0.000001 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 9) DESC, f, v, none_left DESC) = 1)"""
+
+
+def _down_sql(rows: str, best: str, out: str) -> str:
+    value = f"CASE b.f {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(LEARN_FEATURES))} END"
+    return f"""{out} AS (SELECT r.* REPLACE (2 * r.node + CASE WHEN {value} IS NULL THEN CASE WHEN b.none_left THEN 1 ELSE 2 END WHEN {value} <= b.v THEN 1 ELSE 2 END AS node)
+    FROM {rows} r JOIN {best} b USING (node))"""
+
+
+def _boosted_sql() -> str:
+    base = with_views("SELECT 1", "fx_learn")
+    names = f"[{', '.join(repr(c) for c in LEARN_FEATURES)}]"
+    inner = "SELECT node, {n}[f + 1] AS feature, v AS threshold, none_left, CAST(NULL AS DOUBLE) AS value FROM {b}"
+    return (base[: base.rfind("\nSELECT 1")] + f""",
+rows0 AS (SELECT *, 0 AS node, CASE isFraud WHEN 1 THEN {LEARN_WEIGHT} * -0.5 ELSE 0.5 END::DOUBLE AS g, CASE isFraud WHEN 1 THEN {LEARN_WEIGHT} * 0.25 ELSE 0.25 END::DOUBLE AS h FROM fx_learn),
+{_level_sql("rows0", "best0", 0)},
+{_down_sql("rows0", "best0", "rows1")},
+{_level_sql("rows1", "best1", 1)},
+{_down_sql("rows1", "best1", "rows2")}
+{inner.format(n=names, b="best0")} UNION ALL {inner.format(n=names, b="best1")}
+UNION ALL SELECT node, NULL, NULL, NULL, round(-{LEARN_RATE} * sum(g) / (sum(h) + 1), 9) FROM (SELECT node, g, h FROM rows2
+    UNION ALL SELECT node, g, h FROM rows1 WHERE node NOT IN (SELECT node FROM best1)) l GROUP BY node""")
+
+
+@query("boosted_trees", _boosted_sql())
+def q_boosted_trees(spark, sf_dir):
+    """M1's trees: the first tree of depth 2 on all rows of fx_learn, every split and leaf value."""
+    model = boosting.fit_boosted_trees(fixture(spark, sf_dir, "fx_learn"), LEARN_FEATURES, "isFraud", rounds=1, depth=2, rate=LEARN_RATE, weight=LEARN_WEIGHT)
+    return model.table(spark).select("node", "feature", "threshold", "none_left", F.round("value", 9).alias("value"))
+
+
 GRAPH_FEATURES = ["user_degree", "device_degree"]
 
 

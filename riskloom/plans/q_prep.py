@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from riskloom.operators import cleaning, payments, prep, profiling, sampling
+from riskloom.operators.preprocessor import ModelPreprocessor
 from riskloom.plans import prepare
-from riskloom.plans.registry import query
+from riskloom.plans.registry import ORACLES, query
+from riskloom.session import scratch_path
 from riskloom.sources.fixtures import fixture, with_views
 from riskloom.sources.tables import materialised, read_table
 
@@ -392,11 +395,25 @@ SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (W
        11 AS feature_count, 6 AS numeric_feature_count, 5 AS categorical_feature_count,
        avg(CASE WHEN split = 'train' THEN CAST(isFraud AS DOUBLE) END) AS train_fraud_rate,
        avg(CASE WHEN split = 'validation' THEN CAST(isFraud AS DOUBLE) END) AS validation_fraud_rate,
-       (SELECT count(DISTINCT column_name) FROM rare) AS rare_category_columns
+       (SELECT count(DISTINCT column_name) FROM rare) AS rare_category_columns,
+       (SELECT string_agg(column_name || '=' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, column_name)
+        FROM (SELECT column_name, count(*) AS n FROM rare GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) t) AS top_rare_category_columns
 FROM split""", MERGED_CTE, SPLIT_CTE.format(src="merged"), RARE_CTE))
 def q_preparation_report(spark, sf_dir):
     md = prepare.prepare_model_data(_merged(spark, sf_dir))
-    return md.report.drop("source_path", "target_column")
+    top = F.transform("top_rare_category_columns", lambda c: F.concat(c["column"], F.lit("="), c["rare_value_count"].cast("string")))
+    return md.report.drop("source_path", "target_column").withColumn("top_rare_category_columns", F.nullif(F.array_join(top, ","), F.lit("")))
+
+
+@query("preprocessor_reloaded", ORACLES["model_ready"])
+def q_preprocessor_reloaded(spark, sf_dir):
+    """Model data written, the fitted preprocessor read back in its pipeline, and applied to every raw row."""
+    merged = _merged(spark, sf_dir)
+    root = scratch_path(spark, "model-data")
+    split = materialised(sampling.stratified_split(merged, "isFraud", 0.2, 42), "split")
+    fitted = Pipeline(stages=[ModelPreprocessor(keep=["TransactionID", "split"])]).fit(split.where("split = 'train'"))
+    fitted.write().overwrite().save(f"{root}/preprocessor")
+    return PipelineModel.load(f"{root}/preprocessor").transform(split)
 
 
 @query("top_rare_columns", _with("""

@@ -92,6 +92,16 @@ FIXTURE_SQL["fx_pay_keyed"] = FIXTURE_SQL["fx_pay"].replace("SELECT ", """SELECT
        CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS _row_key,
        """, 1)
 
+# Rows whose label follows from their features, for models to learn.
+FIXTURE_SQL["fx_learn"] = """
+SELECT l_orderkey * 8 + l_linenumber AS TransactionID, CAST(l_quantity AS DOUBLE) AS quantity,
+       CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_discount AS DOUBLE) END AS discount,
+       CAST(l_tax AS DOUBLE) AS tax, CAST(l_linenumber AS DOUBLE) AS line,
+       CASE WHEN l_quantity * 2 + l_discount * 300 + CASE WHEN l_partkey % 7 = 0 THEN 25 ELSE 0 END
+                 + (l_orderkey * 37 + l_linenumber * 11) % 60 > 120 THEN 1 ELSE 0 END AS isFraud
+FROM {lineitem}
+"""
+
 # Fixed value: the report clock used with fx_pred.
 ASOF = "2024-01-30 12:00:00"
 
