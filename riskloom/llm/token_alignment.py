@@ -31,7 +31,7 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BATCH = 1 << 18                 # characters that are encoded together
 SEGMENT = 1 << 20               # characters from which a text is cut
-LINKS = 2 << 20                 # links from which a chunk is closed
+LINKS = 1 << 18                 # links from which a chunk is closed
 SPACE = "▁"                # the piece tokenizer's space (fixed value)
 # How a byte-level vocabulary file describes itself, and the pattern that it splits texts by.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
