@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
 from riskloom.functions.rules import py_round_sql as PR
-from riskloom.operators import reports
+from riskloom.operators import reports, rollup
 from riskloom.plans import score
 from riskloom.plans.q_graph import EDGES_CTE_SQL, FIRSTS_CTE, HIST_CTE, _recursive
 from riskloom.plans.q_score import RULE_POINTS_SQL, RULE_REASON_ITEMS_SQL
-from riskloom.plans.registry import query
+from riskloom.plans.registry import ORACLES, query
+from riskloom.session import scratch_path
 from riskloom.sources.fixtures import ASOF, fixture, with_views
+from riskloom.sources.tables import materialised
+from riskloom.streaming.state import Increments
 
 
 # Stand-in model outputs (the fx_pred formulas), so the whole blend has an exact oracle.
@@ -210,3 +213,55 @@ def q_analytics_snapshot(spark, sf_dir):
     AND created_at < TIMESTAMP '2024-01-25 00:00:00') AS count FROM fx_pred"""))
 def q_count_by_level(spark, sf_dir):
     return reports.count_by_level(_pred(spark, sf_dir), "MEDIUM", "2024-01-05 00:00:00", "2024-01-25 00:00:00")
+
+
+# ---------------------------------------------------------------- reports from the rollup of arriving predictions
+def _rolled(spark, sf_dir):
+    """fx_pred written by day in three batches, with its rollup increments."""
+    folder = scratch_path(spark, "rolled")
+    table = Increments(f"{folder}/rollup", rollup.SCHEMA, ["day", "level"], rollup.MERGE, buckets=1)
+    pred = materialised(_pred(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("transaction_id"), F.lit(3))).withColumn("day", F.to_date("created_at")), "predictions")
+    pred.write.partitionBy("batch", "day").parquet(f"{folder}/predictions")
+    for batch in range(3):
+        table.write(rollup.daily_rollup(pred.where(F.col("batch") == batch)), batch)
+    return spark.read.parquet(f"{folder}/predictions").drop("batch"), table.before(spark, 3)
+
+
+@query("kpis_from_rollup", ORACLES["dashboard_kpis"])
+def q_kpis_from_rollup(spark, sf_dir):
+    return rollup.dashboard_kpis(_rolled(spark, sf_dir)[1], ASOF)
+
+
+@query("over_time_from_rollup", ORACLES["risk_over_time"])
+def q_over_time_from_rollup(spark, sf_dir):
+    return rollup.risk_over_time(_rolled(spark, sf_dir)[1], ASOF)
+
+
+@query("breakdown_from_rollup", ORACLES["risk_breakdown"])
+def q_breakdown_from_rollup(spark, sf_dir):
+    return rollup.risk_breakdown(_rolled(spark, sf_dir)[1])
+
+
+@query("snapshot_from_rollup", ORACLES["analytics_snapshot"])
+def q_snapshot_from_rollup(spark, sf_dir):
+    return rollup.analytics_snapshot(_rolled(spark, sf_dir)[1])
+
+
+@query("daily_from_rollup", ORACLES["daily_risk_counts"])
+def q_daily_from_rollup(spark, sf_dir):
+    return rollup.daily_risk_counts(_rolled(spark, sf_dir)[1])
+
+
+@query("recent_pruned", ORACLES["recent_transactions"])
+def q_recent_pruned(spark, sf_dir):
+    return _reasons_text(rollup.list_transactions(*_rolled(spark, sf_dir), 5))
+
+
+@query("list_pruned", ORACLES["list_transactions"])
+def q_list_pruned(spark, sf_dir):
+    return _reasons_text(rollup.list_transactions(*_rolled(spark, sf_dir), 50, risk="High", device="Mobile"))
+
+
+@query("alerts_pruned", ORACLES["alerts"])
+def q_alerts_pruned(spark, sf_dir):
+    return rollup.alerts(*_rolled(spark, sf_dir))

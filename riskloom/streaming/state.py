@@ -47,10 +47,10 @@ class Increments:
         return F.pmod(F.xxhash64(*(named or self.keys)), F.lit(self.buckets)).cast("int")
 
     def _folder(self, level: int, first: int) -> str:
-        return f"{self.path}/level={level}/first={first}"
+        return f"{self.path}/tier={level}/since={first}"
 
     def _read(self, spark: SparkSession, tables: list[tuple[int, int]]) -> DataFrame:
-        schema = f"{self.schema}, bucket int, level int, first long"
+        schema = f"{self.schema}, bucket int, tier int, since long"
         if not tables:
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).option("basePath", self.path).parquet(*(self._folder(*t) for t in tables))
@@ -58,7 +58,7 @@ class Increments:
     def _merged(self, rows: DataFrame) -> DataFrame:
         if not self.merge:
             return rows.select(*self.keys).distinct()
-        how = {"sum": F.sum, "min": F.min, "max": F.max, "newest": lambda c: F.max_by(c, "first")}
+        how = {"sum": F.sum, "min": F.min, "max": F.max, "newest": lambda c: F.max_by(c, "since")}
         return rows.groupBy(*self.keys).agg(*(how[m](c).alias(c) for c, m in self.merge.items()))
 
     def before(self, spark: SparkSession, batch: int) -> DataFrame:

@@ -20,7 +20,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators import graph, reports
+from riskloom.operators import graph, reports, rollup
 from riskloom.operators import history as H
 from riskloom.plans import score as S
 from riskloom.session import checkpoint_dir, scratch_path
@@ -77,6 +77,7 @@ class ScoringState:
         self.pairs = Increments(f"{base}/pairs", "device string, user string", ["device", "user"], {})
         self.devices = Increments(f"{base}/devices", "device string, n long", ["device"], {"n": "sum"})
         self.lists = Increments(f"{base}/lists", graph.LISTS_SCHEMA, ["node"], {"lst": "newest"})
+        self.rollup = Increments(f"{base}/rollup", rollup.SCHEMA, ["day", "level"], rollup.MERGE, buckets=1)
         self.clock = Increments(f"{base}/clock", "one int, last timestamp", ["one"], {"last": "max"}, buckets=1)
 
     def newest_time(self, spark: SparkSession, batch: int) -> datetime | None:
@@ -126,6 +127,7 @@ def score_batch(batch: DataFrame, batch_id: int, out_dir: str, probability: Call
                                       keep=(F.col(id_col).alias("source_id"), F.col("anomaly_score")))
               .withColumn("day", F.to_date("created_at")))
     stored.write.mode("overwrite").partitionBy("day").parquet(f"{out_dir}/predictions/batch={batch_id}")
+    state.rollup.write(rollup.daily_rollup(spark.read.parquet(f"{out_dir}/predictions/batch={batch_id}")), batch_id)
     H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
     before = state.lists.of_keys(lists.select("node"), batch_id).select("node", F.col("lst").alias("_old"))
     changed = lists.join(before, "node", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("lst"))).drop("_old")
@@ -143,6 +145,17 @@ def read_predictions(spark: SparkSession, out_dir: str, start=None, end=None) ->
     return rows.where(reports.between(F.col("created_at"), start, end)).drop("day", "batch")
 
 
+def newest_batch(spark: SparkSession, out_dir: str) -> int:
+    """The last batch whose predictions are stored (-1: none)."""
+    rows = spark.read.parquet(f"{out_dir}/edges").agg(F.max("batch").alias("b")).first()
+    return -1 if rows["b"] is None else int(rows["b"])
+
+
+def read_rollup(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The daily rollup of all stored predictions, for the reports of ``riskloom.operators.rollup``."""
+    return ScoringState(f"{out_dir}/state").rollup.before(spark, newest_batch(spark, out_dir) + 1)
+
+
 def start_scoring(stream: DataFrame, out_dir: str, probability: Callable, anomaly: Callable,
                   checkpoint: str | None = None, id_col: str = "TransactionID", ts: str = "ts",
                   available_now: bool = True):

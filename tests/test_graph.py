@@ -209,5 +209,5 @@ def test_growing_components_write_little(spark):
     two = [(f"a{i:03d}", "a_hub") for i in range(200)] + [(f"b{i:03d}", "b_hub") for i in range(200)]
     growing.add(spark.createDataFrame(two, "user string, device string"), 0)
     growing.add(spark.createDataFrame([("b150", "a_hub")], "user string, device string"), 1)
-    assert {(r["node"], r["parent"]) for r in spark.read.parquet(f"{path}/pointers/level=0/first=1").collect()} == {("b150", "a000"), ("b000", "a000")}
+    assert {(r["node"], r["parent"]) for r in spark.read.parquet(f"{path}/pointers/tier=0/since=1").collect()} == {("b150", "a000"), ("b000", "a000")}
     assert {r["component"] for r in growing.labels(spark, 2).collect()} == {"a000"}

@@ -103,14 +103,14 @@ def test_a_batch_reads_and_writes_the_part_it_touches(spark, monkeypatch):
     monkeypatch.setattr(ST.Increments, "of_keys", lambda self, wanted, batch: (looked_up.append(keep(self, wanted, batch)), looked_up[-1])[1])
     ST.score_batch(_small_batch(spark, [(200, 900, "shared"), (201, 910, "shared")]), 1, *args)
     own = {"user_900", "user_901", "user_902", "user_910", "device_shared"}
-    written = spark.read.parquet(f"{out}/state/lists/level=0/first=1")
+    written = spark.read.parquet(f"{out}/state/lists/tier=0/since=1")
     assert {r["node"] for r in written.collect()} == own
-    assert {r["user"]: r["n"] for r in spark.read.parquet(f"{out}/state/users/level=0/first=1").collect()} == {"user_900": 1, "user_910": 1}
-    assert [tuple(r) for r in spark.read.parquet(f"{out}/state/pairs/level=0/first=1").select("device", "user").collect()] == [("device_shared", "user_910")]
+    assert {r["user"]: r["n"] for r in spark.read.parquet(f"{out}/state/users/tier=0/since=1").collect()} == {"user_900": 1, "user_910": 1}
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/state/pairs/tier=0/since=1").select("device", "user").collect()] == [("device_shared", "user_910")]
     for found in looked_up:
         assert {r[0] for r in found.select(found.columns[0]).collect()} <= own
         plan = found._jdf.queryExecution().executedPlan().toString()
-        filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "first#" in line]
+        filters = [line for line in plan.splitlines() if "PartitionFilters" in line and "since#" in line]
         assert filters and all("bucket" in line.split("PartitionFilters:")[1].split("PushedFilters")[0] for line in filters)
     flags = {r["source_id"]: r["reasons_json"] for r in ST.read_predictions(spark, out).where("source_id >= 200").collect()}
     assert "cluster" not in flags[200] and "cluster" in flags[201]
