@@ -68,8 +68,8 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + b"\r\n\r\n", 1, mtime=0)
 
 
-def parse_record(member: bytes) -> tuple[int | None, str, bytes, int | None]:
-    """page_id, type, payload and refers_to of one gzip member."""
+def parse_record(member: bytes) -> tuple[int | None, str, bytes, int | None, str]:
+    """page_id, type, payload, refers_to and stated payload digest of one gzip member."""
     data = gzip.decompress(member)
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
@@ -79,7 +79,7 @@ def parse_record(member: bytes) -> tuple[int | None, str, bytes, int | None]:
     body = rest[:int(fields["Content-Length"])]
     number = lambda v: None if v is None or v[10:-1] == "None" else int(v[10:-1])  # noqa: E731  <urn:page:N>
     payload = body.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else b""
-    return number(fields["WARC-Record-ID"]), fields["WARC-Type"], payload, number(fields.get("WARC-Refers-To"))
+    return number(fields["WARC-Record-ID"]), fields["WARC-Type"], payload, number(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].partition(":")[2]
 
 
 class Archive:
@@ -229,9 +229,9 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
                     package = store.open_input_file(name)
                 data = package.read_at(end - at[i], at[i])
                 for k in range(i, j):
-                    page, kind, payload, refers_to = parse_record(data[at[k] - at[i]:at[k] - at[i] + length[k]])
+                    page, kind, payload, refers_to, digest = parse_record(data[at[k] - at[i]:at[k] - at[i] + length[k]])
                     full = kind == "response"
-                    out.append((page, kind, refers_to, len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None))
+                    out.append((page, kind, refers_to, len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else digest))
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))],
                                              ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
@@ -240,13 +240,13 @@ def read_archives(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     piece = F.floor(F.col("at") / range_bytes)
     records = saved(spots.repartition("path", piece).sortWithinPartitions("path", "at").mapInArrow(
         fetch, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"), "warc-records")
-    targets = (records.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("payload_bytes").alias("target_bytes"),
-                                                                F.col("payload_digest").alias("target_digest")))
-    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("target")).distinct()
-    targets = saved(targets.join(wanted, "target", "left_semi").dropDuplicates(["target"]), "warc-targets")
-    return (records.join(targets, F.col("refers_to") == F.col("target"), "left")
-            .select("page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"),
-                    F.coalesce("payload_digest", "target_digest").alias("payload_digest"), "record_type", "refers_to"))
+    # an identifier may have several payloads: the response is the one with the digest that the revisit states
+    target = ["refers_to", "payload_digest"]
+    targets = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("target_bytes"))
+    wanted = records.where("record_type = 'revisit'").select(*target).distinct()
+    targets = saved(targets.join(wanted, target, "left_semi").dropDuplicates(target), "warc-targets")
+    return (records.join(targets, target, "left")
+            .select("page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))
 
 
 @query("op4_warc", """

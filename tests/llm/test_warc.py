@@ -35,6 +35,14 @@ def test_round_trip(spark, tmp_path, archive, reach, limit):
     assert sorted((tuple(r) for r in got), key=str) == brute(ROWS)
 
 
+def test_an_identifier_with_several_payloads(spark, tmp_path):
+    """Rows of one identifier hold different payloads; revisits of each of them get the right figures."""
+    a, b = "a" * 200, "b" * 300
+    rows = [(3, "u", a), (3, "u", b), (5, "u", a), (6, "u", b), (3, "u", a), (4, "u", "c" * 150), (None, "u", b)]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "twice"))
+    assert sorted((tuple(r) for r in warc.read_archives(manifest).collect()), key=str) == brute(rows)
+
+
 def test_zip64_directory_and_ranges(tmp_path, monkeypatch):
     path = tmp_path / "far.zip"
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
