@@ -20,6 +20,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 3000, 10 << 20
 WORDS = 2
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 64 << 10, 64 << 10, 8 << 10
 ROUNDS, RARE = 6, 0.999
+FALSE_SHARE = 0.03              # of ordinary calibration texts that a model's threshold lets be rejected
 #: Opens every window and closes every dictionary, so that short windows are compressed at all.
 MARK = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11"
 
@@ -143,11 +145,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 
 class Model:
-    """Dictionaries and calibration; small enough to go out with every task."""
+    """Dictionaries and calibration; small enough to go out with every task. ``threshold`` is the score that ``FALSE_SHARE`` of
+    the calibrating texts of label 0 reach (one half where the score is a constant)."""
 
     def __init__(self, rows: list[tuple[int, str, int]], share: float):
         """``rows``: (identifier, text, label). A fifth of them calibrates, the rest trains.
         ``share``: of label 1 among all labelled rows, to which the calibration is shifted."""
+        self.threshold = 0.5
         fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
         fit = [r for r in rows if not fold(r[0])]
         labels = {r[2] for r in fit}
@@ -164,6 +168,14 @@ class Model:
         mean, scale, w = logistic(np.array([features(score(t)) for _, t, _ in tune]), y)
         w[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
         self.calibration = mean, scale, w
+        rate = self.scorer()
+        self.threshold = float(np.quantile([rate(t) for _, t, label in tune if not label], 1 - FALSE_SHARE))
+
+    @classmethod
+    def restored(cls, fields: dict) -> "Model":
+        model = cls.__new__(cls)
+        model.__dict__.update(fields)
+        return model
 
     def gains(self):
         plain, toxic = compressor(self.base), compressor(self.toxic)
@@ -200,10 +212,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_D
                 chosen.append(row["_id"])
     picked = known.where(F.col("_id").isin(chosen)) if chosen else known.limit(0)
     rows = (docs.where(F.col(doc_id).isin(chosen) if chosen else F.lit(False)).select(ids, F.col(text).alias("_text"))
-            .dropDuplicates(["_id"]).join(picked, "_id").select("_id", "_text", "_y").collect())
+            .dropDuplicates(["_id"]).join(picked, "_id").select("_id", "_text", "_y"))
     n, ones = known.agg(F.count(F.lit(1)), F.sum("_y")).first()
-    return Model(sorted(((r[0], r[1] or "", r[2]) for r in rows), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])),
-                 share=(ones or 0) / max(n, 1))
+    share = (ones or 0) / max(n, 1)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        model = Model(sorted(((i, t or "", y) for i, t, y in sample), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0])), share)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model.__dict__)], pa.binary())})
+
+    # the sample is bounded by the parameters: one task fits, and only the dictionaries and coefficients come back
+    fitted = rows.repartition(1).mapInArrow(fit, "model binary").first()
+    return Model.restored(pickle.loads(fitted["model"])) if fitted else Model([], share)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
