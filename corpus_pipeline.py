@@ -18,9 +18,12 @@ from riskloom.llm.toxicity import fit_toxicity, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of one half or more go."""
-    scored = toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), score="toxicity_score")
-    return scored.where("toxicity_score < 0.5").drop("toxicity_score")
+    """Documents go whose toxicity score is above the threshold that 3 % of the ordinary calibration texts reach
+    (``toxicity.FALSE_SHARE``)."""
+    score = "_toxicity_" + "_".join(docs.columns)[:60]              # no column of the input has that name
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity(docs, model, score=score)
+    return scored.where(F.col(score) <= F.lit(model.threshold)).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
