@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,16 @@ _DOC = [("key", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_grou
 _DOC_SQL = "key string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
+def _packed(places: np.ndarray, among: int) -> bytes:
+    """Places among so many pairs as compressed bytes, behind the number of bytes of each."""
+    kind = np.dtype("<u2" if among <= 1 << 16 else "<u4")
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(places.astype(kind).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def _chunks(shared, id_type: pa.DataType, batch_chars: int, segment: int, links: int):
     """``mapInArrow`` over (id, text): one row per chunk, with its documents, its distinct pairs with their counts,
     and its links as places among those. A text may go on in the next chunk under the same key."""
@@ -187,7 +198,7 @@ def _chunks(shared, id_type: pa.DataType, batch_chars: int, segment: int, links:
         def closed():
             nonlocal docs, keys, held, chunk
             found, at, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-            row = {"chunk": f"{part}-{chunk}", "docs": docs, "pairs": found, "counts": n, "links": at.astype(np.int32).tobytes()}
+            row = {"chunk": f"{part}-{chunk}", "docs": docs, "pairs": found, "counts": n, "links": _packed(at, len(found))}
             docs, keys, held, chunk = [], [], 0, chunk + 1
             return pa.RecordBatch.from_pylist([row], schema)
 
@@ -244,7 +255,7 @@ def _looked_up(id_type: pa.DataType):
     def run(batches):
         for batch in batches:
             for docs, links, totals in zip(batch.column("docs"), batch.column("links"), batch.column("totals")):
-                at = np.frombuffer(links.as_py(), np.int32)
+                at = _unpacked(links.as_py())
                 total, best = np.zeros(at.max(initial=-1) + 1, np.int64), np.zeros(at.max(initial=-1) + 1, np.int64)
                 if totals.is_valid:
                     place = totals.values.field("place").to_numpy()

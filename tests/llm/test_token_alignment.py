@@ -112,6 +112,13 @@ def test_rows_of_one_identifier_or_none_stay_apart(spark, libraries):
     assert sorted(str(r["doc_id"]) for r in found.collect()) == ["7", "7", "None", "None"]
 
 
+def test_links_are_packed_at_any_width():
+    import numpy as np
+    for among in (1, 1 << 16, (1 << 16) + 1):
+        at = np.array([0, among - 1, 0, among // 2] * 50)
+        assert (T._unpacked(T._packed(at, among)) == at).all() and T._unpacked(T._packed(at[:0], 0)).tolist() == []
+
+
 def test_empty_table(spark):
     found, pairs = T.token_alignment(frame(spark, []))
     assert found.count() == 0 and pairs.count() == 0
