@@ -116,3 +116,8 @@ def top_rare_columns(rare_map: DataFrame, top: int = 20) -> DataFrame:
     """Columns by number of rare values, desc (ties by name), columns without rare values left out."""
     return (rare_map.groupBy("column_name").agg(F.count(F.lit(1)).alias("rare_value_count"))
             .orderBy(F.desc("rare_value_count"), "column_name").limit(top))
+
+
+def corrupt_rows(df: DataFrame, corrupt: str = "_corrupt_record") -> int:
+    """Rows that a scan could not read (see ``sources.tables.read_csv_by_name``); 0 without such a column."""
+    return df.agg(F.count(corrupt)).first()[0] if corrupt in df.columns else 0

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
-from riskloom.operators import graph, history
+from riskloom.operators import graph, history, sketches
 from riskloom.plans.registry import query
 from riskloom.session import scratch_path
 from riskloom.sources.fixtures import fixture, with_views
-from riskloom.sources.tables import materialised
+from riskloom.sources.tables import materialised, table
 from riskloom.streaming.components import GrowingComponents
 
 
@@ -82,6 +82,24 @@ def q_device_degree(spark, sf_dir):
     return history.device_degree(txn_edges(spark, sf_dir))
 
 
+@query("device_degree_sketch", """
+WITH e AS (SELECT l_suppkey AS user_no, o_custkey % 997 AS device_no FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 997 >= 900 OR l_linenumber = 1 AND l_orderkey % 40 = 0),
+d AS (SELECT 'device_' || CAST(device_no AS VARCHAR) AS device, count(DISTINCT user_no) AS n FROM e GROUP BY 1)
+SELECT device, n > 3 AS shared, CASE WHEN n <= 3 THEN n ELSE -1 END AS few, true AS close FROM d""")
+def q_device_degree_sketch(spark, sf_dir):
+    """G10 from sketches stored by month: which devices have more than 3 users, exact counts up to 3, and every other estimate within
+    10 percent of the exact count."""
+    edges = spark.sql("""SELECT concat('user_', l_suppkey) AS user, concat('device_', o_custkey % 997) AS device, date_trunc('month', o_orderdate) AS day
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_custkey % 997 >= 900 OR l_linenumber = 1 AND l_orderkey % 40 = 0""",
+                      lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    edges = materialised(edges, "edges")
+    stored = materialised(sketches.device_sketches(edges), "device-sketches")
+    found = sketches.device_degree(stored, edges).join(history.device_degree(edges).withColumnRenamed("device_degree", "n"), "device")
+    few = F.when(F.col("exact") & (F.col("device_degree") <= 3), F.col("device_degree")).otherwise(F.lit(-1))
+    return found.select("device", (F.col("device_degree") > 3).alias("shared"), few.cast("long").alias("few"),
+                        (F.abs(F.col("device_degree") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+
+
 # ---------------------------------------------------------------- K1, K2 on fx_edges
 def _cc_sql(src: str) -> str:
     return f"""und AS (SELECT "user" AS a, device AS b FROM {src} UNION SELECT device, "user" FROM {src}),

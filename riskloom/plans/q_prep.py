@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators import cleaning, payments, prep, profiling, sampling
+from riskloom.operators import cleaning, payments, prep, profiling, sampling, sketches
 from riskloom.operators.preprocessor import ModelPreprocessor
 from riskloom.plans import prepare
 from riskloom.plans.registry import ORACLES, query
 from riskloom.session import scratch_path
 from riskloom.sources.fixtures import fixture, with_views
-from riskloom.sources.tables import materialised, read_table
+from riskloom.sources.tables import materialised, read_csv_by_name, read_table, table
 
 MERGED_COLS = ["TransactionID", "TransactionDT", "TransactionAmt", "card1", "ProductCD", "addr1", "addr2",
                "P_emaildomain", "R_emaildomain", "dist1", "isFraud", "DeviceType", "DeviceInfo"]
@@ -97,6 +100,44 @@ def q_stratified_split(spark, sf_dir):
         .select("TransactionID", "isFraud", "split")
 
 
+MEDIAN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
+
+
+@query("appended_median", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(median({c}) AS DOUBLE) AS median FROM lineitem" for c in MEDIAN_COLS))
+def q_appended_median(spark, sf_dir):
+    """E2, E5 on appended data: the rows of lineitem arrive in four parts, the first of which sets the grid; each is counted once, and
+    the medians of them all are exact."""
+    rows = table(spark, sf_dir, "lineitem").select(*MEDIAN_COLS, F.pmod("l_orderkey", F.lit(4)).alias("part"))
+    grid = sketches.quantile_grid(rows.where(F.col("part") == 0), MEDIAN_COLS)
+    stored = [materialised(sketches.cell_counts(rows.where(F.col("part") == k), grid, "part"), "cells") for k in range(4)]
+    found = sketches.appended_medians(rows, functools.reduce(DataFrame.unionByName, stored), grid)
+    return spark.createDataFrame(sorted(found.items()), "column_name string, median double")
+
+
+@query("csv_by_name", """
+SELECT CASE WHEN bad THEN NULL ELSE CAST(o_orderkey AS DOUBLE) END AS o_orderkey, CASE WHEN bad THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS o_custkey,
+       CASE WHEN bad THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN bad OR o_orderkey % 3 = 1 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+       bad, CASE WHEN bad THEN 1 ELSE 0 END AS lines_kept
+FROM (SELECT *, o_orderkey % 3 = 2 AND o_orderkey % 50 IN (0, 1, 2) AS bad FROM orders)""")
+def q_csv_by_name(spark, sf_dir):
+    """A1: the orders as three groups of CSV files: one in order, one reversed and without a column, one with short, long and
+    mistyped rows."""
+    orders = materialised(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "orders")
+    folder = scratch_path(spark, "csv")
+    text = lambda *cols: F.concat_ws(",", *(F.col(c).cast("string") if isinstance(c, str) else c for c in cols))
+    plain, turned = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ("o_orderstatus", "o_custkey", "o_orderkey")
+    planted = (F.when(F.col("o_orderkey") % 50 == 0, text("o_orderkey", "o_custkey"))
+               .when(F.col("o_orderkey") % 50 == 1, text(*plain, F.lit("more")))
+               .when(F.col("o_orderkey") % 50 == 2, text("o_orderkey", F.lit("no number"), "o_orderstatus", "o_orderpriority")).otherwise(text(*plain)))
+    for part, (names, line) in enumerate(((plain, text(*plain)), (turned, text(*turned)), (plain, planted))):
+        rows = orders.where(F.col("o_orderkey") % 3 == part).select(line.alias(",".join(names)))
+        rows.write.option("header", "true").option("quote", "\u0000").option("sep", "\u0001").csv(f"{folder}/part={part}")
+    found = read_csv_by_name(spark, f"{folder}/*/*.csv", "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    return found.select(F.col("o_orderkey").cast("double").alias("o_orderkey"), F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderstatus", "o_orderpriority", F.col("_corrupt_record").isNotNull().alias("bad"),
+                        F.when(F.length("_corrupt_record") > 0, 1).otherwise(0).alias("lines_kept"))
+
+
 # ---------------------------------------------------------------- C1-C3, G9
 @query("null_ratio", _with(f"""
 SELECT column_name, round(ratio, 4) AS missing_ratio FROM ({_null_ratio_union('merged', MERGED_COLS)}) u

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from riskloom.session import scratch_path
@@ -40,6 +41,44 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return df
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: StructType | str, corrupt: str = CORRUPT) -> DataFrame:
+    """A1 for CSV files whose headers drift: columns are matched by name, file by file, in whatever order a file's header has them.
+    Columns that a file lacks are null, columns that the schema lacks are left out. A row with too few or too many cells, or a
+    cell that isn't of its type, keeps its line in ``corrupt`` and is null besides; it is not dropped. Empty cells are null. Lines
+    are records (no line breaks inside quotes).
+
+    A file's header is its line that has the most of the schema's names among its cells, all of them different, and at least one;
+    lines of a file without one are corrupt. One pass finds the headers (a row per file), one parses."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    names = [f.name for f in schema.fields]
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    hits = F.size(F.array_intersect(cells, F.array(*map(F.lit, names))))
+    headers = (lines.select("_file", "value", cells.alias("_names"), hits.alias("_hits")).where((F.col("_hits") > 0) & (F.size(F.array_distinct("_names")) == F.size("_names")))
+               .groupBy("_file").agg(F.max_by(F.struct("value", "_names"), F.struct("_hits", "value")).alias("_h"))
+               .select("_file", F.col("_h.value").alias("_header"), F.col("_h._names").alias("_names")))
+    headers = materialised(headers, "csv-headers")
+    widest = headers.agg(F.max(F.size("_names"))).first()[0] or 1
+    raw = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(widest))), {"mode": "PERMISSIVE", "emptyValue": "", "nullValue": ""})
+    # the number of cells, with quoted separators taken out first
+    count = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ","))
+    parsed = (lines.join(headers, "_file", "left").where(F.col("_header").isNull() | (F.col("value") != F.col("_header")))
+              .select("value", "_names", raw.alias("_raw"), count.alias("_cells")))
+    at = F.map_from_arrays("_names", F.slice(F.array(*(F.col(f"_raw.c{i}") for i in range(widest))), F.lit(1), F.size("_names")))
+    texts = parsed.withColumn("_at", F.when(F.col("_cells") == F.size("_names"), at))
+    cell = {f.name: F.nullif(F.col("_at")[f.name], F.lit("")) for f in schema.fields}
+    typed = {f.name: cell[f.name].try_cast(f.dataType) for f in schema.fields}
+    bad = F.col("_at").isNull()
+    for n in names:
+        bad = bad | (cell[n].isNotNull() & typed[n].isNull())
+    bad = F.coalesce(bad, F.lit(True))
+    return texts.select(*(F.when(~bad, typed[n]).alias(n) for n in names), F.when(bad, F.col("value")).alias(corrupt))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

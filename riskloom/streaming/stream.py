@@ -29,18 +29,21 @@ from riskloom.streaming.state import Increments
 
 
 def daily_risk(predictions: DataFrame, ts: str = "created_at", level: str = "risk_level",
-               watermark: str = "1 day") -> DataFrame:
-    """T2 plan (works on a stream or a batch): ``day``, ``level`` (lower case), ``n``."""
+               watermark: str = "1 day", key: str | None = None) -> DataFrame:
+    """T2 plan (works on a stream or a batch): ``day``, ``level`` (lower case), ``n``. With ``key``, rows that are delivered again
+    count once: inside the watermark by their key (the state of a key is dropped with it), later ones as late rows."""
     t = F.col(ts).cast("timestamp")
-    return (predictions.withColumn("_t", t).withWatermark("_t", watermark)
-            .groupBy(F.window("_t", "1 day").alias("_w"), F.lower(F.col(level)).alias("level"))
+    rows = predictions.withColumn("_t", t).withWatermark("_t", watermark)
+    if key:
+        rows = rows.dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+    return (rows.groupBy(F.window("_t", "1 day").alias("_w"), F.lower(F.col(level)).alias("level"))
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.date_format(F.col("_w.start"), "yyyy-MM-dd").alias("day"), "level", "n"))
 
 
 def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at", level: str = "risk_level",
                    watermark: str = "1 day", sink: str | None = None, checkpoint: str | None = None,
-                   state_partitions: int | None = None) -> DataFrame:
+                   state_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Run T2 to the end of the available input (``availableNow``) in update mode. Each micro-batch
     writes its updated counts under ``batch=<id>``; the current count of a (day, level) is the one
     of its newest batch. Returns that table as a batch DataFrame.
@@ -58,7 +61,7 @@ def run_daily_risk(spark: SparkSession, stream: DataFrame, ts: str = "created_at
     if state_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
-        q = (daily_risk(stream, ts, level, watermark).writeStream.outputMode("update")
+        q = (daily_risk(stream, ts, level, watermark, key).writeStream.outputMode("update")
              .foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", previous)
