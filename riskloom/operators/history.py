@@ -146,12 +146,14 @@ def state_increments(prior: GraphState | None, edges: DataFrame) -> GraphState:
                       pairs.groupBy("device").agg(F.count(F.lit(1)).alias("n")))
 
 
-def degree_snapshot(rows: DataFrame, edges: DataFrame, user: str = "user", device: str = "device") -> DataFrame:
+def degree_snapshot(rows: DataFrame, edges: DataFrame, user: str = "user", device: str = "device",
+                    by_device: DataFrame | None = None) -> DataFrame:
     """Degrees from a whole edge table attached to rows. ``user_degree`` counts edge
     rows (repeats included), ``device_degree`` distinct users (N11). Both pre-aggregated, then
-    left-joined; absent -> 0."""
+    left-joined; absent -> 0. With edges read from a table bucketed by user, and as ``by_device`` from one
+    bucketed by device, neither count exchanges them."""
     ud = edges.groupBy("user").agg(F.count(F.lit(1)).alias("g_user_degree"))
-    dd = device_degree(edges).withColumnRenamed("device_degree", "g_device_degree")
+    dd = device_degree(by_device if by_device is not None else edges).withColumnRenamed("device_degree", "g_device_degree")
     return (rows.join(ud, rows[user] == ud["user"], "left").drop(ud["user"])
                 .join(dd, rows[device] == dd["device"], "left").drop(dd["device"])
                 .fillna(0, subset=["g_user_degree", "g_device_degree"]))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
 from riskloom.operators import graph, history, sketches
-from riskloom.plans.registry import query
+from riskloom.plans.registry import ORACLES, query
 from riskloom.session import scratch_path
 from riskloom.sources.fixtures import fixture, with_views
-from riskloom.sources.tables import materialised, table
+from riskloom.sources.tables import materialised, read_edges, table, write_bucketed_edges
 from riskloom.streaming.components import GrowingComponents
 
 
@@ -72,6 +72,19 @@ def q_graph_features_snapshot(spark, sf_dir):
     return snap.select("id", F.col("g_user_degree").alias("user_degree"), F.col("g_device_degree").alias("device_degree"))
 
 
+def _bucketed_edges(spark, sf_dir):
+    folder = scratch_path(spark, "bucketed")
+    return write_bucketed_edges(txn_edges(spark, sf_dir), folder, f"edges_{folder[-12:]}", buckets=16)
+
+
+@query("degrees_from_buckets", ORACLES["graph_features_snapshot"])
+def q_degrees_from_buckets(spark, sf_dir):
+    """F2 with the edges stored in buckets of users and of devices."""
+    users, devices = (read_edges(spark, name) for name in _bucketed_edges(spark, sf_dir))
+    snap = history.degree_snapshot(users.select("id", "user", "device"), users, by_device=devices)
+    return snap.select("id", F.col("g_user_degree").alias("user_degree"), F.col("g_device_degree").alias("device_degree"))
+
+
 @query("user_degree", _txn('SELECT "user", count(*) AS user_degree FROM edges GROUP BY 1'))
 def q_user_degree(spark, sf_dir):
     return history.user_degree(txn_edges(spark, sf_dir))

@@ -122,6 +122,18 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
     return df
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Full edge scan, pruned to the graph columns."""
-    return spark.read.parquet(path).select("id", "ts", "user", "device", "amount")
+def read_edges(spark: SparkSession, source: str) -> DataFrame:
+    """The edges of a folder, or of a table that ``write_bucketed_edges`` has made, pruned to the graph columns."""
+    rows = spark.read.parquet(source) if "/" in source else spark.table(source)
+    return rows.select("id", "ts", "user", "device", "amount")
+
+
+def write_bucketed_edges(edges: DataFrame, folder: str, name: str, buckets: int = 64) -> tuple[str, str]:
+    """The edges as two tables under ``folder``, bucketed and sorted by user and by device: counts per user or device, and joins on
+    them with a table of as many buckets, then need no exchange of the edges. Returns the table names."""
+    names = []
+    for key in ("user", "device"):
+        names.append(f"{name}_by_{key}")
+        (edges.select("id", "ts", "user", "device", "amount").repartition(buckets, key)
+         .write.mode("overwrite").option("path", f"{folder.rstrip('/')}/{names[-1]}").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(names[-1]))
+    return names[0], names[1]

@@ -72,3 +72,22 @@ def test_workflow_outputs(spark):
     lay = prepare.write_payment_outputs(g, root)
     gp = spark.read.json(f"{lay['profiles']}/paysim_graph_profile").first()
     assert gp["edge_count"] == spark.read.parquet(f"{lay['graph']}/paysim_graph_edges").count()
+
+
+def test_bucketed_edges_are_counted_without_exchange(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import history
+    edges = spark.range(400).select("id", F.lit(None).cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("id") % 37).alias("user"),
+                                    F.concat(F.lit("d"), F.col("id") % 11).alias("device"), F.lit(1.0).alias("amount"))
+    names = tables.write_bucketed_edges(edges, str(tmp_path), "edges_plan_test", buckets=8)
+    users, devices = (tables.read_edges(spark, n) for n in names)
+    for df in (history.user_degree(users), history.device_degree(devices), users.join(history.user_degree(users), "user")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+    snap = history.degree_snapshot(users.select("id", "user", "device"), users, by_device=devices)
+    plain = history.degree_snapshot(edges.select("id", "user", "device"), edges)
+    assert sorted(map(tuple, snap.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert tables.read_edges(spark, str(tmp_path / names[0])).count() == 400
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
