@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.sources.tables import materialised
 
 TARGET_ROWS_PER_BUCKET = 1_000_000
+COARSE = 256
 
 
 def edge_rows(df: DataFrame, id_col: str = "TransactionID", ts: str = "ts", card: str = "card1",
@@ -35,8 +36,7 @@ def edge_rows(df: DataFrame, id_col: str = "TransactionID", ts: str = "ts", card
 
 def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_PER_BUCKET,
                  out: str = "_bucket") -> DataFrame:
-    """Equi-depth time buckets: split points from ``approxQuantile`` of the row times (one pass,
-    bounded sketch), applied with MLlib's ``Bucketizer`` (a JVM-side binary search). Each bucket
+    """Equi-depth time buckets: split points from quantiles of the row times (bounded sketches), applied with MLlib's ``Bucketizer`` (a JVM-side binary search). Each bucket
     holds about ``target_rows`` rows whatever the time distribution, so a key's rows in one
     ``(key, bucket)`` window stay bounded even when a hot key meets a burst. Buckets are monotone in
     time, as the running sums require; rows sharing one timestamp share a bucket."""
@@ -48,10 +48,21 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
     with_t = df.withColumn("_tmicros", t)
     if k == 1:
         return with_t.withColumn(out, F.lit(0).cast("long")).drop("_tmicros")
-    probs = [i / k for i in range(1, k)]
-    cuts = with_t.approxQuantile("_tmicros", probs, 0.1 / k)
-    splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_tmicros", outputCol="_bk", handleInvalid="keep")
+
+    def bucketizer(cuts) -> Bucketizer:
+        splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
+        return Bucketizer(splits=splits, inputCol="_tmicros", outputCol="_bk", handleInvalid="keep")
+
+    # two levels, so that no sketch grows with the number of buckets: at most COARSE cuts over all rows, then the
+    # quantiles inside each coarse bucket, sketched where its rows are (8 bytes a bucket come to the driver)
+    coarse = min(k, COARSE)
+    cuts = with_t.approxQuantile("_tmicros", [i / coarse for i in range(1, coarse)], 0.1 / coarse)
+    if k > coarse:
+        fine = -(-k // coarse)
+        inner = (bucketizer(cuts).transform(with_t).groupBy("_bk")
+                 .agg(F.percentile_approx("_tmicros", [i / fine for i in range(1, fine)] or [0.5], 20 * fine).alias("q")).collect())
+        cuts = [*cuts, *(c for r in inner for c in r["q"] or [])]
+    b = bucketizer(cuts)
     return b.transform(with_t).withColumn(out, F.col("_bk").cast("long")).drop("_tmicros", "_bk")
 
 

@@ -42,8 +42,8 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
     with the smallest ``(md5(key:seed), key)``. ``targets`` maps class value -> count (use the key
     ``None`` when there is no class column). Rows that repeat a key are ranked one by one, so the
     counts hold for them too; a null key hashes as the text ``null``. The histogram passes read a
-    checkpoint of class and hash prefix, not the rows. One key repeated more than ``final_rows``
-    times at the cut is an error, as its rows could only be ranked in one task."""
+    checkpoint of class and hash prefix, not the rows. Where one key repeats more than ``final_rows``
+    times at the cut, any of its rows fill the count: they are numbered where they lie, not sorted."""
     h = seeded_md5(F.coalesce(F.col(key).cast("string"), F.lit("null")), seed)
     work = df.withColumn("_h", h).withColumn("_p", md5_prefix(F.col("_h")))
     cls = F.col(class_col) if class_col else F.lit(None)
@@ -80,10 +80,8 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
                     w = widths[c]
                     s["lo"], s["hi"] = s["lo"] + b * w, min(s["hi"], s["lo"] + (b + 1) * w)
                     s["need"] -= cum
-                    if cnt > final_rows and w == 1:
-                        raise ValueError(f"{cnt} rows share one value of {key!r} at the cut: it is no key")
-                    if cnt <= final_rows:
-                        done[c] = dict(s)
+                    if cnt <= final_rows or w == 1:
+                        done[c] = dict(s) | {"tied": cnt > final_rows}
                         active.discard(c)
                     break
                 cum += cnt
@@ -97,11 +95,14 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
     cls_w = F.col(class_col) if class_col else F.lit(None)
     below = F.lit(False)
     boundary = F.lit(False)
+    tied = F.lit(False)
     for c, s in done.items():
         cc = cls_w.isNull() if c is None else (cls_w == F.lit(c))
         below = below | (cc & (F.col("_p") < s["lo"]))
         if s["need"] > 0:
-            boundary = boundary | (cc & (F.col("_p") >= s["lo"]) & (F.col("_p") < s["hi"]))
+            at_cut = cc & (F.col("_p") >= s["lo"]) & (F.col("_p") < s["hi"])
+            boundary = boundary | at_cut
+            tied = tied | at_cut if s.get("tied") else tied
     need_expr = None
     for c, s in done.items():
         cc = cls_w.isNull() if c is None else (cls_w == F.lit(c))
@@ -111,10 +112,26 @@ def hash_cutoff(df: DataFrame, key: str, seed: int, targets: dict, class_col: st
         return work.withColumn("_selected", F.coalesce(below, F.lit(False))).drop("_h", "_p")
     part = [class_col] if class_col else []
     w = Window.partitionBy(*part).orderBy("_h", key)
-    at_cut = F.coalesce(boundary, F.lit(False))
-    ranked = (work.where(at_cut).withColumn("_selected", F.row_number().over(w) <= need_expr))
+    at_cut, tied = F.coalesce(boundary, F.lit(False)), F.coalesce(tied, F.lit(False))
+    ranked = (work.where(at_cut & ~tied).withColumn("_selected", F.row_number().over(w) <= need_expr))
     rest = work.where(~at_cut).withColumn("_selected", F.coalesce(below, F.lit(False)))
-    return rest.unionByName(ranked).drop("_h", "_p")
+    out = rest.unionByName(ranked)
+    if any(s.get("tied") for s in done.values()):
+        numbered = _numbered(work.where(tied).withColumn("_class", cls_w.cast("string")))
+        out = out.unionByName(numbered.withColumn("_selected", F.col("_n") <= need_expr).drop("_n", "_class"))
+    return out.drop("_h", "_p")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_n`` from 1 on within each ``_class``, in no particular order: the place in the partition behind the counts of the
+    partitions before it (a row per class and partition). Checkpointed, so that the numbers stay."""
+    fixed = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    counts = fixed.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_class").alias("_c"), F.col("_part").alias("_p2"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_at"))
+    here = F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_part") == F.col("_p2"))
+    return fixed.withColumn("_local", local).join(F.broadcast(offsets), here).withColumn("_n", F.col("_local") + F.col("_before")).drop("_part", "_at", "_c", "_p2", "_before", "_local")
 
 
 MAX_BRACKET_ROWS = 2_000_000

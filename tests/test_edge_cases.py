@@ -62,8 +62,7 @@ def test_sample_counts_rows_that_repeat_a_key(spark):
         assert sampling.sample_n(df, n, key="k").count() == n
     same = spark.range(200).select(F.lit(1).alias("k"))
     assert selection.hash_cutoff(same, "k", 1, {None: 50}).where("_selected").count() == 50
-    with pytest.raises(ValueError):
-        selection.hash_cutoff(same, "k", 1, {None: 50}, final_rows=100)
+    assert selection.hash_cutoff(same, "k", 1, {None: 50}, final_rows=100).where("_selected").count() == 50
     with pytest.raises(ValueError):
         sampling.class_targets(spark.range(2000).withColumnRenamed("id", "y"), "y", 0.2)
 
@@ -118,10 +117,9 @@ def test_metrics_with_crowded_scores(spark):
 
 def test_late_batches_are_shifted_by_whole_microseconds(spark):
     last = datetime.datetime(2024, 1, 1, 0, 0, 10)
-    state = type("S", (), {"pairs": spark.createDataFrame([(last,)], "ts timestamp")})
     for micros in (1, 249, 1_000_001, 199_999):
         batch = spark.createDataFrame([(last - datetime.timedelta(microseconds=micros),)], "ts timestamp")
-        assert ST._shift_after(state, batch, "ts").first()["ts"] == last + datetime.timedelta(microseconds=1)
+        assert ST._shift_after(last, batch, "ts").first()["ts"] == last + datetime.timedelta(microseconds=1)
 
 
 def test_stored_predictions_feed_listings_and_alerts(spark):
@@ -156,3 +154,27 @@ print(models.fit_isolation_forest(df, ["a"], trees=3).anomaly_score(df).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"RISKLOOM_DRIVER_MEMORY": "1g"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert done.stdout.strip().endswith("300"), done.stderr[-1500:]
+
+
+def test_sampling_where_one_key_repeats_beyond_any_task(spark):
+    """The cut falls among many rows of one key: exactly the wanted number is taken, by class."""
+    from riskloom.operators import selection
+    rows = [(7, i % 2, i) for i in range(400)] + [(i, i % 2, i) for i in range(1000, 1060)] + [(None, 0, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, c int, n int").repartition(5)
+    for targets, cls in (({0: 60, 1: 130}, "c"), ({0: 200, 1: 3}, "c"), ({None: 250}, None), ({None: 500}, None)):
+        got = selection.hash_cutoff(df, "k", 42, targets, cls, final_rows=20)
+        assert got.count() == len(rows) and got.select("n", "k", "c").distinct().count() == len(set(rows))
+        taken = got.where("_selected")
+        counts = {r[0]: r[1] for r in taken.groupBy(cls).count().collect()} if cls else {None: taken.count()}
+        assert counts == targets
+
+
+def test_time_buckets_in_two_levels(spark, monkeypatch):
+    from riskloom.operators import history
+    monkeypatch.setattr(history, "COARSE", 4)
+    df = spark.range(6000).selectExpr("id", "timestamp_micros(id * id) AS ts")
+    got = history.time_buckets(df, target_rows=200)
+    sizes = [r["count"] for r in got.groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 24 and max(sizes) <= 600
+    edges = got.groupBy("_bucket").agg({"id": "min", "ts": "max"}).orderBy("_bucket").collect()
+    assert [r["min(id)"] for r in edges] == sorted(r["min(id)"] for r in edges)
