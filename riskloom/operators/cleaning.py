@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from riskloom.functions.features import known
 from riskloom.operators import prep
-from riskloom.operators.joins import fits_broadcast
+from riskloom.operators.joins import BROADCAST_MAX_BYTES, COLUMN_BYTES
 from riskloom.operators.profiling import categorical_columns, null_ratios_row, numeric_columns
 from riskloom.operators.selection import exact_medians
 from riskloom.session import checkpoint_dir
@@ -151,16 +151,34 @@ def fit_code_table(train: DataFrame, columns: Sequence[str]) -> DataFrame:
             .checkpoint())
 
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1) -> DataFrame:
-    """E6 apply: code per column; unseen values and nulls -> -1 (N8). One left join per column with
-    that column's part of the fitted table: a hash lookup per row while the table's measured bytes
-    allow a broadcast, a shuffled join beyond."""
-    small = fits_broadcast(codes)
+def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], unknown: int = -1,
+                key: str | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """E6 apply: code per column; unseen values and nulls -> -1 (N8). Columns are taken in the order of their part of the fitted
+    table, smallest first, as long as those parts together measure at most ``max_bytes``: a hash lookup per row each. The cells of
+    all other columns move together: with a unique row ``key`` they go long form through one join with the table and come back
+    as one row per key, whatever their number; without a key, one shuffled join per column."""
+    columns = list(columns)
+    measured = (codes.where(F.col("column_name").isin(columns)).groupBy("column_name")
+                .agg(F.sum(F.coalesce(F.octet_length("value"), F.lit(0)) + 3 * COLUMN_BYTES).alias("bytes")))
+    sizes = {r["column_name"]: r["bytes"] for r in measured.collect()}             # one row per column
+    looked_up, total = [], 0
+    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), c)):
+        total += sizes.get(c, 0)
+        if total <= max_bytes:
+            looked_up.append(c)
     out = df
-    for c in columns:
+    wide = [c for c in columns if c not in looked_up]
+    if wide and key is not None:
+        cells = df.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in wide])))
+        found = (cells.where(F.col("value").isNotNull()).join(codes.where(F.col("column_name").isin(wide)), ["column_name", "value"])
+                 .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("column_name", "code"))).alias("_codes")))
+        out = df.join(found, key, "left")
+        out = out.select(*[F.coalesce(F.col("_codes")[c], F.lit(unknown)).cast("double").alias(c) if c in wide else F.col(c) for c in df.columns])
+        wide = []
+    for c in [*looked_up, *wide]:
         m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_cv_{c}"),
                                                           F.col("code").alias(f"_cc_{c}"))
-        out = out.join(F.broadcast(m) if small else m, out[c].cast("string") == m[f"_cv_{c}"], "left") \
+        out = out.join(F.broadcast(m) if c in looked_up else m, out[c].cast("string") == m[f"_cv_{c}"], "left") \
                  .withColumn(c, F.coalesce(F.col(f"_cc_{c}"), F.lit(unknown)).cast("double")) \
                  .drop(f"_cv_{c}", f"_cc_{c}")
     return out

@@ -81,7 +81,7 @@ class ModelPreprocessorModel(Model, _Columns, MLReadable, MLWritable):
         tables.require_columns(dataset, [*numeric, *categorical, self._get("idColumn")], "rows to prepare")
         out = self.filled(dataset)
         if categorical:
-            out = cleaning.apply_codes(out, self.codes, categorical)
+            out = cleaning.apply_codes(out, self.codes, categorical, key=self._get("idColumn"))
         if target not in out.columns:                                   # rows to score carry no label
             out = out.withColumn(target, F.lit(None).cast("byte"))
             return cleaning.model_ready(out, numeric, categorical, target, keep=self._get("keep")).drop(target)

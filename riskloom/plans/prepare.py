@@ -120,7 +120,7 @@ def prepare_model_data(cleaned: DataFrame, target: str = "isFraud", id_column: s
     train = split.where(F.col("split") == "train")
     codes = cleaning.fit_code_table(train, categorical) if categorical else None
     if categorical:
-        split = cleaning.apply_codes(split, codes, categorical)
+        split = cleaning.apply_codes(split, codes, categorical, key=id_column)
     keep = ([id_column] if keep_id else []) + ["split"]
     ready = cleaning.model_ready(split, numeric, categorical, target, keep=keep)
     report = profiling.preparation_report(cleaned.sparkSession, ready, numeric, categorical, target, rare_map)

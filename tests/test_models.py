@@ -176,3 +176,17 @@ def test_model_data_is_written_with_its_preprocessor_and_report(spark):
     assert (report["train_rows"], report["feature_count"], report["source_path"]) == (48, 4, "in.csv")
     assert sorted(r["column"] for r in report["top_rare_category_columns"]) and report["rare_category_columns"] == len(report["top_rare_category_columns"])
     assert P.load_preprocessor(spark, paths["preprocessor"]).transform(rows).count() == 60
+
+
+@pytest.mark.parametrize("max_bytes", [0, 150, 1 << 20])
+@pytest.mark.parametrize("key", [None, "TransactionID"])
+def test_codes_are_the_same_on_either_side_of_the_broadcast_bound(spark, max_bytes, key):
+    """No column looked up, the smallest ones, or all; the others joined one by one or together by row key."""
+    from riskloom.operators import cleaning
+    rows = [(i, ["a", "b", None][i % 3], f"v{i % 5}", None if i % 4 else "x", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "TransactionID long, c1 string, c2 string, c3 string, n int")
+    codes = cleaning.fit_code_table(df.where("TransactionID < 20 AND coalesce(c2, '') <> 'v4'"), ["c1", "c2", "c3"])
+    got = cleaning.apply_codes(df, codes, ["c1", "c2", "c3"], key=key, max_bytes=max_bytes)
+    assert got.columns == df.columns
+    want = [(i, {"a": 0.0, "b": 1.0, None: -1.0}[a], -1.0 if b == "v4" else float(b[1]), -1.0 if c is None else 0.0, n) for i, a, b, c, n in rows]
+    assert sorted(map(tuple, got.collect())) == want
