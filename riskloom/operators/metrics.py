@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.history import running_sum
+from riskloom.sources.tables import materialised
 from riskloom.session import checkpoint_dir
 
 SCORE_BUCKETS = 4096
@@ -100,3 +101,21 @@ def classification_report(df: DataFrame, label: str = "isFraud", score: str = "f
             div(P("f0") * P("s0") + P("f1") * P("s1"), P("tot")), P("tot")))
     return base.select(F.inline(rows)).select("class", "precision", "recall", "f1_score",
                                               F.col("support").cast("long").alias("support"))
+
+
+def metrics_artefact(df: DataFrame, label: str = "isFraud", score: str = "fraud_probability") -> DataFrame:
+    """M6-M9 as the one row that is stored with a model: ``roc_auc``, ``pr_auc`` and ``classification_report``, a struct per class and
+    average (the accuracy is a number)."""
+    spark = df.sparkSession
+    scored = materialised(df.select(label, score), "scored")
+    found = {r["class"]: r for r in classification_report(scored, label, score).collect()}           # five rows
+    one = lambda r: F.struct(*(F.lit(r[a]).cast("double").alias(b) for a, b in (                     # noqa: E731
+        ("precision", "precision"), ("recall", "recall"), ("f1_score", "f1-score"), ("support", "support"))))
+    report = F.struct(*(F.lit(r["f1_score"]).alias(c) if c == "accuracy" else one(r).alias(c) for c, r in found.items()))
+    return spark.range(1).select(F.lit(roc_auc(scored, label, score).first()[0]).cast("double").alias("roc_auc"),
+                                 F.lit(average_precision(scored, label, score).first()[0]).cast("double").alias("pr_auc"), report.alias("classification_report"))
+
+
+def write_metrics(df: DataFrame, path: str, label: str = "isFraud", score: str = "fraud_probability") -> None:
+    """The artefact as JSON (one small file)."""
+    metrics_artefact(df, label, score).coalesce(1).write.mode("overwrite").json(path)

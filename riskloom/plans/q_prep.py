@@ -508,6 +508,27 @@ def q_prepared_transactions(spark, sf_dir):
                                                            prepare.IEEE_FULL).frame)
 
 
+SAMPLED_CTE = """sampled AS (SELECT * FROM fx_ieee ORDER BY md5(concat(CAST(TransactionID AS VARCHAR), ':42')), TransactionID LIMIT 10000)"""
+
+
+@query("prepared_sample", _with(CLEAN_SQL, SAMPLED_CTE, MERGED_CTE.replace("FROM fx_ieee i", "FROM sampled i"), FEAT_CTE))
+def q_prepared_sample(spark, sf_dir):
+    """E9, the sample preset: its own size, statistics and medians of the sample alone."""
+    return _numbers_as_double(prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
+                                                           prepare.IEEE_SAMPLE).frame)
+
+
+PROTOTYPE_SQL = f"""SELECT * EXCLUDE (transaction_hour, log_transaction_amt) RENAME ({", ".join(
+    f"{prep.FINAL_NAMES[k]} AS {v}" for k, v in prep.PROTOTYPE_NAMES.items())}) FROM ({CLEAN_SQL}) c"""
+
+
+@query("prepared_prototype", _with(PROTOTYPE_SQL, MERGED_CTE, FEAT_CTE))
+def q_prepared_prototype(spark, sf_dir):
+    """E9, the prototype flow: its feature names, and neither hour nor log amount."""
+    return _numbers_as_double(prepare.prepare_transactions(fixture(spark, sf_dir, "fx_ieee"), fixture(spark, sf_dir, "fx_identity"),
+                                                           prepare.IEEE_FULL, prototype=True).frame)
+
+
 ALL_CATEGORICAL_SQL = ", ".join(f"'{c}'" for c in CATEGORICAL)
 
 

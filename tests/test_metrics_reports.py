@@ -85,3 +85,15 @@ def test_breakdown_ranges_and_snapshot(spark):
     assert s["false_positive_proxy"] == round(max(0.5, 100 - 33.3) / 20, 1)
     days = {r["day"]: (r["high"], r["medium"], r["low"]) for r in reports.daily_risk_counts(p).collect()}
     assert days["2024-01-10"] == (2, 1, 1) and sum(sum(v) for v in days.values()) == 12
+
+
+def test_metrics_are_written_with_the_model(spark, tmp_path):
+    from riskloom.operators import metrics
+    rows = [(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6), (0, 0.1), (None, 0.3)]
+    df = spark.createDataFrame(rows, "isFraud int, fraud_probability double")
+    metrics.write_metrics(df, str(tmp_path / "metrics"))
+    got = spark.read.json(str(tmp_path / "metrics")).first()
+    report = {r["class"]: r for r in metrics.classification_report(df).collect()}
+    assert got["roc_auc"] == metrics.roc_auc(df).first()[0] and got["pr_auc"] == metrics.average_precision(df).first()[0]
+    assert got["classification_report"]["accuracy"] == report["accuracy"]["f1_score"]
+    assert got["classification_report"]["1"]["recall"] == report["1"]["recall"] and got["classification_report"]["macro avg"]["f1-score"] == report["macro avg"]["f1_score"]
