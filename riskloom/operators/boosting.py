@@ -30,6 +30,7 @@ from riskloom.sources.tables import materialised
 
 BINS = 64                   # values of a feature are told apart by at most so many bins (and one for none)
 BLOCK_ROWS = 65_536
+FEW_PARTS = 4               # tasks whose sums (features x nodes x bins each) the driver adds up itself
 LAMBDA, MIN_CHILD, MIN_GAIN = 1.0, 1.0, 1e-6
 UNIT = 2.0 ** -24           # sums are of whole multiples, so that they don't depend on how the rows are dealt out
 SKETCH = 10_000             # accuracy of the quantiles of features with more values than bins
@@ -252,7 +253,14 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str, rou
         tree = Tree(depth)
         for level in range(depth):
             sums = _histograms(shared, trees, tree, level, used, bins, weight, rows_share)
-            found = sorted(blocks.mapPartitionsWithIndex(sums).reduceByKey(np.add, merging).map(lambda item: _best(item, penalty, least)).collect(), key=lambda r: r[0])
+            local = blocks.mapPartitionsWithIndex(sums)
+            if parts <= FEW_PARTS:                                  # the same whole sums, without a second stage
+                merged: dict = {}
+                for f, v in local.collect():
+                    merged[f] = merged[f] + v if f in merged else v
+                found = [_best((f, merged[f]), penalty, least) for f in sorted(merged)]
+            else:
+                found = sorted(local.reduceByKey(np.add, merging).map(lambda item: _best(item, penalty, least)).collect(), key=lambda r: r[0])
             if not _split(tree, level, found, rate, penalty, [len(b) for b in bounds]):
                 break
         trees.append(tree)
