@@ -4,14 +4,17 @@ Second-order boosting for the logistic loss (Chen and Guestrin, 2016): every tre
 ``GL^2/(HL+l) + GR^2/(HR+l) - G^2/(H+l)`` gains most, rows without a value go to the side that gains more, leaves
 are ``-rate * G/(H+l)``, and each tree sees a share of the rows and of the columns.
 
-The rows are binned once and stored as blocks of bounded size. A level of a tree is one grouped aggregate: every block
-sums gradient and hessian per (node, feature, bin), the sums of a feature meet in one place, which
-returns its best split of each node. So a level moves features x nodes x bins numbers per task, and the driver gets
-features x nodes rows, whatever the number of rows. The aggregate runs on the blocks as pairs (``reduceByKey``): a fit
-is some thousand short jobs, and planning each as a query would take longer than running it.
-
-Margins are not part of the data: a worker keeps those of the blocks that it has seen and brings them up to date with
-the trees grown since, from none at all if it has to. A lost executor therefore loses nothing but time.
+The rows are binned once and stored as blocks of bounded size. A level of a tree is one aggregate: every block sums
+gradient and hessian per (node, feature, bin). The tasks are no more than the cores and their sums don't grow with the rows; where
+all of them take at most ``MERGED_BYTES`` the driver adds them up, and then only the lighter child of each split node is summed over
+the rows, the other being its parent less that child (sums are whole numbers: the same to the last bit). Beyond
+that bound the sums of a feature meet in one task (``reduceByKey``), which returns its best split of each node. A fit is some
+thousand short jobs, and planning each as a query would take longer than running it.
+
+Margins are not part of the data: a worker keeps those of the blocks that it has seen, and the nodes that their rows have come to,
+and brings them up to date with what was grown since, from none at all if it has to. A lost executor therefore loses nothing
+but time. What a worker keeps hangs on a broadcast object, which Spark takes away from a worker that runs a task without it: every
+stage of a fit must name it.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions.features import known
 from riskloom.sources.tables import materialised
 
 BINS = 64                   # values of a feature are told apart by at most so many bins (and one for none)
 BLOCK_ROWS = 65_536
-FEW_PARTS = 4               # tasks whose sums (features x nodes x bins each) the driver adds up itself
+PART_BLOCKS = 2             # a task takes at least so many blocks: many small ones cost more than they do
+MERGED_BYTES = 32 << 20     # sums (tasks x features x nodes x bins) that the driver adds up itself
 LAMBDA, MIN_CHILD, MIN_GAIN = 1.0, 1.0, 1e-6
 UNIT = 2.0 ** -24           # sums are of whole multiples, so that they don't depend on how the rows are dealt out
 SKETCH = 10_000             # accuracy of the quantiles of features with more values than bins
@@ -72,7 +77,7 @@ def _to_blocks(cuts: list[np.ndarray], rows_each: int):
 
         def block():
             y, h, x = (np.concatenate([b[i] for b in held]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (y, h, x)], ["y", "h", "x"])
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes("F")], pa.binary()) for v in (y, h, x)], ["y", "h", "x"])
 
         for batch in batches:
             for i in range(0, len(batch), rows_each):
@@ -97,14 +102,18 @@ class Tree:
         self.depth, self.feature = depth, np.full(n, -1, np.int32)
         self.cut, self.none_left, self.value = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n)
 
-    def leaves(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
-        """The node that each row of bins has come to after ``levels``."""
-        node, row = np.zeros(len(x), np.int64), np.arange(len(x))
-        for _ in range(self.depth if levels is None else levels):
-            f = self.feature[node]
-            b = x[row, np.maximum(f, 0)]
-            left = np.where(b == 0, self.none_left[node], b <= self.cut[node])
-            node = np.where(f < 0, node, 2 * node + 2 - left)
+    def down(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """One level on; rows at a leaf, or at no node (-1), stay."""
+        f = self.feature[node]
+        b = x[np.arange(len(x)), np.maximum(f, 0)]
+        left = np.where(b == 0, self.none_left[node], b <= self.cut[node])
+        return np.where(f < 0, node, 2 * node + 2 - left)
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that each row of bins comes to."""
+        node = np.zeros(len(x), np.int32)
+        for _ in range(self.depth):
+            node = self.down(node, x)
         return node
 
 
@@ -117,12 +126,13 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Margins:
-    """The margins of the blocks that a worker has seen, with the number of trees they hold. One broadcast object
-    per fit: each worker has its own copy."""
-    ROWS = 8_000_000            # margins that a worker keeps at most
+    """What a worker keeps of the blocks that it has seen: their margins with the number of trees that these hold, and the nodes of the
+    growing tree that their rows have come to. One broadcast object per fit: each worker has its own copy."""
+    ROWS = 8_000_000            # rows that a worker keeps at most
 
     def __init__(self):
         self.held: dict = {}
+        self.at: dict = {}
 
     def of(self, block: tuple, x: np.ndarray, trees: list[Tree]) -> np.ndarray:
         done, margin = self.held.pop(block, (0, None))
@@ -131,32 +141,71 @@ class Margins:
             margin = margin + tree.value[tree.leaves(x)]
         self.held[block] = (len(trees), margin)
         while len(self.held) > 1 and sum(len(m) for _, m in self.held.values()) > self.ROWS:
-            self.held.pop(next(iter(self.held)))
+            old = next(iter(self.held))
+            del self.held[old]
+            self.at.pop(old, None)
         return margin
 
+    def nodes(self, block: tuple, h: np.ndarray, x: np.ndarray, tree: Tree, number: int, level: int, share: float) -> np.ndarray:
+        """Per row its node at ``level`` of the growing tree (or the leaf before it), -1 for rows that the tree doesn't draw."""
+        of_tree, done, node = self.at.get(block, (None, 0, None))
+        if of_tree != number or done > level:
+            node, done = np.where(_mixed(h, number) < share, 0, -1).astype(np.int32), 0
+        for _ in range(done, level):
+            node = tree.down(node, x).astype(np.int32)
+        self.at[block] = (number, level, node)
+        return node
+
 
-def _histograms(shared, trees: list[Tree], growing: Tree, level: int, features: Sequence[int], bins: int, weight: float, share: float):
-    """Over the blocks of a partition: (feature, [nodes of the level, bins + 1, gradient and hessian]), in units."""
+def _histograms(shared, trees: list[Tree], growing: Tree, level: int, wanted: Sequence[int], features: Sequence[int], bins: int, weight: float, share: float):
+    """Over the blocks of a partition: (feature, [wanted nodes of the level, bins + 1, gradient and hessian]), in units."""
     def run(part: int, blocks):
-        first, nodes = 2 ** level - 1, 2 ** level
-        sums = {f: np.zeros((nodes, bins + 1, 2), np.int64) for f in features}
+        slots = np.full(2 ** (growing.depth + 1), -1, np.int64)
+        slots[2 ** level - 1 + np.array(wanted)] = np.arange(len(wanted))
+        sums, own = {f: np.zeros((len(wanted), bins + 1, 2), np.int64) for f in features}, shared.value
         for number, (y, h, x) in enumerate(blocks):
-            margin = shared.value.of((part, number), x, trees)
-            p = 1.0 / (1.0 + np.exp(-margin))
+            margin = own.of((part, number), x, trees)
+            slot = slots[own.nodes((part, number), h, x, growing, len(trees), level, share)]     # -1 is the spare last one
+            use = np.flatnonzero(slot >= 0)
+            y, p, slot = y[use], 1.0 / (1.0 + np.exp(-margin[use])), slot[use] * (bins + 1)
             w = np.where(y == 1, weight, 1.0)
-            node = growing.leaves(x, level) - first
-            use = node >= 0
-            if share < 1:
-                use &= _mixed(h, len(trees)) < share
-            node, g, hess, x = node[use], np.rint((w * (p - y) / UNIT)[use]), np.rint((w * p * (1 - p) / UNIT)[use]), x[use]
+            both = np.rint(w * (p - y) / UNIT), np.rint(w * p * (1 - p) / UNIT)
             for f in features:
-                cell = node * (bins + 1) + x[:, f]
-                for k, v in enumerate((g, hess)):
-                    sums[f][:, :, k] += np.bincount(cell, v, nodes * (bins + 1)).astype(np.int64).reshape(nodes, -1)
+                cell = slot + x[:, f][use]
+                for k, v in enumerate(both):
+                    sums[f][:, :, k] += np.bincount(cell, v, len(wanted) * (bins + 1)).astype(np.int64).reshape(len(wanted), -1)
         return iter(sums.items())
     return run
 
 
+def _splits(shared, penalty: float, least: float):
+    """``_best`` as a task of its own stage."""
+    def run(item):
+        assert shared is not None                                   # named here, so that the worker keeps it
+        return _best(item, penalty, least)
+    return run
+
+
+def _lighter(tree: Tree, level: int, found: list) -> list[int]:
+    """Of each two children on ``level``, the one of less hessian."""
+    sides, first, out = {f: (left, total) for f, *_, left, total in found}, 2 ** (level - 1) - 1, []
+    for i, f in enumerate(tree.feature[first:2 * first + 1].tolist()):
+        if f >= 0:
+            left, total = (s[i, 1] for s in sides[f])
+            out.append(2 * i + int(2 * left > total))
+    return out
+
+
+def _completed(summed: np.ndarray, wanted: Sequence[int], level: int, above: np.ndarray | None) -> np.ndarray:
+    """The sums of all nodes of a level from those of ``wanted``: a sibling has what its parent has beyond it."""
+    out = np.zeros((2 ** level, *summed.shape[1:]), np.int64)
+    out[wanted] = summed
+    if above is not None:
+        for i, n in enumerate(wanted):
+            out[n ^ 1] = above[n // 2] - summed[i]
+    return out
+
+
 def _best(item, penalty: float, least: float):
     """Of one feature, per node: gain, cut and none_left of its best split, the sums to its left, and the node's sums."""
     feature, sums = item[0], item[1] * UNIT
@@ -242,25 +291,30 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str, rou
                           F.xxhash64(F.lit(seed), *train.columns).alias("h"), *(v.alias(f"x{k}") for k, v in enumerate(values)))
     wide = len(features)
     stored = materialised(picked.mapInArrow(_to_blocks(bounds, block_rows), "y binary, h binary, x binary"), "binned")
-    rows = stored.agg(F.sum(F.octet_length("y"))).first()[0] or 0
-    parts = max(1, -(-rows // (8 * block_rows)))                    # tasks follow the rows: many small ones cost more than they do
-    blocks = stored.rdd.coalesce(parts).map(lambda r: (np.frombuffer(r["y"]), np.frombuffer(r["h"], np.uint64), np.frombuffer(r["x"], np.uint8).reshape(-1, wide))).persist()
-    shared, trees = spark.sparkContext.broadcast(Margins()), []
+    sc = spark.sparkContext
+    count = stored.count()
+    parts = max(1, min(sc.defaultParallelism, -(-count // PART_BLOCKS)))
+    blocks = (stored.rdd.coalesce(parts).map(lambda r: (np.frombuffer(r["y"]), np.frombuffer(r["h"], np.uint64), np.frombuffer(r["x"], np.uint8).reshape(wide, -1).T))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    shared, trees = sc.broadcast(Margins()), []
     rng = np.random.default_rng(seed)
-    merging = min(wide, parts)
     for _ in range(rounds if wide else 0):
         used = sorted(rng.choice(wide, max(1, round(columns_share * wide)), replace=False).tolist()) if columns_share < 1 else list(range(wide))
-        tree = Tree(depth)
+        tree, above, found = Tree(depth), None, []
         for level in range(depth):
-            sums = _histograms(shared, trees, tree, level, used, bins, weight, rows_share)
-            local = blocks.mapPartitionsWithIndex(sums)
-            if parts <= FEW_PARTS:                                  # the same whole sums, without a second stage
+            lighter = [0] if not level else _lighter(tree, level, found) if above else []
+            few = 0 < parts * len(used) * len(lighter) * (bins + 1) * 16 <= MERGED_BYTES
+            wanted = lighter if few else list(range(2 ** level))
+            local = blocks.mapPartitionsWithIndex(_histograms(shared, trees, tree, level, wanted, used, bins, weight, rows_share))
+            if few:
                 merged: dict = {}
                 for f, v in local.collect():
                     merged[f] = merged[f] + v if f in merged else v
-                found = [_best((f, merged[f]), penalty, least) for f in sorted(merged)]
+                above = {f: _completed(merged[f], wanted, level, above and above[f]) for f in sorted(merged)}
+                found = [_best(item, penalty, least) for item in above.items()]
             else:
-                found = sorted(local.reduceByKey(np.add, merging).map(lambda item: _best(item, penalty, least)).collect(), key=lambda r: r[0])
+                above = None
+                found = sorted(local.reduceByKey(np.add, min(len(used), parts)).map(_splits(shared, penalty, least)).collect(), key=lambda r: r[0])
             if not _split(tree, level, found, rate, penalty, [len(b) for b in bounds]):
                 break
         trees.append(tree)

@@ -108,6 +108,29 @@ def test_margins_are_made_up_for_whatever_a_worker_has_missed():
     assert len(held.held) == 1
 
 
+def test_margins_outlast_tasks_of_another_stage(spark, monkeypatch):
+    x, y = _rows(3, 300)
+    fit = lambda: B.fit_boosted_trees(_frame(spark, x, y).repartition(6), ["a", "b", "c"], "isFraud", 4, 3, 0.3, 1.0, 0.8, block_rows=20)
+    merged = fit()
+    monkeypatch.setattr(B, "MERGED_BYTES", 0)                           # every level in two stages
+    assert [_nested(t, merged) for t in merged.trees] == [_nested(t, merged) for t in fit().trees]
+    rdd, shared = spark.sparkContext.parallelize(range(8), 4), spark.sparkContext.broadcast(B.Margins())
+
+    def seen(part, rows):
+        shared.value.calls = getattr(shared.value, "calls", 0) + 1
+        yield 0, np.full((1, 3, 2), float(shared.value.calls))
+    for _ in range(4):
+        calls = rdd.mapPartitionsWithIndex(seen).collect()
+        rdd.mapPartitionsWithIndex(seen).reduceByKey(np.add, 4).map(B._splits(shared, 1.0, 1.0)).collect()
+    assert max(c[1].max() for c in calls) > 2
+
+
+def test_lighter_children_give_the_sums_of_all():
+    sums = np.arange(4 * 3 * 2).reshape(4, 3, 2)
+    above = np.stack([sums[0] + sums[1], sums[2] + sums[3]])
+    assert (B._completed(sums[[1, 2]], [1, 2], 2, above) == sums).all()
+
+
 def test_features_with_many_values_and_degenerate_tables(spark):
     df = spark.range(5000).select(F.col("id").alias("TransactionID"), F.rand(3).alias("u"), F.lit(None).cast("double").alias("none"), F.lit(4).alias("same"))
     df = df.withColumn("isFraud", (F.col("u") > 0.6).cast("int")).checkpoint()
