@@ -129,6 +129,23 @@ def test_components_chains_and_hubs(spark):
     assert got == _uf_components(edges)
 
 
+def test_components_of_numbers_chains_and_colliding_hashes(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(-300, 300)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 5)], "user long, device long")
+    written, real = [], graph.materialised
+    monkeypatch.setattr(graph, "materialised", lambda df, name: (written.append(name), real(df, name))[1])
+    got = {r["node"]: r["component"] for r in graph.connected_components(chain).collect()}
+    assert got == {i: -300 for i in range(-300, 301)} | {1000: 1000, 1001: 1000}
+    assert written.count("edges-left") <= 15                             # sorted chains shrink by shares, not by a node a round
+
+    hashes = graph.F.xxhash64
+
+    def meeting(*columns):                                               # a salt under which all names meet
+        return graph.F.lit(1).cast("long") if len(columns) == 2 and columns[0]._jc.toString() == "0" else hashes(*columns)
+    monkeypatch.setattr(graph.F, "xxhash64", meeting)
+    names = spark.createDataFrame([("a", "b"), ("c", "d"), ("b", "e")], "user string, device string")
+    assert {tuple(r) for r in graph.connected_components(names).collect()} == {("a", "a"), ("b", "a"), ("e", "a"), ("c", "c"), ("d", "c")}
+
+
 def test_history_with_stored_state(spark):
     rnd = random.Random(11)
     rows = [(i, rnd.randint(0, 400), f"u{rnd.randint(0, 9)}", f"d{rnd.randint(0, 4)}") for i in range(200)]
