@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from riskloom.sources.tables import materialised
 
 LONG_MIN = -(1 << 63)
 CLUSTER_NODES = 5       # a suspicious cluster has at least so many nodes
+TASK_EDGES, ONE_TASK = 200_000, 500_000     # edges of whole components that a task takes; a component of more goes by rounds
 
 
 def _oriented(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -124,19 +127,70 @@ def _relaxed(adj: DataFrame, lists: DataFrame, hops: int, k: int) -> DataFrame:
     return lists
 
 
-def cluster_times(edges: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
+def _merge_times(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of whole components' edges ``(user, device, t, i)``: the order key at which each node's group first has ``k`` nodes, merging along
+    the edges in their order (the smaller group into the larger)."""
+    codes, names = pd.factorize(pd.concat([pdf["user"], pdf["device"]], ignore_index=True))
+    users, devices = codes[:len(pdf)].tolist(), codes[len(pdf):].tolist()
+    group, members, at = list(range(len(names))), [[c] for c in range(len(names))], np.full(len(names), -1)
+    for e in np.lexsort((pdf["i"].to_numpy(), pdf["t"].to_numpy())).tolist():
+        one, two = sorted((group[users[e]], group[devices[e]]), key=lambda g: len(members[g]))
+        if one == two:
+            continue
+        if len(members[one]) + len(members[two]) >= k:
+            for g in (one, two):
+                if len(members[g]) < k:
+                    at[members[g]] = e
+        for c in members[one]:
+            group[c] = two
+        members[two] += members[one]
+        members[one] = []
+    timed = at >= 0
+    return pd.DataFrame({"user": np.asarray(names, object)[timed], "t": pdf["t"].to_numpy()[at[timed]], "i": pdf["i"].to_numpy()[at[timed]]})
+
+
+def cluster_times(edges: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES, one_task: int = ONE_TASK) -> DataFrame:
     """K6 core: ``(user, _tstar)`` = the order key ``(t, i)`` at which the user's component first
     has at least ``k`` nodes (absent when it never does).
 
+    Whole components are dealt into tasks by a hash, and each task merges their edges in order. A component of more than
+    ``one_task`` edges is no task's: its nodes go by the rounds of ``times_by_rounds``, with the same result. Edges without a time come
+    first, all at once."""
+    checkpoint_dir(edges.sparkSession)
+    named = materialised(edges.where(F.col("user").isNotNull() & F.col("device").isNotNull())
+                         .groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t")), "first-edges")
+    components = connected_components(named).select(F.col("node").alias("user"), "component")
+    placed = materialised(named.join(components, "user"), "placed-edges")
+    sizes = placed.groupBy("component").count()
+    large = sizes.where(F.col("count") > one_task).select("component")
+    rest, big = placed, None
+    if not large.isEmpty():
+        large = materialised(large, "large-components")
+        rest, big = placed.join(large, "component", "left_anti"), placed.join(large, "component", "left_semi")
+    tasks = max(1, -(-rest.count() // TASK_EDGES))
+    none = F.col("t.t").isNull()
+    flat = rest.select("user", "device", F.coalesce("t.t", F.lit(LONG_MIN)).alias("t"),
+                       F.when(none, F.lit(LONG_MIN)).otherwise(F.coalesce("t.i", F.lit(LONG_MIN))).alias("i"),
+                       F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+    kind = named.schema["user"].dataType.simpleString()
+    merged = flat.groupBy("task").applyInPandas(lambda pdf: _merge_times(pdf, k), f"user {kind}, t long, i long")
+    no_id = (F.col("i") == LONG_MIN) & (F.col("t") > LONG_MIN)
+    times = merged.select("user", F.struct("t", F.when(~no_id, F.col("i")).alias("i")).alias("_tstar"))
+    if big is None:
+        return times
+    return times.unionByName(times_by_rounds(big.select("user", "device", "t"), hops, k))
+
+
+def times_by_rounds(named: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
+    """``cluster_times`` of edges ``(user, device, t)`` by rounds over the adjacency, nothing of a component in one place.
+
     A component has >= k nodes iff k nodes lie within k-1 hops of the user. Each node keeps the k
     nodes with the smallest bottleneck time (the earliest time a path of <= h hops exists). A round
     joins the lists to the adjacency (plus a self-loop per node at time -inf, which carries a node's
     own entries), lifts entries by the edge time, keeps the minimum per (node, entry) and the k
     smallest per node (``row_number() <= k`` is limited on the map side before the shuffle, so a
     hub node ships at most k rows per partition)."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    named = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
+    checkpoint_dir(named.sparkSession)
     # node names -> dense long ids once; the rounds shuffle longs (any consistent order of ids works)
     nodes = named.select(F.col("user").alias("node")).union(named.select(F.col("device").alias("node"))).distinct()
     ids = number_rows(nodes, [F.col("node")], "nid")

@@ -146,6 +146,15 @@ def test_components_of_numbers_chains_and_colliding_hashes(spark, monkeypatch):
     assert {tuple(r) for r in graph.connected_components(names).collect()} == {("a", "a"), ("b", "a"), ("e", "a"), ("c", "c"), ("d", "c")}
 
 
+def test_cluster_times_in_tasks_and_by_rounds(spark):
+    rng = random.Random(5)
+    rows = [(i, None if rng.random() < 0.1 else rng.randrange(40), f"u{rng.randrange(30)}", f"d{rng.randrange(45)}") for i in range(60)]
+    rows += [(60, 3, None, "d1"), (61, 3, "u1", None), (62, 4, "same", "same")]
+    df = spark.createDataFrame(rows, "id long, s long, user string, device string").select("id", graph.F.timestamp_seconds("s").alias("ts"), "user", "device")
+    tasks, both = ({r["user"]: tuple(r["_tstar"]) for r in graph.cluster_times(df, one_task=n).collect()} for n in (1000, 8))
+    assert tasks == both and 5 < len(tasks) < 75
+
+
 def test_history_with_stored_state(spark):
     rnd = random.Random(11)
     rows = [(i, rnd.randint(0, 400), f"u{rnd.randint(0, 9)}", f"d{rnd.randint(0, 4)}") for i in range(200)]
