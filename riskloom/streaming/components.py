@@ -1,7 +1,7 @@
 """Components that take new edges batch by batch (K1, K2 on a growing edge table).
 
 A stored table points every node to a node of its component, at last to the smallest one. A batch of edges looks up
-the roots of its own nodes, contracts its edges onto them, and runs the star rounds over the contracted
+the roots of its own nodes, contracts its edges onto them, and runs the rounds over the contracted
 edges alone. It writes pointers for its new nodes, for roots that were merged away, and, shortened, for the nodes that
 it touched. Nodes of merged components that no batch touches keep their pointer, which leads over the old root to the
 new one; ``labels`` resolves all of them by pointer doubling.
