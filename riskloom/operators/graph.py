@@ -112,18 +112,19 @@ def _order_key(ts: str, id_col: str):
     return F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(id_col).cast("long").alias("i"))
 
 
-def _relaxed(adj: DataFrame, lists: DataFrame, hops: int, k: int) -> DataFrame:
+def _relaxed(adj: DataFrame, lists: DataFrame, hops: int, k: int, final: DataFrame | None = None) -> DataFrame:
     """``hops`` rounds over ``adj`` (v, w, t; with a self-loop per node) on the lists ``(v, lst)`` of the ``k`` earliest
-    ``(b, x)`` per node."""
+    ``(b, x)`` per node. ``final``: lists of further nodes, which give their entries in every round and take none."""
     w = Window.partitionBy("v").orderBy("b", "x")
     for r in range(hops):
-        lifted = (adj.join(lists.withColumnRenamed("v", "w"), "w").select("v", "t", F.explode("lst").alias("e"))
+        giving = lists if final is None else lists.unionByName(final)
+        lifted = (adj.join(giving.withColumnRenamed("v", "w"), "w").select("v", "t", F.explode("lst").alias("e"))
                   .select("v", F.col("e.x").alias("x"), F.greatest(F.col("t"), F.col("e.b")).alias("b")))
         best = lifted.groupBy("v", "x").agg(F.min("b").alias("b"))
         top = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
         lists = top.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("lst"))
         if r % 2 == 1 or r == hops - 1:
-            lists = lists.checkpoint()
+            lists = materialised(lists, "cluster-rounds")
     return lists
 
 
@@ -210,35 +211,56 @@ def times_by_rounds(named: DataFrame, hops: int = CLUSTER_NODES - 1, k: int = CL
 LISTS_SCHEMA = "node string, lst array<struct<b: struct<t: bigint, i: bigint>, x: string>>"
 
 
+def edge_links(edges: DataFrame) -> DataFrame:
+    """The links of edge rows (id, ts, user, device): per user and device the number of rows ``n``, the first order key ``t``, the
+    ``first`` (ts, id) and the newest time ``last``. What a stream batch asks of its edges, but for the counts as of each row, is read off these."""
+    return edges.groupBy("user", "device").agg(F.count(F.lit(1)).alias("n"), F.min(_order_key("ts", "id")).alias("t"),
+                                               F.min(F.struct("ts", "id")).alias("first"), F.max("ts").alias("last"))
+
+
 def grown_cluster_lists(edges: DataFrame, stored: Callable[[DataFrame], DataFrame], hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
-    """K6 by increments: the earliest-``k`` lists ``(node, lst)`` of the nodes that new ``edges`` (id, ts, user, device; all
-    later than what is stored) touch, and of those whose component they extend. ``stored`` looks lists up by node.
+    """``grown_lists`` of edge rows (id, ts, user, device): ``(node, lst)``."""
+    return grown_lists(materialised(edge_links(edges), "links"), stored, hops, k).select("node", "lst")
+
+
+def grown_lists(links: DataFrame, stored: Callable[[DataFrame], DataFrame], hops: int = CLUSTER_NODES - 1, k: int = CLUSTER_NODES) -> DataFrame:
+    """K6 by increments: the earliest-``k`` lists ``(node, lst, changed)`` of the nodes that new ``links`` (user, device, t; a stored table, all
+    later than what is stored) touch, and of those whose component they extend. ``stored`` looks lists up by node; ``changed``: the
+    list is not the stored one.
 
     A full list is final: whatever comes has a later time. A list that is not full holds its whole component, so
     the component of a touched node is read off its list, and the members' lists are all that can change besides. The
-    rounds therefore run over the new edges, the members of the small components they touch, and the full lists that they
-    meet, which give their entries and take none."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    pairs = edges.groupBy("user", "device").agg(F.min(_order_key("ts", "id")).alias("t"))
-    new = (pairs.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
-           .unionByName(pairs.select(F.col("device").alias("v"), F.col("user").alias("w"), "t"))).checkpoint()
+    rounds therefore run over the new links and the small components they touch, for the nodes whose lists are not full alone; the full
+    lists that these meet give their entries and take none, and the other full lists are passed on as they are."""
+    new = (links.select(F.col("user").alias("v"), F.col("device").alias("w"), "t")
+           .unionByName(links.select(F.col("device").alias("v"), F.col("user").alias("w"), "t")))
     touched = new.select(F.col("v").alias("node")).distinct()
-    known = stored(touched).checkpoint()
+    known = materialised(stored(touched), "known-lists")
     small = known.where(F.size("lst") < k)
-    inner = (small.select(F.col("node").alias("v"), F.explode("lst").alias("e")).where(F.col("e.x") != F.col("v"))
-             .select("v", F.col("e.x").alias("w"), F.col("e.b").alias("t")))
-    members = inner.select(F.col("w").alias("node")).distinct().join(touched, "node", "left_anti")
-    known = known.unionByName(stored(members))
+    nodes, adj = touched, new
+    if not small.isEmpty():
+        inner = (small.select(F.col("node").alias("v"), F.explode("lst").alias("e")).where(F.col("e.x") != F.col("v"))
+                 .select("v", F.col("e.x").alias("w"), F.col("e.b").alias("t")))
+        members = inner.select(F.col("w").alias("node")).distinct().join(touched, "node", "left_anti")
+        known = known.unionByName(materialised(stored(members), "known-members"))
+        nodes = touched.unionByName(members)
+        adj = new.unionByName(inner).unionByName(inner.select(F.col("w").alias("v"), F.col("v").alias("w"), "t"))
+    full = known.where(F.size("lst") >= k)
     sentinel = F.struct(F.lit(LONG_MIN).alias("t"), F.lit(LONG_MIN).alias("i"))
-    nodes = touched.unionByName(members)
-    lists = nodes.join(known, "node", "left").select(F.col("node").alias("v"), F.coalesce(
-        "lst", F.array(F.struct(sentinel.alias("b"), F.col("node").alias("x")))).alias("lst")).checkpoint()
-    both = inner.unionByName(inner.select(F.col("w").alias("v"), F.col("v").alias("w"), "t"))
-    adj = new.unionByName(both).join(lists.where(F.size("lst") >= k).select("v"), "v", "left_anti")
-    # self-loops carry every node's own entries, full lists unchanged
-    adj = adj.unionByName(lists.select("v", F.col("v").alias("w"), sentinel.alias("t"))).checkpoint()
-    return _relaxed(adj, lists, hops, k).select(F.col("v").alias("node"), "lst")
+    own = F.array(F.struct(sentinel.alias("b"), F.col("node").alias("x")))
+    open_lists = materialised(nodes.join(full, "node", "left_anti").join(known.withColumnRenamed("lst", "old"), "node", "left")
+                              .select("node", F.coalesce("old", own).alias("lst"), "old"), "open-lists")
+    done = full.select("node", "lst", F.lit(False).alias("changed"))
+    if open_lists.isEmpty():
+        return done
+    start = open_lists.select(F.col("node").alias("v"), "lst")
+    # self-loops carry every node's own entries
+    adj = materialised(adj.join(start.select("v"), "v", "left_semi")
+                       .unionByName(start.select("v", F.col("v").alias("w"), sentinel.alias("t"))), "open-links")
+    met = materialised(full.withColumnRenamed("node", "v").join(adj.select(F.col("w").alias("v")).distinct(), "v", "left_semi"), "met-lists")
+    grown = (_relaxed(adj, start, hops, k, final=met).withColumnRenamed("v", "node").join(open_lists.select("node", "old"), "node")
+             .select("node", "lst", (F.col("old").isNull() | (F.col("old") != F.col("lst"))).alias("changed")))
+    return done.unionByName(grown)
 
 
 def flag_from_times(rows: DataFrame, times: DataFrame, out: str = "in_cluster") -> DataFrame:

@@ -11,7 +11,7 @@ adds everything earlier.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +36,15 @@ def edge_rows(df: DataFrame, id_col: str = "TransactionID", ts: str = "ts", card
 
 def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_PER_BUCKET,
                  out: str = "_bucket") -> DataFrame:
-    """Equi-depth time buckets: split points from quantiles of the row times (bounded sketches), applied with MLlib's ``Bucketizer`` (a JVM-side binary search). Each bucket
+    """``df`` with its own ``bucketing``."""
+    return bucketing(df, ts, target_rows, out)(df)
+
+
+def bucketing(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_PER_BUCKET,
+              out: str = "_bucket") -> Callable[[DataFrame], DataFrame]:
+    """What adds their time bucket among those of ``df`` to any rows.
+
+    Equi-depth time buckets: split points from quantiles of the row times (bounded sketches), applied with MLlib's ``Bucketizer`` (a JVM-side binary search). Each bucket
     holds about ``target_rows`` rows whatever the time distribution, so a key's rows in one
     ``(key, bucket)`` window stay bounded even when a hot key meets a burst. Buckets are monotone in
     time, as the running sums require; rows sharing one timestamp share a bucket."""
@@ -45,9 +53,9 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
     t = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")).cast("double"), F.lit(-1.0e300))
     n = df.count()
     k = max(1, -(-n // target_rows))
-    with_t = df.withColumn("_tmicros", t)
     if k == 1:
-        return with_t.withColumn(out, F.lit(0).cast("long")).drop("_tmicros")
+        return lambda rows: rows.withColumn(out, F.lit(0).cast("long"))
+    with_t = df.withColumn("_tmicros", t)
 
     def bucketizer(cuts) -> Bucketizer:
         splits = [float("-inf")] + sorted(set(c for c in cuts if c is not None)) + [float("inf")]
@@ -63,19 +71,21 @@ def time_buckets(df: DataFrame, ts: str = "ts", target_rows: int = TARGET_ROWS_P
                  .agg(F.percentile_approx("_tmicros", [i / fine for i in range(1, fine)] or [0.5], 20 * fine).alias("q")).collect())
         cuts = [*cuts, *(c for r in inner for c in r["q"] or [])]
     b = bucketizer(cuts)
-    return b.transform(with_t).withColumn(out, F.col("_bk").cast("long")).drop("_tmicros", "_bk")
+    return lambda rows: b.transform(rows.withColumn("_tmicros", t)).withColumn(out, F.col("_bk").cast("long")).drop("_tmicros", "_bk")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, out: str,
-                bucket: str = "_bucket", inclusive: bool = True, offset: DataFrame | None = None) -> DataFrame:
+                bucket: str = "_bucket", inclusive: bool = True, offset: DataFrame | None = None,
+                counted: DataFrame | None = None) -> DataFrame:
     """Per-key running sum of ``weight`` in ``order``; ``bucket`` must be monotone in ``order``, and
-    keys and bucket must be non-null.
+    keys and bucket must be non-null. ``counted``: rows with the same keys, buckets and weights that are cheaper to derive
+    than ``df``; the totals are taken from them.
     ``offset`` (keys + ``_off``) adds a per-key amount known from before (stream state); it joins the
     small per-(key, bucket) prefix table, not the rows."""
     part = list(keys) + [bucket]
     w_loc = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loc = df.withColumn("_rs_w", weight.cast("long")).withColumn("_rs_loc", F.sum("_rs_w").over(w_loc))
-    tot = loc.groupBy(*part).agg(F.sum("_rs_w").alias("_rs_tot"))
+    tot = (loc if counted is None else counted.withColumn("_rs_w", weight.cast("long"))).groupBy(*part).agg(F.sum("_rs_w").alias("_rs_tot"))
     w_pre = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     pre = tot.withColumn("_rs_pre", F.coalesce(F.sum("_rs_tot").over(w_pre), F.lit(0))).drop("_rs_tot")
     if offset is not None:
@@ -90,7 +100,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
 
 def graph_history(edges: DataFrame, width_seconds: int | None = None,
                   target_rows: int = TARGET_ROWS_PER_BUCKET, prior: "GraphState | None" = None,
-                  materialise: bool = True) -> DataFrame:
+                  materialise: bool = True, firsts: DataFrame | None = None) -> DataFrame:
     """K3, K4, K5 counts for every edge row; ``edges`` needs ``id, ts, user, device`` and may carry
     any other columns, which pass through (no join back by id):
 
@@ -109,18 +119,22 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
     if materialise:
         edges = materialised(edges, "edges")
     if width_seconds:   # fixed-width buckets (tests, or a known uniform arrival rate)
-        rows = edges.withColumn("_bucket", F.coalesce(
+        put = lambda df: df.withColumn("_bucket", F.coalesce(     # noqa: E731
             F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("long"),
             F.lit(-(1 << 62))))
     else:
-        rows = time_buckets(edges, target_rows=target_rows)
-    rows = rows.withColumn("_tag", F.lit(0))
+        put = bucketing(edges, target_rows=target_rows)
+    rows = put(edges).withColumn("_tag", F.lit(0))
     # K4: first row of each (device, user) joins the rows as an event (carrying that row's bucket).
     # At an equal order key the row (tag 0) sorts before the event (tag 1), so the count at a row
     # is strictly earlier.
-    firsts = (rows.groupBy("device", "user").agg(F.min(F.struct("ts", "id", "_bucket")).alias("_k"))
-              .select("device", "user", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"),
-                      F.col("_k._bucket").alias("_bucket"), F.lit(1).alias("_tag")))
+    if firsts is None:
+        found = (rows.groupBy("device", "user").agg(F.min(F.struct("ts", "id", "_bucket")).alias("_k"))
+                 .select("device", "user", F.col("_k.ts").alias("ts"), F.col("_k.id").alias("id"), F.col("_k._bucket").alias("_bucket")))
+        firsts = materialised(found, "first-rows")        # the window and the totals read them
+    else:
+        firsts = put(firsts.select("device", "user", "ts", "id"))
+    firsts = firsts.withColumn("_tag", F.lit(1))
     dev_off = user_off = None
     if prior is not None:
         firsts = firsts.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
@@ -133,7 +147,8 @@ def graph_history(edges: DataFrame, width_seconds: int | None = None,
                                                   & (F.lead("_tag").over(w) == 1), F.lit(False)).cast("long"))
               .where(F.col("_tag") == 0))
     # K3: rows of the user before this one
-    out = running_sum(dev, ["user"], ["ts", "id"], F.lit(1), "user_degree", inclusive=False, offset=user_off)
+    out = running_sum(dev, ["user"], ["ts", "id"], F.lit(1), "user_degree", inclusive=False, offset=user_off,
+                      counted=rows.where(F.col("device").isNotNull()))
     return out.select(*cols, "user_degree", "device_degree",
                       (F.col("user_degree") + 1).alias("user_edges_incl"),
                       (F.col("device_degree") + F.col("_is_first")).alias("device_users_incl"))
@@ -150,10 +165,15 @@ class GraphState:
 
 def state_increments(prior: GraphState | None, edges: DataFrame) -> GraphState:
     """What ``edges`` (user, device) add to the state: rows per user, links that are new, new links per device."""
-    pairs = edges.select("device", "user").distinct()
+    return link_increments(prior, edges.groupBy("user", "device").agg(F.count(F.lit(1)).alias("n")))
+
+
+def link_increments(prior: GraphState | None, links: DataFrame) -> GraphState:
+    """``state_increments`` from the links (user, device, ``n`` rows) of the edges."""
+    pairs = links.select("device", "user")
     if prior is not None:
         pairs = pairs.join(prior.pairs.select("device", "user"), ["device", "user"], "left_anti")
-    return GraphState(edges.groupBy("user").agg(F.count(F.lit(1)).alias("n")), pairs,
+    return GraphState(links.groupBy("user").agg(F.sum("n").alias("n")), pairs,
                       pairs.groupBy("device").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -52,7 +52,7 @@ class Increments:
     def _read(self, spark: SparkSession, tables: list[tuple[int, int]]) -> DataFrame:
         schema = f"{self.schema}, bucket int, tier int, since long"
         if not tables:
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], schema).limit(0)            # known to be empty, also to the optimizer
         return spark.read.schema(schema).option("basePath", self.path).parquet(*(self._folder(*t) for t in tables))
 
     def _merged(self, rows: DataFrame) -> DataFrame:
@@ -71,9 +71,10 @@ class Increments:
         spark = wanted.sparkSession
         tables = tables_before(batch, self.fold)
         rows = self._read(spark, tables)
-        if tables:
-            touched = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]           # at most ``buckets``
-            rows = rows.where(F.col("bucket").isin(touched))
+        if not tables:
+            return rows.select(*self.keys, *self.merge)
+        touched = [r[0] for r in wanted.select(self._bucket()).distinct().collect()]               # at most ``buckets``
+        rows = rows.where(F.col("bucket").isin(touched))
         return self._merged(rows.join(wanted, list(self.keys), "left_semi"))
 
     def write(self, rows: DataFrame, batch: int) -> None:

@@ -87,10 +87,10 @@ class ScoringState:
         row = self.clock.before(spark, batch).first()
         return row["last"] if row else None
 
-    def counts(self, edges: DataFrame, batch: int) -> H.GraphState:
-        keys = {c: edges.select(*c).distinct() for c in (("user",), ("device", "user"), ("device",))}
-        return H.GraphState(self.users.of_keys(keys["user",], batch), self.pairs.of_keys(keys["device", "user"], batch),
-                            self.devices.of_keys(keys["device",], batch))
+    def counts(self, links: DataFrame, batch: int) -> H.GraphState:
+        """The counts of the users, links and devices in ``links`` (one row per user and device)."""
+        return H.GraphState(self.users.of_keys(links.select("user").distinct(), batch), self.pairs.of_keys(links.select("device", "user"), batch),
+                            self.devices.of_keys(links.select("device").distinct(), batch))
 
     def write(self, added: H.GraphState, lists: DataFrame, last: DataFrame, batch: int) -> None:
         self.users.write(added.user_counts, batch)
@@ -117,24 +117,23 @@ def score_batch(batch: DataFrame, batch_id: int, out_dir: str, probability: Call
     spark = batch.sparkSession
     checkpoint_dir(spark)
     state = ScoringState(f"{out_dir}/state")
-    # the batch is read once; its own times are carried through the scoring
-    ordered = _shift_after(state.newest_time(spark, batch_id), batch.withColumn("_arrived", F.col(ts)), ts).checkpoint()
-    edges = H.edge_rows(ordered, id_col=id_col, ts=ts).select("id", "ts", "user", "device").checkpoint()
-    known = state.counts(edges, batch_id)
+    # the batch is read once and its rows are stored with their own times; lookups and increments work on its links
+    arrived = materialised(batch.withColumn("_arrived", F.col(ts)), "arrived")
+    ordered = _shift_after(state.newest_time(spark, batch_id), arrived, ts)
+    links = materialised(graph.edge_links(H.edge_rows(ordered, id_col=id_col, ts=ts)), "links")
+    known = state.counts(links, batch_id)
     known = H.GraphState(*(materialised(d, "known") for d in (known.user_counts, known.pairs, known.device_counts)))
-    lists = materialised(graph.grown_cluster_lists(edges, lambda nodes: state.lists.of_keys(nodes, batch_id)), "cluster-lists")
+    lists = materialised(graph.grown_lists(links, lambda nodes: state.lists.of_keys(nodes, batch_id)), "cluster-lists")
     times = lists.where(F.size("lst") >= graph.CLUSTER_NODES).select(F.col("node").alias("user"), F.element_at("lst", graph.CLUSTER_NODES)["b"].alias("_tstar"))
-    scored = S.score(ordered, probability, anomaly, id_col=id_col, state=known, cluster_times=lambda _: times)
+    scored = S.score(ordered, probability, anomaly, id_col=id_col, state=known, cluster_times=lambda _: times, links=links)
     rows = scored.withColumn(ts, F.col("_arrived"))
     stored = (reports.prediction_rows(rows.withColumn("amount", F.col("TransactionAmt")), id_col=id_col, ts=ts,
                                       keep=(F.col(id_col).alias("source_id"), F.col("anomaly_score")))
               .withColumn("day", F.to_date("created_at")))
     stored.write.mode("overwrite").partitionBy("day").parquet(f"{out_dir}/predictions/batch={batch_id}")
     state.rollup.write(rollup.daily_rollup(spark.read.parquet(f"{out_dir}/predictions/batch={batch_id}")), batch_id)
-    H.edge_rows(batch, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
-    before = state.lists.of_keys(lists.select("node"), batch_id).select("node", F.col("lst").alias("_old"))
-    changed = lists.join(before, "node", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("lst"))).drop("_old")
-    state.write(H.state_increments(known, edges), changed, edges.agg(F.lit(1).alias("one"), F.max("ts").alias("last")), batch_id)
+    H.edge_rows(arrived, id_col=id_col, ts=ts).write.mode("overwrite").parquet(f"{out_dir}/edges/batch={batch_id}")
+    state.write(H.link_increments(known, links), lists.where("changed"), links.agg(F.lit(1).alias("one"), F.max("last").alias("last")), batch_id)
 
 
 def read_predictions(spark: SparkSession, out_dir: str, start=None, end=None) -> DataFrame:

@@ -237,3 +237,29 @@ def test_growing_components_write_little(spark):
     growing.add(spark.createDataFrame([("b150", "a_hub")], "user string, device string"), 1)
     assert {(r["node"], r["parent"]) for r in spark.read.parquet(f"{path}/pointers/tier=0/since=1").collect()} == {("b150", "a000"), ("b000", "a000")}
     assert {r["component"] for r in growing.labels(spark, 2).collect()} == {"a000"}
+
+
+def test_full_cluster_lists_take_no_rounds(spark, monkeypatch):
+    """New links between nodes whose lists are full: nothing changes and no round runs; one new node makes rounds for itself alone."""
+    first = [(i, i, f"u{i}", "d0") for i in range(6)]
+    stored = graph.grown_lists(graph.edge_links(_log(spark, first)).checkpoint(), lambda nodes: spark.createDataFrame([], graph.LISTS_SCHEMA))
+    assert {r["changed"] for r in stored.collect()} == {True}
+    stored = stored.select("node", "lst").checkpoint()
+    lookup = lambda nodes: stored.join(nodes, "node", "left_semi")
+    rounds, keep = [], graph._relaxed
+    monkeypatch.setattr(graph, "_relaxed", lambda adj, lists, *a, **kw: (rounds.append({r["v"] for r in lists.collect()}), keep(adj, lists, *a, **kw))[1])
+    again = graph.grown_lists(graph.edge_links(_log(spark, [(10, 20, "u1", "d0"), (11, 21, "u2", "d0")])).checkpoint(), lookup)
+    assert {(r["node"], r["changed"]) for r in again.collect()} == {("u1", False), ("u2", False), ("d0", False)} and not rounds
+    more = {r["node"]: r for r in graph.grown_lists(graph.edge_links(_log(spark, [(12, 30, "u1", "d0"), (13, 31, "new", "d0")])).checkpoint(), lookup).collect()}
+    assert rounds == [{"new"}] and [n for n, r in more.items() if r["changed"]] == ["new"]
+    assert [e["b"]["i"] for e in more["new"]["lst"]][1:] == [13] * 4
+
+
+def test_history_with_given_first_rows(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.randint(0, 90), f"u{rnd.randint(0, 9)}", f"d{rnd.randint(0, 4)}") for i in range(200)]
+    firsts = graph.edge_links(_log(spark, rows)).select("device", "user", "first.ts", "first.id").checkpoint()
+    for kw in ({}, {"target_rows": 37}, {"width_seconds": 600}):
+        got = {r["id"]: (r["user_degree"], r["device_degree"], r["user_edges_incl"], r["device_users_incl"])
+               for r in history.graph_history(_log(spark, rows), firsts=firsts, **kw).collect()}
+        assert got == _brute_history(rows)
