@@ -10,7 +10,8 @@ get a bit for each that another chunk has), and documents with equal sets are ta
 Candidates of one shingle are paired in stars: all with the smallest identifier, then, where the
 found links leave several groups, all with the smallest of every group, and at last every pair that
 is left between different groups; so a large group of copies costs its size, and no link between
-groups is lost. To verify, the candidates' shingles are cut into fragments of the hash range; the
+groups is lost. A shared shingle that isn't in both prefixes lies beyond the prefix that ends first, so pairs whose prefixes share too
+few for the similarity are dropped before any text is fetched. To verify, the candidates' shingles are cut into fragments of the hash range; the
 overlaps of each fragment are counted separately and summed per pair. Links make components.
 
 Shingles are 64-bit hashes; two different ones are taken for equal with probability 2^-64.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.registry import query, saved, table
 from riskloom.llm.tokens import Hasher, blocks, bucket_cuts, deltas, from_deltas, utf8
 from riskloom.operators.graph import connected_components
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, dropping_shuffles
 
 WORDS, PERCENT, FRAGMENTS = 5, 80, 4
 FREQUENT, OFTEN = 1 << 17, 4
@@ -152,9 +153,20 @@ def _possible(percent: int):
     return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
 
 
+def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that the common shingles of their prefixes (``sets``: ``doc_id, n, grams``) allow to link, by any of their
+    texts. Of a set's n shingles ceil(t n) - 1 lie beyond its prefix."""
+    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    beyond = F.expr(f"({percent} * greatest(na, nb) + 99) div 100 - 1")
+    most = F.size(F.array_intersect("ga", "gb")) + beyond
+    return (pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
+            .where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, fragments: int,
              broadcast_rows: int = 500_000) -> DataFrame:
-    """The ``a, b`` of ``pairs`` (``a, na, b, nb``) that link. Partners of one ``a`` are cut into stars
+    """The ``a, b`` of ``pairs`` that link. Partners of one ``a`` are cut into stars
     of bounded size; the whole texts of both sides are fetched and their shingles cut into fragments; the
     overlaps of each fragment are counted on their own and summed per pair."""
     # aggregates are saved before they meet their rows again, so that joins on hot keys can be split
@@ -198,17 +210,24 @@ def _with_several(posted: DataFrame, column: str) -> DataFrame:
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS,
                doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES,
                bucket_bytes: int = BUCKET_BYTES, star_rounds: int = 2) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id``. Every step is stored, and its shuffle files go with its end."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
+    with dropping_shuffles(spark):
+        return _joined(docs, words, percent, fragments, doc_id, text, chunk_bytes, bucket_bytes, star_rounds)
+
+
+def _joined(docs: DataFrame, words: int, percent: int, fragments: int, doc_id: str, text: str, chunk_bytes: int, bucket_bytes: int,
+            star_rounds: int) -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = saved(prefixes(docs, words, percent, chunk_bytes, bucket_bytes), "join-prefixes")
     some = base.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(some.groupBy("n", "digest").agg(F.min("doc_id").alias("first")), "join-classes")
     of_class = some.select("doc_id", "n", "digest").join(classes, ["n", "digest"])
 
-    posted = (some.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
-              .select("doc_id", "n", F.explode(F.arrays_zip("grams", "places")).alias("g"))
+    sets = saved(some.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id", "digest"])
+                 .select("doc_id", "n", "grams", "places"), "join-sets")
+    posted = (sets.select("doc_id", "n", F.explode(F.arrays_zip("grams", "places")).alias("g"))
               .select(F.col("g.grams").alias("gram"), "doc_id", "n", F.col("g.places").alias("place")))
     posted = _with_several(posted, "doc_id")
 
@@ -230,7 +249,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frag
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "join-candidates")
-        found = saved(verified(docs, pairs, words, percent, fragments), "join-links")
+        likely = saved(overlapping(pairs, sets, percent), "join-likely")
+        found = saved(verified(docs, likely, words, percent, fragments), "join-links")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if not last:

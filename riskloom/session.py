@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +66,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage. For steps that are
+    stored one by one (Spark from 4.1 on; others ignore the setting)."""
+    was = spark.conf.get(DROPPED, None)
+    spark.conf.set(DROPPED, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(DROPPED)
+        else:
+            spark.conf.set(DROPPED, was)

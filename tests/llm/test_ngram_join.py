@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from riskloom.llm.ngram_join import ngram_join
+from riskloom.llm.ngram_join import ngram_join, overlapping
+from riskloom.session import DROPPED
 
 
 def brute(rows, k, percent):
@@ -57,3 +58,30 @@ def test_against_brute_force(spark, seed, chunk, bucket):
 
 def test_empty_table(spark):
     assert ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_candidates_are_dropped_by_their_prefixes_and_no_link_is(spark):
+    r = random.Random(5)
+    sets = {}
+    for i in range(0, 120, 2):
+        base = r.sample(range(400), r.randint(40, 50))
+        sets[i], sets[i + 1] = set(base), set(base[r.randint(0, 3):]) | set(r.sample(range(400), r.randint(0, 4)))
+    first = {i: sorted(s)[:len(s) - -(-80 * len(s) // 100) + 1] for i, s in sets.items()}
+    met = {(a, b) for a in sets for b in sets if a < b and set(first[a]) & set(first[b])}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    kept = overlapping(spark.createDataFrame([(a, len(sets[a]), b, len(sets[b])) for a, b in met], "a long, na long, b long, nb long"),
+                       spark.createDataFrame([(i, len(s), first[i]) for i, s in sets.items()], "doc_id long, n long, grams array<long>"), 80)
+    kept = {tuple(x) for x in kept.collect()}
+    assert linked and linked <= kept and len(kept) < len(met) / 2
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    held = lambda: {f.getName() for f in (blocks.apply(i) for i in range(blocks.size())) if f.getName().startswith("shuffle_")}
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = manager.getAllFiles()
+    before = held()
+    df = spark.createDataFrame([(*x, 1, "clash") for x in rows(3)], "doc_id long, text string, a int, n string").repartition(3)
+    was = spark.conf.get(DROPPED, None)
+    out = ngram_join(df)
+    blocks = manager.getAllFiles()
+    assert not held() - before and spark.conf.get(DROPPED, None) == was and out.count() == df.count()
