@@ -63,11 +63,11 @@ def bin_cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> dict[s
 
 
 def _binned(cuts: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """(rows, features) bin numbers from 1 on; 0 for none."""
-    out = np.zeros((len(columns[0]) if columns else 0, len(cuts)), np.uint8)
+    """(rows, features) bin numbers from 1 on, feature by feature in memory; 0 for none."""
+    out = np.zeros((len(cuts), len(columns[0]) if columns else 0), np.uint8)
     for k, (c, v) in enumerate(zip(cuts, columns)):
-        out[:, k] = np.where(np.isnan(v), 0, np.searchsorted(c, v, "left") + 1)
-    return out
+        out[k] = np.where(np.isnan(v), 0, np.searchsorted(c, v, "left") + 1)
+    return out.T
 
 
 def _to_blocks(cuts: list[np.ndarray], rows_each: int):
@@ -83,7 +83,7 @@ def _to_blocks(cuts: list[np.ndarray], rows_each: int):
             for i in range(0, len(batch), rows_each):
                 part = batch.slice(i, rows_each)
                 columns = [part.column(k + 2).to_numpy(zero_copy_only=False).astype(float) for k in range(len(cuts))]
-                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.float64), part.column(1).to_numpy().view(np.uint64), _binned(cuts, columns)))
+                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.uint8), part.column(1).to_numpy().view(np.uint64), _binned(cuts, columns)))
                 n += len(part)
                 if n >= rows_each:
                     yield block()
@@ -103,20 +103,28 @@ class Tree:
         self.cut, self.none_left, self.value = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n)
 
     def down(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """One level on; rows at a leaf, or at no node (-1), stay."""
-        f = self.feature[node]
-        b = x[np.arange(len(x)), np.maximum(f, 0)]
-        left = np.where(b == 0, self.none_left[node], b <= self.cut[node])
-        return np.where(f < 0, node, 2 * node + 2 - left)
+        """One level on; rows at a leaf stay."""
+        return _step(node, x.T.reshape(-1), np.arange(len(x)), *self.steps(len(x)))
+
+    def steps(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values of each node's feature begin among those of ``rows`` rows, and per node and bin the next node."""
+        node, b = np.arange(len(self.feature))[:, None], np.arange(256)
+        left = np.where(b == 0, self.none_left[:, None], b <= self.cut[:, None])
+        to = np.where(self.feature[:, None] < 0, node, 2 * node + 2 - left)
+        return np.maximum(self.feature, 0).astype(np.int64) * rows, to.reshape(-1)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf that each row of bins comes to."""
-        node = np.zeros(len(x), np.int32)
+        node, row, flat, steps = np.zeros(len(x), np.int64), np.arange(len(x)), x.T.reshape(-1), self.steps(len(x))
         for _ in range(self.depth):
-            node = self.down(node, x)
+            node = _step(node, flat, row, *steps)
         return node
 
 
+def _step(node: np.ndarray, flat: np.ndarray, row: np.ndarray, begin: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return to.take(node * 256 + flat.take(begin.take(node) + row))
+
+
 def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     """Numbers from 0 to 1 that follow from the rows' hashes and the tree's number (public splitmix64 constants)."""
     x = h + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
@@ -127,8 +135,9 @@ def _mixed(h: np.ndarray, n: int) -> np.ndarray:
 
 class Margins:
     """What a worker keeps of the blocks that it has seen: their margins with the number of trees that these hold, and the nodes of the
-    growing tree that their rows have come to. One broadcast object per fit: each worker has its own copy."""
-    ROWS = 8_000_000            # rows that a worker keeps at most
+    growing tree that their rows have come to. One broadcast object per fit: each worker has its own copy. Any worker of an executor may
+    get any of its blocks. What doesn't fit is not kept: those kept stay, unless they were last used before the last tree."""
+    ROWS = 24_000_000           # rows that a worker keeps at most, of some 11 bytes each
 
     def __init__(self):
         self.held: dict = {}
@@ -136,25 +145,34 @@ class Margins:
 
     def of(self, block: tuple, x: np.ndarray, trees: list[Tree]) -> np.ndarray:
         done, margin = self.held.pop(block, (0, None))
-        margin = np.zeros(len(x)) if margin is None or done > len(trees) else margin
-        for tree in trees[done if done <= len(trees) else 0:]:
-            margin = margin + tree.value[tree.leaves(x)]
-        self.held[block] = (len(trees), margin)
-        while len(self.held) > 1 and sum(len(m) for _, m in self.held.values()) > self.ROWS:
-            old = next(iter(self.held))
-            del self.held[old]
+        done, margin = (0, np.zeros(len(x))) if margin is None or done > len(trees) else (done, margin)
+        of_tree, level, node, _ = self.at.get(block, (None, 0, None, None))
+        for number, tree in enumerate(trees[done:], done):
+            if number == of_tree:                   # its rows have been led to the last level but one already
+                for _ in range(level, tree.depth):
+                    node = tree.down(node, x)
+            margin = margin + tree.value.take(node if number == of_tree else tree.leaves(x))
+        room = self.ROWS - sum(len(m) for _, m in self.held.values())
+        while room < len(x) and self.held and next(iter(self.held.values()))[0] < len(trees) - 1:
+            old = next(iter(self.held))             # the one that wasn't used for longest
+            room += len(self.held.pop(old)[1])
             self.at.pop(old, None)
+        if room >= len(x) or not self.held:
+            self.held[block] = (len(trees), margin)
+        else:
+            self.at.pop(block, None)
         return margin
 
-    def nodes(self, block: tuple, h: np.ndarray, x: np.ndarray, tree: Tree, number: int, level: int, share: float) -> np.ndarray:
-        """Per row its node at ``level`` of the growing tree (or the leaf before it), -1 for rows that the tree doesn't draw."""
-        of_tree, done, node = self.at.get(block, (None, 0, None))
+    def nodes(self, block: tuple, h: np.ndarray, x: np.ndarray, tree: Tree, number: int, level: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per row its node at ``level`` of the growing tree (or the leaf before it), and whether the tree draws it."""
+        of_tree, done, node, drawn = self.at.get(block, (None, 0, None, None))
         if of_tree != number or done > level:
-            node, done = np.where(_mixed(h, number) < share, 0, -1).astype(np.int32), 0
+            node, done, drawn = np.zeros(len(x), np.int16 if len(tree.feature) < 1 << 15 else np.int32), 0, _mixed(h, number) < share
         for _ in range(done, level):
-            node = tree.down(node, x).astype(np.int32)
-        self.at[block] = (number, level, node)
-        return node
+            node = tree.down(node, x).astype(node.dtype)
+        if block in self.held:
+            self.at[block] = (number, level, node, drawn)
+        return node, drawn
 
 
 def _histograms(shared, trees: list[Tree], growing: Tree, level: int, wanted: Sequence[int], features: Sequence[int], bins: int, weight: float, share: float):
@@ -165,13 +183,14 @@ def _histograms(shared, trees: list[Tree], growing: Tree, level: int, wanted: Se
         sums, own = {f: np.zeros((len(wanted), bins + 1, 2), np.int64) for f in features}, shared.value
         for number, (y, h, x) in enumerate(blocks):
             margin = own.of((part, number), x, trees)
-            slot = slots[own.nodes((part, number), h, x, growing, len(trees), level, share)]     # -1 is the spare last one
-            use = np.flatnonzero(slot >= 0)
-            y, p, slot = y[use], 1.0 / (1.0 + np.exp(-margin[use])), slot[use] * (bins + 1)
+            node, drawn = own.nodes((part, number), h, x, growing, len(trees), level, share)
+            slot = slots.take(node)
+            use = np.flatnonzero((slot >= 0) & drawn)
+            y, p, slot = y.take(use), 1.0 / (1.0 + np.exp(-margin.take(use))), slot.take(use) * (bins + 1)
             w = np.where(y == 1, weight, 1.0)
             both = np.rint(w * (p - y) / UNIT), np.rint(w * p * (1 - p) / UNIT)
             for f in features:
-                cell = slot + x[:, f][use]
+                cell = slot + x[:, f].take(use)
                 for k, v in enumerate(both):
                     sums[f][:, :, k] += np.bincount(cell, v, len(wanted) * (bins + 1)).astype(np.int64).reshape(len(wanted), -1)
         return iter(sums.items())
@@ -231,14 +250,14 @@ class BoostedTrees:
         cuts, trees = [np.array(self.cuts[c]) for c in self.features], self.trees
 
         @F.pandas_udf("double")
-        def probability(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, len(cuts)))
-            binned, margin = _binned(cuts, [x[:, k] for k in range(len(cuts))]), np.zeros(len(x))
+        def probability(*values: pd.Series) -> pd.Series:
+            binned, margin = _binned(cuts, [v.to_numpy(float) for v in values]), np.zeros(len(values[0]))
             for tree in trees:
-                margin += tree.value[tree.leaves(binned)]
+                margin += tree.value.take(tree.leaves(binned)) if cuts else tree.value[0]
             return pd.Series(1.0 / (1.0 + np.exp(-margin)))
 
-        return df.withColumn(out, probability(F.array(*(F.coalesce(known(df, c).cast("double"), F.lit(float("nan"))) for c in columns or self.features))))
+        values = [F.coalesce(known(df, c).cast("double"), F.lit(float("nan"))) for c in columns or self.features]
+        return df.withColumn(out, probability(*(values or [F.lit(0.0)])))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The trees as rows: tree, node, feature (null: a leaf), threshold (values up to it go left), none_left, value."""
@@ -294,7 +313,7 @@ def fit_boosted_trees(train: DataFrame, features: Sequence[str], label: str, rou
     sc = spark.sparkContext
     count = stored.count()
     parts = max(1, min(sc.defaultParallelism, -(-count // PART_BLOCKS)))
-    blocks = (stored.rdd.coalesce(parts).map(lambda r: (np.frombuffer(r["y"]), np.frombuffer(r["h"], np.uint64), np.frombuffer(r["x"], np.uint8).reshape(wide, -1).T))
+    blocks = (stored.rdd.coalesce(parts).map(lambda r: (np.frombuffer(r["y"], np.uint8), np.frombuffer(r["h"], np.uint64), np.frombuffer(r["x"], np.uint8).reshape(wide, -1).T))
               .persist(StorageLevel.MEMORY_AND_DISK))
     shared, trees = sc.broadcast(Margins()), []
     rng = np.random.default_rng(seed)

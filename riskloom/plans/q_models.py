@@ -13,6 +13,7 @@ from riskloom.plans.q_report import _scored_sql
 from riskloom.plans.q_score import RULE_REASON_ITEMS_SQL
 from riskloom.plans.registry import query
 from riskloom.sources.fixtures import fixture, with_views
+from riskloom.sources.tables import materialised
 
 
 @query("class_weight", _with("""
@@ -93,7 +94,7 @@ FROM split WHERE split = 'validation'""", MERGED_CTE, SPLIT_CTE.format(src="merg
 def q_fraud_model(spark, sf_dir):
     """M1 + M6-M9: fit on train, evaluate on validation; what must hold for any such model."""
     md, feats = _model_data(spark, sf_dir)
-    train, valid = md.frame.where("split = 'train'"), md.frame.where("split = 'validation'")
+    train, valid = materialised(md.frame.where("split = 'train'"), "train"), md.frame.where("split = 'validation'")
     model = models.fit_fraud_model(train, feats)
     pred = models.predict_probability(model, valid).checkpoint()
     found = [metrics.average_precision(pred).first()[0], metrics.roc_auc(pred).first()[0],

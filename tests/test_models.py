@@ -108,6 +108,35 @@ def test_margins_are_made_up_for_whatever_a_worker_has_missed():
     assert len(held.held) == 1
 
 
+def test_blocks_beyond_the_bound_do_not_drive_out_those_kept():
+    x, trees = np.random.default_rng(1).integers(0, 9, (50, 2)).astype(np.uint8), [B.Tree(1) for _ in range(3)]
+    own = B.Margins()
+    own.ROWS = 120                              # two blocks of three
+    for _ in range(4):
+        for k in range(3):                      # each round used to make the margins of all three anew
+            own.of((0, k), x, trees)
+    assert set(own.held) == {(0, 0), (0, 1)}
+    for n in range(1, 4):                       # a block that is not used any more gives way
+        for k in (1, 2):
+            own.of((0, k), x, trees + [B.Tree(1) for _ in range(n)])
+    assert set(own.held) == {(0, 1), (0, 2)}
+
+
+def test_a_tree_gives_its_leaves_to_the_margins_without_a_second_descent(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, h, tree = rng.integers(0, 9, (80, 3)).astype(np.uint8), rng.integers(0, 1 << 62, 80).astype(np.uint64), B.Tree(2)
+    tree.feature[:3], tree.cut[:3], tree.none_left[:3], tree.value[:] = [1, 0, 2], [4, 3, 6], [True, False, True], np.arange(7) / 8
+    plain = [next(2 * n + 2 - (tree.none_left[n] if r[tree.feature[n]] == 0 else r[tree.feature[n]] <= tree.cut[n])
+                  for n in [2 - (tree.none_left[0] if r[1] == 0 else r[1] <= 4)]) for r in x]
+    assert tree.leaves(x).tolist() == plain and tree.leaves(np.asfortranarray(x)).tolist() == plain
+    own = B.Margins()
+    own.of((0, 0), x, [])
+    for level in range(2):
+        own.nodes((0, 0), h, x, tree, 0, level, 0.5)
+    monkeypatch.setattr(B.Tree, "leaves", None)
+    assert own.of((0, 0), x, [tree]).tolist() == tree.value[plain].tolist()
+
+
 def test_margins_outlast_tasks_of_another_stage(spark, monkeypatch):
     x, y = _rows(3, 300)
     fit = lambda: B.fit_boosted_trees(_frame(spark, x, y).repartition(6), ["a", "b", "c"], "isFraud", 4, 3, 0.3, 1.0, 0.8, block_rows=20)
@@ -213,3 +242,24 @@ def test_codes_are_the_same_on_either_side_of_the_broadcast_bound(spark, max_byt
     assert got.columns == df.columns
     want = [(i, {"a": 0.0, "b": 1.0, None: -1.0}[a], -1.0 if b == "v4" else float(b[1]), -1.0 if c is None else 0.0, n) for i, a, b, c, n in rows]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_models_take_their_features_as_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 30, (400, 3)) / 4
+    df = spark.createDataFrame([(i, *map(float, r), int(r[0] + r[1] > 8)) for i, r in enumerate(x)], "id long, a double, b double, c double, isFraud int")
+    df = df.withColumn("b", F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("b")))
+    plan = lambda d: d._jdf.queryExecution().toString()             # noqa: E731
+    forest = models.fit_isolation_forest(df, ["a", "b", "c"], trees=5, max_samples=64)
+    scored = forest.score_samples(df)
+    assert "array(" not in plan(scored) and "array(" not in plan(models.predict_probability(models.fit_fraud_model(df, ["a", "b", "c"], rounds=2, depth=2), df))
+    got = {r["id"]: r["_if_score"] for r in scored.collect()}
+    for r in df.collect():
+        v, lengths = [r["a"], 0.0 if r["b"] != r["b"] else r["b"], r["c"]], []
+        for _, t in forest.trees.groupby("tree"):
+            t = t.set_index("node")
+            n = 0
+            while t.at[n, "feature"] >= 0:
+                n = t.at[n, "left"] if v[t.at[n, "feature"]] <= t.at[n, "threshold"] else t.at[n, "right"]
+            lengths.append(t.at[n, "depth"] + models._c(t.at[n, "size"]))
+        assert got[r["id"]] == pytest.approx(-2.0 ** (-np.mean(lengths) / models._c(64)))
