@@ -108,9 +108,14 @@ def _grow(pdf: pd.DataFrame, n_features: int, max_depth: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
 
+def _values(df: DataFrame, features: Sequence[str]) -> list:
+    """The features; null and NaN count as 0."""
+    return [F.coalesce(known(df, c).cast("double"), F.lit(0.0)) for c in features]
+
+
 def _vector(df: DataFrame, features: Sequence[str]):
-    """The features as one array; null and NaN count as 0."""
-    return F.array(*[F.coalesce(known(df, c).cast("double"), F.lit(0.0)) for c in features])
+    """The features as one array."""
+    return F.array(*_values(df, features))
 
 
 TREE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size long, depth int")
@@ -127,27 +132,24 @@ class IsolationForestModel:
         for _, g in self.trees.groupby("tree"):
             g = g.sort_values("node")
             adj = g["depth"].to_numpy() + np.array([_c(v) for v in g["size"].to_numpy()])
-            by_tree.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                            g["right"].to_numpy(), int(g["depth"].max()), adj))
+            feat = g["feature"].to_numpy(np.int64)
+            # the children of node n are 2n (at most the threshold) and 2n + 1 of the table; a leaf leads to itself
+            kids = np.where(feat[:, None] >= 0, g[["left", "right"]].to_numpy(np.int64), np.arange(len(feat))[:, None]).reshape(-1)
+            by_tree.append((np.maximum(feat, 0), g["threshold"].to_numpy(), kids, int(g["depth"].max()), adj))
 
         @F.pandas_udf("double")
-        def score(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
-            total, row = np.zeros(len(x)), np.arange(len(x))
-            for feat, thr, left, right, max_depth, adj in by_tree:
-                node = np.zeros(len(x), dtype=int)
-                for _ in range(max_depth + 1):
-                    f = feat[node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    nxt = np.where(x[row, np.where(inner, f, 0)] <= thr[node], left[node], right[node])
-                    node = np.where(inner, nxt, node)
-                total += adj[node]
+        def score(*values: pd.Series) -> pd.Series:
+            n = len(values[0])
+            flat, total, row = np.concatenate([v.to_numpy(float) for v in values]), np.zeros(n), np.arange(n)
+            for feat, thr, kids, max_depth, adj in by_tree:
+                node, begin = np.zeros(n, np.int64), feat * n
+                for _ in range(max_depth):
+                    node = kids.take(2 * node + (flat.take(begin.take(node) + row) > thr.take(node)))
+                total += adj.take(node)
             mean = total / max(1, len(by_tree))
-            return pd.Series(-np.power(2.0, -mean / norm) if norm > 0 else np.full(len(x), -1.0))
+            return pd.Series(-np.power(2.0, -mean / norm) if norm > 0 else np.full(n, -1.0))
 
-        return df.withColumn(out, score(_vector(df, list(columns or self.features))))
+        return df.withColumn(out, score(*(_values(df, list(columns or self.features)) or [F.lit(0.0)])))
 
     def save(self, spark, path: str) -> None:
         """The tree table and one row of settings."""

@@ -185,7 +185,7 @@ def fit_serving_models(spark, sf_dir, rounds: int = models.GBT_ROUNDS):
     snap = history.degree_snapshot(edges.select("id", "user", "device"), edges) \
         .select(F.col("id").alias("TransactionID"), F.col("g_user_degree").cast("double").alias("user_degree"),
                 F.col("g_device_degree").cast("double").alias("device_degree"))
-    train = md.frame.where("split = 'train'").join(snap, "TransactionID")
+    train = materialised(md.frame.where("split = 'train'").join(snap, "TransactionID"), "train")    # both fits read it several times
     model_feats = feats + GRAPH_FEATURES
     gbt = models.fit_fraud_model(train, model_feats, rounds=rounds, rate=models.GRAPH_GBT_RATE,
                                  pos_weight=models.GRAPH_POS_WEIGHT)
